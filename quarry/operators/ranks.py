@@ -12,10 +12,9 @@ The two-level scheme here keeps the work spread out:
 3. turn it into per-partition offsets with a window over that small table and
    join the offsets back with a broadcast.
 
-The order keys must be a total order (end them with a unique id). With a
-total order the ids are reproducible when a task is re-run after an executor
-loss: the range bounds are fixed when the exchange is planned and the sort
-inside a partition is deterministic.
+The order keys must be a total order (end them with a unique id). The staged
+rows are checkpointed (reliable checkpoint, shared ``spark.checkpoint.dir``)
+before the two reads, so the partition-encoded ids are computed exactly once.
 """
 
 from __future__ import annotations
@@ -35,7 +34,8 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
 def rank_within(df: DataFrame, order: Sequence[str | Column], group: Sequence[str] = (),
                 weight: str | Column | None = None, rank_col: str = "rank",
                 size_col: str | None = None, prefix_col: str | None = None,
-                total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
+                total_col: str | None = None, num_partitions: int | None = None,
+                materialize: bool = True) -> DataFrame:
     """Add a 1-based ``rank_col`` per ``group`` following ``order``.
 
     Optional outputs: ``size_col`` (rows in the group), ``prefix_col`` (sum of
@@ -53,6 +53,12 @@ def rank_within(df: DataFrame, order: Sequence[str | Column], group: Sequence[st
     if weight is not None:
         wcol = F.col(weight) if isinstance(weight, str) else weight
         staged = staged.withColumn("__rk_w", wcol.cast("long"))
+    if materialize:
+        # The ids are read twice (offset table and rows). A reliable
+        # checkpoint in the session's checkpoint directory computes them once,
+        # so both reads agree even if a task is retried, and it cuts the
+        # lineage for the stages that follow.
+        staged = staged.checkpoint(eager=True)
 
     aggs = [F.count(F.lit(1)).alias("__rk_cnt"), F.min("__rk_loc").alias("__rk_first")]
     if weight is not None:

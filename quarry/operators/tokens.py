@@ -64,10 +64,13 @@ def encode_parts(df: DataFrame, id_col: str, parts: list[str | Column], vocab: D
         pieces = e if pieces is None else pieces.unionByName(e)
     ided = _vocab_join(pieces, vocab)
     grouped = ided.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_part", "_pos", "id"))).alias("_t"))
+    def part_ids(i: int) -> Column:
+        keep = F.filter("_t", lambda s: (s["_part"] == i) & s["id"].isNotNull())
+        return F.transform(keep, lambda s: s["id"])
+
     out = grouped
     for i in range(len(parts)):
-        out = out.withColumn(f"ids_{i}", F.transform(
-            F.filter("_t", lambda s, i=i: (s["_part"] == i) & s["id"].isNotNull()), lambda s: s["id"]))
+        out = out.withColumn(f"ids_{i}", part_ids(i))
     return out.drop("_t")
 
 
@@ -139,8 +142,8 @@ def pad_batches(batched: DataFrame, batch: str = "batch", pad_id: int = EOS_ID,
     from pyspark.sql import Window
     w = Window.partitionBy(*group, batch)
     out = batched.withColumn("padded_len", F.max(F.size("input_ids")).over(w))
-    n_pad = F.col("padded_len") - F.size("input_ids")
-    out = out.withColumn("n_pad", n_pad)
+    out = out.withColumn("n_pad", F.col("padded_len") - F.size("input_ids"))
+    n_pad = F.col("n_pad")
     out = out.withColumn("input_ids", F.concat("input_ids", F.array_repeat(F.lit(pad_id), n_pad)))
     out = out.withColumn("labels", F.concat("labels", F.array_repeat(F.lit(fixed.LABEL_IGNORE), n_pad)))
     out = out.withColumn("attention_mask", F.concat("attention_mask", F.array_repeat(F.lit(0), n_pad)))

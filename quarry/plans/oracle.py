@@ -266,3 +266,361 @@ SELECT pair_id, CASE WHEN ok THEN len(spans) ELSE -1 END AS n_dialogs,
        CASE WHEN ok THEN json_extract_string({strip('spans[1]')}, '$[0].content') END AS first_question
 FROM (SELECT pair_id, spans, coalesce(list_bool_and(list_transform(spans, lambda s: json_valid({strip('s')}))), true) AS ok
       FROM (SELECT pair_id, regexp_extract_all(content, '{fixed.QA_SPAN_PATTERN}', 1) AS spans FROM completions))""")
+
+
+# ---------------------------------------------------------------------------
+# pages, sections, logs
+from ..operators import extract as _ex  # noqa: E402
+from ..operators import tokens as _tk  # noqa: E402
+
+
+def decode(x: str) -> str:
+    for ent, ch in _ex.ENTITIES:
+        x = f"replace({x}, {sq(ent)}, {sq(ch)})"
+    return x
+
+
+def block_text(x: str) -> str:
+    return strip(decode(f"regexp_replace({x}, '<[^>]*>', '', 'g')"))
+
+
+def urljoin(b: str, h: str) -> str:
+    return f"""CASE WHEN regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {h}
+ WHEN starts_with({h}, '//') THEN regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || {h}
+ WHEN starts_with({h}, '/') THEN regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || {h}
+ WHEN starts_with({h}, '#') THEN regexp_replace({b}, '#.*$', '') || {h}
+ WHEN starts_with({h}, '?') THEN regexp_replace({b}, '[?#].*$', '') || {h}
+ WHEN {h} = '' THEN regexp_replace({b}, '#.*$', '')
+ ELSE regexp_replace(regexp_replace({b}, '[?#].*$', ''), '[^/]*$', '') || {h} END"""
+
+
+cte("pages_clean", f"SELECT page_id, url, regexp_replace(html, {sq(_ex.NOISE_PATTERN)}, '', 'g') AS h FROM pages")
+q("page_headings", f"""
+SELECT page_id, '# ' || {block_text("regexp_extract(regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)")} AS heading
+FROM pages_clean""")
+cte("toc_items", f"""
+SELECT page_id, url, hrefs, names, unnest(generate_series(1, len(hrefs))) AS i
+FROM (SELECT page_id, url, regexp_extract_all(menu, {sq(_ex.ITEM_PATTERN)}, 1) AS hrefs,
+             regexp_extract_all(menu, {sq(_ex.ITEM_PATTERN)}, 2) AS names
+      FROM (SELECT page_id, url, regexp_extract(h, '(?is)<nav\\b[^>]*>(.*?)</nav\\s*>', 1) AS menu FROM pages_clean))""")
+q("toc_links", f"""
+SELECT page_id, CAST(i - 1 AS INTEGER) AS chapter_no, 0 AS section_no, {block_text('names[i]')} AS section_name,
+       {urljoin('url', 'hrefs[i]')} AS url, printf('ch%02d/sec00.txt', i - 1) AS text_location
+FROM toc_items""")
+q("section_topn", "SELECT source, doc_id, n_chars FROM documents ORDER BY source, doc_id LIMIT 50")
+q("chapter_concat", """
+SELECT source, doc_id,
+       CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset,
+       CAST(length(text) + 1 AS BIGINT) AS piece_len
+FROM documents""")
+_LP = sq(fixed.TRAIN_LOG_PATTERN)
+cte("log_lines", """
+SELECT CASE event_type WHEN 'click' THEN 'finetune_output_first_agent.log'
+                       WHEN 'view' THEN 'finetune_output_second_agent.log'
+                       ELSE 'finetune_output_third_agent.log' END AS file_name,
+       event_id AS line_no,
+       CASE WHEN event_type = 'error' THEN 'ERROR step ' || CAST(event_id AS VARCHAR)
+            ELSE 'step ' || CAST(event_id AS VARCHAR) || ' Epoch ' || CAST(user_id % 50 AS VARCHAR)
+                 || ': train_perplexity=' || printf('%.4f', 1 + value / 10)
+                 || ', train_epoch_loss=' || printf('%.4f', ln(1 + value / 10)) || ' lr=3e-4' END AS value
+FROM events""")
+cte("log_parsed", f"""
+SELECT CASE WHEN contains(file_name, 'first') THEN 'first' WHEN contains(file_name, 'second') THEN 'second'
+            ELSE 'third' END AS run, line_no,
+       CAST(regexp_extract(value, {_LP}, 1) AS INTEGER) AS epoch,
+       CAST(regexp_extract(value, {_LP}, 2) AS DOUBLE) AS perplexity,
+       CAST(regexp_extract(value, {_LP}, 3) AS DOUBLE) AS loss
+FROM log_lines WHERE regexp_matches(value, {_LP})""")
+q("train_log_parse", "SELECT run, line_no, epoch, perplexity, loss FROM log_parsed")
+q("train_curve", """
+SELECT run, epoch, arg_max(perplexity, line_no) AS perplexity, arg_max(loss, line_no) AS loss
+FROM log_parsed GROUP BY run, epoch""")
+q("eval_results_load", """
+SELECT pair_id, input_text AS query, target_text, turn / 10 AS inference_time FROM pairs WHERE pair_id % 6 NOT IN (0, 1)""")
+
+# ---------------------------------------------------------------------------
+# tokens
+_TP = sq(_tk.TOKEN_PATTERN)
+cte("tok_src", f"SELECT pair_id, {sq(_ap_head)} || input_text || {sq(_ap_tail)} AS prompt, target_text FROM pairs")
+cte("vocab", f"""
+SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 2 AS INTEGER) AS id
+FROM (SELECT token, count(*) AS n FROM (
+        SELECT unnest(regexp_extract_all(prompt, {_TP})) AS token FROM tok_src
+        UNION ALL SELECT unnest(regexp_extract_all(target_text, {_TP})) FROM tok_src) GROUP BY token)""")
+q("vocab", "SELECT token, n, id FROM vocab")
+cte("tok_parts", f"""
+SELECT pair_id, 0 AS part, unnest(regexp_extract_all(p, {_TP})) AS token,
+       unnest(generate_series(1, len(regexp_extract_all(p, {_TP})))) AS pos
+FROM (SELECT pair_id, {sq(_ap_head)} || input_text || {sq(_ap_tail)} AS p FROM splits)
+UNION ALL
+SELECT pair_id, 1 AS part, unnest(regexp_extract_all(target_text, {_TP})) AS token,
+       unnest(generate_series(1, len(regexp_extract_all(target_text, {_TP})))) AS pos
+FROM splits""")
+cte("tok_ids", """
+SELECT s.pair_id, s.agent, s.split, s.split_rank,
+       coalesce(list(t.id ORDER BY t.pos) FILTER (WHERE t.part = 0), []) AS p_ids,
+       coalesce(list(t.id ORDER BY t.pos) FILTER (WHERE t.part = 1), []) AS a_ids
+FROM splits s LEFT JOIN (SELECT tp.pair_id, tp.part, tp.pos, coalesce(v.id, 0) AS id
+                         FROM tok_parts tp LEFT JOIN vocab v ON tp.token = v.token) t ON t.pair_id = s.pair_id
+GROUP BY s.pair_id, s.agent, s.split, s.split_rank""")
+cte("tok_ex", """
+SELECT pair_id, agent, split, split_rank, len(p_ids) + 1 AS n_prompt,
+       list_concat([1], p_ids, a_ids, [2]) AS input_ids,
+       list_concat(list_transform(range(len(p_ids) + 1), lambda x: -100), a_ids, [2]) AS labels
+FROM tok_ids""")
+q("mask_labels", """
+SELECT pair_id, len(input_ids) AS n_tokens, n_prompt, array_to_string(input_ids, ',') AS input_ids,
+       array_to_string(labels, ',') AS labels FROM tok_ex""")
+q("pack_chunks", f"""
+SELECT agent, CAST(gpos // {fixed.CONTEXT_LENGTH_SMALL} AS BIGINT) AS chunk, count(*) AS n_tokens,
+       string_agg(CAST(tid AS VARCHAR), ',' ORDER BY gpos) AS input_ids,
+       string_agg(CAST(lab AS VARCHAR), ',' ORDER BY gpos) AS labels
+FROM (SELECT agent, tid, lab, row_number() OVER (PARTITION BY agent ORDER BY split_rank, pair_id, i) - 1 AS gpos,
+             count(*) OVER (PARTITION BY agent) AS total
+      FROM (SELECT agent, split_rank, pair_id, unnest(input_ids) AS tid, unnest(labels) AS lab,
+                   unnest(generate_series(1, len(input_ids))) AS i FROM tok_ex WHERE split = 'train'))
+WHERE gpos // {fixed.CONTEXT_LENGTH_SMALL} < (total - 1) // {fixed.CONTEXT_LENGTH_SMALL}
+GROUP BY agent, gpos // {fixed.CONTEXT_LENGTH_SMALL}""")
+cte("len_batches", """
+SELECT pair_id, n_tokens, batch, input_ids, labels,
+       row_number() OVER (ORDER BY md5('196|batch|' || CAST(batch AS VARCHAR)), batch) - 1 AS batch_order_raw
+FROM (SELECT pair_id, n_tokens, input_ids, labels, CAST((r - 1) // 4 AS BIGINT) AS batch, r, n
+      FROM (SELECT pair_id, len(input_ids) AS n_tokens, input_ids, labels,
+                   row_number() OVER (ORDER BY len(input_ids), pair_id) AS r, count(*) OVER () AS n
+            FROM tok_ex WHERE split = 'train'))
+WHERE r <= (n // 4) * 4""")
+cte("len_batch_order", """
+SELECT batch, row_number() OVER (ORDER BY md5('196|batch|' || CAST(batch AS VARCHAR)), batch) - 1 AS batch_order
+FROM (SELECT DISTINCT batch FROM len_batches)""")
+q("length_batches", """
+SELECT b.pair_id, b.n_tokens, b.batch, o.batch_order FROM len_batches b JOIN len_batch_order o USING (batch)""")
+q("pad_batches", """
+SELECT pair_id, batch, padded_len, padded_len - n_tokens AS n_pad,
+       CASE WHEN padded_len > n_tokens THEN 2 ELSE input_ids[-1] END AS last_id,
+       CASE WHEN padded_len > n_tokens THEN -100 ELSE labels[-1] END AS last_label
+FROM (SELECT *, max(n_tokens) OVER (PARTITION BY batch) AS padded_len FROM len_batches)""")
+
+# ---------------------------------------------------------------------------
+# retrieval, answering, routing
+
+q("term_vectors", f"""
+SELECT pair_id, token, count(*)::DOUBLE AS tf FROM (SELECT pair_id, unnest({mtok('input_text')}) AS token FROM pairs)
+GROUP BY pair_id, token""")
+cte("emb", """
+SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+       sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS nrm FROM embeddings""")
+q("knn_dense", """
+SELECT vec_id, rank, nbr_id, round(distance, 6) AS distance FROM (
+  SELECT vec_id, nbr_id, distance, row_number() OVER (PARTITION BY vec_id ORDER BY round(distance, 9), nbr_id) AS rank
+  FROM (SELECT a.vec_id, b.vec_id AS nbr_id,
+               1 - CASE WHEN a.nrm * b.nrm > 0 THEN list_dot_product(a.e, b.e) / (b.nrm * a.nrm) ELSE 0 END AS distance
+        FROM emb a JOIN emb b ON a.vec_id <> b.vec_id))
+WHERE rank <= 3""")
+
+
+def lexical_knn(prefix: str, qsrc: str, csrc: str, k: int, group: str | None = None) -> None:
+    """Register CTEs ``<prefix>_nb(pair_id, nbr_id, distance, rank)``: exact
+    lexical cosine kNN of ``qsrc`` questions over ``csrc`` questions."""
+    g = f", {group}" if group else ""
+    for side, src in (("q", qsrc), ("c", csrc)):
+        cte(f"{prefix}_t{side}", f"""
+SELECT pair_id, token, count(*)::DOUBLE AS tf
+FROM (SELECT pair_id, unnest({mtok('input_text')}) AS token FROM {src}) GROUP BY pair_id, token""")
+        cte(f"{prefix}_n{side}", f"""
+SELECT s.pair_id{', s.' + group if group else ''}, coalesce(sqrt(sum(t.tf * t.tf)), 0) AS norm
+FROM {src} s LEFT JOIN {prefix}_t{side} t ON t.pair_id = s.pair_id GROUP BY s.pair_id{', s.' + group if group else ''}""")
+    cte(f"{prefix}_dot", f"""
+SELECT a.pair_id AS qid, b.pair_id AS cid, sum(a.tf * b.tf) AS dot
+FROM {prefix}_tq a JOIN {prefix}_tc b ON a.token = b.token GROUP BY a.pair_id, b.pair_id""")
+    on = f"q.{group} = c.{group}" if group else "TRUE"
+    cte(f"{prefix}_nb", f"""
+SELECT pair_id, nbr_id, distance, rank FROM (
+  SELECT q.pair_id, c.pair_id AS nbr_id,
+         1 - CASE WHEN q.norm * c.norm > 0 THEN coalesce(d.dot, 0) / (c.norm * q.norm) ELSE 0 END AS distance,
+         row_number() OVER (PARTITION BY q.pair_id ORDER BY
+             round(1 - CASE WHEN q.norm * c.norm > 0 THEN coalesce(d.dot, 0) / (c.norm * q.norm) ELSE 0 END, 9),
+             c.pair_id) AS rank
+  FROM {prefix}_nq q JOIN {prefix}_nc c ON {on}
+  LEFT JOIN {prefix}_dot d ON d.qid = q.pair_id AND d.cid = c.pair_id)
+WHERE rank <= {k}""")
+
+
+cte("orch_q", "SELECT pair_id, input_text, target_text FROM orch_split WHERE orch_split = 'test'")
+cte("orch_c", "SELECT pair_id, input_text, target_text FROM orch_split WHERE orch_split = 'train'")
+lexical_knn("base", "orch_q", "orch_c", 3)
+_PRE = sq(fixed.RAG_PREAMBLE)
+
+
+def echo(prompt: str) -> str:
+    """The offline default model in SQL: prompt + ' ' + first context line."""
+    return (f"{prompt} || ' ' || split_part(CASE WHEN strpos({prompt}, 'Context:' || chr(10)) > 0 "
+            f"THEN substr({prompt}, strpos({prompt}, 'Context:' || chr(10)) + 9) ELSE '' END, chr(10), 1)")
+
+
+cte("base_ctx", """
+SELECT n.pair_id, string_agg(c.target_text, chr(10) ORDER BY n.rank) AS context
+FROM base_nb n JOIN orch_c c ON c.pair_id = n.nbr_id GROUP BY n.pair_id""")
+cte("base_prompt", f"""
+SELECT q.pair_id, q.input_text, q.target_text,
+       {_PRE} || x.context || {sq(fixed.RAG_QUESTION_SEP)} || q.input_text || {sq(fixed.RAG_ANSWER_TAG)} AS prompt
+FROM orch_q q JOIN base_ctx x ON x.pair_id = q.pair_id""")
+cte("base_resp", f"SELECT *, {echo('prompt')} AS response FROM base_prompt")
+cte("base_ans", "SELECT *, substring(response, strpos(response, 'Answer:') + 7) AS answer_only FROM base_resp")
+q("knn_lexical", "SELECT pair_id, rank, nbr_id, round(distance, 6) AS distance FROM base_nb")
+q("rag_prompt", "SELECT pair_id, prompt FROM base_prompt")
+q("rag_answer", "SELECT pair_id, response, answer_only FROM base_ans")
+q("answer_only", """
+SELECT pair_id, answer_only, substring(target_text, strpos(target_text, 'Answer:') + 7) AS answer_only_missing FROM base_ans""")
+q("answer_after_query", "SELECT pair_id, substring(response, strpos(response, input_text) + length(input_text)) AS answer FROM base_ans")
+q("eval_join", "SELECT pair_id, input_text AS query, target_text, response FROM base_ans")
+
+
+def route_call(x: str) -> str:
+    return (f"CASE WHEN contains(lower({x}), 'invoke') THEN {strip(f'string_split({x}, {sq(fixed.ROUTER_OUTPUT_MARK)})[-1]')} "
+            f"ELSE {sq(fixed.ROUTER_FALLBACK)} END")
+
+
+def next_agent(call: str, question: str) -> str:
+    return (f"CASE WHEN coalesce(length({question}), 0) = 0 THEN 'END' "
+            f"WHEN contains(lower({call}), 'agent1') THEN 'agent1' WHEN contains(lower({call}), 'agent2') THEN 'agent2' "
+            f"WHEN contains(lower({call}), 'agent3') THEN 'agent3' ELSE 'END' END")
+
+
+def router_prompt(question: str) -> str:
+    return f"{sq(fixed.ROUTER_PROMPT_HEAD)} || {sq(fixed.ROLES_TEXT)} || {question} || {sq(fixed.ROUTER_PROMPT_TAIL)}"
+
+
+cte("router_out", f"""
+SELECT pair_id, input_text, CASE (conv_id + turn) % 5
+  WHEN 0 THEN {router_prompt('input_text')} || ' Invoke agent' || CAST(conv_id % 3 + 1 AS VARCHAR)
+  WHEN 1 THEN 'Invoke agent' || CAST(conv_id % 3 + 1 AS VARCHAR)
+  WHEN 2 THEN 'agent' || CAST(conv_id % 3 + 1 AS VARCHAR) || ' fits. OUTPUT: nothing'
+  WHEN 3 THEN 'invoke OUTPUT: agent3 or agent1'
+  ELSE 'Invoke OUTPUT: none' END AS router_output
+FROM pairs""")
+q("route", f"""
+SELECT pair_id, agent_call, {next_agent('agent_call', 'input_text')} AS next_agent
+FROM (SELECT pair_id, input_text, {route_call('router_output')} AS agent_call FROM router_out)""")
+
+cte("spec_train", "SELECT pair_id, agent, input_text, target_text FROM splits WHERE split = 'train'")
+lexical_knn("rtr", "orch_q", "spec_train", 1)
+cte("routed", f"""
+SELECT q.pair_id, q.input_text, q.target_text, agent_call, {next_agent('agent_call', 'q.input_text')} AS next_agent
+FROM orch_q q LEFT JOIN (
+  SELECT n.pair_id, {route_call(f"{router_prompt('q2.input_text')} || ' Invoke agent' || CAST(t.agent AS VARCHAR)")} AS agent_call
+  FROM rtr_nb n JOIN spec_train t ON t.pair_id = n.nbr_id JOIN orch_q q2 ON q2.pair_id = n.pair_id) r
+ON r.pair_id = q.pair_id""")
+cte("routed_go", """
+SELECT pair_id, input_text, target_text, next_agent, CAST(right(next_agent, 1) AS INTEGER) AS agent
+FROM routed WHERE next_agent <> 'END'""")
+lexical_knn("spec", "routed_go", "spec_train", 3, group="agent")
+cte("spec_ctx", """
+SELECT n.pair_id, string_agg(c.target_text, chr(10) ORDER BY n.rank) AS context
+FROM spec_nb n JOIN spec_train c ON c.pair_id = n.nbr_id GROUP BY n.pair_id""")
+cte("spec_prompt", f"""
+SELECT g.pair_id, g.agent, g.input_text, g.target_text, g.next_agent, {_PRE} || x.context || g.input_text AS prompt
+FROM routed_go g JOIN spec_ctx x ON x.pair_id = g.pair_id""")
+cte("arch_ans", f"""
+SELECT pair_id, input_text, target_text, next_agent, {echo('prompt')} AS answer FROM spec_prompt
+UNION ALL SELECT pair_id, input_text, target_text, next_agent, input_text AS answer FROM routed WHERE next_agent = 'END'""")
+q("rag_prompt_agent", "SELECT pair_id, agent, prompt FROM spec_prompt")
+q("routed_answer", "SELECT pair_id, next_agent, answer FROM arch_ans")
+q("tool_route", "SELECT pair_id, CASE WHEN contains(answer, 'tool_calls') THEN 'tools' ELSE 'END' END AS tool_route FROM arch_ans")
+
+
+# ---------------------------------------------------------------------------
+# metrics and evaluation summaries
+
+def metric_ctes(prefix: str, src: str) -> None:
+    """``<prefix>_ov(pair_id, c, r, m1..m4)`` clipped n-gram overlap and
+    ``<prefix>_me(pair_id, matches, chunks, c, r)`` METEOR alignment for a
+    source with columns (pair_id, prediction, reference)."""
+    cte(f"{prefix}_tok", f"SELECT pair_id, {mtok('prediction')} AS pt, {mtok('reference')} AS rt FROM {src}")
+    for side, col in (("p", "pt"), ("r", "rt")):
+        cte(f"{prefix}_g{side}", f"""
+SELECT pair_id, n, gram, count(*) AS cnt FROM (
+  SELECT pair_id, n, array_to_string({col}[i:i + n - 1], ' ') AS gram
+  FROM (SELECT pair_id, {col}, n, unnest(generate_series(1, len({col}) - n + 1)) AS i
+        FROM {prefix}_tok, (VALUES (1), (2), (3), (4)) v(n)))
+GROUP BY pair_id, n, gram""")
+    cte(f"{prefix}_ov", f"""
+SELECT t.pair_id, len(t.pt) AS c, len(t.rt) AS r,
+       coalesce(m.m1, 0) AS m1, coalesce(m.m2, 0) AS m2, coalesce(m.m3, 0) AS m3, coalesce(m.m4, 0) AS m4
+FROM {prefix}_tok t LEFT JOIN (
+  SELECT a.pair_id,
+         sum(CASE WHEN a.n = 1 THEN least(a.cnt, b.cnt) ELSE 0 END) AS m1,
+         sum(CASE WHEN a.n = 2 THEN least(a.cnt, b.cnt) ELSE 0 END) AS m2,
+         sum(CASE WHEN a.n = 3 THEN least(a.cnt, b.cnt) ELSE 0 END) AS m3,
+         sum(CASE WHEN a.n = 4 THEN least(a.cnt, b.cnt) ELSE 0 END) AS m4
+  FROM {prefix}_gp a JOIN {prefix}_gr b ON a.pair_id = b.pair_id AND a.n = b.n AND a.gram = b.gram
+  GROUP BY a.pair_id) m ON m.pair_id = t.pair_id""")
+    cte(f"{prefix}_me", f"""
+SELECT t.pair_id, len(t.pt) AS c, len(t.rt) AS r, coalesce(x.matches, 0) AS matches, coalesce(x.chunks, 0) AS chunks
+FROM {prefix}_tok t LEFT JOIN (
+  SELECT pair_id, count(*) AS matches,
+         sum(CASE WHEN ph IS NULL OR ph <> hpos - 1 OR pr <> rpos - 1 THEN 1 ELSE 0 END) AS chunks
+  FROM (SELECT pair_id, hpos, rpos, lag(hpos) OVER (PARTITION BY pair_id ORDER BY hpos) AS ph,
+               lag(rpos) OVER (PARTITION BY pair_id ORDER BY hpos) AS pr
+        FROM (SELECT h.pair_id, h.hpos, r.rpos FROM
+                (SELECT pair_id, w, hpos, row_number() OVER (PARTITION BY pair_id, w ORDER BY hpos DESC) AS k
+                 FROM (SELECT pair_id, unnest(pt) AS w, unnest(generate_series(0, len(pt) - 1)) AS hpos FROM {prefix}_tok)) h
+              JOIN
+                (SELECT pair_id, w, rpos, row_number() OVER (PARTITION BY pair_id, w ORDER BY rpos DESC) AS k
+                 FROM (SELECT pair_id, unnest(rt) AS w, unnest(generate_series(0, len(rt) - 1)) AS rpos FROM {prefix}_tok)) r
+              ON h.pair_id = r.pair_id AND h.w = r.w AND h.k = r.k))
+  GROUP BY pair_id) x ON x.pair_id = t.pair_id""")
+
+
+BLEU_SQL = """CASE WHEN c > 0 AND r > 0 THEN
+  CASE WHEN m1 = 0 OR m2 = 0 OR m3 = 0 OR m4 = 0 OR c < 4 THEN 0.0
+  ELSE exp((ln(m1 / c) + ln(m2 / (c - 1)) + ln(m3 / (c - 2)) + ln(m4 / (c - 3))) / 4)
+       * CASE WHEN c > r THEN 1.0 ELSE exp(1 - r / c) END END END"""
+
+
+def rouge_sql(n: int) -> str:
+    p = f"(m{n} / greatest(greatest(c - {n - 1}, 0), 1))"
+    r = f"(m{n} / greatest(greatest(r - {n - 1}, 0), 1))"
+    return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
+
+
+METEOR_SQL = """CASE WHEN matches > 0 AND c > 0 AND r > 0 THEN
+  ((matches / c) * (matches / r) / (0.9 * (matches / c) + (1 - 0.9) * (matches / r)))
+  * (1 - 0.5 * pow(chunks / matches, 3.0)) ELSE 0.0 END"""
+
+cte("bpairs", "SELECT pair_id, answer_only AS prediction, target_text AS reference FROM base_ans")
+metric_ctes("bm", "bpairs")
+q("bleu", f"SELECT pair_id, round({BLEU_SQL}, 6) AS bleu FROM bm_ov")
+q("rouge_n", f"SELECT pair_id, round({rouge_sql(1)}, 6) AS rouge1, round({rouge_sql(2)}, 6) AS rouge2 FROM bm_ov")
+q("meteor_exact", f"SELECT pair_id, CAST(matches AS BIGINT) AS matches, CAST(chunks AS BIGINT) AS chunks, round({METEOR_SQL}, 6) AS meteor FROM bm_me")
+
+cte("arm_b", """SELECT pair_id, substring(response, strpos(response, input_text) + length(input_text)) AS prediction,
+                       target_text AS reference FROM base_ans""")
+cte("arm_a", """SELECT pair_id, substring(answer, strpos(answer, input_text) + length(input_text)) AS prediction,
+                       target_text AS reference FROM arch_ans""")
+metric_ctes("ab", "arm_b")
+metric_ctes("aa", "arm_a")
+cte("arm_scores", f"""
+SELECT 'baseline' AS arm, pair_id, {METEOR_SQL} AS meteor, c > 0 AND r > 0 AS valid FROM ab_me
+UNION ALL SELECT 'architecture', pair_id, {METEOR_SQL}, c > 0 AND r > 0 FROM aa_me""")
+q("eval_summary", """
+SELECT arm, count(*) FILTER (WHERE valid) AS n_scored, count(*) FILTER (WHERE NOT valid) AS n_invalid,
+       round(min(meteor) FILTER (WHERE valid), 6) AS meteor_min, round(max(meteor) FILTER (WHERE valid), 6) AS meteor_max,
+       round(avg(meteor) FILTER (WHERE valid), 6) AS meteor_mean,
+       round(quantile_cont(meteor, 0.5) FILTER (WHERE valid), 6) AS meteor_median
+FROM arm_scores GROUP BY arm""")
+q("eval_paired", """
+SELECT count(*) AS n_common, round(avg(a.meteor), 6) AS mean_a, round(avg(b.meteor), 6) AS mean_b,
+       round(avg(a.meteor - b.meteor), 6) AS mean_diff
+FROM (SELECT * FROM arm_scores WHERE arm = 'architecture') a
+JOIN (SELECT * FROM arm_scores WHERE arm = 'baseline') b ON a.pair_id = b.pair_id
+WHERE a.pair_id NOT IN (SELECT pair_id FROM arm_scores WHERE NOT valid)""")
+q("batch_latency", """
+SELECT event_id, event_type, batch, round(sum(value) OVER (PARTITION BY event_type, batch) /
+                                          count(*) OVER (PARTITION BY event_type, batch), 6) AS latency
+FROM (SELECT event_id, event_type, value,
+             CAST((row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 8 AS BIGINT) AS batch
+      FROM events)""")
+q("arm_latency", """
+SELECT event_type AS arm, count(*) AS n, round(avg(value), 6) AS time_mean, round(min(value), 6) AS time_min,
+       round(max(value), 6) AS time_max FROM events GROUP BY event_type""")
