@@ -41,8 +41,14 @@ class ContextEchoModel:
 
 
 def batch_answer(df: DataFrame, prompt: str, model_factory: Callable[[], Model] = ContextEchoModel,
-                 out: str = "response", time_col: str = "inference_time", batch_size: int = 64) -> DataFrame:
-    """Run the model over ``prompt`` in batches inside ``mapInPandas``."""
+                 out: str = "response", time_col: str = "inference_time", batch_size: int = 64,
+                 materialize: bool = True) -> DataFrame:
+    """Run the model over ``prompt`` in batches inside ``mapInPandas``.
+
+    Model output is the most expensive value in the pipeline, so by default
+    it is written once to the checkpoint directory (``materialize``): later
+    metrics, joins and retried tasks read it instead of running the model
+    again."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType()),
                                                     T.StructField(time_col, T.DoubleType())])
 
@@ -64,7 +70,8 @@ def batch_answer(df: DataFrame, prompt: str, model_factory: Callable[[], Model]
             b[time_col] = times
             yield b
 
-    return df.mapInPandas(run, schema)
+    out_df = df.mapInPandas(run, schema)
+    return out_df.checkpoint(eager=True) if materialize else out_df
 
 
 def rag_answer(queries: DataFrame, corpus: DataFrame, k: int = fixed.RETRIEVAL_K,

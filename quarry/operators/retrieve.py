@@ -134,7 +134,8 @@ def _score_sparse(qt, qw, qn, ct, cw, cn) -> np.ndarray:
 
 def knn(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, k: int = 3,
         kind: str = "dense", vec: str = "embedding", group: str | None = None,
-        exclude_self: bool = False, block_rows: int = 1024, c_block_rows: int = 256) -> DataFrame:
+        exclude_self: bool = False, block_rows: int = 1024, c_block_rows: int = 256,
+        materialize: bool = True) -> DataFrame:
     """Exact cosine kNN. ``kind='dense'``: ``vec`` is an ``array<float>``
     column. ``kind='sparse'``: rows carry ``toks``, ``ws`` and ``norm`` (see
     :func:`sparse_rows`). Returns ``(group?, q_id, c_id, distance, rank)``
@@ -192,7 +193,8 @@ def knn(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, k: int = 3,
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     out = top.select(*([g] if group else []), F.col("_qid").alias(q_id), F.col("_cid").alias("nbr_id"),
                      "distance", F.col("rank").cast("int").alias("rank"))
-    return out
+    # k rows per query: small, and costly to recompute (all-pairs scoring)
+    return out.checkpoint(eager=True) if materialize else out
 
 
 def gather(neighbors: DataFrame, corpus: DataFrame, q_id: str, c_id: str, value: str,
