@@ -38,19 +38,20 @@ def eval_summary(scored: DataFrame, arm: str = "arm", metric: str = "meteor",
     median over valid rows, and latency stats when a time column is given.
     Invalid rows are counted per arm (the reference's shared counter is not
     reproduced)."""
+    from .quantiles import exact_quantiles
     v = F.col("valid")
     aggs = [
         F.count_if(v).alias("n_scored"), F.count_if(~v).alias("n_invalid"),
         F.min(F.when(v, F.col(metric))).alias(f"{metric}_min"),
         F.max(F.when(v, F.col(metric))).alias(f"{metric}_max"),
         F.avg(F.when(v, F.col(metric))).alias(f"{metric}_mean"),
-        F.median(F.when(v, F.col(metric))).alias(f"{metric}_median"),
     ]
     if time_col:
         aggs += [F.min(F.when(v, F.col(time_col))).alias("time_min"),
                  F.max(F.when(v, F.col(time_col))).alias("time_max"),
                  F.avg(F.when(v, F.col(time_col))).alias("time_mean")]
-    return scored.groupBy(arm).agg(*aggs)
+    med = exact_quantiles(scored.where(v), metric, [0.5], [arm]).withColumnRenamed("q0500", f"{metric}_median")
+    return scored.groupBy(arm).agg(*aggs).join(med, on=arm, how="left")
 
 
 def eval_paired(a: DataFrame, b: DataFrame, id_col: str = "pair_id", metric: str = "meteor") -> DataFrame:

@@ -108,11 +108,14 @@ def meteor_exact(df: DataFrame, id_col: str, pred: str, ref: str) -> DataFrame:
     hyp = hyp.withColumn("k", F.row_number().over(Window.partitionBy(id_col, "w").orderBy(F.desc("hpos"))))
     rf = rf.withColumn("k", F.row_number().over(Window.partitionBy(id_col, "w").orderBy(F.desc("rpos"))))
     m = hyp.join(rf, on=[id_col, "w", "k"], how="inner").select(id_col, "hpos", "rpos")
-    w = Window.partitionBy(id_col).orderBy("hpos")
-    prev_h, prev_r = F.lag("hpos").over(w), F.lag("rpos").over(w)
-    new_chunk = F.when(prev_h.isNull() | (prev_h != F.col("hpos") - 1) | (prev_r != F.col("rpos") - 1), 1).otherwise(0)
-    agg = m.withColumn("_new", new_chunk).groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("matches"), F.sum("_new").alias("chunks"))
+    # a match (h, r) continues a chunk iff (h-1, r-1) is also a match (each
+    # hypothesis position is matched once, so that is its predecessor in
+    # hypothesis order): chunks = matches without such a predecessor. An
+    # anti-join on (id, h, r) instead of a window over the whole text.
+    prev = m.select(id_col, (F.col("hpos") + 1).alias("hpos"), (F.col("rpos") + 1).alias("rpos"))
+    starts = m.join(prev, on=[id_col, "hpos", "rpos"], how="left_anti")
+    agg = m.groupBy(id_col).agg(F.count(F.lit(1)).alias("matches")).join(
+        starts.groupBy(id_col).agg(F.count(F.lit(1)).alias("chunks")), on=id_col, how="left")
     lens = t.select(id_col, F.size("_pt").alias("c"), F.size("_rt").alias("r"))
     out = lens.join(agg, on=id_col, how="left").fillna(0, subset=["matches", "chunks"])
     mm, c, r = F.col("matches"), F.col("c"), F.col("r")

@@ -108,15 +108,13 @@ def missing_roles(stats: DataFrame) -> DataFrame:
 
 def distribution(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     """A2: min, max, mean, median and the 0.1/0.9 quantiles (printed as
-    "p5/p95" in the reference; named p10/p90 here). ``percentile`` is exact
-    with linear interpolation and keeps one counter per distinct value, which
-    stays small for integer counts."""
-    q = F.percentile(F.col(col), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return df.agg(
-        F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"),
-        F.avg(col).alias("mean"), q.alias("_q"),
-    ).select(F.lit(name or col).alias("metric"), "min", "max", "mean",
-             F.col("_q")[1].alias("median"), F.col("_q")[0].alias("p10"), F.col("_q")[2].alias("p90"))
+    "p5/p95" in the reference; named p10/p90 here), exact with linear
+    interpolation, computed from the distributed rank (no task holds all
+    values)."""
+    from .quantiles import summary
+    s = summary(df, col, (0.1, 0.5, 0.9))
+    return s.select(F.lit(name or col).alias("metric"), "min", "max", "mean",
+                    F.col("q0500").alias("median"), F.col("q0100").alias("p10"), F.col("q0900").alias("p90"))
 
 
 def token_limit(stats: DataFrame, limit: int = fixed.MAX_TOKENS_PER_EXAMPLE) -> DataFrame:

@@ -116,12 +116,18 @@ def epoch_plan(spark, sf):
 
 @query("distributions")
 def distributions(spark, sf):
+    """A2/A3 for the three per-example counts, ranked once in long form
+    (``metric`` is the group key of the exact quantiles)."""
+    from ..operators.quantiles import summary
     st = _example_stats(spark, sf)
-    parts = [validate.distribution(st, c, name) for c, name in (
-        ("n_messages", "num_messages_per_example"), ("n_tokens", "num_total_tokens_per_example"),
-        ("n_assistant_tokens", "num_assistant_tokens_per_example"))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select("metric", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "median", "p10", "p90")])
+    long = st.select(F.explode(F.array(
+        F.struct(F.lit("num_messages_per_example").alias("metric"), F.col("n_messages").cast("double").alias("v")),
+        F.struct(F.lit("num_total_tokens_per_example").alias("metric"), F.col("n_tokens").cast("double").alias("v")),
+        F.struct(F.lit("num_assistant_tokens_per_example").alias("metric"),
+                 F.col("n_assistant_tokens").cast("double").alias("v")))).alias("m")).select("m.*")
+    s = summary(long, "v", (0.1, 0.5, 0.9), group=["metric"])
+    return s.select("metric", *[F.round(c, 6).alias(a) for c, a in (
+        ("min", "min"), ("max", "max"), ("mean", "mean"), ("q0500", "median"), ("q0100", "p10"), ("q0900", "p90"))])
 
 
 def chat_jsonl(spark, sf):
