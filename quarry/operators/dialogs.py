@@ -116,3 +116,17 @@ def chapter_filter(df: DataFrame, chapters: list[str], path: str = "path",
     for ch in chapters:
         cond = cond | F.col(path).contains(ch)
     return df.where(cond)
+
+
+def qa_pairs_nested(df: DataFrame, dialog: str = "dialog") -> DataFrame:
+    """W1 on nested dialogs (``array<struct<role, content>>``, as read from
+    dialog files): pairs from adjacent messages with array functions, no
+    shuffle. Adds ``pairs: array<struct<turn, input_text, target_text>>``."""
+    d = F.col(dialog)
+    idx = F.when(F.size(d) > 1, F.sequence(F.lit(0), F.size(d) - 2)).otherwise(F.array().cast("array<int>"))
+    cand = F.transform(idx, lambda i: F.struct(
+        i.alias("turn"), F.lower(d[i]["role"]).alias("_r0"), F.lower(d[i + 1]["role"]).alias("_r1"),
+        py_strip(d[i]["content"]).alias("input_text"), py_strip(d[i + 1]["content"]).alias("target_text")))
+    keep = F.filter(cand, lambda s: (s["_r0"] == "user") & (s["_r1"] == "assistant"))
+    return df.withColumn("pairs", F.transform(keep, lambda s: F.struct(
+        s["turn"].alias("turn"), s["input_text"].alias("input_text"), s["target_text"].alias("target_text"))))

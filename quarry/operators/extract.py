@@ -207,7 +207,7 @@ def _robust_text(html: str, tag: str) -> str:
 
 def page_text_robust(df: DataFrame, html: str = "html", tag: str = "article", out: str = "text") -> DataFrame:
     """P1 with the standard-library parser, one Arrow batch at a time."""
-    schema = df.schema.add(out, "string")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -134,3 +134,18 @@ def routed_answer(queries: DataFrame, train: DataFrame, router_outputs: DataFram
     cols = ["pair_id", "input_text", "target_text", "router_output", "agent_call", "next_agent",
             "response", "inference_time", "tool_route"]
     return ans.select(*cols).unionByName(ended.select(*cols)).withColumnRenamed("response", "answer")
+
+
+def generate_qa_pairs(sections: DataFrame, text: str = "text", model_factory: Callable[[], Model] | None = None,
+                      system_prompt: str = fixed.SYSTEM_PROMPT) -> DataFrame:
+    """Section text -> generation prompt (P5/P6) -> model (R6) -> parsed
+    dialogs (P7). ``content`` keeps every completion; ``parsed`` is null
+    where any span failed (see ``sinks.write_generation_outputs`` for K3).
+    The model receives the user prompt; chat models wanting the system
+    message can read it from ``system_prompt``."""
+    if model_factory is None:
+        raise ValueError("a completion model factory is required")
+    df = sections.withColumn("_prompt", prompts.generation_prompt(text)) \
+        .withColumn("system_prompt", F.lit(system_prompt))
+    out = batch_answer(df, "_prompt", model_factory, out="content")
+    return parse.parse_completion(out.drop("_prompt"))

@@ -206,3 +206,26 @@ def gather(neighbors: DataFrame, corpus: DataFrame, q_id: str, c_id: str, value:
     agg = j.groupBy(q_id).agg(F.sort_array(F.collect_list(F.struct("rank", "_val"))).alias("_r"))
     return agg.select(q_id, F.array_join(F.transform("_r", lambda r: r["_val"]), sep).alias(out),
                       F.col("_r")[0]["_val"].alias("top1"))
+
+
+def embed_with(df: DataFrame, text: str, encoder_factory, out: str = "embedding", batch_size: int = 256) -> DataFrame:
+    """R1 with a user sentence encoder: an Arrow batch UDF; the encoder is
+    built once per Python worker (``encoder_factory()`` -> object with
+    ``encode(list[str]) -> array (n, d)``). The vectors feed :func:`knn`
+    with ``kind='dense'``."""
+    state: dict = {}
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def enc(s: pd.Series) -> pd.Series:
+        if "m" not in state:
+            state["m"] = encoder_factory()
+        m = state["m"]
+        out_rows = []
+        vals = s.tolist()
+        for i in range(0, len(vals), batch_size):
+            chunk = [x if x is not None else "" for x in vals[i:i + batch_size]]
+            vecs = np.asarray(m.encode(chunk), dtype=np.float32)
+            out_rows.extend(v.tolist() for v in vecs)
+        return pd.Series(out_rows)
+
+    return df.withColumn(out, enc(F.col(text)))
