@@ -115,3 +115,63 @@ def test_same_result_for_1_and_8_partitions(spark):
         res.append(sorted(QUERIES["orchestrator_split"](spark, SF001).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert res[0] == res[1]
+
+
+def _meteor_greedy(hyp, ref, alpha=0.9, beta=3.0, gamma=0.5):
+    """Exact-match stage, straight from the definition: hypothesis words from
+    last to first take the last unmatched equal reference word."""
+    h = list(enumerate(hyp))
+    r = list(enumerate(ref))
+    matches = []
+    for i in range(len(h) - 1, -1, -1):
+        for j in range(len(r) - 1, -1, -1):
+            if h[i][1] == r[j][1]:
+                matches.append((h[i][0], r[j][0]))
+                h.pop(i)
+                r.pop(j)
+                break
+    matches.sort()
+    m = len(matches)
+    if m == 0 or not hyp or not ref:
+        return 0.0
+    chunks = 1
+    for a, b in zip(matches, matches[1:]):
+        if not (b[0] == a[0] + 1 and b[1] == a[1] + 1):
+            chunks += 1
+    p, rr = m / len(hyp), m / len(ref)
+    fmean = p * rr / (alpha * p + (1 - alpha) * rr)
+    return fmean * (1 - gamma * (chunks / m) ** beta)
+
+
+@SET
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abcde"), max_size=12),
+                          st.lists(st.sampled_from("abcde"), max_size=12)), min_size=1, max_size=6))
+def test_meteor_matches_greedy(spark, pairs):
+    from quarry.operators import metrics
+    df = spark.createDataFrame([(i, " ".join(h), " ".join(r)) for i, (h, r) in enumerate(pairs)],
+                               "pair_id long, p string, r string")
+    got = {row.pair_id: row.meteor for row in metrics.meteor_exact(df, "pair_id", "p", "r").collect()}
+    for i, (h, r) in enumerate(pairs):
+        assert abs(got[i] - _meteor_greedy(h, r)) < 1e-12
+
+
+@SET
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abc"), max_size=10),
+                          st.lists(st.sampled_from("abc"), max_size=10)), min_size=1, max_size=6))
+def test_rouge_n_matches_python(spark, pairs):
+    from collections import Counter
+
+    from quarry.operators import metrics
+    df = spark.createDataFrame([(i, " ".join(h), " ".join(r)) for i, (h, r) in enumerate(pairs)],
+                               "pair_id long, p string, r string")
+    got = {row.pair_id: (row.rouge1, row.rouge2) for row in metrics.bleu_rouge(df, "pair_id", "p", "r").collect()}
+    for i, (h, r) in enumerate(pairs):
+        exp = []
+        for n in (1, 2):
+            hc = Counter(tuple(h[k:k + n]) for k in range(len(h) - n + 1))
+            rc = Counter(tuple(r[k:k + n]) for k in range(len(r) - n + 1))
+            ov = sum(min(v, rc[g]) for g, v in hc.items())
+            p, rr = ov / max(sum(hc.values()), 1), ov / max(sum(rc.values()), 1)
+            exp.append(2 * p * rr / (p + rr) if p + rr > 0 else 0.0)
+        assert abs(got[i][0] - exp[0]) < 1e-12 \
+            and abs(got[i][1] - exp[1]) < 1e-12
