@@ -94,12 +94,15 @@ def rag_answer(queries: DataFrame, corpus: DataFrame, k: int = fixed.RETRIEVAL_K
     return ans.withColumn("answer_only", parse.answer_only("response"))
 
 
-def retrieval_router(queries: DataFrame, train: DataFrame) -> DataFrame:
+def retrieval_router(queries: DataFrame, train: DataFrame, q_vectors: DataFrame | None = None,
+                     c_vectors: DataFrame | None = None) -> DataFrame:
     """Offline default router [ours]: the agent of the nearest train question
     (lexical cosine, ties by id), written as a router completion
     ``<prompt> Invoke agentN``."""
-    qv = retrieve.sparse_rows(retrieve.term_vectors(queries, "pair_id", "input_text"), "pair_id", queries)
-    cv = retrieve.sparse_rows(retrieve.term_vectors(train, "pair_id", "input_text"), "pair_id", train)
+    qv = q_vectors if q_vectors is not None else retrieve.sparse_rows(
+        retrieve.term_vectors(queries, "pair_id", "input_text"), "pair_id", queries)
+    cv = c_vectors if c_vectors is not None else retrieve.sparse_rows(
+        retrieve.term_vectors(train, "pair_id", "input_text"), "pair_id", train)
     nb = retrieve.knn(qv, cv, "pair_id", "pair_id", k=1, kind="sparse")
     agent_of = train.select(F.col("pair_id").alias("nbr_id"), F.col("agent").alias("_ragent"))
     r = nb.join(agent_of, on="nbr_id", how="inner").select("pair_id", "_ragent")
@@ -114,15 +117,16 @@ def routed_answer(queries: DataFrame, train: DataFrame, router_outputs: DataFram
     retrieval inside the routed agent's train split (J5) -> specialist prompt
     (P12) -> model -> final answer = last message (P21). A question routed
     to END answers with itself (the last message)."""
-    routed = router_outputs if router_outputs is not None else retrieval_router(queries, train)
+    qv_all = retrieve.sparse_rows(retrieve.term_vectors(queries, "pair_id", "input_text"), "pair_id", queries)
+    cv_all = retrieve.sparse_rows(retrieve.term_vectors(train, "pair_id", "input_text"), "pair_id", train)
+    routed = router_outputs if router_outputs is not None else retrieval_router(queries, train, qv_all, cv_all)
     routed = routed.withColumn("agent_call", parse.route_call("router_output"))
     routed = routed.withColumn("next_agent", parse.next_agent("agent_call", "input_text"))
     routed = routed.withColumn("route_agent", F.regexp_extract("next_agent", r"(\d+)$", 1).cast("int"))
     go = routed.where(F.col("route_agent").isNotNull())
-    qv = retrieve.sparse_rows(retrieve.term_vectors(go, "pair_id", "input_text"), "pair_id", go)
-    qv = qv.join(go.select("pair_id", F.col("route_agent").alias("agent")), on="pair_id")
-    cv = retrieve.sparse_rows(retrieve.term_vectors(train, "pair_id", "input_text"), "pair_id", train)
-    cv = cv.join(train.select("pair_id", "agent"), on="pair_id")
+    # vectors are computed once and reused by the router and the specialists
+    qv = qv_all.join(go.select("pair_id", F.col("route_agent").alias("agent")), on="pair_id")
+    cv = cv_all.join(train.select("pair_id", "agent"), on="pair_id")
     nb = retrieve.knn(qv, cv, "pair_id", "pair_id", k=k, kind="sparse", group="agent").drop("agent")
     ctx = retrieve.gather(nb, train, "pair_id", "pair_id", "target_text")
     spec = go.join(ctx, on="pair_id", how="inner")

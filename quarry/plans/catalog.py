@@ -515,8 +515,9 @@ def meteor_exact(spark, sf):
 def _arm_scores(spark, sf):
     """Both arms scored the way the analysis does: prediction = response
     after the query (P18), METEOR + validity."""
-    b = I.baseline_arm(spark, sf).select("pair_id", "input_text", "target_text", "response")
-    a = I.architecture_arm(spark, sf).select("pair_id", "input_text", "target_text", F.col("answer").alias("response"))
+    b, a = I.both_arms(spark, sf)
+    b = b.select("pair_id", "input_text", "target_text", "response")
+    a = a.select("pair_id", "input_text", "target_text", F.col("answer").alias("response"))
     out = []
     for name, df in (("baseline", b), ("architecture", a)):
         d = df.select("pair_id", parse.answer_after_query("response", "input_text").alias("prediction"),

@@ -39,10 +39,10 @@ def specialist_splits(spark: SparkSession, sf: str) -> DataFrame:
     return split_random(a, group=["agent"])
 
 
-def orchestrator(spark: SparkSession, sf: str) -> DataFrame:
+def orchestrator(spark: SparkSession, sf: str, splits: DataFrame | None = None) -> DataFrame:
     """Orchestrator re-split of the union of the specialists' splits."""
     from ..operators.agents import orchestrator_split
-    return orchestrator_split(specialist_splits(spark, sf))
+    return orchestrator_split(splits if splits is not None else specialist_splits(spark, sf))
 
 
 def chapter_path(chapter: str = "chapter", conv: str = "conv_id"):
@@ -51,23 +51,25 @@ def chapter_path(chapter: str = "chapter", conv: str = "conv_id"):
                     F.lit("_qa_pairs.json"))
 
 
-def baseline_arm(spark: SparkSession, sf: str) -> DataFrame:
+def baseline_arm(spark: SparkSession, sf: str, orch: DataFrame | None = None) -> DataFrame:
     """Test questions of the orchestrator split answered with retrieval
     over its train split and the offline default model."""
     from ..operators.infer import rag_answer
-    o = orchestrator(spark, sf)
+    o = orch if orch is not None else orchestrator(spark, sf)
     q = o.where(F.col("orch_split") == "test").select("pair_id", "input_text", "target_text")
     c = o.where(F.col("orch_split") == "train").select("pair_id", "input_text", "target_text")
     return rag_answer(q, c)
 
 
-def architecture_arm(spark: SparkSession, sf: str) -> DataFrame:
+def architecture_arm(spark: SparkSession, sf: str, orch: DataFrame | None = None,
+                     splits: DataFrame | None = None) -> DataFrame:
     """The same test questions through the retrieval router and the
     routed specialist's train split."""
     from ..operators.infer import routed_answer
-    o = orchestrator(spark, sf)
+    s = splits if splits is not None else specialist_splits(spark, sf)
+    o = orch if orch is not None else orchestrator(spark, sf, s)
     q = o.where(F.col("orch_split") == "test").select("pair_id", "input_text", "target_text")
-    train = specialist_splits(spark, sf).where(F.col("split") == "train").select(
+    train = s.where(F.col("split") == "train").select(
         "pair_id", "agent", "input_text", "target_text")
     return routed_answer(q, train)
 
@@ -83,3 +85,10 @@ def token_examples(spark: SparkSession, sf: str) -> DataFrame:
     enc = tokens.encode_parts(s, "pair_id", ["prompt", "target_text"], vocab)
     enc = enc.select("pair_id", *tokens.mask_labels("ids_0", "ids_1"), F.size("ids_0").alias("_np"))
     return s.select("pair_id", "agent", "split", "split_rank").join(enc, on="pair_id", how="inner")
+
+
+def both_arms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Baseline and architecture arms over one (checkpointed) split."""
+    s = specialist_splits(spark, sf)
+    o = orchestrator(spark, sf, s)
+    return baseline_arm(spark, sf, o), architecture_arm(spark, sf, o, s)
