@@ -312,7 +312,7 @@ q("chapter_concat", """
 SELECT source, doc_id,
        CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset,
-       CAST(length(text) + 1 AS BIGINT) AS piece_len
+       CAST(length(text) + 1 AS INTEGER) AS piece_len
 FROM documents""")
 _LP = sq(fixed.TRAIN_LOG_PATTERN)
 cte("log_lines", """
@@ -370,10 +370,10 @@ SELECT pair_id, agent, split, split_rank, len(p_ids) + 1 AS n_prompt,
        list_concat(list_transform(range(len(p_ids) + 1), lambda x: -100), a_ids, [2]) AS labels
 FROM tok_ids""")
 q("mask_labels", """
-SELECT pair_id, len(input_ids) AS n_tokens, n_prompt, array_to_string(input_ids, ',') AS input_ids,
+SELECT pair_id, CAST(len(input_ids) AS INTEGER) AS n_tokens, CAST(n_prompt AS INTEGER) AS n_prompt, array_to_string(input_ids, ',') AS input_ids,
        array_to_string(labels, ',') AS labels FROM tok_ex""")
 q("pack_chunks", f"""
-SELECT agent, CAST(gpos // {fixed.CONTEXT_LENGTH_SMALL} AS BIGINT) AS chunk, count(*) AS n_tokens,
+SELECT agent, CAST(gpos // {fixed.CONTEXT_LENGTH_SMALL} AS BIGINT) AS chunk, CAST(count(*) AS INTEGER) AS n_tokens,
        string_agg(CAST(tid AS VARCHAR), ',' ORDER BY gpos) AS input_ids,
        string_agg(CAST(lab AS VARCHAR), ',' ORDER BY gpos) AS labels
 FROM (SELECT agent, tid, lab, row_number() OVER (PARTITION BY agent ORDER BY split_rank, pair_id, i) - 1 AS gpos,
@@ -394,9 +394,9 @@ cte("len_batch_order", """
 SELECT batch, row_number() OVER (ORDER BY md5('196|batch|' || CAST(batch AS VARCHAR)), batch) - 1 AS batch_order
 FROM (SELECT DISTINCT batch FROM len_batches)""")
 q("length_batches", """
-SELECT b.pair_id, b.n_tokens, b.batch, o.batch_order FROM len_batches b JOIN len_batch_order o USING (batch)""")
+SELECT b.pair_id, CAST(b.n_tokens AS INTEGER) AS n_tokens, b.batch, o.batch_order FROM len_batches b JOIN len_batch_order o USING (batch)""")
 q("pad_batches", """
-SELECT pair_id, batch, padded_len, padded_len - n_tokens AS n_pad,
+SELECT pair_id, batch, CAST(padded_len AS INTEGER) AS padded_len, CAST(padded_len - n_tokens AS INTEGER) AS n_pad,
        CASE WHEN padded_len > n_tokens THEN 2 ELSE input_ids[-1] END AS last_id,
        CASE WHEN padded_len > n_tokens THEN -100 ELSE labels[-1] END AS last_label
 FROM (SELECT *, max(n_tokens) OVER (PARTITION BY batch) AS padded_len FROM len_batches)""")
@@ -467,7 +467,7 @@ SELECT q.pair_id, q.input_text, q.target_text,
 FROM orch_q q JOIN base_ctx x ON x.pair_id = q.pair_id""")
 cte("base_resp", f"SELECT *, {echo('prompt')} AS response FROM base_prompt")
 cte("base_ans", "SELECT *, substring(response, strpos(response, 'Answer:') + 7) AS answer_only FROM base_resp")
-q("knn_lexical", "SELECT pair_id, rank, nbr_id, round(distance, 6) AS distance FROM base_nb")
+q("knn_lexical", "SELECT pair_id, CAST(rank AS INTEGER) AS rank, nbr_id, round(distance, 6) AS distance FROM base_nb")
 q("rag_prompt", "SELECT pair_id, prompt FROM base_prompt")
 q("rag_answer", "SELECT pair_id, response, answer_only FROM base_ans")
 q("answer_only", """
