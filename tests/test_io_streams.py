@@ -113,3 +113,12 @@ def test_stream_summary_equals_batch(spark, tmp_path):
     got = {r.arm: (r.n, r.time_mean) for r in streams.run_to_table(
         streams.result_summary_stream(spark, str(d)), "sum_test", mode="complete").collect()}
     assert got == {"base": (2, 2.0), "arch": (1, 2.0)}
+
+
+def test_write_sections_partitioned(spark, tmp_path):
+    df = spark.createDataFrame([("ch00", "sec00", "ch00/sec00.txt", "intro"), ("ch01", "sec01", "ch01/sec01.txt", "a")],
+                               "chapter string, section string, text_location string, text string")
+    writers.write_sections(df, str(tmp_path / "sections"))
+    assert sorted(os.listdir(tmp_path / "sections"))[:2] == ["_SUCCESS", "chapter=ch00"]
+    back = spark.read.parquet(str(tmp_path / "sections")).where("chapter = 'ch01'")
+    assert [r.text for r in back.collect()] == ["a"]
