@@ -86,55 +86,67 @@ def _score_dense(qv: np.ndarray, qn: np.ndarray, cv: np.ndarray, cn: np.ndarray)
     return 1.0 - cos
 
 
+def _flatten(lists) -> tuple[np.ndarray, np.ndarray]:
+    lens = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
+    if lens.sum() == 0:
+        return np.array([], dtype=object), lens
+    return np.concatenate([np.asarray(x) for x in lists if len(x)]), lens
+
+
+class _QueryIndex:
+    """Postings of one query block: token -> (query row, weight), CSR."""
+
+    def __init__(self, qt, qw, qn):
+        self.n_q = len(qt)
+        toks, lens = _flatten(qt)
+        ws, _ = _flatten(qw)
+        rows = np.repeat(np.arange(self.n_q), lens)
+        self.vocab = pd.Index(pd.unique(toks)) if len(toks) else pd.Index([])
+        v = self.vocab.get_indexer(toks) if len(toks) else np.array([], dtype=np.int64)
+        order = np.argsort(v, kind="stable")
+        self.rows, self.w = rows[order], np.asarray(ws, dtype=np.float64)[order]
+        self.indptr = np.zeros(len(self.vocab) + 1, dtype=np.int64)
+        if len(v):
+            np.add.at(self.indptr, v[order] + 1, 1)
+        self.indptr = np.cumsum(self.indptr)
+        self.norm = np.asarray(qn, dtype=np.float64)
+
+    def distances(self, ct, cw, cn) -> np.ndarray:
+        n_c, n_q = len(ct), self.n_q
+        dots = np.zeros(n_c * n_q, dtype=np.float64)
+        toks, lens = _flatten(ct)
+        if len(toks) and len(self.vocab):
+            ws, _ = _flatten(cw)
+            crow = np.repeat(np.arange(n_c), lens)
+            v = self.vocab.get_indexer(toks)
+            m = v >= 0
+            v, ws, crow = v[m], np.asarray(ws, dtype=np.float64)[m], crow[m]
+            step = 200_000  # bound the expanded (corpus token x posting) arrays
+            for s in range(0, len(v), step):
+                vv, w, r = v[s:s + step], ws[s:s + step], crow[s:s + step]
+                lo, hi = self.indptr[vv], self.indptr[vv + 1]
+                cnt = hi - lo
+                tot = int(cnt.sum())
+                if tot == 0:
+                    continue
+                starts = np.repeat(lo - np.concatenate(([0], np.cumsum(cnt)[:-1])), cnt)
+                pos = np.arange(tot) + starts
+                dots += np.bincount(np.repeat(r, cnt) * n_q + self.rows[pos],
+                                    weights=np.repeat(w, cnt) * self.w[pos], minlength=n_c * n_q)
+        dots = dots.reshape(n_c, n_q)
+        den = np.asarray(cn, dtype=np.float64)[:, None] * self.norm[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cos = np.where(den > 0, dots / den, 0.0)
+        return 1.0 - cos
+
+
 def _score_sparse(qt, qw, qn, ct, cw, cn) -> np.ndarray:
-    n_q, n_c = len(qt), len(ct)
-    q_lens = np.fromiter((len(x) for x in qt), dtype=np.int64, count=n_q)
-    q_tok = np.concatenate([np.asarray(x, dtype=object) for x in qt]) if q_lens.sum() else np.array([], dtype=object)
-    q_w = np.concatenate([np.asarray(x, dtype=np.float64) for x in qw]) if q_lens.sum() else np.array([], dtype=np.float64)
-    q_row = np.repeat(np.arange(n_q), q_lens)
-    vocab = pd.Index(pd.unique(q_tok)) if len(q_tok) else pd.Index([])
-    q_v = vocab.get_indexer(q_tok) if len(q_tok) else np.array([], dtype=np.int64)
-    order = np.argsort(q_v, kind="stable")
-    q_v, q_row_s, q_w_s = q_v[order], q_row[order], q_w[order]
-    indptr = np.zeros(len(vocab) + 1, dtype=np.int64)
-    if len(q_v):
-        np.add.at(indptr, q_v + 1, 1)
-    indptr = np.cumsum(indptr)
-
-    dots = np.zeros(n_c * n_q, dtype=np.float64)
-    c_lens = np.fromiter((len(x) for x in ct), dtype=np.int64, count=n_c)
-    if c_lens.sum() and len(vocab):
-        c_tok = np.concatenate([np.asarray(x, dtype=object) for x in ct])
-        c_w = np.concatenate([np.asarray(x, dtype=np.float64) for x in cw])
-        c_row = np.repeat(np.arange(n_c), c_lens)
-        c_v = vocab.get_indexer(c_tok)
-        m = c_v >= 0
-        c_v, c_w, c_row = c_v[m], c_w[m], c_row[m]
-        # expand matches in slices to bound memory
-        step = 200_000
-        for s in range(0, len(c_v), step):
-            v, w, r = c_v[s:s + step], c_w[s:s + step], c_row[s:s + step]
-            lo, hi = indptr[v], indptr[v + 1]
-            cnt = hi - lo
-            tot = int(cnt.sum())
-            if tot == 0:
-                continue
-            rep_r = np.repeat(r, cnt)
-            rep_w = np.repeat(w, cnt)
-            starts = np.repeat(lo - np.concatenate(([0], np.cumsum(cnt)[:-1])), cnt)
-            pos = np.arange(tot) + starts
-            qi = q_row_s[pos]
-            dots += np.bincount(rep_r * n_q + qi, weights=rep_w * q_w_s[pos], minlength=n_c * n_q)
-    dots = dots.reshape(n_c, n_q)
-    den = np.asarray(cn, dtype=np.float64)[:, None] * np.asarray(qn, dtype=np.float64)[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cos = np.where(den > 0, dots / den, 0.0)
-    return 1.0 - cos
+    return _QueryIndex(qt, qw, qn).distances(ct, cw, cn)
 
 
 def knn(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, k: int = 3,
         kind: str = "dense", vec: str = "embedding", group: str | None = None,
-        exclude_self: bool = False, block_rows: int = 1024, c_block_rows: int = 256,
+        exclude_self: bool = False, block_rows: int = 1024, c_block_rows: int = 1024,
         materialize: bool = True) -> DataFrame:
     """Exact cosine kNN. ``kind='dense'``: ``vec`` is an ``array<float>``
     column. ``kind='sparse'``: rows carry ``toks``, ``ws`` and ``norm`` (see
@@ -166,6 +178,8 @@ def knn(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, k: int = 3,
         if kind == "dense":
             qv = np.stack([np.asarray(x, dtype=np.float64) for x in qdf["_v"]])
             qn = np.sqrt((qv * qv).sum(axis=1))
+        else:
+            qidx = _QueryIndex(list(qdf["toks"]), list(qdf["ws"]), qdf["norm"].to_numpy(np.float64))
         for s in range(0, len(cdf), c_block_rows):
             part = cdf.iloc[s:s + c_block_rows]
             c_ids = part["_cid"].to_numpy(np.int64)
@@ -174,8 +188,7 @@ def knn(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, k: int = 3,
                 cn = np.sqrt((cv * cv).sum(axis=1))
                 dist = _score_dense(qv, qn, cv, cn)
             else:
-                dist = _score_sparse(list(qdf["toks"]), list(qdf["ws"]), qdf["norm"].to_numpy(np.float64),
-                                     list(part["toks"]), list(part["ws"]), part["norm"].to_numpy(np.float64))
+                dist = qidx.distances(list(part["toks"]), list(part["ws"]), part["norm"].to_numpy(np.float64))
             if exclude_self:
                 dist = np.where(c_ids[:, None] == q_ids[None, :], np.inf, dist)
             outs.append(_topk_block(dist, c_ids, q_ids, k))
