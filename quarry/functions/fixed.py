@@ -44,6 +44,15 @@ AGENT_CHAPTERS = {
     3: ["ch07", "ch16", "ch17", "ch18", "ch19", "ch20", "ch21", "ch22", "ch23", "ch24"],
 }
 AGENT_NAMES = {1: "first_agent", 2: "second_agent", 3: "third_agent"}
+# orchestrator set of the trainer: every chapter ch01..ch26
+ORCHESTRATOR_CHAPTERS = [f"ch{i:02d}" for i in range(1, 27)]
+
+# --- fixed values: agent -> chapter numbers (notebook variant, 0-based, as published) --
+AGENT_CHAPTER_NUMBERS_NOTEBOOK = {
+    1: [0, 1, 5, 6, 10, 11, 12, 13, 14, 15],
+    2: [3, 4, 8, 9, 25, 26],
+    3: [7, 16, 27, 28, 29, 20, 21, 22, 23, 24],
+}
 
 # --- fixed values: prompt texts -------------------------------------------------
 SYSTEM_PROMPT = """

@@ -9,10 +9,13 @@ from ..functions.fixed import AGENT_CHAPTERS
 from .ranks import rank_within
 
 
-def agent_dim(spark: SparkSession, mapping: dict[int, list[str]] | None = None) -> DataFrame:
-    """Small dimension ``(agent int, chapter string)`` from an agent map."""
+def agent_dim(spark: SparkSession, mapping: dict[int, list] | None = None) -> DataFrame:
+    """Small dimension ``(agent int, chapter string)`` from an agent map.
+    Chapter entries may be names (``"ch03"``) or numbers (``3`` ->
+    ``"ch03"``, the notebook's form). A chapter listed for two agents gives
+    two rows (a pair then belongs to both, e.g. with the orchestrator set)."""
     mapping = mapping or AGENT_CHAPTERS
-    rows = [(int(a), ch) for a, chs in mapping.items() for ch in chs]
+    rows = [(int(a), ch if isinstance(ch, str) else f"ch{int(ch):02d}") for a, chs in mapping.items() for ch in chs]
     return spark.createDataFrame(rows, "agent int, chapter string")
 
 

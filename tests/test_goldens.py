@@ -186,3 +186,15 @@ def test_bleu_matches_python(spark):
     for i, (p, r) in enumerate(pairs):
         exp = metrics.bleu_python(p, r)
         assert (got[i] is None and exp is None) or math.isclose(got[i], exp, abs_tol=1e-12)
+
+
+def test_agent_maps(spark):
+    from quarry.operators import agents
+    nb = agents.agent_dim(spark, fixed.AGENT_CHAPTER_NUMBERS_NOTEBOOK)
+    got = {r.chapter: r.agent for r in nb.collect()}
+    assert got["ch00"] == 1 and got["ch29"] == 3 and "ch02" not in got
+    pairs = spark.createDataFrame([(1, "ch00"), (2, "ch02"), (3, "ch26")], "pair_id long, chapter string")
+    trainer = {r.pair_id: r.agent for r in agents.assign_agents(pairs).collect()}
+    assert trainer == {1: None, 2: 1, 3: 2}
+    both = agents.assign_agents(pairs, agents.agent_dim(spark, {**fixed.AGENT_CHAPTERS, 4: fixed.ORCHESTRATOR_CHAPTERS}))
+    assert both.where("pair_id = 2").count() == 2
