@@ -336,8 +336,19 @@ q("train_log_parse", "SELECT run, line_no, epoch, perplexity, loss FROM log_pars
 q("train_curve", """
 SELECT run, epoch, arg_max(perplexity, line_no) AS perplexity, arg_max(loss, line_no) AS loss
 FROM log_parsed GROUP BY run, epoch""")
+cte("result_lines", """
+SELECT pair_id AS line_no, CASE pair_id % 6
+    WHEN 0 THEN 'Total Time: ' || CAST(turn AS VARCHAR) || ' seconds'
+    WHEN 1 THEN substring(rec, 1, length(rec) - 2)
+    ELSE rec END AS value
+FROM (SELECT pair_id, turn, json_object('query', input_text, 'target_text', target_text, 'response', target_text,
+                                        'inference_time', turn / 10)::VARCHAR AS rec FROM pairs)""")
 q("eval_results_load", """
-SELECT pair_id, input_text AS query, target_text, turn / 10 AS inference_time FROM pairs WHERE pair_id % 6 NOT IN (0, 1)""")
+SELECT line_no AS pair_id, json_extract_string(value, '$.query') AS query,
+       json_extract_string(value, '$.target_text') AS target_text,
+       CAST(json_extract(value, '$.inference_time') AS DOUBLE) AS inference_time
+FROM result_lines
+WHERE starts_with(trim(value), '{') AND json_valid(value) AND json_extract_string(value, '$.query') IS NOT NULL""")
 
 # ---------------------------------------------------------------------------
 # tokens
