@@ -224,9 +224,17 @@ FROM (SELECT conv_id, turn,
         list(role || ':' || text) OVER w AS h
       FROM conversations
       WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
+cte("dlg_docs", """
+SELECT pair_id, to_json([[{'role': 'user', 'content': input_text},
+                          {'role': 'assistant', 'content': target_text}]])::VARCHAR AS doc FROM pairs""")
+cte("dlg_dialogs", """
+SELECT pair_id, unnest(json_extract(doc, '$[*]')) AS dialog,
+       unnest(generate_series(0, CAST(json_array_length(doc) AS BIGINT) - 1)) AS dialog_idx FROM dlg_docs""")
 q("dialogs_explode", """
-SELECT pair_id, 0 AS dialog_idx, 0 AS turn, 'user' AS role, input_text AS content FROM pairs
-UNION ALL SELECT pair_id, 0, 1, 'assistant', target_text FROM pairs""")
+SELECT pair_id, CAST(dialog_idx AS INTEGER) AS dialog_idx, CAST(turn AS INTEGER) AS turn,
+       json_extract_string(m, '$.role') AS role, json_extract_string(m, '$.content') AS content
+FROM (SELECT pair_id, dialog_idx, unnest(json_extract(dialog, '$[*]')) AS m,
+             unnest(generate_series(0, CAST(json_array_length(dialog) AS BIGINT) - 1)) AS turn FROM dlg_dialogs)""")
 _ch2 = ", ".join(sq(c) for c in fixed.AGENT_CHAPTERS[2])
 q("chapter_filter", f"""
 SELECT conv_id, turn, path FROM (
