@@ -514,32 +514,33 @@ def meteor_exact(spark, sf):
 
 def _arm_scores(spark, sf):
     """Both arms scored the way the analysis does: prediction = response
-    after the query (P18), METEOR + validity."""
+    after the query (P18), METEOR + validity. The arms are stacked first so
+    the metric job runs once, keyed by ``(arm, pair_id)``."""
     b, a = I.both_arms(spark, sf)
-    b = b.select("pair_id", "input_text", "target_text", "response")
-    a = a.select("pair_id", "input_text", "target_text", F.col("answer").alias("response"))
-    out = []
-    for name, df in (("baseline", b), ("architecture", a)):
-        d = df.select("pair_id", parse.answer_after_query("response", "input_text").alias("prediction"),
-                      F.col("target_text").alias("reference"))
-        me = metrics.meteor_exact(d, "pair_id", "prediction", "reference").select("pair_id", "meteor")
-        valid = metrics.tokenized(d, "pair_id", "prediction", "reference").select(
-            "pair_id", ((F.size("_pt") > 0) & (F.size("_rt") > 0)).alias("valid"))
-        out.append(me.join(valid, on="pair_id").withColumn("arm", F.lit(name)))
-    return out[0], out[1]
+    stacked = b.select(F.lit(0).alias("arm_no"), "pair_id", "input_text", "target_text", "response").unionByName(
+        a.select(F.lit(1).alias("arm_no"), "pair_id", "input_text", "target_text", F.col("answer").alias("response")))
+    d = stacked.select((F.col("pair_id") * 2 + F.col("arm_no")).alias("_key"), "arm_no", "pair_id",
+                       parse.answer_after_query("response", "input_text").alias("prediction"),
+                       F.col("target_text").alias("reference"))
+    me = metrics.meteor_exact(d, "_key", "prediction", "reference").select("_key", "meteor")
+    valid = metrics.tokenized(d, "_key", "prediction", "reference").select(
+        "_key", ((F.size("_pt") > 0) & (F.size("_rt") > 0)).alias("valid"))
+    scored = d.select("_key", "arm_no", "pair_id").join(me, on="_key").join(valid, on="_key")
+    scored = scored.withColumn("arm", F.when(F.col("arm_no") == 0, "baseline").otherwise("architecture"))
+    return scored.select("arm", "pair_id", "meteor", "valid")
 
 
 @query("eval_summary")
 def eval_summary(spark, sf):
-    b, a = _arm_scores(spark, sf)
-    s = evalrun.eval_summary(b.unionByName(a), arm="arm", metric="meteor")
+    s = evalrun.eval_summary(_arm_scores(spark, sf), arm="arm", metric="meteor")
     return s.select("arm", "n_scored", "n_invalid", *[F.round(c, 6).alias(c) for c in (
         "meteor_min", "meteor_max", "meteor_mean", "meteor_median")])
 
 
 @query("eval_paired")
 def eval_paired(spark, sf):
-    b, a = _arm_scores(spark, sf)
+    sc = _arm_scores(spark, sf)
+    b, a = sc.where(F.col("arm") == "baseline"), sc.where(F.col("arm") == "architecture")
     s = evalrun.eval_paired(a, b, metric="meteor")
     return s.select("n_common", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "mean_diff")])
 
