@@ -140,10 +140,6 @@ class _QueryIndex:
         return 1.0 - cos
 
 
-def _score_sparse(qt, qw, qn, ct, cw, cn) -> np.ndarray:
-    return _QueryIndex(qt, qw, qn).distances(ct, cw, cn)
-
-
 def knn(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, k: int = 3,
         kind: str = "dense", vec: str = "embedding", group: str | None = None,
         exclude_self: bool = False, block_rows: int = 1024, c_block_rows: int = 1024,
