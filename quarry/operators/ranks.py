@@ -42,11 +42,13 @@ def rank_within(df: DataFrame, order: Sequence[str | Column], group: Sequence[st
     ``weight`` over earlier rows of the group, exclusive) and ``total_col``
     (sum of ``weight`` over the group).
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = list(group)
     keys = [*_cols(group), *_cols(order)]
-    staged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Without an explicit count the range exchange uses the shuffle
+    # partitions and AQE may coalesce neighbouring ranges to the data size;
+    # coalesced partitions are still contiguous ranges, so offsets hold.
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    staged = ranged.sortWithinPartitions(*keys)
     staged = staged.withColumn("__rk_mid", F.monotonically_increasing_id())
     staged = staged.withColumn("__rk_pid", F.shiftright("__rk_mid", 33)).withColumn(
         "__rk_loc", F.col("__rk_mid").bitwiseAND(F.lit(_LOW_BITS)))
