@@ -150,68 +150,119 @@ def toc_links(pages: DataFrame, url: str = "url", html: str = "html", menu_tag:
     )
 
 
-def _robust_text(html: str, tag: str) -> str:
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
+         "track", "wbr"}
+_BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "ol")
+_CLOSES_P = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "ul", "ol", "div", "article", "section", "table",
+             "nav", "footer", "header", "main", "aside", "blockquote", "pre")
+_P_SCOPE = ("article", "div", "section", "li", "ul", "ol", "td", "th", "table", "main", "aside", "blockquote")
+
+
+def _robust_text(html: str, tag: str, mode: str = "html5") -> str:
+    """Stdlib-parser extraction.
+
+    ``mode='html5'``: a new block closes an open ``<p>``/``<li>`` (same
+    result as the built-in expressions).
+    ``mode='nested'``: tags nest exactly as written (an unclosed ``<p>``
+    contains everything up to the container's end) and every block takes the
+    text of all its descendants, in document order -- the behaviour of a
+    recursive ``find_all`` over a tree built without implicit closing."""
     from html.parser import HTMLParser
 
+    class Node:
+        __slots__ = ("tag", "kids")
+
+        def __init__(self, t):
+            self.tag, self.kids = t, []
+
     class P(HTMLParser):
         def __init__(self):
             super().__init__(convert_charrefs=True)
-            self.depth = 0          # inside container
-            self.skip = 0           # inside script/style
-            self.blocks: list[list[str]] = []
-            self.cur: list[str] | None = None
-            self.found = False
+            self.root = Node("#root")
+            self.stack = [self.root]
+            self.skip = 0
 
         def handle_starttag(self, t, attrs):
             if t in ("script", "style"):
                 self.skip += 1
                 return
-            if t == tag:
-                self.depth += 1
-                self.found = True
-                return
-            if self.depth and t in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li"):
-                self.cur = [t, ""]
-                self.blocks.append(self.cur)
-            elif self.depth and t in ("ul", "ol", "div", "section", "table"):
-                self.cur = None
+            if mode == "html5" and t in _CLOSES_P:
+                self._close("p", _P_SCOPE)
+                if t == "li":
+                    self._close("li", ("ul", "ol"))
+            node = Node(t)
+            self.stack[-1].kids.append(node)
+            if t not in _VOID:
+                self.stack.append(node)
+
+        def _close(self, name, scope):
+            """Pop up to and including an open ``name`` inside ``scope``."""
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag == name:
+                    del self.stack[i:]
+                    return
+                if self.stack[i].tag in scope:
+                    return
 
         def handle_endtag(self, t):
             if t in ("script", "style"):
                 self.skip = max(0, self.skip - 1)
-            elif t == tag and self.depth:
-                self.depth -= 1
-                self.cur = None
-            elif t in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li"):
-                self.cur = None
+                return
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag == t:
+                    del self.stack[i:]
+                    return
 
         def handle_data(self, d):
-            if self.depth and not self.skip and self.cur is not None:
-                self.cur[1] += d
+            if not self.skip:
+                self.stack[-1].kids.append(d)
+
+    def text(n) -> str:
+        out, todo = [], [n]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+            else:
+                todo.extend(reversed(x.kids))
+        return "".join(out)
+
+    def walk(n, want):
+        todo = list(reversed(n.kids))
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                continue
+            if x.tag in want:
+                yield x
+            todo.extend(reversed(x.kids))
 
     p = P()
     p.feed(html)
-    if not p.found:
+    p.close()
+    box = next((x for x in walk(p.root, (tag,))), None)
+    if box is None:
         return fixed.NOT_FOUND_TEXT
     out = []
-    for t, txt in p.blocks:
-        txt = txt.strip()
-        if t == "p":
-            out.append(txt)
-        elif t == "li":
-            out.append(fixed.LIST_BULLET + txt)
+    for el in walk(box, _BLOCKS):
+        if el.tag.startswith("h"):
+            out.append("#" * int(el.tag[1]) + " " + text(el).strip())
+        elif el.tag == "p":
+            out.append(text(el).strip())
         else:
-            out.append("#" * int(t[1]) + " " + txt)
+            out.extend(fixed.LIST_BULLET + text(li).strip() for li in walk(el, ("li",)))
     return "\n\n".join(out)
 
 
-def page_text_robust(df: DataFrame, html: str = "html", tag: str = "article", out: str = "text") -> DataFrame:
-    """P1 with the standard-library parser, one Arrow batch at a time."""
+def page_text_robust(df: DataFrame, html: str = "html", tag: str = "article", out: str = "text",
+                     mode: str = "html5") -> DataFrame:
+    """P1 with the standard-library parser, one Arrow batch at a time
+    (``mode``: see :func:`_robust_text`)."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b[out] = [None if h is None else _robust_text(h, tag) for h in b[html]]
+            b[out] = [None if h is None else _robust_text(h, tag, mode) for h in b[html]]
             yield b
 
     return df.mapInPandas(run, schema)

@@ -80,3 +80,17 @@ def test_page_text_modes(spark):
     assert got[2] == "Handbook content not found"
     robust = {r.page_id: r.text for r in extract.page_text_robust(df).collect()}
     assert robust == got
+
+
+def test_page_text_nested_mode():
+    from quarry.operators.extract import _robust_text
+    html = ('<article><h1>T</h1><p><b>Lead<br><p>Body.</p><ul><li>x<ul><li>y</li></ul></li></ul></article>')
+    # an unclosed <p> holds the rest of the container; nested lists repeat items
+    assert _robust_text(html, "article", "nested") == "# T\n\nLeadBody.xy\n\nBody.\n\n• xy\n\n• y\n\n• y"
+
+
+def test_regex_equals_parser_on_fixture_pages(spark):
+    pages = spark.read.parquet(f"{SF001}/pages.parquet")
+    a = {r.page_id: r.text for r in extract.page_text(pages).collect()}
+    b = {r.page_id: r.text for r in extract.page_text_robust(pages.select("page_id", "html")).collect()}
+    assert a == b and len(a) > 0
