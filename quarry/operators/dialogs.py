@@ -45,21 +45,29 @@ def qa_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 def dialog_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
                    role: str = "role", text: str = "text", keep_history: bool = True,
-                   as_array: bool = True) -> DataFrame:
-    """Model input at turn t = all earlier messages of the dialog plus the
-    current one (``keep_history=False``: the current one only).
+                   as_array: bool = True, at_roles: tuple[str, ...] | None = ("user",)) -> DataFrame:
+    """The model input when a message of ``at_roles`` is sent = all
+    earlier messages of the dialog (any role: user turns and the replies
+    appended after them) plus the current one; ``keep_history=False``: the
+    current message only. ``at_roles=None`` emits a row for every turn.
 
     The output itself grows with the square of a dialog's length, so the
     window per conversation is inherent to the operator.
     """
     msg = F.struct(F.col(role).alias("role"), F.col(text).alias("content"))
     if not keep_history:
-        return turns.withColumn("history", F.array(msg)).withColumn("n_history", F.lit(1))
-    w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
-    out = turns.withColumn("n_history", F.count(F.lit(1)).over(w))
-    out = out.withColumn("history_chars", F.sum(F.char_length(text)).over(w))
-    if as_array:
-        out = out.withColumn("history", F.collect_list(msg).over(w))
+        out = turns.withColumn("n_history", F.lit(1).cast("long")).withColumn(
+            "history_chars", F.char_length(text).cast("long"))
+        if as_array:
+            out = out.withColumn("history", F.array(msg))
+    else:
+        w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
+        out = turns.withColumn("n_history", F.count(F.lit(1)).over(w))
+        out = out.withColumn("history_chars", F.sum(F.char_length(text)).over(w))
+        if as_array:
+            out = out.withColumn("history", F.collect_list(msg).over(w))
+    if at_roles:
+        out = out.where(F.col(role).isin(*at_roles))
     return out
 
 

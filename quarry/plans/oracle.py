@@ -219,11 +219,12 @@ SELECT kind, count(*) AS n FROM (
 
 q("dialog_history", """
 SELECT conv_id, turn, n_history, history_chars, md5(array_to_string(h, chr(30))) AS history_md5
-FROM (SELECT conv_id, turn,
+FROM (SELECT conv_id, turn, role,
         count(*) OVER w AS n_history, CAST(sum(length(text)) OVER w AS BIGINT) AS history_chars,
         list(role || ':' || text) OVER w AS h
       FROM conversations
-      WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WHERE role = 'user'""")
 cte("dlg_docs", """
 SELECT pair_id, to_json([[{'role': 'user', 'content': input_text},
                           {'role': 'assistant', 'content': target_text}]])::VARCHAR AS doc FROM pairs""")

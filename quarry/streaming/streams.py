@@ -31,11 +31,13 @@ def _ckpt(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-def dialog_history_stream(turns: DataFrame, keep_history: bool = True) -> DataFrame:
-    """For each arriving turn, the model input = the conversation's
-    earlier messages + the current one. State per conversation holds the
-    history; turns inside a micro-batch are applied in ``turn`` order.
-    Output equals batch :func:`quarry.operators.dialogs.dialog_history`."""
+def dialog_history_stream(turns: DataFrame, keep_history: bool = True,
+                          at_roles: tuple[str, ...] | None = ("user",)) -> DataFrame:
+    """For each arriving message of ``at_roles``, the model input = the
+    conversation's earlier messages + the current one. State per
+    conversation holds the history (every role is appended); turns inside a
+    micro-batch are applied in ``turn`` order. Output equals batch
+    :func:`quarry.operators.dialogs.dialog_history`."""
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         roles, texts = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
@@ -48,8 +50,9 @@ def dialog_history_stream(turns: DataFrame, keep_history: bool = True) -> DataFr
                 hist = [{"role": a, "content": b} for a, b in zip(roles, texts)]
             else:
                 hist = [{"role": r.role, "content": r.text}]
-            out.append({"conv_id": r.conv_id, "turn": r.turn, "n_history": len(hist),
-                        "history_chars": sum(len(h["content"] or "") for h in hist), "history": hist})
+            if not at_roles or r.role in at_roles:
+                out.append({"conv_id": r.conv_id, "turn": r.turn, "n_history": len(hist),
+                            "history_chars": sum(len(h["content"] or "") for h in hist), "history": hist})
         if keep_history:
             state.update((roles, texts))
         yield pd.DataFrame(out, columns=["conv_id", "turn", "n_history", "history_chars", "history"])
