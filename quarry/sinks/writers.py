@@ -44,3 +44,16 @@ def append_results(results: DataFrame, out_dir: str) -> None:
     """K5/K6: append-only result records; run totals belong in a separate
     table, so a ``Total Time`` text line never lands among the records."""
     results.write.mode("append").json(out_dir)
+
+
+def answer_record(model: str | F.Column, response: str = "response", time_col: str = "inference_time") -> F.Column:
+    """K6 record text: ``Model Name: m`` / ``Response: r`` /
+    ``Inference Time: t.tt seconds`` followed by a blank line."""
+    m = F.lit(model) if isinstance(model, str) else model
+    return F.concat(F.lit("Model Name: "), m, F.lit("\nResponse: "), F.col(response),
+                    F.lit("\nInference Time: "), F.format_string("%.2f", F.col(time_col)), F.lit(" seconds\n"))
+
+
+def append_answer_text(answers: DataFrame, out_dir: str, model: str | F.Column) -> None:
+    """K6: append free-text answer records (one text row per record)."""
+    answers.select(answer_record(model).alias("value")).write.mode("append").text(out_dir)

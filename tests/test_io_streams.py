@@ -122,3 +122,10 @@ def test_write_sections_partitioned(spark, tmp_path):
     assert {"chapter=ch00", "chapter=ch01"} <= set(os.listdir(tmp_path / "sections"))
     back = spark.read.parquet(str(tmp_path / "sections")).where("chapter = 'ch01'")
     assert [r.text for r in back.collect()] == ["a"]
+
+
+def test_answer_text_records(spark, tmp_path):
+    df = spark.createDataFrame([("yes", 1.234)], "response string, inference_time double")
+    writers.append_answer_text(df, str(tmp_path / "txt"), "m1")
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "txt")).collect())
+    assert text == "Model Name: m1\nResponse: yes\nInference Time: 1.23 seconds\n"
