@@ -81,3 +81,23 @@ def arm_latency(df: DataFrame, arm: str, value: str) -> DataFrame:
     """Mean (and range) of per-row latency per arm."""
     return df.groupBy(arm).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("time_mean"),
                                F.min(value).alias("time_min"), F.max(value).alias("time_max"))
+
+
+def result_records(answers: DataFrame, prediction: str, id_col: str = "pair_id", query: str = "input_text",
+                   target: str = "target_text", response: str = "response",
+                   time_col: str = "inference_time", with_answer_only: bool = True) -> DataFrame:
+    """E2/E3 result record (D12) per answered question: query, target,
+    response, inference time, ``answer_only`` (baseline arm), BLEU of the
+    prediction and ``rouge_score`` (rouge1, rouge2, rougeL, rougeLsum).
+    The metric columns come from one scoring pass keyed by ``id_col``."""
+    from .metrics import score_all
+    scored = score_all(answers.select(id_col, F.col(prediction).alias("_pred"), F.col(target).alias("_ref")),
+                       id_col, "_pred", "_ref")
+    rec = answers.join(scored, on=id_col, how="inner")
+    cols = [id_col, F.col(query).alias("query"), F.col(target).alias("target_text"),
+            F.col(response).alias("response"), F.col(time_col).alias("inference_time")]
+    if with_answer_only:
+        cols.append(F.col(prediction).alias("answer_only"))
+    cols += [F.col("bleu").alias("bleu_score"),
+             F.struct("rouge1", "rouge2", "rougeL", "rougeLsum").alias("rouge_score")]
+    return rec.select(*cols)

@@ -94,3 +94,17 @@ def test_regex_equals_parser_on_fixture_pages(spark):
     a = {r.page_id: r.text for r in extract.page_text(pages).collect()}
     b = {r.page_id: r.text for r in extract.page_text_robust(pages.select("page_id", "html")).collect()}
     assert a == b and len(a) > 0
+
+
+def test_result_records_round_trip(spark, tmp_path):
+    from quarry.operators import evalrun
+    from quarry.sources import files
+    ans = spark.createDataFrame([(1, "q", "the cat is on the mat", "Q\nAnswer: the cat sat on the mat", 0.5,
+                                  "the cat sat on the mat")],
+                                "pair_id long, input_text string, target_text string, response string, "
+                                "inference_time double, answer_only string")
+    rec = evalrun.result_records(ans, "answer_only")
+    writers.append_results(rec.drop("pair_id"), str(tmp_path / "res"))
+    good, bad = files.read_result_lines(spark, str(tmp_path / "res"))
+    r = good.first()
+    assert bad.count() == 0 and r.bleu_score == 0.0 and abs(r.rouge_score.rouge1 - 5 / 6) < 1e-12
