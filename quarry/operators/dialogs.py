@@ -138,3 +138,12 @@ def qa_pairs_nested(df: DataFrame, dialog: str = "dialog") -> DataFrame:
     keep = F.filter(cand, lambda s: (s["_r0"] == "user") & (s["_r1"] == "assistant"))
     return df.withColumn("pairs", F.transform(keep, lambda s: F.struct(
         s["turn"].alias("turn"), s["input_text"].alias("input_text"), s["target_text"].alias("target_text"))))
+
+
+def chat_examples_nested(df: DataFrame, dialog: str, system_prompt: str | Column) -> DataFrame:
+    """P8 on whole dialogs: ``{"messages": [system] + dialog}``; the system
+    prompt may be a column (e.g. one prompt per agent from a joined
+    dimension)."""
+    sp = F.lit(system_prompt) if isinstance(system_prompt, str) else system_prompt
+    head = F.array(F.struct(F.lit("system").alias("role"), sp.alias("content")))
+    return df.withColumn("messages", F.concat(head, F.col(dialog)))

@@ -108,3 +108,10 @@ def test_result_records_round_trip(spark, tmp_path):
     good, bad = files.read_result_lines(spark, str(tmp_path / "res"))
     r = good.first()
     assert bad.count() == 0 and r.bleu_score == 0.0 and abs(r.rouge_score.rouge1 - 5 / 6) < 1e-12
+
+
+def test_chat_examples_nested(spark):
+    df = spark.createDataFrame([([("user", "q"), ("assistant", "a"), ("user", "q2")],)],
+                               "dialog array<struct<role:string,content:string>>")
+    m = dialogs.chat_examples_nested(df, "dialog", "sys").first().messages
+    assert [(x.role, x.content) for x in m] == [("system", "sys"), ("user", "q"), ("assistant", "a"), ("user", "q2")]
