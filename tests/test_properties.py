@@ -175,3 +175,23 @@ def test_rouge_n_matches_python(spark, pairs):
             exp.append(2 * p * rr / (p + rr) if p + rr > 0 else 0.0)
         assert abs(got[i][0] - exp[0]) < 1e-12 \
             and abs(got[i][1] - exp[1]) < 1e-12
+
+
+def test_global_rank_spreads_over_partitions(spark):
+    # one "group" holding every row must not land in one task
+    df = spark.range(4000).withColumnRenamed("id", "pair_id").withColumn("k", (F.col("pair_id") * 7919) % 4001)
+    out = rank_within(df, ["k", "pair_id"], rank_col="r", num_partitions=8)
+    parts = out.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 4
+    assert sorted(r.r for r in out.collect()) == list(range(1, 4001))
+
+
+def test_hot_group_gets_more_knn_blocks(spark):
+    from quarry.operators.retrieve import _blocks
+    q = spark.range(300).select(F.lit(1).alias("g"), F.col("id").alias("_qid"))
+    c = spark.range(1000).select(F.when(F.col("id") < 900, 1).otherwise(2).alias("g"), F.col("id").alias("_cid"))
+    qx, cx = _blocks(q, c, "_qid", "_cid", "g", block_rows=100)
+    cells = cx.groupBy("g", "_qb", "_cb").count().collect()
+    hot = [r for r in cells if r.g == 1]
+    assert len(hot) == 3 * 9                      # 3 query blocks x 9 corpus blocks
+    assert max(r["count"] for r in hot) < 200     # every cell stays near the block size
