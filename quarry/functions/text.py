@@ -58,3 +58,26 @@ def after_last(text: str | Column, mark: str) -> Column:
     """``s.split(mark)[-1]``: the text after the last ``mark`` (whole string if
     absent)."""
     return F.substring_index(_c(text), mark, -1)
+
+
+def rouge_ascii_tokens(x: str | Column) -> Column:
+    """ROUGE's default tokenisation: lower-case, anything outside ``[a-z0-9]``
+    separates tokens (accented letters included)."""
+    return F.filter(F.split(F.lower(_c(x)), r"[^a-z0-9]+"), lambda t: t != "")
+
+
+def bleu_13a_tokens(x: str | Column) -> Column:
+    """The public "13a" BLEU tokenisation: drop ``<skipped>``, join
+    hyphenated line breaks, unescape four entities, put spaces around
+    punctuation (periods and commas only when not next to a digit, dashes
+    after a digit), split on white space. Case is kept."""
+    s = F.replace(_c(x), F.lit("<skipped>"), F.lit(""))
+    s = F.replace(s, F.lit("-\n"), F.lit(""))
+    s = F.replace(s, F.lit("\n"), F.lit(" "))
+    for ent, ch in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        s = F.replace(s, F.lit(ent), F.lit(ch))
+    s = F.regexp_replace(s, r"([\{-~\[-` -&\(-\+:-@/])", " $1 ")
+    s = F.regexp_replace(s, r"([^0-9])([\.,])", "$1 $2 ")
+    s = F.regexp_replace(s, r"([\.,])([^0-9])", " $1 $2")
+    s = F.regexp_replace(s, r"([0-9])(-)", "$1 $2 ")
+    return F.filter(F.split(s, r"\s+"), lambda t: t != "")

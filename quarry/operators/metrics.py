@@ -21,7 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import metric_tokens
+from ..functions.text import bleu_13a_tokens, metric_tokens, rouge_ascii_tokens
+
+# tokenisers per style: "unicode" (ours, default) or "library" (the rules of
+# the public BLEU and ROUGE scorers)
+_TOKENIZERS = {"unicode": (metric_tokens, metric_tokens), "library": (bleu_13a_tokens, rouge_ascii_tokens)}
 
 MAX_N = 4
 # fixed values: METEOR parameters (alpha, beta, gamma)
@@ -40,14 +44,15 @@ def _gram_counts(df: DataFrame, id_col: str, toks: str, max_n: int, name: str) -
     return ex.groupBy(id_col, "n", "gram").agg(F.count(F.lit(1)).alias(name))
 
 
-def tokenized(df: DataFrame, id_col: str, pred: str, ref: str) -> DataFrame:
-    return df.select(id_col, metric_tokens(pred).alias("_pt"), metric_tokens(ref).alias("_rt"))
+def tokenized(df: DataFrame, id_col: str, pred: str, ref: str, tokenizer=metric_tokens) -> DataFrame:
+    return df.select(id_col, tokenizer(pred).alias("_pt"), tokenizer(ref).alias("_rt"))
 
 
-def ngram_overlap(df: DataFrame, id_col: str, pred: str, ref: str, max_n: int = MAX_N) -> DataFrame:
+def ngram_overlap(df: DataFrame, id_col: str, pred: str, ref: str, max_n: int = MAX_N,
+                  tokenizer=metric_tokens) -> DataFrame:
     """Clipped n-gram matches ``m1..m<max_n>`` and lengths ``c`` (prediction)
     and ``r`` (reference) per id."""
-    t = tokenized(df, id_col, pred, ref)
+    t = tokenized(df, id_col, pred, ref, tokenizer)
     pc = _gram_counts(t, id_col, "_pt", max_n, "cp")
     rc = _gram_counts(t, id_col, "_rt", max_n, "cr")
     m = pc.join(rc, on=[id_col, "n", "gram"], how="inner").groupBy(id_col).agg(
@@ -88,10 +93,20 @@ def rouge_n_from_overlap(n: int) -> Column:
     return F.when(p + rr > 0, 2 * p * rr / (p + rr)).otherwise(F.lit(0.0))
 
 
-def bleu_rouge(df: DataFrame, id_col: str, pred: str, ref: str) -> DataFrame:
-    o = ngram_overlap(df, id_col, pred, ref)
-    return o.select(id_col, "c", "r", bleu_from_overlap().alias("bleu"),
-                    rouge_n_from_overlap(1).alias("rouge1"), rouge_n_from_overlap(2).alias("rouge2"))
+def bleu_rouge(df: DataFrame, id_col: str, pred: str, ref: str, style: str = "unicode") -> DataFrame:
+    """BLEU-4 and ROUGE-1/2 F1. ``style='library'`` tokenises BLEU with the
+    13a rules (case kept, punctuation tokens) and ROUGE with lower-cased
+    ASCII ``[a-z0-9]`` runs; the default uses Unicode letter/digit runs for
+    both (one shared n-gram table)."""
+    bt, rt = _TOKENIZERS[style]
+    if bt is rt:
+        o = ngram_overlap(df, id_col, pred, ref, tokenizer=bt)
+        return o.select(id_col, "c", "r", bleu_from_overlap().alias("bleu"),
+                        rouge_n_from_overlap(1).alias("rouge1"), rouge_n_from_overlap(2).alias("rouge2"))
+    b = ngram_overlap(df, id_col, pred, ref, tokenizer=bt).select(id_col, "c", "r", bleu_from_overlap().alias("bleu"))
+    r = ngram_overlap(df, id_col, pred, ref, max_n=2, tokenizer=rt).select(
+        id_col, rouge_n_from_overlap(1).alias("rouge1"), rouge_n_from_overlap(2).alias("rouge2"))
+    return b.join(r, on=id_col, how="inner")
 
 
 def meteor_exact(df: DataFrame, id_col: str, pred: str, ref: str) -> DataFrame:

@@ -198,3 +198,19 @@ def test_agent_maps(spark):
     assert trainer == {1: None, 2: 1, 3: 2}
     both = agents.assign_agents(pairs, agents.agent_dim(spark, {**fixed.AGENT_CHAPTERS, 4: fixed.ORCHESTRATOR_CHAPTERS}))
     assert both.where("pair_id = 2").count() == 2
+
+
+def test_library_tokenizers(spark):
+    from quarry.functions.text import bleu_13a_tokens, rouge_ascii_tokens
+    df = spark.createDataFrame([("Hello, world. It's 3.5-4 km &amp; done!", "Été à Paris, c'est")], "a string, b string")
+    r = df.select(bleu_13a_tokens("a").alias("t"), rouge_ascii_tokens("b").alias("u")).first()
+    # the apostrophe is outside the 13a punctuation ranges; "-" splits after a digit
+    assert r.t == ["Hello", ",", "world", ".", "It's", "3.5", "-", "4", "km", "&", "done", "!"]
+    assert r.u == ["t", "paris", "c", "est"]
+
+
+def test_bleu_library_style_case_sensitive(spark):
+    df = spark.createDataFrame([(1, "The cat sat on the mat .", "the cat sat on the mat .")], "pair_id long, p string, r string")
+    lib = metrics.bleu_rouge(df, "pair_id", "p", "r", style="library").first()
+    uni = metrics.bleu_rouge(df, "pair_id", "p", "r").first()
+    assert uni.bleu == pytest.approx(1.0) and lib.bleu < 1.0 and lib.rouge1 == pytest.approx(1.0)
