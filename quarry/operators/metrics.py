@@ -145,8 +145,10 @@ def meteor_exact(df: DataFrame, id_col: str, pred: str, ref: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # ROUGE-L (longest common subsequence) -- Arrow UDF
 
-def _tok(s: str) -> list[str]:
+def _tok(s: str, style: str = "unicode") -> list[str]:
     import regex
+    if style == "library":
+        return [t for t in regex.split(r"[^a-z0-9]+", (s or "").lower()) if t]
     return [t for t in regex.split(r"[^\p{L}\p{N}]+", (s or "").lower()) if t]
 
 
@@ -195,14 +197,14 @@ def _f1(p: float, r: float) -> float:
     return 2 * p * r / (p + r) if p + r > 0 else 0.0
 
 
-def rouge_l_pair(pred: str, ref: str) -> tuple[float, float]:
+def rouge_l_pair(pred: str, ref: str, style: str = "unicode") -> tuple[float, float]:
     """(ROUGE-L F1, ROUGE-Lsum F1) for one pair; Lsum splits on newlines and
     unions the LCS hits of each reference sentence, clipped by token counts."""
-    pt, rt = _tok(pred), _tok(ref)
+    pt, rt = _tok(pred, style), _tok(ref, style)
     lcs = lcs_length(rt, pt)
     rl = _f1(lcs / len(pt), lcs / len(rt)) if pt and rt else 0.0
-    ps = [x for x in (_tok(s) for s in (pred or "").split("\n")) if x]
-    rs = [x for x in (_tok(s) for s in (ref or "").split("\n")) if x]
+    ps = [x for x in (_tok(s, style) for s in (pred or "").split("\n")) if x]
+    rs = [x for x in (_tok(s, style) for s in (ref or "").split("\n")) if x]
     m, n = sum(map(len, rs)), sum(map(len, ps))
     if not m or not n:
         return rl, 0.0
@@ -224,25 +226,32 @@ def rouge_l_pair(pred: str, ref: str) -> tuple[float, float]:
     return rl, _f1(hits / n, hits / m)
 
 
-@F.pandas_udf(T.StructType([T.StructField("rougeL", T.DoubleType()), T.StructField("rougeLsum", T.DoubleType())]))
-def _rouge_l_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    vals = [rouge_l_pair(p, r) for p, r in zip(pred, ref)]
-    return pd.DataFrame({"rougeL": [v[0] for v in vals], "rougeLsum": [v[1] for v in vals]})
+_RL_TYPE = T.StructType([T.StructField("rougeL", T.DoubleType()), T.StructField("rougeLsum", T.DoubleType())])
 
 
-def rouge_l(df: DataFrame, id_col: str, pred: str, ref: str) -> DataFrame:
-    return df.select(id_col, _rouge_l_udf(F.col(pred), F.col(ref)).alias("_rl")).select(
+def _rouge_l_udf(style: str):
+    @F.pandas_udf(_RL_TYPE)
+    def run(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        vals = [rouge_l_pair(p, r, style) for p, r in zip(pred, ref)]
+        return pd.DataFrame({"rougeL": [v[0] for v in vals], "rougeLsum": [v[1] for v in vals]})
+    return run
+
+
+def rouge_l(df: DataFrame, id_col: str, pred: str, ref: str, style: str = "unicode") -> DataFrame:
+    """ROUGE-L / ROUGE-Lsum F1 per id (Arrow batches; one LCS per pair)."""
+    return df.select(id_col, _rouge_l_udf(style)(F.col(pred), F.col(ref)).alias("_rl")).select(
         id_col, "_rl.rougeL", "_rl.rougeLsum")
 
 
-def score_all(df: DataFrame, id_col: str, pred: str, ref: str, with_rouge_l: bool = True) -> DataFrame:
+def score_all(df: DataFrame, id_col: str, pred: str, ref: str, with_rouge_l: bool = True,
+              style: str = "unicode") -> DataFrame:
     """All metrics per id plus ``valid`` (BLEU computable: both texts have
     tokens)."""
-    br = bleu_rouge(df, id_col, pred, ref)
+    br = bleu_rouge(df, id_col, pred, ref, style)
     me = meteor_exact(df, id_col, pred, ref).drop("matches", "chunks")
     out = br.join(me, on=id_col, how="inner")
     if with_rouge_l:
-        out = out.join(rouge_l(df, id_col, pred, ref), on=id_col, how="inner")
+        out = out.join(rouge_l(df, id_col, pred, ref, style), on=id_col, how="inner")
     return out.withColumn("valid", F.col("bleu").isNotNull())
 
 
