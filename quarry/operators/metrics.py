@@ -173,20 +173,52 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 
 
 def _lcs_indices(ref: list[str], can: list[str]) -> list[int]:
+    """Positions in ``ref`` of the LCS picked by the usual backtrack (match
+    -> diagonal, else left when ``T[i][j-1] > T[i-1][j]``, else up). Rows are
+    computed two at a time; only the left/up decision is kept, packed 8 per
+    byte, so memory is ``len(ref) * len(can) / 8`` bytes."""
     n, m = len(ref), len(can)
-    tab = np.zeros((n + 1, m + 1), dtype=np.int32)
-    can_arr = np.array(can, dtype=object)
-    for i in range(1, n + 1):
-        match = (can_arr == ref[i - 1]).astype(np.int32)
-        x = np.maximum(tab[i - 1, 1:], tab[i - 1, :-1] + match)
-        np.maximum.accumulate(x, out=tab[i, 1:])
+    if not n or not m:
+        return []
+    vocab: dict[str, int] = {}
+    ci = np.fromiter((vocab.setdefault(t, len(vocab)) for t in can), dtype=np.int64, count=m)
+    prev = np.zeros(m + 1, dtype=np.int64)
+    left_bits = []
+    for i in range(n):
+        match = (ci == vocab.get(ref[i], -1)).astype(np.int64)
+        x = np.maximum(prev[1:], prev[:-1] + match)
+        cur = np.empty_like(prev)
+        cur[0] = 0
+        np.maximum.accumulate(x, out=cur[1:])
+        left_bits.append(np.packbits(cur[:-1] > prev[1:]))   # T[i][j-1] > T[i-1][j], j = 1..m
+        prev = cur
+    i, j, out = n, m, []
+    while i > 0 and j > 0:
+        if ref[i - 1] == can[j - 1]:
+            out.append(i - 1)
+            i -= 1
+            j -= 1
+        elif (left_bits[i - 1][(j - 1) >> 3] >> (7 - ((j - 1) & 7))) & 1:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
+def _lcs_indices_table(ref: list[str], can: list[str]) -> list[int]:
+    """Full-table version of :func:`_lcs_indices`, for tests."""
+    n, m = len(ref), len(can)
+    tab = [[0] * (m + 1) for _ in range(n + 1)]
+    for a in range(1, n + 1):
+        for b in range(1, m + 1):
+            tab[a][b] = tab[a - 1][b - 1] + 1 if ref[a - 1] == can[b - 1] else max(tab[a - 1][b], tab[a][b - 1])
     i, j, out = n, m, []
     while i > 0 and j > 0:
         if ref[i - 1] == can[j - 1]:
             out.append(i - 1)
             i -= 1
             j -= 1
-        elif tab[i, j - 1] > tab[i - 1, j]:
+        elif tab[i][j - 1] > tab[i - 1][j]:
             j -= 1
         else:
             i -= 1

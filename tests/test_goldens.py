@@ -214,3 +214,12 @@ def test_bleu_library_style_case_sensitive(spark):
     lib = metrics.bleu_rouge(df, "pair_id", "p", "r", style="library").first()
     uni = metrics.bleu_rouge(df, "pair_id", "p", "r").first()
     assert uni.bleu == pytest.approx(1.0) and lib.bleu < 1.0 and lib.rouge1 == pytest.approx(1.0)
+
+
+def test_lcs_backtrack_bits_equal_table():
+    import random
+    rnd = random.Random(11)
+    for _ in range(200):
+        a = [rnd.choice("abcd") for _ in range(rnd.randint(0, 25))]
+        b = [rnd.choice("abcd") for _ in range(rnd.randint(0, 25))]
+        assert metrics._lcs_indices(a, b) == metrics._lcs_indices_table(a, b)
