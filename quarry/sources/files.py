@@ -43,12 +43,14 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: str = QA_SCHEMA) -
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str = QA_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """Good rows and rejected lines as two DataFrames."""
-    full = f"{schema}, _corrupt_record string"
-    df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)).cache()
-    good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = df.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    """Good rows and rejected lines as two lazy DataFrames. Each line is
+    checked with ``try_parse_json`` (null only for malformed JSON, so a valid
+    record with null fields stays good); good lines are parsed with the
+    schema. Blank lines are skipped."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    ok = F.expr("try_parse_json(value)").isNotNull()
+    good = lines.where(ok).select(F.from_json("value", schema).alias("_r")).select("_r.*")
+    bad = lines.where(~ok).select(F.col("value").alias("_corrupt_record"))
     return good, bad
 
 
@@ -81,13 +83,22 @@ def read_sections(spark: SparkSession, directory: str, pattern: str = "*.txt") -
                      F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
 
 
+TOPN_SINGLE_TASK_MAX = 10_000
+
+
 def first_sections(df: DataFrame, max_entries: int | None, folder: str = "folder", name: str = "name") -> DataFrame:
     """Sort by ``(folder, name)`` and keep the first
     ``max_entries`` (``0``/``None`` = all). The limit is the operator's
-    feature; Spark plans it as ``TakeOrderedAndProject`` (per-partition top-n
-    then a merge of n rows each)."""
-    out = df.orderBy(folder, name)
-    return out.limit(max_entries) if max_entries else out
+    feature. Up to ``TOPN_SINGLE_TASK_MAX`` Spark plans it as
+    ``TakeOrderedAndProject`` (per-partition top-n, then one merge of n rows
+    per partition); above it the two-level rank keeps rows with
+    ``rank <= n`` without gathering them in one task."""
+    if not max_entries:
+        return df.orderBy(folder, name)
+    if max_entries <= TOPN_SINGLE_TASK_MAX:
+        return df.orderBy(folder, name).limit(max_entries)
+    r = rank_within(df, order=[folder, name], rank_col="_entry")
+    return r.where(F.col("_entry") <= max_entries).drop("_entry")
 
 
 def concat_offsets(df: DataFrame, folder: str, order: Sequence[str], text: str,

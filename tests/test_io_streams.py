@@ -129,3 +129,15 @@ def test_answer_text_records(spark, tmp_path):
     writers.append_answer_text(df, str(tmp_path / "txt"), "m1")
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "txt")).collect())
     assert text == "Model Name: m1\nResponse: yes\nInference Time: 1.23 seconds\n"
+
+
+def test_topn_large_limit_uses_rank(spark):
+    from quarry.sources import files as fl
+    df = spark.range(50).select(F.lit("f").alias("folder"), F.format_string("s%03d", "id").alias("name"))
+    old = fl.TOPN_SINGLE_TASK_MAX
+    try:
+        fl.TOPN_SINGLE_TASK_MAX = 5
+        got = sorted(r.name for r in fl.first_sections(df, 20).collect())
+    finally:
+        fl.TOPN_SINGLE_TASK_MAX = old
+    assert got == [f"s{i:03d}" for i in range(20)]
