@@ -644,3 +644,23 @@ FROM (SELECT event_id, event_type, value,
 q("arm_latency", """
 SELECT event_type AS arm, count(*) AS n, round(avg(value), 6) AS time_mean, round(min(value), 6) AS time_min,
        round(max(value), 6) AS time_max FROM events GROUP BY event_type""")
+
+# page text: a block's content is text or inline tags (RE2 has no look-ahead;
+# on pages whose tags are block or listed inline tags this is the same rule as
+# "up to the next block tag")
+_INLINE = "b|i|em|strong|br|span|a|u|small|sup|sub|code|font|abbr|mark|s|q|cite|kbd|var|img"
+_BLOCK_RE2 = r"(?is)<(h[1-6]|p|li)\b[^>]*>((?:[^<]|</?(?:" + _INLINE + r")\b[^>]*>)*)"
+cte("page_blocks", f"""
+SELECT page_id, body, regexp_extract_all(body, {sq(_BLOCK_RE2)}, 1) AS tags,
+       regexp_extract_all(body, {sq(_BLOCK_RE2)}, 2) AS inners
+FROM (SELECT page_id, CASE WHEN regexp_matches(h, '(?is)<article\\b[^>]*>')
+                           THEN regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1) END AS body
+      FROM pages_clean)""")
+q("page_text", f"""
+SELECT page_id, CASE WHEN body IS NULL THEN {sq(fixed.NOT_FOUND_TEXT)} ELSE array_to_string(list_transform(
+         generate_series(1, len(tags)), lambda i:
+           CASE WHEN lower(tags[i]) = 'p' THEN {block_text('inners[i]')}
+                WHEN lower(tags[i]) = 'li' THEN {sq(fixed.LIST_BULLET)} || {block_text('inners[i]')}
+                ELSE repeat('#', CAST(substr(tags[i], 2, 1) AS INTEGER)) || ' ' || {block_text('inners[i]')} END),
+         chr(10) || chr(10)) END AS text
+FROM page_blocks""")
