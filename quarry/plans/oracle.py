@@ -664,3 +664,22 @@ SELECT page_id, CASE WHEN body IS NULL THEN {sq(fixed.NOT_FOUND_TEXT)} ELSE arra
                 ELSE repeat('#', CAST(substr(tags[i], 2, 1) AS INTEGER)) || ' ' || {block_text('inners[i]')} END),
          chr(10) || chr(10)) END AS text
 FROM page_blocks""")
+
+# ROUGE-L: LCS by a recursive CTE, one dynamic-programming row per reference
+# token; row_i[j] = running max of max(row_{i-1}[j], row_{i-1}[j-1] + match)
+cte("rl_tok", f"SELECT pair_id, {mtok('prediction')} AS pt, {mtok('reference')} AS rt FROM bpairs")
+cte("rl_dp", """
+WITH RECURSIVE dp(pair_id, i, rowv) AS (
+  SELECT pair_id, 0, list_transform(range(0, len(pt) + 1), lambda x: 0) FROM rl_tok
+  UNION ALL
+  SELECT pair_id, i + 1, list_concat([0], list_transform(range(1, len(pt) + 1), lambda j: list_max(xs[1:j])))
+  FROM (SELECT d.pair_id, d.i, t.pt,
+               list_transform(range(1, len(t.pt) + 1), lambda j:
+                   greatest(d.rowv[j + 1], d.rowv[j] + CASE WHEN t.pt[j] = t.rt[d.i + 1] THEN 1 ELSE 0 END)) AS xs
+        FROM dp d JOIN rl_tok t ON t.pair_id = d.pair_id WHERE d.i < len(t.rt)))
+SELECT d.pair_id, d.rowv[len(t.pt) + 1] AS lcs, len(t.pt) AS c, len(t.rt) AS r
+FROM dp d JOIN rl_tok t ON t.pair_id = d.pair_id WHERE d.i = len(t.rt)""")
+q("rouge_l", """
+SELECT pair_id, round(CASE WHEN c > 0 AND r > 0 AND lcs > 0
+                           THEN 2 * (lcs / c) * (lcs / r) / ((lcs / c) + (lcs / r)) ELSE 0.0 END, 6) AS rougeL
+FROM rl_dp""")

@@ -223,3 +223,9 @@ def test_lcs_backtrack_bits_equal_table():
         a = [rnd.choice("abcd") for _ in range(rnd.randint(0, 25))]
         b = [rnd.choice("abcd") for _ in range(rnd.randint(0, 25))]
         assert metrics._lcs_indices(a, b) == metrics._lcs_indices_table(a, b)
+
+
+def test_rouge_lsum_union(spark):
+    # sentence-level union LCS: every reference token is hit, flat LCS is 3 of 4
+    rl, rls = metrics.rouge_l_pair("a b\nc d", "a c\nb d")
+    assert rl == pytest.approx(0.75) and rls == pytest.approx(1.0)
