@@ -153,3 +153,12 @@ def generate_qa_pairs(sections: DataFrame, text: str = "text", model_factory: Ca
         .withColumn("system_prompt", F.lit(system_prompt))
     out = batch_answer(df, "_prompt", model_factory, out="content")
     return parse.parse_completion(out.drop("_prompt"))
+
+
+def model_router(queries: DataFrame, model_factory: Callable[[], Model], roles: str = fixed.ROLES_TEXT) -> DataFrame:
+    """R8 with a user router model: the orchestrator prompt (P13) goes
+    through the model (R6); its completion becomes ``router_output`` for
+    :func:`routed_answer` (pass it as ``router_outputs``)."""
+    q = queries.withColumn("_router_prompt", prompts.router_prompt("input_text", roles))
+    out = batch_answer(q, "_router_prompt", model_factory, out="router_output", time_col="router_time")
+    return out.drop("_router_prompt")

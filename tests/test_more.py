@@ -115,3 +115,18 @@ def test_chat_examples_nested(spark):
                                "dialog array<struct<role:string,content:string>>")
     m = dialogs.chat_examples_nested(df, "dialog", "sys").first().messages
     assert [(x.role, x.content) for x in m] == [("system", "sys"), ("user", "q"), ("assistant", "a"), ("user", "q2")]
+
+
+def test_routed_answer_with_model_router(spark):
+    def router_factory():
+        return lambda prompts: [p + " Invoke agent3" for p in prompts]
+
+    q = spark.createDataFrame([(1, "how to renew plates", "t1"), (2, "", "t2")],
+                              "pair_id long, input_text string, target_text string")
+    train = spark.createDataFrame([(10, 1, "renew plates online", "A1"), (11, 3, "renew plates by mail", "A3"),
+                                   (12, 3, "special plates", "B3")],
+                                  "pair_id long, agent int, input_text string, target_text string")
+    routed = infer.model_router(q, router_factory)
+    out = {r.pair_id: r for r in infer.routed_answer(q, train, router_outputs=routed).collect()}
+    assert out[1].next_agent == "agent3" and out[1].answer.endswith("how to renew plates A3")
+    assert out[2].next_agent is None and out[2].answer == ""        # empty question -> END, answer = question
