@@ -130,3 +130,21 @@ def test_routed_answer_with_model_router(spark):
     out = {r.pair_id: r for r in infer.routed_answer(q, train, router_outputs=routed).collect()}
     assert out[1].next_agent == "agent3" and out[1].answer.endswith("how to renew plates A3")
     assert out[2].next_agent is None and out[2].answer == ""        # empty question -> END, answer = question
+
+
+def test_encode_with_user_tokenizer(spark):
+    from quarry.operators import tokens
+
+    def factory():
+        return lambda s: [len(w) for w in s.split()]
+
+    df = spark.createDataFrame([(1, "ab cde f"), (2, None)], "pair_id long, t string")
+    got = {r.pair_id: r.ids for r in tokens.encode_with(df, "t", factory).collect()}
+    assert got == {1: [2, 3, 1], 2: None}
+
+
+def test_split_hash_ratio(spark):
+    from quarry.operators import split
+    df = spark.range(20000).withColumnRenamed("id", "pair_id")
+    n_train = split.split_hash(df).where("split = 'train'").count()
+    assert 15600 < n_train < 16400
