@@ -13,7 +13,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,15 +119,33 @@ def routed_answer(queries: DataFrame, train: DataFrame, router_outputs: DataFram
     to END answers with itself (the last message)."""
     qv_all = retrieve.sparse_rows(retrieve.term_vectors(queries, "pair_id", "input_text"), "pair_id", queries)
     cv_all = retrieve.sparse_rows(retrieve.term_vectors(train, "pair_id", "input_text"), "pair_id", train)
-    routed = router_outputs if router_outputs is not None else retrieval_router(queries, train, qv_all, cv_all)
+    cv = cv_all.join(train.select("pair_id", "agent"), on="pair_id")
+    fused = None
+    if router_outputs is None:
+        # One kNN pass serves the default router and the specialists: every
+        # query is scored against each agent's train rows (top-k per
+        # (query, agent)). The router's nearest train question is the best
+        # of the per-agent rank-1 rows (same tie-break), and the specialist
+        # context is the routed agent's top-k.
+        agents = F.array(*[F.lit(int(a[-1])) for a in fixed.ROUTER_AGENTS])
+        qx = qv_all.withColumn("agent", F.explode(agents))
+        fused = retrieve.knn(qx, cv, "pair_id", "pair_id", k=k, kind="sparse", group="agent")
+        w = Window.partitionBy("pair_id").orderBy(F.round("distance", 9), "nbr_id")
+        best = fused.where(F.col("rank") == 1).withColumn("_b", F.row_number().over(w)).where(F.col("_b") == 1)
+        routed = queries.join(best.select("pair_id", F.col("agent").alias("_ragent")), on="pair_id", how="left")
+        routed = routed.withColumn("router_output", F.concat(
+            prompts.router_prompt("input_text"), F.lit(" Invoke agent"), F.col("_ragent").cast("string"))).drop("_ragent")
+    else:
+        routed = router_outputs
     routed = routed.withColumn("agent_call", parse.route_call("router_output"))
     routed = routed.withColumn("next_agent", parse.next_agent("agent_call", "input_text"))
     routed = routed.withColumn("route_agent", F.regexp_extract("next_agent", r"(\d+)$", 1).cast("int"))
     go = routed.where(F.col("route_agent").isNotNull())
-    # vectors are computed once and reused by the router and the specialists
-    qv = qv_all.join(go.select("pair_id", F.col("route_agent").alias("agent")), on="pair_id")
-    cv = cv_all.join(train.select("pair_id", "agent"), on="pair_id")
-    nb = retrieve.knn(qv, cv, "pair_id", "pair_id", k=k, kind="sparse", group="agent").drop("agent")
+    if fused is not None:
+        nb = fused.join(go.select("pair_id", F.col("route_agent").alias("agent")), on=["pair_id", "agent"]).drop("agent")
+    else:
+        qv = qv_all.join(go.select("pair_id", F.col("route_agent").alias("agent")), on="pair_id")
+        nb = retrieve.knn(qv, cv, "pair_id", "pair_id", k=k, kind="sparse", group="agent").drop("agent")
     ctx = retrieve.gather(nb, train, "pair_id", "pair_id", "target_text")
     spec = go.join(ctx, on="pair_id", how="inner")
     spec = spec.withColumn("prompt", prompts.rag_prompt("context", "input_text", style="agent"))
