@@ -23,12 +23,20 @@ def parse_completion(df: DataFrame, content: str = "content", out: str = "parsed
     """
     spans = F.regexp_extract_all(F.col(content), F.lit(fixed.QA_SPAN_PATTERN), 1)
     opts = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
-    parsed = F.transform(spans, lambda s: F.from_json(py_strip(s), DIALOG_SCHEMA, opts))
-    df = df.withColumn("_spans", parsed)
+    # validity like json.loads: any well-formed JSON value (VARIANT parse);
+    # the typed parse only extracts the dialogs
+    def item(s: Column) -> Column:
+        d = F.from_json(py_strip(s), DIALOG_SCHEMA, opts)
+        # (the typed parse also accepts duplicate keys, as json.loads does)
+        return F.struct((F.try_parse_json(py_strip(s)).isNotNull() | d.isNotNull()).alias("ok"), d.alias("d"))
+
+    items = F.transform(spans, item)
+    df = df.withColumn("_spans", items)
     if on_error == "drop_span":
-        res = F.filter(F.col("_spans"), lambda x: x.isNotNull())
+        res = F.transform(F.filter(F.col("_spans"), lambda x: x["ok"]), lambda x: x["d"])
     else:
-        res = F.when(F.exists(F.col("_spans"), lambda x: x.isNull()), F.lit(None)).otherwise(F.col("_spans"))
+        res = F.when(F.exists(F.col("_spans"), lambda x: ~x["ok"]), F.lit(None)) \
+            .otherwise(F.transform(F.col("_spans"), lambda x: x["d"]))
     return df.withColumn(out, res).drop("_spans")
 
 

@@ -229,3 +229,11 @@ def test_rouge_lsum_union(spark):
     # sentence-level union LCS: every reference token is hit, flat LCS is 3 of 4
     rl, rls = metrics.rouge_l_pair("a b\nc d", "a c\nb d")
     assert rl == pytest.approx(0.75) and rls == pytest.approx(1.0)
+
+
+def test_completion_validity_is_json_not_schema(spark):
+    # valid JSON that does not fit the dialog schema still counts as parsed
+    df = spark.createDataFrame([('[{"a":1},2,{"b":1}]',), ('[{"role":"user","content":01}]',)], "content string")
+    got = [r.parsed for r in parse.parse_completion(df).collect()]
+    assert got[0] is not None and len(got[0]) == 1
+    assert got[1] is None            # leading zero: not JSON

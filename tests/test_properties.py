@@ -195,3 +195,30 @@ def test_hot_group_gets_more_knn_blocks(spark):
     hot = [r for r in cells if r.g == 1]
     assert len(hot) == 3 * 9                      # 3 query blocks x 9 corpus blocks
     assert max(r["count"] for r in hot) < 200     # every cell stays near the block size
+
+
+def test_parse_completion_matches_python(spark):
+    import json
+    import random
+    import re
+
+    from quarry.operators import parse
+    pieces = ['[{', '}]', '"role"', ':', '"user"', ',', '"content"', '"x"', ' ', '\n', "'", '{', '}', '[', ']',
+              '1', 'a', '"role":"a","role":"b"', '} ]', '[ {']
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 14))) for _ in range(400)]
+    texts += ['[{"role":"user","content":"q"}]', '[{"role":"a","role":"b"}]', 'x [{}] y [{"a":[1,2]}]']
+
+    def ref(s):
+        try:
+            return [json.loads(m.strip()) for m in re.findall(r'(\[{.*?}\])', s, re.DOTALL)]
+        except Exception:
+            return None
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, content string")
+    got = {r.i: r.parsed for r in parse.parse_completion(df).collect()}
+    for i, t in enumerate(texts):
+        exp = ref(t)
+        assert (got[i] is None) == (exp is None), t
+        if exp is not None:
+            assert len(got[i]) == len(exp), t
