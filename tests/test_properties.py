@@ -222,3 +222,30 @@ def test_parse_completion_matches_python(spark):
         assert (got[i] is None) == (exp is None), t
         if exp is not None:
             assert len(got[i]) == len(exp), t
+
+
+def test_string_semantics_match_python(spark):
+    import random
+
+    from quarry.functions.text import find_suffix, py_strip
+    from quarry.operators import parse
+    rnd = random.Random(9)
+    ws = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\xa0", " ", "　"]
+    words = ["Answer:", "OUTPUT:", "invoke", "Invoke", "agent1", "agent2", "agent3", "x", "é", "q"]
+    rows = []
+    for i in range(300):
+        s = "".join(rnd.choice(ws + words) for _ in range(rnd.randint(0, 10)))
+        m = rnd.choice(["Answer:", "", "x", "zz"])
+        rows.append((i, s, m))
+    df = spark.createDataFrame(rows, "i long, s string, m string")
+    got = {r.i: r for r in df.select(
+        "i", py_strip("s").alias("st"), find_suffix("s", F.col("m")).alias("cut"),
+        parse.route_call("s").alias("call"), parse.next_agent(parse.route_call("s"), F.lit("q")).alias("ag")).collect()}
+    for i, s, m in rows:
+        r = got[i]
+        assert r.st == s.strip(), repr(s)
+        assert r.cut == s[s.find(m) + len(m):], (repr(s), m)
+        call = s.split("OUTPUT:")[-1].strip() if "invoke" in s.lower() else "Invoke agent1"
+        assert r.call == call, repr(s)
+        exp = next((a for a in ("agent1", "agent2", "agent3") if a in call.lower()), None)
+        assert r.ag == exp, repr(s)
