@@ -18,9 +18,10 @@ def py_strip(x: str | Column) -> Column:
     """``str.strip()``: removes Unicode white space at both ends.
 
     ``F.trim`` only removes the space character; ``(?U)`` makes ``\\s`` match
-    Unicode white space in Java regex.
+    Unicode white space in Java regex, and Python also strips the separator
+    controls U+001C-U+001F.
     """
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_c(x), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def ws_tokens(x: str | Column) -> Column:

@@ -10,8 +10,8 @@ import re
 
 from ..functions import fixed
 
-# Java's (?U)\s class spelled out for RE2 (used by py_strip).
-_WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Python's str.strip() white space spelled out for RE2 (used by py_strip).
+_WS = r"[\t\n\x0B\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def strip(x: str) -> str:
