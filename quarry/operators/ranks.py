@@ -96,3 +96,38 @@ def rank_within(df: DataFrame, order: Sequence[str | Column], group: Sequence[st
             out = out.withColumn(prefix_col, F.col("__rk_woff") + F.col("__rk_lw"))
     drop = ["__rk_mid", "__rk_pid", "__rk_loc", "__rk_first", "__rk_off", "__rk_woff", "__rk_w", "__rk_lw"]
     return out.drop(*[c for c in drop if c in out.columns])
+
+
+def rank_by_hash(df: DataFrame, key: str, tiebreak: str, group: Sequence[str] = (), rank_col: str = "rank",
+                 size_col: str | None = None, prefix_len: int = 4) -> DataFrame:
+    """Rank by a uniform hexadecimal hash key (e.g. a seeded md5), ties by
+    ``tiebreak``. The first ``prefix_len`` hex digits are a bucket that is
+    monotone in the key and, because the key is uniform, holds about
+    ``n / 16**prefix_len`` rows: rows are numbered inside their bucket with a
+    window keyed by (group, bucket), and the bucket offsets come from a count
+    table of at most ``16**prefix_len`` rows per group.
+
+    Unlike :func:`rank_within` there is no range-sampling pass and no
+    checkpoint: the input is shuffled once (the count table reuses that
+    shuffle) and the result is deterministic, so a re-run task recomputes the
+    same ranks. Choose ``prefix_len`` so a bucket fits a task (4 up to ~10^9
+    rows per group, 5-6 beyond).
+    """
+    group = list(group)
+    b = F.substring(F.col(key), 1, prefix_len)
+    wb = Window.partitionBy(*group, "__hb")
+    x = df.withColumn("__hb", b)
+    x = x.withColumn("__hl", F.row_number().over(wb.orderBy(key, tiebreak))).withColumn(
+        "__hn", F.count(F.lit(1)).over(wb))
+    counts = x.groupBy(*group, "__hb").agg(F.max("__hn").alias("__hn"))
+    wg = Window.partitionBy(*group).orderBy("__hb")
+    offs = counts.withColumn("__ho", F.coalesce(
+        F.sum("__hn").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if size_col:
+        offs = offs.withColumn(size_col, F.sum("__hn").over(Window.partitionBy(*group)))
+    offs = offs.drop("__hn")
+    # at most 16**prefix_len rows per group: broadcast when there is no group
+    side = F.broadcast(offs) if not group else offs
+    out = x.join(side, on=[*group, "__hb"], how="inner")
+    out = out.withColumn(rank_col, F.col("__ho") + F.col("__hl"))
+    return out.drop("__hb", "__hl", "__hn", "__ho")

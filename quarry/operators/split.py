@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import SPLIT_SEED, TRAIN_FRACTION_TENTHS
-from .ranks import rank_within
+from .ranks import rank_by_hash, rank_within
 
 
 def shuffle_key(id_col: str = "pair_id", seed: int = SPLIT_SEED) -> Column:
@@ -22,18 +22,26 @@ def _train_limit(n: Column, train_tenths: int) -> Column:
 
 def split_random(df: DataFrame, group: Sequence[str] = ("agent",), id_col: str = "pair_id",
                  seed: int = SPLIT_SEED, train_tenths: int = TRAIN_FRACTION_TENTHS,
-                 shuffle: bool = True, order: Sequence[str] = ()) -> DataFrame:
+                 shuffle: bool = True, order: Sequence[str] = (), method: str = "range") -> DataFrame:
     """Per group, the first ``floor(n * tenths / 10)`` rows of the
     seeded shuffle order are train, the rest test (``shuffle=False``: the
     ``order`` columns decide). Adds ``split``, ``split_key`` and
     ``shuffle_rank`` (position in the shuffled order inside the group) and
-    ``split_rank`` (position inside the row's own split)."""
+    ``split_rank`` (position inside the row's own split).
+
+    ``method='range'`` (default) ranks with :func:`rank_within`, whose
+    checkpoint also serves the many later reads of a split;
+    ``method='hash'`` uses :func:`rank_by_hash` (the md5 order is uniform):
+    one shuffle, no sampling pass and no checkpoint -- the better choice when
+    the split is written out once."""
     if shuffle:
         df = df.withColumn("split_key", shuffle_key(id_col, seed))
-        keys = ["split_key", id_col]
+        if method == "hash":
+            out = rank_by_hash(df, "split_key", id_col, group=group, rank_col="shuffle_rank", size_col="_n")
+        else:
+            out = rank_within(df, order=["split_key", id_col], group=group, rank_col="shuffle_rank", size_col="_n")
     else:
-        keys = [*order, id_col]
-    out = rank_within(df, order=keys, group=group, rank_col="shuffle_rank", size_col="_n")
+        out = rank_within(df, order=[*order, id_col], group=group, rank_col="shuffle_rank", size_col="_n")
     lim = _train_limit(F.col("_n"), train_tenths)
     out = out.withColumn("split", F.when(F.col("shuffle_rank") <= lim, "train").otherwise("test"))
     out = out.withColumn("split_rank", F.when(F.col("split") == "train", F.col("shuffle_rank"))
@@ -62,13 +70,14 @@ def split_ordered(df: DataFrame, order: Sequence[str], group: Sequence[str] = ()
 def shard_assign(df: DataFrame, num_replicas: int, order: Sequence[str] | None = None,
                  id_col: str = "pair_id", seed: int = SPLIT_SEED, shuffle: bool = True) -> DataFrame:
     """Replica ``r`` gets positions ``r, r+N, ...`` of the (shuffled)
-    order; the remainder ``n mod N`` is dropped (``drop_last``)."""
+    order; the remainder ``n mod N`` is dropped (``drop_last``). The shuffled
+    order is a uniform md5 key, so it is ranked by hash buckets (one shuffle,
+    no sampling pass)."""
     if shuffle:
         df = df.withColumn("_k", shuffle_key(id_col, seed))
-        keys = ["_k", id_col]
+        out = rank_by_hash(df, "_k", id_col, rank_col="_r", size_col="_n")
     else:
-        keys = [*(order or []), id_col]
-    out = rank_within(df, order=keys, rank_col="_r", size_col="_n")
+        out = rank_within(df, order=[*(order or []), id_col], rank_col="_r", size_col="_n")
     keep = F.col("_r") <= F.floor(F.col("_n") / num_replicas) * num_replicas
     out = out.where(keep).withColumn("shard", ((F.col("_r") - 1) % num_replicas).cast("int"))
     return out.drop("_r", "_n", *(["_k"] if shuffle else []))

@@ -249,3 +249,23 @@ def test_string_semantics_match_python(spark):
         assert r.call == call, repr(s)
         exp = next((a for a in ("agent1", "agent2", "agent3") if a in call.lower()), None)
         assert r.ag == exp, repr(s)
+
+
+@SET
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=80), st.integers(1, 3))
+def test_rank_by_hash_matches_window(spark, groups, plen):
+    from quarry.operators.ranks import rank_by_hash
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "id long, g int") \
+        .withColumn("k", F.md5(F.concat(F.lit("7|"), F.col("id").cast("string"))))
+    got = {r.id: (r.rank, r.n) for r in rank_by_hash(df, "k", "id", ["g"], size_col="n", prefix_len=plen).collect()}
+    w = Window.partitionBy("g").orderBy("k", "id")
+    exp = {r.id: (r.rank, r.n) for r in df.select("id", F.row_number().over(w).alias("rank"),
+                                                   F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n")).collect()}
+    assert got == exp
+
+
+def test_split_methods_agree(spark):
+    df = spark.range(700).withColumnRenamed("id", "pair_id").withColumn("agent", (F.col("pair_id") % 3).cast("int"))
+    a = split.split_random(df).select("pair_id", "split", "shuffle_rank", "split_rank")
+    b = split.split_random(df, method="hash").select("pair_id", "split", "shuffle_rank", "split_rank")
+    assert sorted(a.collect()) == sorted(b.collect())
