@@ -148,3 +148,18 @@ def test_split_hash_ratio(spark):
     df = spark.range(20000).withColumnRenamed("id", "pair_id")
     n_train = split.split_hash(df).where("split = 'train'").count()
     assert 15600 < n_train < 16400
+
+
+def test_urljoin_exact_and_common_cases(spark):
+    from urllib.parse import urljoin
+    cases = [("http://h.org/a/b/c?x=1#f", "../d"), ("http://h.org/a/b", "./e/../f"), ("https://h.org/a", "//cdn.org/x"),
+             ("http://h.org/a/b?q", "?z"), ("http://h.org/a/b#t", "#u"), ("http://h.org/a/b", "/root"),
+             ("http://h.org/a/b", "mailto:x@y.org"), ("http://h.org/a/b", "c")]
+    df = spark.createDataFrame(cases, "b string, h string")
+    rows = df.select("b", "h", extract.urljoin_exact("b", "h").alias("exact"),
+                     extract.urljoin_col("b", "h").alias("fast")).collect()
+    for r in rows:
+        assert r.exact == urljoin(r.b, r.h)
+        if not r.h.startswith(".."):         # the fast form leaves dot segments as written
+            if "./" not in r.h:
+                assert r.fast == urljoin(r.b, r.h), (r.b, r.h, r.fast)
