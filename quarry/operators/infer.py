@@ -86,7 +86,8 @@ def rag_answer(queries: DataFrame, corpus: DataFrame, k: int = fixed.RETRIEVAL_K
         retrieve.term_vectors(queries, "pair_id", "input_text"), "pair_id", queries)
     cv = c_vectors if c_vectors is not None else retrieve.sparse_rows(
         retrieve.term_vectors(corpus, "pair_id", "input_text"), "pair_id", corpus)
-    nb = retrieve.knn(qv, cv, "pair_id", "pair_id", k=k, kind="sparse")
+    # neighbours are read once here (the answers are materialised next)
+    nb = retrieve.knn(qv, cv, "pair_id", "pair_id", k=k, kind="sparse", materialize=False)
     ctx = retrieve.gather(nb, corpus, "pair_id", "pair_id", "target_text")
     q = queries.join(ctx, on="pair_id", how="inner")
     q = q.withColumn("prompt", prompts.rag_prompt("context", "input_text"))

@@ -377,7 +377,8 @@ def term_vectors(spark, sf):
 @query("knn_dense")
 def knn_dense(spark, sf):
     e = read_table(spark, sf, "embeddings")
-    nb = retrieve.knn(e, e, "vec_id", "vec_id", k=fixed.RETRIEVAL_K, kind="dense", exclude_self=True)
+    nb = retrieve.knn(e, e, "vec_id", "vec_id", k=fixed.RETRIEVAL_K, kind="dense", exclude_self=True,
+                      materialize=False)
     return nb.select("vec_id", "rank", "nbr_id", F.round("distance", 6).alias("distance"))
 
 
@@ -393,7 +394,7 @@ def knn_lexical(spark, sf):
     q, c = _orch_sets(spark, sf)
     qv = retrieve.sparse_rows(retrieve.term_vectors(q, "pair_id", "input_text"), "pair_id", q)
     cv = retrieve.sparse_rows(retrieve.term_vectors(c, "pair_id", "input_text"), "pair_id", c)
-    nb = retrieve.knn(qv, cv, "pair_id", "pair_id", k=fixed.RETRIEVAL_K, kind="sparse")
+    nb = retrieve.knn(qv, cv, "pair_id", "pair_id", k=fixed.RETRIEVAL_K, kind="sparse", materialize=False)
     return nb.select("pair_id", "rank", "nbr_id", F.round("distance", 6).alias("distance"))
 
 
