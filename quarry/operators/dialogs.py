@@ -60,12 +60,20 @@ def dialog_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
             "history_chars", F.char_length(text).cast("long"))
         if as_array:
             out = out.withColumn("history", F.array(msg))
-    else:
+    elif as_array:
         w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
         out = turns.withColumn("n_history", F.count(F.lit(1)).over(w))
         out = out.withColumn("history_chars", F.sum(F.char_length(text)).over(w))
-        if as_array:
-            out = out.withColumn("history", F.collect_list(msg).over(w))
+        out = out.withColumn("history", F.collect_list(msg).over(w))
+    else:
+        # sizes only: a rank and a prefix sum per conversation, computed by the
+        # two-level rank, so a huge conversation spans many partitions
+        from .ranks import rank_within
+        t = turns.withColumn("_len", F.char_length(text))
+        out = rank_within(t, order=[turn], group=[conv], weight="_len", rank_col="n_history",
+                          prefix_col="_before")
+        out = out.withColumn("history_chars", F.col("_before") + F.coalesce(F.col("_len"), F.lit(0))) \
+            .drop("_len", "_before")
     if at_roles:
         out = out.where(F.col(role).isin(*at_roles))
     return out

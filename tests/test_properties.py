@@ -269,3 +269,14 @@ def test_split_methods_agree(spark):
     a = split.split_random(df).select("pair_id", "split", "shuffle_rank", "split_rank")
     b = split.split_random(df, method="hash").select("pair_id", "split", "shuffle_rank", "split_rank")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_history_sizes_without_window(spark):
+    from conftest import SF001
+    from quarry.operators import dialogs
+    conv = spark.read.parquet(f"{SF001}/conversations.parquet")
+    a = dialogs.dialog_history(conv, as_array=False, at_roles=None).select(
+        "conv_id", "turn", F.col("n_history").cast("long"), F.col("history_chars").cast("long"))
+    b = dialogs.dialog_history(conv, at_roles=None).select(
+        "conv_id", "turn", F.col("n_history").cast("long"), F.col("history_chars").cast("long"))
+    assert sorted(a.collect()) == sorted(b.collect())
