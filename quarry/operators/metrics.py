@@ -109,7 +109,22 @@ def bleu_rouge(df: DataFrame, id_col: str, pred: str, ref: str, style: str = "un
     return b.join(r, on=id_col, how="inner")
 
 
-def meteor_exact(df: DataFrame, id_col: str, pred: str, ref: str) -> DataFrame:
+def _occurrence_from_end(ex: DataFrame, id_col: str, pos: str, chunk: int) -> DataFrame:
+    """``k`` = 1 for the last occurrence of a word in a text, 2 for the one
+    before, ... Salted by position chunks so no window holds a whole text:
+    rank from the end inside (text, word, chunk) (at most ``chunk`` rows),
+    plus the occurrences in later chunks, summed over a per-chunk count
+    table (at most ``len / chunk`` rows per word)."""
+    ex = ex.withColumn("_ch", F.floor(F.col(pos) / chunk))
+    ex = ex.withColumn("_lk", F.row_number().over(Window.partitionBy(id_col, "w", "_ch").orderBy(F.desc(pos))))
+    cnt = ex.groupBy(id_col, "w", "_ch").agg(F.count(F.lit(1)).alias("_c"))
+    later = Window.partitionBy(id_col, "w").orderBy(F.desc("_ch")).rowsBetween(Window.unboundedPreceding, -1)
+    cnt = cnt.withColumn("_after", F.coalesce(F.sum("_c").over(later), F.lit(0))).drop("_c")
+    ex = ex.join(cnt, on=[id_col, "w", "_ch"], how="inner")
+    return ex.withColumn("k", F.col("_after") + F.col("_lk")).drop("_ch", "_lk", "_after")
+
+
+def meteor_exact(df: DataFrame, id_col: str, pred: str, ref: str, chunk: int = 4096) -> DataFrame:
     """METEOR, exact-match stage. Alignment as in the common implementation:
     hypothesis words from last to first each take the last unmatched equal
     reference word, i.e. the k-th last occurrence of a word in the hypothesis
@@ -118,10 +133,8 @@ def meteor_exact(df: DataFrame, id_col: str, pred: str, ref: str) -> DataFrame:
     ``Fmean = PR / (alpha P + (1 - alpha) R)``,
     ``penalty = gamma (chunks / matches)^beta``. 0 when nothing matches."""
     t = tokenized(df, id_col, pred, ref)
-    hyp = t.select(id_col, F.posexplode("_pt").alias("hpos", "w"))
-    rf = t.select(id_col, F.posexplode("_rt").alias("rpos", "w"))
-    hyp = hyp.withColumn("k", F.row_number().over(Window.partitionBy(id_col, "w").orderBy(F.desc("hpos"))))
-    rf = rf.withColumn("k", F.row_number().over(Window.partitionBy(id_col, "w").orderBy(F.desc("rpos"))))
+    hyp = _occurrence_from_end(t.select(id_col, F.posexplode("_pt").alias("hpos", "w")), id_col, "hpos", chunk)
+    rf = _occurrence_from_end(t.select(id_col, F.posexplode("_rt").alias("rpos", "w")), id_col, "rpos", chunk)
     m = hyp.join(rf, on=[id_col, "w", "k"], how="inner").select(id_col, "hpos", "rpos")
     # a match (h, r) continues a chunk iff (h-1, r-1) is also a match (each
     # hypothesis position is matched once, so that is its predecessor in

@@ -280,3 +280,30 @@ def test_history_sizes_without_window(spark):
     b = dialogs.dialog_history(conv, at_roles=None).select(
         "conv_id", "turn", F.col("n_history").cast("long"), F.col("history_chars").cast("long"))
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_occurrence_index_salted_equals_window(spark):
+    import random
+
+    from quarry.operators.metrics import _occurrence_from_end
+    rnd = random.Random(4)
+    rows = [(i, p, rnd.choice("abc")) for i in range(3) for p in range(rnd.randint(1, 60))]
+    ex = spark.createDataFrame(rows, "id long, pos long, w string")
+    got = {(r.id, r.pos): r.k for r in _occurrence_from_end(ex, "id", "pos", chunk=7).collect()}
+    w = Window.partitionBy("id", "w").orderBy(F.desc("pos"))
+    exp = {(r.id, r.pos): r.k for r in ex.withColumn("k", F.row_number().over(w)).collect()}
+    assert got == exp
+
+
+def test_meteor_small_chunks_equal_greedy(spark):
+    import random
+
+    from quarry.operators import metrics
+    rnd = random.Random(8)
+    pairs = [([rnd.choice("abcd") for _ in range(rnd.randint(0, 30))], [rnd.choice("abcd") for _ in range(rnd.randint(0, 30))])
+             for _ in range(20)]
+    df = spark.createDataFrame([(i, " ".join(h), " ".join(r)) for i, (h, r) in enumerate(pairs)],
+                               "pair_id long, p string, r string")
+    got = {row.pair_id: row.meteor for row in metrics.meteor_exact(df, "pair_id", "p", "r", chunk=3).collect()}
+    for i, (h, r) in enumerate(pairs):
+        assert abs(got[i] - _meteor_greedy(h, r)) < 1e-12
