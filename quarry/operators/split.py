@@ -102,10 +102,10 @@ def length_batches(df: DataFrame, batch_size: int, length: str, id_col: str = "p
     out = fixed_batches(df, batch_size, order=[length, id_col], drop_last=True)
     if shuffle:
         bkey = F.md5(F.concat(F.lit(f"{seed}|batch|"), F.col("batch").cast("string")))
-        # batches are few (rows / batch_size); rank them by their key with the
-        # same two-level rank over the batch table, then join back by key.
+        # one row per batch (rows / batch_size); the md5 order is uniform, so
+        # the batches are ranked by hash buckets, then joined back by key
         batches = out.select("batch").distinct().withColumn("_bk", bkey)
-        batches = rank_within(batches, order=["_bk", "batch"], rank_col="batch_order").drop("_bk")
+        batches = rank_by_hash(batches, "_bk", "batch", rank_col="batch_order").drop("_bk")
         out = out.join(batches, on="batch", how="inner")
         out = out.withColumn("batch_order", F.col("batch_order") - 1)
     else:
