@@ -24,7 +24,6 @@ from pyspark.sql import types as T
 from ..functions.text import metric_tokens
 
 
-
 def term_vectors(df: DataFrame, id_col: str, text: str | Column) -> DataFrame:
     """R1 offline default: ``(id, token, tf)`` term counts of metric tokens."""
     c = F.col(text) if isinstance(text, str) else text
