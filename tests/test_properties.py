@@ -307,3 +307,14 @@ def test_meteor_small_chunks_equal_greedy(spark):
     got = {row.pair_id: row.meteor for row in metrics.meteor_exact(df, "pair_id", "p", "r", chunk=3).collect()}
     for i, (h, r) in enumerate(pairs):
         assert abs(got[i] - _meteor_greedy(h, r)) < 1e-12
+
+
+def test_knn_and_pack_invariant_to_partitioning(spark):
+    from conftest import SF001
+    from quarry.plans.catalog import QUERIES
+    res = {}
+    for n in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        res[n] = [sorted(QUERIES[q](spark, SF001).collect()) for q in ("knn_lexical", "knn_dense", "pack_chunks")]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert res["1"] == res["8"]
