@@ -145,7 +145,7 @@ const AS (
 general AS (SELECT leaf, list(word ORDER BY p) AS t FROM const GROUP BY leaf),
 liked AS (
   SELECT leaf, m, array_to_string(t, ' ') AS general FROM masks JOIN general USING (leaf)
-  WHERE len(list_filter(list_zip(w, t), x -> x[1] = x[2] AND x[2] <> '<*>')) >= 0.8 * len(w) - 1e-9),
+  WHERE len(list_filter(list_zip(w, t), lambda x: x[1] = x[2] AND x[2] <> '<*>')) >= 0.8 * len(w) - 1e-9),
 spread AS (SELECT leaf, count(DISTINCT doc_id) AS gdocs FROM l JOIN liked USING (leaf, m) GROUP BY leaf),
 gone AS (
   SELECT k.leaf, k.m, CASE WHEN docs >= coalesce(gdocs, 0) THEN k.m ELSE general END AS template, greatest(docs, coalesce(gdocs, 0)) AS template_docs

@@ -291,7 +291,7 @@ WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hexa FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS best FROM p)
 SELECT page_id, payload_bytes,
-       list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          ((((('0x' || substr(hexa, ((i // 4) * 5 + 1)::INT, 5))::INT) >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> best THEN best END AS refers_to
