@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import batches_of_bytes, byte_rows
 
 STEPS = 16
-SAMPLES = 5
+SAMPLES = 8
 #: Words outside the items share so many ids; they can't match, but steer the walk.
 OTHERS = 1 << 16
 #: Words of items handled in one scan, at most (an item is never cut).
@@ -84,7 +84,7 @@ class Index:
             self._keys(2)
             self.rate = self._hit_rate()
             repeats = MAX_REPEATS if self.rate <= 0 else 1 if self.rate >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - self.rate))
-            repeats = max(2, min(MAX_REPEATS, repeats))
+            repeats = max(3, min(MAX_REPEATS, repeats))
         self._keys(repeats)
 
     def _keys(self, repeats: int) -> None:
@@ -173,7 +173,11 @@ class Index:
                     most = int((1 - self.similarity) * len(item) + 1e-9)
                     slack = most + 4
                     left = max(0, from_ - slack)
-                    dist, first = best_run(item, docs[d][left:max(0, from_ + len(item) + slack)])
+                    window = docs[d][left:max(0, from_ + len(item) + slack)]
+                    # each item word that the window lacks is an edit: a bound that spares most of the exact checks
+                    if np.count_nonzero(~np.isin(item, window)) > most:
+                        continue
+                    dist, first = best_run(item, window)
                     if dist <= most and (dist, left + first) < out[d].get(no, (1 << 30, 0)):
                         out[d][no] = (dist, left + first)
         return out
