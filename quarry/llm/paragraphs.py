@@ -22,6 +22,7 @@ Connected classes are a cluster; all but its first paragraph are removals.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +38,28 @@ SIMILARITY = 0.8
 BANDS, ROWS = 4, 2
 MIN_WORDS = 6
 UNIT = re.compile(r"[^.!?\n]+")
+#: A stretch of more characters without a sentence end is cut behind words whose hash is divisible by 8.
+LONG = 300
+_WORD = re.compile(r"\S+")
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _MUL = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(6).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _COLS = ["id", "no", "at", "upto", "first_word", "n_words", "h", *(f"b{j}" for j in range(BANDS)), "shingles"]
 
 
+def spans(text: str) -> Iterator[tuple[int, int]]:
+    """Character spans of a text's paragraphs."""
+    for m in UNIT.finditer(text):
+        at, upto = m.span()
+        if upto - at > LONG:
+            for w in _WORD.finditer(text, at, upto):
+                if zlib.crc32(w.group().lower().encode()) % 8 == 0:
+                    yield at, w.end()
+                    at = w.end()
+        if at < upto:
+            yield at, upto
+
+
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per paragraph: document, number, character span, first word and
     number of words, 64-bit hash of its words, band keys and shingle hashes
@@ -58,8 +75,8 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
                 sizes: list[int] = []
                 for d, text in enumerate(b.column("text").to_pylist()):
                     word = k = 0
-                    for m in UNIT.finditer(text):
-                        ws = m.group().lower().encode().translate(_CLEAN).split()
+                    for lo, hi in spans(text):
+                        ws = text[lo:hi].lower().encode().translate(_CLEAN).split()
                         n = len(ws)
                         if n >= min_words:
                             line = b" ".join(ws)
@@ -76,8 +93,8 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
                                 sizes.append(n - SHINGLE + 1)
                             doc.append(d)
                             no.append(k)
-                            at.append(m.start())
-                            upto.append(m.end())
+                            at.append(lo)
+                            upto.append(hi)
                             first.append(word)
                             count.append(n)
                             full.append(xx(line, 1))
@@ -137,7 +154,7 @@ def clusters(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_passage: int = 20,
-             gap: int = 20, min_words: int = MIN_WORDS) -> DataFrame:
+             gap: int = 10, min_words: int = MIN_WORDS) -> DataFrame:
     """``(id_col, paragraph, at, upto, n_words, cluster_doc, cluster_paragraph,
     passage_words, removed)``: a row per paragraph of a repeated passage.
 
