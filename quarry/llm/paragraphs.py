@@ -13,9 +13,10 @@ values a pair of similarity ``s`` meets with probability ``1 - (1 - s**ROWS)**
 BANDS``, 0.98 at 0.8 and nearly 1 at 0.9. Equal paragraphs are one class from
 the start, so a passage that a third of the documents share is one member of
 its buckets. In a bucket of several classes every class is paired with the
-smallest one; pairs are verified by exact Jaccard similarity, and classes of
-one bucket that are not yet connected are paired with each other in a second
-round, so no link inside a bucket is lost to the choice of the first member.
+smallest one and verified by exact Jaccard similarity; classes of one bucket
+that are not yet connected are then compared with each other inside the tasks,
+in blocks, so no link inside a bucket is lost to the choice of the first member
+and no list of all pairs is made.
 Connected classes are a cluster; all but its first paragraph are removals.
 """
 
@@ -37,6 +38,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 4, 2
 MIN_WORDS = 6
+#: Classes of a bucket that a task compares with as many others, at most.
+BLOCK = 1024
 UNIT = re.compile(r"[^.!?\n]+")
 #: A stretch of more characters without a sentence end is cut behind words whose hash is divisible by 8.
 LONG = 300
@@ -144,15 +147,77 @@ def clusters(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     comps = staged(components(edges, kind="para-cc"), "para-comp")
     # classes of one bucket in different components haven't been compared unless one is the first
     m = members.join(comps, F.col("h") == F.col("node"), "left").select("key", "a", "h", F.coalesce("root", "h").alias("root"))
-    mixed = m.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    m = staged(m.where("a <> h").join(mixed, "key"), "para-mixed")
-    left = m.select("key", F.col("h").alias("a"), F.col("root").alias("ra"))
-    right = m.select("key", F.col("h").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "key").where("ra < rb").select("a", "b")
-    more = staged(similar_pairs(rest, shingles, similarity), "para-edges")
+    mixed = m.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n"))
+    mixed = staged(mixed.where("r0 <> r1 AND n > 2").select("key", "n"), "para-mixed")
+    rest = m.where("a <> h").join(mixed, "key").join(shingles, "h").select("key", "n", "h", "root", "s")
+    more = staged(bucket_links(rest, similarity), "para-edges")
     return components(edges.union(more), kind="para-cc")
 
 
+def bucket_links(members: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Verified links ``(a, b)`` between members of a bucket that are in
+    different components (``root``), a spanning forest of them per task.
+
+    A bucket of more than ``block`` classes is cut into blocks by hash, and
+    each pair of its blocks is compared by itself: the work spreads, a task
+    holds two blocks at most, every pair is compared and none is emitted."""
+    blocks = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
+    m = members.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("h"), F.col("nb").cast("long")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    m = m.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "h", "root", "s")
+    dealt = m.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+        out: list[tuple[int, int]] = []
+        for b in batches:
+            for key, x, y, h, root, s in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if (key, x, y) != now:
+                    out += forest(group, similarity)
+                    now, group = (key, x, y), []
+                group.append((h, root, s))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        out += forest(group, similarity)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def forest(group: list[tuple[int, int, list[int]]], similarity: float) -> list[tuple[int, int]]:
+    """Links between members ``(class, component, distinct shingles)`` whose
+    sets are similar, as far as they join different components."""
+    parent: dict[int, int] = {r: r for _, r, _ in group}
+    if len(parent) < 2:
+        return []
+
+    def top(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    holders: dict[int, list[int]] = {}
+    sizes = np.array([len(s) for _, _, s in group])
+    out, open_ = [], len(parent)
+    for i, (h, root, s) in enumerate(group):
+        seen = [j for x in s for j in holders.get(x, ())]
+        if seen:
+            both = np.bincount(seen, minlength=i)
+            for j in np.flatnonzero((both > 0) & (both >= similarity * (sizes[:len(both)] + sizes[i] - both) - 1e-9)).tolist():
+                a, b = top(root), top(group[j][1])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((h, group[j][0]))
+                    open_ -= 1
+            if open_ < 2:
+                break
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    return out
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_passage: int = 20,
              gap: int = 10, min_words: int = MIN_WORDS) -> DataFrame:
     """``(id_col, paragraph, at, upto, n_words, cluster_doc, cluster_paragraph,
