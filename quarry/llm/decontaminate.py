@@ -46,7 +46,7 @@ OTHERS = 1 << 16
 #: Words of items handled in one scan, at most (an item is never cut).
 BLOCK_WORDS = 200_000
 MAX_REPEATS = 12
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 

@@ -42,7 +42,7 @@ SAMPLE = 20_000
 HIDDEN = 32
 #: Tokens whose vectors are gathered at a time; token ids remembered by a worker.
 TOKENS_AT_ONCE = 1 << 18
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 ROWS = BUCKETS + SHAPES
 
 

@@ -36,7 +36,7 @@ from .common import batches_of_bytes, file_system, shared_path, staged
 
 MASK_DELTA = 0xA282EAD8
 #: Words remembered by a worker with their ids.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 END_ID = 2
 NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<QI")
