@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 
-PAIR_ID_STRIDE = 1_000_000  # pair_id = conv_id * stride + turn (turn < stride)
+PAIR_ID_STRIDE = 1_000_000
 
 
 def pair_id(conv: str | Column = "conv_id", turn: str | Column = "turn") -> Column:
-    c = F.col(conv) if isinstance(conv, str) else conv
-    t = F.col(turn) if isinstance(turn, str) else turn
-    return c * F.lit(PAIR_ID_STRIDE) + t
+    """One long per (conversation, turn). Turns below ``PAIR_ID_STRIDE`` of
+    non-negative conversations give ``conv * stride + turn``, readable in
+    results. All others give a negative id from a bijection of the pair (Cantor's,
+    over the turns past the stride), so no two pairs of the two ranges can
+    meet; a pair too large for a long raises an overflow instead of wrapping."""
+    c = (F.col(conv) if isinstance(conv, str) else conv).cast("long")
+    t = (F.col(turn) if isinstance(turn, str) else turn).cast("long")
+    plain = (t >= 0) & (t < PAIR_ID_STRIDE) & (c >= 0)
+
+    def natural(x: Column) -> Column:  # 0, 1, -1, 2, -2 ... -> 0, 1, 2, 3, 4 ...
+        return F.when(x > 0, x * 2 - 1).otherwise(x * -2).cast("decimal(38,0)")
+
+    a, b = natural(c), natural(t)
+    cantor = F.floor((a + b) * (a + b + 1) / 2) + b
+    return F.when(plain, c * F.lit(PAIR_ID_STRIDE) + t).otherwise((-cantor - 1).cast("long"))
 
 
 def with_chapter(turns: DataFrame, n_chapters: int = 27, conv: str = "conv_id") -> DataFrame:

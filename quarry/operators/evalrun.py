@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import py_strip
 from .ranks import rank_within
 
 RESULT_SCHEMA = ("query string, target_text string, response string, inference_time double, "
@@ -18,12 +19,12 @@ def parse_result_lines(lines: DataFrame, value: str = "value", line_no: str = "l
     start with ``{`` after stripping are skipped (a ``Total Time: ...`` line
     can land in result files); lines that fail to parse are returned as
     rejects with their line number instead of stopping the job."""
-    s = F.trim(F.col(value))
+    s = py_strip(F.col(value))
     cand = lines.where(s.startswith("{"))
-    parsed = cand.withColumn("_r", F.from_json(F.col(value), schema, {"mode": "PERMISSIVE"}))
-    ok = F.col("_r").isNotNull() & F.col("_r.query").isNotNull()
-    good = parsed.where(ok).select(line_no, "_r.*")
-    bad = parsed.where(~ok).select(line_no, F.col(value).alias("line"))
+    # null only for malformed JSON: a valid record with a null query is good
+    ok = F.expr(f"try_parse_json(`{value}`)").isNotNull()
+    good = cand.where(ok).select(line_no, F.from_json(s, schema, {"mode": "PERMISSIVE"}).alias("_r")).select(line_no, "_r.*")
+    bad = cand.where(~ok).select(line_no, F.col(value).alias("line"))
     return good, bad
 
 

@@ -89,7 +89,8 @@ def rag_answer(queries: DataFrame, corpus: DataFrame, k: int = fixed.RETRIEVAL_K
     # neighbours are read once here (the answers are materialised next)
     nb = retrieve.knn(qv, cv, "pair_id", "pair_id", k=k, kind="sparse", materialize=False)
     ctx = retrieve.gather(nb, corpus, "pair_id", "pair_id", "target_text")
-    q = queries.join(ctx, on="pair_id", how="inner")
+    # a question without a neighbour keeps its row, with an empty context
+    q = queries.join(ctx, on="pair_id", how="left").withColumn("context", F.coalesce("context", F.lit("")))
     q = q.withColumn("prompt", prompts.rag_prompt("context", "input_text"))
     ans = batch_answer(q, "prompt", model_factory)
     return ans.withColumn("answer_only", parse.answer_only("response"))
@@ -148,7 +149,8 @@ def routed_answer(queries: DataFrame, train: DataFrame, router_outputs: DataFram
         qv = qv_all.join(go.select("pair_id", F.col("route_agent").alias("agent")), on="pair_id")
         nb = retrieve.knn(qv, cv, "pair_id", "pair_id", k=k, kind="sparse", group="agent").drop("agent")
     ctx = retrieve.gather(nb, train, "pair_id", "pair_id", "target_text")
-    spec = go.join(ctx, on="pair_id", how="inner")
+    # a question routed to an agent without train rows keeps its row, with an empty context
+    spec = go.join(ctx, on="pair_id", how="left").withColumn("context", F.coalesce("context", F.lit("")))
     spec = spec.withColumn("prompt", prompts.rag_prompt("context", "input_text", style="agent"))
     ans = batch_answer(spec, "prompt", model_factory)
     ans = ans.withColumn("tool_route", parse.tool_route("response"))

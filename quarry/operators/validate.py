@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import ws_count
 
-_TRUTHY_FALSE = ("", "{}", "[]", "0", "0.0", "false", "null")
-
-
 def _truthy(v: Column) -> Column:
-    """Python truthiness of a JSON value rendered as string."""
-    return v.isNotNull() & ~v.isin(*_TRUTHY_FALSE)
+    """Python truthiness of a VARIANT value, by its type: a string, list or
+    object counts when it isn't empty (also "0", "false" and "null"), a number
+    when it isn't zero, a boolean as it is, null never."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    number = F.try_variant_get(v, "$", "double")
+    return F.coalesce(
+        F.when(kind == "STRING", text != "")
+        .when(kind == "BOOLEAN", text == "true")
+        .when(kind == "VOID", F.lit(False))
+        .when(kind.startswith("OBJECT"), text != "{}")
+        .when(kind.startswith("ARRAY"), text != "[]")
+        .otherwise(number != 0), F.lit(False))
 
 
 def format_errors(lines: DataFrame, value: str = "value", id_col: str | None = None) -> DataFrame:
@@ -39,13 +47,11 @@ def format_errors(lines: DataFrame, value: str = "value", id_col: str | None = N
         role = F.try_variant_get(m, "$.role", "string")
         content_v = F.try_variant_get(m, "$.content", "variant")
         is_str = F.coalesce(F.schema_of_variant(content_v) == "STRING", F.lit(False))
-        content = F.try_variant_get(m, "$.content", "string")
-        fcall = F.try_variant_get(m, "$.function_call", "string")
+        fcall_v = F.try_variant_get(m, "$.function_call", "variant")
         missing_key = ~F.array_contains(keys, "role") | ~F.array_contains(keys, "content")
         unrec_key = F.size(F.array_except(keys, allowed_keys)) > 0
         unrec_role = F.coalesce(~role.isin(*allowed_roles), F.lit(True))
-        content_truthy = is_str & _truthy(content)
-        missing_content = (~content_truthy & ~_truthy(fcall)) | ~is_str
+        missing_content = (~_truthy(content_v) & ~_truthy(fcall_v)) | ~is_str
         tags = F.array(
             F.when(missing_key, F.lit("message_missing_key")),
             F.when(unrec_key, F.lit("message_unrecognized_key")),

@@ -196,9 +196,14 @@ SELECT pair_id,
   NOT (list_contains(json_keys(m), 'role') AND list_contains(json_keys(m), 'content')) AS missing_key,
   len(list_filter(json_keys(m), lambda k: k NOT IN ('role', 'content', 'name', 'function_call', 'weight'))) > 0 AS unrec_key,
   coalesce(json_extract_string(m, '$.role') NOT IN ('system', 'user', 'assistant', 'function'), true) AS unrec_role,
-  (NOT (coalesce(json_type(m, '$.content') = 'VARCHAR', false)
-        AND coalesce(json_extract_string(m, '$.content') NOT IN ('', '{}', '[]', '0', '0.0', 'false', 'null'), false))
-   AND NOT coalesce(json_extract_string(m, '$.function_call') NOT IN ('', '{}', '[]', '0', '0.0', 'false', 'null'), false))
+  (NOT (coalesce(json_type(m, '$.content') = 'VARCHAR', false) AND coalesce(json_extract_string(m, '$.content') <> '', false))
+   AND NOT coalesce(CASE json_type(m, '$.function_call')
+        WHEN 'VARCHAR' THEN json_extract_string(m, '$.function_call') <> ''
+        WHEN 'OBJECT' THEN json_extract_string(m, '$.function_call') <> '{}'
+        WHEN 'ARRAY' THEN json_array_length(m, '$.function_call') > 0
+        WHEN 'BOOLEAN' THEN json_extract_string(m, '$.function_call') = 'true'
+        WHEN 'NULL' THEN false
+        ELSE CAST(json_extract_string(m, '$.function_call') AS DOUBLE) <> 0 END, false))
   OR NOT coalesce(json_type(m, '$.content') = 'VARCHAR', false) AS missing_content,
   coalesce(json_extract_string(m, '$.role') = 'assistant', false) AS is_asst
 FROM chat_msgs""")
@@ -357,7 +362,7 @@ SELECT line_no AS pair_id, json_extract_string(value, '$.query') AS query,
        json_extract_string(value, '$.target_text') AS target_text,
        CAST(json_extract(value, '$.inference_time') AS DOUBLE) AS inference_time
 FROM result_lines
-WHERE starts_with(trim(value), '{') AND json_valid(value) AND json_extract_string(value, '$.query') IS NOT NULL""")
+WHERE regexp_matches(value, '^\\s*\\{') AND json_valid(value)""")
 
 # ---------------------------------------------------------------------------
 # tokens

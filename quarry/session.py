@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -15,28 +16,40 @@ TABLES = (
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "quarry") -> SparkSession:
-    """Session tuned for local runs; on a cluster the submitted conf wins."""
+    """Session tuned for local runs. Whatever ``spark-submit`` (or
+    ``PYSPARK_SUBMIT_ARGS``) has set wins over the defaults here; an explicit
+    argument wins over both."""
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
-    )
-    spark = builder.getOrCreate()
+    defaults = {
+        "spark.master": f"local[{cpus}]",
+        "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": cpus,
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.driver.memory": os.environ.get("QUARRY_DRIVER_MEMORY", "16g"),
+    }
+    asked = {"spark.master": master, "spark.sql.shuffle.partitions": shuffle_partitions}
+    conf = {k: v for k, v in defaults.items() if k not in _submitted()}
+    conf |= {k: str(v) for k, v in asked.items() if v}
+    spark = SparkSession.builder.appName(app).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
 
 
+def _submitted() -> set[str]:
+    """Names of the settings that this application was submitted with."""
+    if "PYSPARK_GATEWAY_PORT" not in os.environ and "PYSPARK_SUBMIT_ARGS" not in os.environ:
+        return set()
+    SparkContext._ensure_initialized()  # the JVM holds the submitted settings
+    return {k for k, _ in SparkConf().getAll()}
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -70,8 +83,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when nothing is configured (local tests) a private folder is
-    created.
+    is. Only when nothing is configured and the master is local (tests) a
+    private folder is created; any other master raises, because executors
+    could not share such a folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -79,6 +93,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="quarry-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", conf_dir)

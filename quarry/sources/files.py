@@ -83,22 +83,14 @@ def read_sections(spark: SparkSession, directory: str, pattern: str = "*.txt") -
                      F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
 
 
-TOPN_SINGLE_TASK_MAX = 10_000
-
-
 def first_sections(df: DataFrame, max_entries: int | None, folder: str = "folder", name: str = "name") -> DataFrame:
-    """Sort by ``(folder, name)`` and keep the first
-    ``max_entries`` (``0``/``None`` = all). The limit is the operator's
-    feature. Up to ``TOPN_SINGLE_TASK_MAX`` Spark plans it as
-    ``TakeOrderedAndProject`` (per-partition top-n, then one merge of n rows
-    per partition); above it the two-level rank keeps rows with
-    ``rank <= n`` without gathering them in one task."""
-    if not max_entries:
-        return df.orderBy(folder, name)
-    if max_entries <= TOPN_SINGLE_TASK_MAX:
-        return df.orderBy(folder, name).limit(max_entries)
-    r = rank_within(df, order=[folder, name], rank_col="_entry")
-    return r.where(F.col("_entry") <= max_entries).drop("_entry")
+    """Sort by ``(folder, name)``, ties by the remaining sortable
+    columns, and keep the first ``max_entries`` (``0``/``None`` = all). The
+    limit is the operator's feature; the result is sorted for any limit, and
+    Spark chooses between per-partition top-n and a global sort."""
+    rest = [c for c, t in df.dtypes if c not in (folder, name) and not t.startswith(("map", "variant"))]
+    ordered = df.orderBy(folder, name, *rest)
+    return ordered.limit(max_entries) if max_entries else ordered
 
 
 def concat_offsets(df: DataFrame, folder: str, order: Sequence[str], text: str,
