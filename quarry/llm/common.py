@@ -50,6 +50,17 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+#: Rows handed to a Python worker at a time. Texts are long: Spark's default of 10,000 rows takes hundreds of MB.
+ROWS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of ``ROWS_PER_BATCH`` rows, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ROWS_PER_BATCH:
+        spark.conf.set(key, ROWS_PER_BATCH)
+
+
 def batches_of_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of rows whose ``column`` holds about
     ``limit`` bytes; a longer value is a run by itself. No row is lost."""

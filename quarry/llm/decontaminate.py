@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, byte_rows
+from .common import batches_of_bytes, byte_rows, small_batches
 
 STEPS = 16
 SAMPLES = 8
@@ -252,6 +252,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 def _scanner(docs: DataFrame, block, similarity: float, recall: float, repeats: int | None, keep: bool, ikind: str):
     if repeats is None:
         repeats = len(Index(block, similarity, recall).walks)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, components, staged
+from .common import batches_of_bytes, components, small_batches, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -69,6 +69,8 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     (32 bits; two different shingles of a pair agree with probability 2**-32)."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xx = xxhash.xxh64_intdigest
         for whole in batches:

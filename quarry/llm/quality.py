@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, need
+from .common import batches_of_bytes, need, small_batches
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 DIM = 48
@@ -94,6 +94,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def context_vectors(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(row, c0 .. )``: summed context vectors over all texts."""
+    small_batches(docs.sparkSession)
     texts = need(docs, [text_col]).toDF("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +114,7 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     l, r = l[ok], r[ok]
                     _add(acc, l, r, pos, sign)
                     _add(acc, r, l, pos, sign)
+        _TOKENS.clear()
         table = acc.reshape(ROWS, DIM).astype(np.int64)
         used = np.flatnonzero(table.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(table[used, j]) for j in range(DIM))],
@@ -253,6 +255,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     score of a document without tokens."""
     cols = [c for c in (columns or docs.columns) if c != score_col]
     hidden = "_text_scored"
+    small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text_col}`").alias(hidden))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -264,6 +267,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 s = net.scores(pooled(ids, net.vectors))
                 out = pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(cols))), pa.array(s)], names=[*cols, score_col])
                 yield out if at_least is None else out.filter(pa.array(s >= at_least))
+        _TOKENS.clear()
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cols)
     return rows.mapInArrow(run, f"{kinds}, `{score_col}` double")

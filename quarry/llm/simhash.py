@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, byte_rows, components, local_forest, need, staged
+from .common import batches_of_bytes, byte_rows, components, local_forest, need, small_batches, staged
 
 SEED = 42
 BITS = 64
@@ -59,6 +59,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp)`` per row; ``fp`` is the fingerprint's 64 bits as a long."""
+    small_batches(docs.sparkSession)
     rows = need(docs, [id_col, text_col]).toDF("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

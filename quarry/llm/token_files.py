@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, file_system, shared_path, staged
+from .common import batches_of_bytes, file_system, shared_path, small_batches, staged
 
 MASK_DELTA = 0xA282EAD8
 #: Words remembered by a worker with their ids.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 END_ID = 2
 NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<QI")
@@ -161,6 +161,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     tokenizer = tokenizer or default_tokenizer()
     fs, inner = file_system(path)
     fs.create_dir(inner, recursive=True)
+    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text_col}`").alias("text"))
     # the text's hash spreads rows of one id (null ids, repeated rows) and fixes their order
     rows = rows.withColumn("tie", F.xxhash64("text"))

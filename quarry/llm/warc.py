@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of_bytes, file_system, shared_path, staged
+from .common import batches_of_bytes, file_system, shared_path, small_batches, staged
 
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -83,6 +83,7 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     path = path or shared_path(spark, "warc")
     fs, inner = file_system(path)
     fs.create_dir(inner, recursive=True)
+    small_batches(spark)
     where = staged(plan(pages, id_col, html_col, min_bytes), "warc-where")
     body = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     rows = pages.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_PAGE)).alias("page_id"), F.col(f"`{url_col}`").alias("url"), body.alias("html"))
