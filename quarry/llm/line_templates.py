@@ -9,7 +9,8 @@ depth: a line goes to the leaf of its number of words and its first ``depth``
 masked words. Inside a leaf, the word that most documents have at a position
 (at least half of them) is constant there, other positions are variable
 fields: that is the leaf's general template. Lines of a leaf that agree with
-it in ``similarity`` of their positions belong to it.
+it in ``similarity`` of their positions (a masked word agrees with a variable
+field) belong to it.
 
 A line is dropped if its mask recurs, or if it belongs to a general template
 whose lines together recur. Lines without a word are never dropped.
@@ -84,7 +85,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     const = const.select("leaf", F.struct("p", F.when(F.col("b.c") * 2 >= F.col("s"), F.col("b.word")).otherwise(WILD).alias("word")).alias("x"))
     general = const.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["word"]).alias("t"))
     general = staged(general, "lines-general")
-    agree = F.aggregate(F.zip_with("w", "t", lambda a, b: F.when((a == b) & (b != WILD), 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    agree = F.aggregate(F.zip_with("w", "t", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
     like = text.join(general, "leaf").where(agree >= F.lit(similarity) * F.size("w") - F.lit(1e-9)).select("leaf", "mh", F.array_join("t", " ").alias("general"))
     like = staged(like, "lines-like")
     spread = occ.join(like.select("leaf", "mh"), ["leaf", "mh"]).groupBy("leaf", "id").agg(F.lit(1).alias("one"))
@@ -145,7 +146,7 @@ const AS (
 general AS (SELECT leaf, list(word ORDER BY p) AS t FROM const GROUP BY leaf),
 liked AS (
   SELECT leaf, m, array_to_string(t, ' ') AS general FROM masks JOIN general USING (leaf)
-  WHERE len(list_filter(list_zip(w, t), lambda x: x[1] = x[2] AND x[2] <> '<*>')) >= 0.8 * len(w) - 1e-9),
+  WHERE len(list_filter(list_zip(w, t), lambda x: x[1] = x[2])) >= 0.8 * len(w) - 1e-9),
 spread AS (SELECT leaf, count(DISTINCT doc_id) AS gdocs FROM l JOIN liked USING (leaf, m) GROUP BY leaf),
 gone AS (
   SELECT k.leaf, k.m, CASE WHEN docs >= coalesce(gdocs, 0) THEN k.m ELSE general END AS template, greatest(docs, coalesce(gdocs, 0)) AS template_docs
