@@ -38,8 +38,10 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 def mask(line: Column) -> Column:
     """The line's words, variable ones replaced, joined by single spaces."""
-    fields = F.regexp_replace(line, _FIELD, WILD)
-    return F.regexp_replace(F.regexp_replace(fields, _SPACE, " "), "^ | $", "")
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, WILD)).otherwise(line)
+    # most lines hold single spaces only: a replacement of every run would copy them for nothing
+    single = F.when(fields.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(fields, _SPACE, " ")).otherwise(fields)
+    return F.trim(single)
 
 
 def masked_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,7 +75,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     wanted = staged(masks.join(leaves.select("leaf"), "leaf"), "lines-wanted")
     # one text per wanted mask: partial aggregation merges copies before the exchange
     text = lines.select(leaf_of(F.col("m"), depth).alias("leaf"), F.xxhash64("m").alias("mh"), "m")
-    text = text.join(wanted.select("leaf", "mh"), ["leaf", "mh"], "left_semi")
+    text = text.join(wanted.select("leaf", "mh").hint("merge"), ["leaf", "mh"], "left_semi")
     text = text.groupBy("leaf", "mh").agg(F.min("m").alias("m"))
     text = staged(text.join(wanted, ["leaf", "mh"]).withColumn("w", F.split("m", " ")), "lines-text")
 
