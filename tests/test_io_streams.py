@@ -131,13 +131,9 @@ def test_answer_text_records(spark, tmp_path):
     assert text == "Model Name: m1\nResponse: yes\nInference Time: 1.23 seconds\n"
 
 
-def test_topn_large_limit_uses_rank(spark):
+def test_topn_is_sorted_for_any_limit(spark):
     from quarry.sources import files as fl
-    df = spark.range(50).select(F.lit("f").alias("folder"), F.format_string("s%03d", "id").alias("name"))
-    old = fl.TOPN_SINGLE_TASK_MAX
-    try:
-        fl.TOPN_SINGLE_TASK_MAX = 5
-        got = sorted(r.name for r in fl.first_sections(df, 20).collect())
-    finally:
-        fl.TOPN_SINGLE_TASK_MAX = old
-    assert got == [f"s{i:03d}" for i in range(20)]
+    df = spark.range(50).select(F.lit("f").alias("folder"), F.format_string("s%03d", "id").alias("name")).repartition(4)
+    for n in (None, 0, 7, 20_000):
+        got = [r["name"] for r in fl.first_sections(df, n).collect()]
+        assert got == [f"s{i:03d}" for i in range(n or 50)][:50]
