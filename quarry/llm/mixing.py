@@ -49,15 +49,25 @@ def fair_targets(sources: DataFrame, budget: float, weight: str = "weight", boun
     return sources.withColumn("target", dealt)
 
 
+def id_hash(c: Column) -> Column:
+    """The hash that shuffles a source's documents; a null id counts as an empty one."""
+    return F.md5(F.coalesce(c.cast("string"), F.lit("")))
+
+
 def queue(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, repeats: int = 2,
-          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None):
+          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None,
+          tie: Column | None = None):
     """``(rows, budget)``: a staged row per document with its place in its
-    source's order, its source's words and target, and the words queued before
-    it; and the total budget. Sources by code point, null last, take the
-    weights in turn."""
+    source's order (by the id's hash, the id and ``tie``, by default the
+    size), its source's words and target, and the words queued before it; and
+    the total budget. Sources by code point, null last, take the weights in
+    turn."""
     sized = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
-                        (size if size is not None else word_count(f"`{text_col}`")).alias("size"))
-    sized = staged(sized.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-size")
+                        (size if size is not None else word_count(f"`{text_col}`")).alias("size"),
+                        *([] if tie is None else [tie.alias("tie")]))
+    if tie is None:
+        sized = sized.withColumn("tie", F.col("size"))
+    sized = staged(sized.withColumn("h", id_hash(F.col("doc_id"))), "mix-size")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     # a source's number: rank by code point, null last (one row per source)
     sources = rank_within(sources, [F.col("source").isNull(), F.col("source").cast("binary")], rank_col="no")
@@ -68,9 +78,9 @@ def queue(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.
     budget = share * total
     sources = fair_targets(sources, budget).select(F.col("source").alias("_s"), "no", "target")
     rows = sized.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rank_within(rows, ["h", "doc_id", "size"], group=["no"], weight="size", rank_col="place",
+    rows = rank_within(rows, ["h", "doc_id", "tie"], group=["no"], weight="size", rank_col="place",
                        prefix_col="before", total_col="source_size")
-    return staged(rows.select("doc_id", "source", "size", "source_size", "target", "no", "place", "before"), "mix-queue"), budget
+    return staged(rows.select("doc_id", "source", "size", "tie", "source_size", "target", "no", "place", "before"), "mix-queue"), budget
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, repeats: int = 2,
@@ -112,16 +122,36 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
                     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix takes them, with all their columns: a document
     appears as often as the mix takes it and not at all if it takes none of it.
-    Rows of one id (also of a null id) count as one document of the words of them all."""
+    Rows that agree in id (or its absence), source and bytes of text count as
+    one document of the words of them all; texts without a word count as
+    texts of no bytes and are taken once at most.
+
+    The mix ends at one finish time, so it takes the first documents of each
+    source's order: up to one place for the first copies, to another for the
+    second. Those places are a row per source, and a document's copies follow
+    from its own id, source and bytes while it is read. Texts are not shuffled.
+    """
+    t = F.col(f"`{text_col}`")
+    tie = F.when(t.rlike(r"[^\x20\x09-\x0D]"), F.octet_length(t)).otherwise(0)
     sized = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
-                        word_count(f"`{text_col}`").alias("size"))
-    sized = sized.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("size").alias("size"))
-    rows, budget = queue(sized, weights, share, repeats, size=F.col("size"))
-    used = _serve(rows, budget, repeats).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    used = staged(used.withColumnRenamed("doc_id", "_id"), "mix-used")
+                        tie.alias("tie"), word_count(t).alias("size"))
+    sized = sized.groupBy("doc_id", "source", "tie").agg(F.sum("size").alias("size"))
+    rows, budget = queue(sized, weights, share, repeats, size=F.col("size"), tie=F.col("tie"))
+    last = staged(_serve(rows, budget, repeats).groupBy("no", "copy").agg(F.max("place").alias("place")), "mix-last")
+
+    def key(doc_id: Column, tie: Column) -> Column:
+        return F.struct(id_hash(doc_id).alias("h"), doc_id.alias("id"), tie.alias("tie"))
+
+    ends = rows.join(last, ["no", "place"]).withColumn("key", key(F.col("doc_id"), F.col("tie")))
+    ends = ends.groupBy(F.col("source").alias("_mix_source")).agg(
+        *[F.max(F.when(F.col("copy") == c, F.col("key"))).alias(f"_mix_end{c}") for c in range(1, repeats + 1)])
+    ends = staged(ends, "mix-ends")
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.join(used, docs[id_col].eqNullSafe(used["_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
+    out = docs.withColumn("_mix_key", key(F.col(f"`{id_col}`"), tie))
+    out = out.join(ends, F.col(f"`{source_col}`").eqNullSafe(F.col("_mix_source")))
+    taken = [(F.col("_mix_key") <= F.col(f"_mix_end{c}")) & (F.lit(c == 1) | (F.col("_mix_key.tie") > 0)) for c in range(1, repeats + 1)]
+    copies = F.filter(F.array(*[F.when(x, c) for c, x in enumerate(taken, 1)]), lambda c: c.isNotNull())
+    return out.withColumn("_mix_copy", F.explode(copies)).select(*cols)
 
 
 #: DuckDB SQL for :func:`taken` with its default parameters, over a relation ``documents``.

@@ -66,6 +66,29 @@ def test_mix_near_target_and_documents(spark):
     assert sum(mixed[r.doc_id] * r.size for r in got.itertuples()) == got["taken"].sum()
 
 
+def test_mixed_documents_edge_cases(spark, odd):
+    rows = Counter((r["doc_id"], r["text"], r["source"]) for r in odd.collect())
+    got = mixing.mixed_documents(odd)
+    assert got.columns == odd.columns
+    mixed = Counter((r["doc_id"], r["text"], r["source"]) for r in got.collect())
+    assert set(mixed) <= set(rows)
+    assert all(n % rows[k] == 0 and n // rows[k] <= (2 if count_words(k[1]) else 1) for k, n in mixed.items())
+    words = sum(n * count_words(k[1]) for k, n in mixed.items())
+    assert 0 < words <= 1.5 * sum(n * count_words(k[1]) for k, n in rows.items())
+    again = mixing.mixed_documents(odd.repartition(5)).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in again) == mixed
+
+
+def test_mixed_documents_null_ids_of_one_source(spark):
+    """A third of all rows without an id: each text is a document of its own."""
+    docs = frame(spark, [(None if i % 3 == 0 else i, prose(i, 5 + i), f"s{i % 2}") for i in range(120)])
+    want = {r["size"]: r["taken"] for r in mixing.taken(docs).collect()}
+    mixed = Counter(count_words(r["text"]) for r in mixing.mixed_documents(docs).collect())
+    total = sum(want)
+    assert abs(sum(k * n for k, n in mixed.items()) - sum(want.values())) <= 125
+    assert 1.5 * total - 125 <= sum(k * n for k, n in mixed.items()) <= 1.5 * total
+
+
 def test_mix_empty(spark):
     none = frame(spark, [])
     assert mixing.taken(none).count() == 0
