@@ -129,7 +129,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     The mix ends at one finish time, so it takes the first documents of each
     source's order: up to one place for the first copies, to another for the
     second. Those places are a row per source, and a document's copies follow
-    from its own id, source and bytes while it is read. Texts are not shuffled.
+    from its own id, source and bytes while it is read. Texts are shuffled only
+    if the sources are too many for Spark to broadcast their rows.
     """
     t = F.col(f"`{text_col}`")
     tie = F.when(t.rlike(r"[^\x20\x09-\x0D]"), F.octet_length(t)).otherwise(0)
