@@ -1,11 +1,16 @@
 """Substring dedup: paragraph MinHash banding with exact Jaccard checks.
 
 A passage copied into another text rarely begins or ends at a line break, so
-the paragraphs compared here are the smallest units that come out alike
-wherever a passage stands: the stretches between sentence ends and line breaks,
-of at least ``MIN_WORDS`` words. Chains of repeated paragraphs in a document,
-with gaps of ``gap`` words at most, make up its repeated passages; passages
-shorter than ``min_passage`` words are left alone.
+the paragraphs compared here are cut by the words around each place alone: a
+place is a cut if it comes first among the ``MIN_WORDS - 1`` places on either
+side, sentence ends before others and then by a hash of the words that meet
+there. Line breaks, the length of a sentence and what stands farther away play
+no part, so two copies have the same cuts from ``MIN_WORDS - 1`` words inside
+their ends. Paragraphs have at least ``MIN_WORDS`` words (unless the text has
+fewer) and leave no word out: short sentences are joined, long ones are cut.
+Chains of repeated paragraphs in a document, with gaps of ``gap`` words at
+most, make up its repeated passages; passages shorter than ``min_passage``
+words are left alone.
 
 Each paragraph has a MinHash signature over its shingles of five words (case
 and ASCII punctuation aside), cut into bands. With ``BANDS`` bands of ``ROWS``
@@ -22,7 +27,6 @@ Connected classes are a cluster; all but its first paragraph are removals.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,27 +44,56 @@ BANDS, ROWS = 4, 2
 MIN_WORDS = 6
 #: Classes of a bucket that a task compares with as many others, at most.
 BLOCK = 1024
-UNIT = re.compile(r"[^.!?\n]+")
-#: A stretch of more characters without a sentence end is cut behind words whose hash is divisible by 8.
-LONG = 300
-_WORD = re.compile(r"\S+")
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+_IS_WORD = np.array([c != 32 for c in _CLEAN])
+_IS_END = np.isin(np.arange(256), list(b".!?"))
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MUL = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(6).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _COLS = ["id", "no", "at", "upto", "first_word", "n_words", "h", *(f"b{j}" for j in range(BANDS)), "shingles"]
 
 
-def spans(text: str) -> Iterator[tuple[int, int]]:
-    """Character spans of a text's paragraphs."""
-    for m in UNIT.finditer(text):
-        at, upto = m.span()
-        if upto - at > LONG:
-            for w in _WORD.finditer(text, at, upto):
-                if zlib.crc32(w.group().lower().encode()) % 8 == 0:
-                    yield at, w.end()
-                    at = w.end()
-        if at < upto:
-            yield at, upto
+def cuts(words: list[bytes], ends: np.ndarray, min_words: int) -> np.ndarray:
+    """Numbers of the words that begin a paragraph; ``ends`` tells of each word
+    whether a sentence ends behind it."""
+    near = max(1, min_words - 1)
+    if len(words) <= 2 * near + 1:
+        return np.zeros(1, np.int64)
+    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    h = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h = (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(1) | np.uint64(1)
+    h[~ends[:-1]] |= np.uint64(1 << 63)
+    # the text's own ends come before all other places
+    edge = np.zeros(near, np.uint64)
+    low = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, h, edge]), near).min(axis=1)
+    first = np.r_[0, np.flatnonzero((h < low[:len(h)]) & (h <= low[near + 1:])) + 1, len(words)]
+    # words repeated over and over leave no place before the others; pieces of them have the same shingles wherever they begin
+    step = 4 * (near + 1)
+    more = [np.arange(x + step, y - step + 1, step) for x, y in zip(first[:-1], first[1:], strict=True) if y - x > 2 * step]
+    return np.sort(np.concatenate([first[:-1], *more]))
+
+
+def paragraphs_of(text: str, min_words: int = MIN_WORDS) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """A text's words, the number of each paragraph's first word, and the
+    character offsets at which paragraphs begin and the last one ends. A
+    paragraph holds the punctuation directly behind its last word and the white
+    space before its first."""
+    words = text.lower().encode().translate(_CLEAN).split()
+    if not words:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    inside = _IS_WORD[raw].astype(np.int8)
+    step = np.diff(inside, prepend=0, append=0)
+    starts, stops = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    seen = np.concatenate([[0], np.cumsum(_IS_END[raw])])
+    after = np.r_[starts[1:], len(raw)]
+    first = cuts(words, seen[after] > seen[stops], min_words)
+    last = np.r_[first[1:], len(words)] - 1
+    space = np.r_[np.flatnonzero(_IS_SPACE[raw]), len(raw)]
+    close = np.minimum(after[last], space[np.searchsorted(space, stops[last])])
+    chars = np.concatenate([[0], np.cumsum(raw & 0xC0 != 0x80)])
+    return words, first, np.r_[0, chars[close]]
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -79,31 +112,28 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
                 hashes: list[int] = []
                 sizes: list[int] = []
                 for d, text in enumerate(b.column("text").to_pylist()):
-                    word = k = 0
-                    for lo, hi in spans(text):
-                        ws = text[lo:hi].lower().encode().translate(_CLEAN).split()
-                        n = len(ws)
-                        if n >= min_words:
-                            line = b" ".join(ws)
-                            if n <= SHINGLE:
-                                hashes.append(xx(line))
-                                sizes.append(1)
-                            else:
-                                ends, e = [], -1
-                                for w in ws:
-                                    e += len(w) + 1
-                                    ends.append(e)
-                                begins = [0, *[x + 1 for x in ends[:n - SHINGLE]]]
-                                hashes += [xx(line[x:y]) for x, y in zip(begins, ends[SHINGLE - 1:], strict=True)]
-                                sizes.append(n - SHINGLE + 1)
-                            doc.append(d)
-                            no.append(k)
-                            at.append(lo)
-                            upto.append(hi)
-                            first.append(word)
-                            count.append(n)
-                            full.append(xx(line, 1))
-                        word, k = word + n, k + 1
+                    words, begins_at, offsets = paragraphs_of(text, min_words)
+                    if not words:
+                        continue
+                    line = b" ".join(words)
+                    e = np.cumsum([len(w) + 1 for w in words])
+                    stop, start = (e - 1).tolist(), [0, *e[:-1].tolist()]
+                    froms, chars = begins_at.tolist(), offsets.tolist()
+                    for k, (x, y) in enumerate(zip(froms, [*froms[1:], len(words)], strict=True)):
+                        n = y - x
+                        if n <= SHINGLE:
+                            hashes.append(xx(line[start[x]:stop[y - 1]]))
+                            sizes.append(1)
+                        else:
+                            hashes += [xx(line[p:q]) for p, q in zip(start[x:y - SHINGLE + 1], stop[x + SHINGLE - 1:y], strict=True)]
+                            sizes.append(n - SHINGLE + 1)
+                        doc.append(d)
+                        no.append(k)
+                        at.append(chars[k])
+                        upto.append(chars[k + 1])
+                        first.append(x)
+                        count.append(n)
+                        full.append(xx(line[start[x]:stop[y - 1]], 1))
                 if not doc:
                     continue
                 h = np.array(hashes, np.uint64)
@@ -261,7 +291,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     joined = docs.join(spans, docs[id_col] == spans["_id"], "left")
     # pieces between spans: from one span's end to the next one's start
     t = F.col(text_col)
-    starts = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["upto"] + 1))
+    starts = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["upto"]))
     ends = F.concat(F.transform("_spans", lambda s: s["at"]), F.array(F.length(t)))
     pieces = F.zip_with(starts, ends, lambda a, b: F.substring(t, a + 1, F.greatest(b - a, F.lit(0))))
     return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), t).otherwise(F.array_join(pieces, ""))).select(*docs.columns)

@@ -418,6 +418,42 @@ def test_repeated_passages(spark):
     assert paragraphs.repeated(frame(spark, [])).count() == 0
 
 
+def varied(seed, n):
+    return [f"w{k}" for k in np.random.default_rng(seed).integers(0, 3000, n)]
+
+
+def test_paragraphs_leave_no_word_out():
+    text = "Éa\u0130 b-c, d! " + "e. " * 9 + "\n\n(f g) " + " ".join(varied(1, 400)) + " no" * 300 + " end?\n"
+    for min_words in (2, 6, 9):
+        words, first, offsets = paragraphs.paragraphs_of(text, min_words)
+        assert b" ".join(words).decode() == " ".join(re.findall("[0-9a-z\u0080-\U0010ffff]+", text.lower()))
+        sizes = np.diff(np.r_[first, len(words)])
+        assert first[0] == 0 and offsets[0] == 0 and min_words <= sizes.min() and sizes.max() < 60
+        pieces = [text[x:y] for x, y in zip(offsets, offsets[1:])]
+        assert "".join(pieces) == text.rstrip("\n")
+        assert [len(re.findall("[0-9a-z\u0080-\U0010ffff]+", p.lower())) for p in pieces] == sizes.tolist()
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in paragraphs.paragraphs_of(" .\n")] == [[], [], []]
+
+
+def test_passages_of_any_punctuation_are_found(spark):
+    w = varied(2, 80)
+    by_five = " ".join(x + "." * (k % 5 == 4) for k, x in enumerate(w))
+    lines = "\n".join(" ".join(w[k:k + 4]) for k in range(0, 80, 4))
+    for one, two in ((by_five, by_five), (" ".join(w), lines), (" ".join(w), " ".join(w))):
+        # once between sentences, once in a text without any sentence end
+        rows = [(1, f"{' '.join(varied(3, 9))}. {one}. {' '.join(varied(4, 9))}.", "s"),
+                (2, f"{' '.join(varied(5, 400))} {two} {' '.join(varied(6, 400))}", "s"), (3, " ".join(varied(7, 300)), "s")]
+        docs = frame(spark, rows)
+        got = paragraphs.repeated(docs).collect()
+        assert {r["doc_id"] for r in got} == {1, 2} and {r["cluster_doc"] for r in got} == {1}
+        assert all(r["passage_words"] >= 50 for r in got)
+        left = {r["doc_id"]: r["text"] for r in paragraphs.remove(docs).collect()}
+        assert left[1] == rows[0][1] and left[3] == rows[2][1]
+        kept = left[2].split()
+        # a paragraph across the passage's end goes if four fifths of its shingles are the other's
+        assert kept[:396] == varied(5, 400)[:396] and kept[-396:] == varied(6, 400)[4:] and len(kept) <= 830
+
+
 def test_bucket_links_blocks_compare_every_pair(spark):
     r = np.random.default_rng(8)
     sets = [sorted(set(r.integers(0, 14, 9).tolist())) for _ in range(60)]
