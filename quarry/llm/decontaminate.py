@@ -14,8 +14,14 @@ places: edit distance becomes Hamming distance.
 among them). Keys are taken at every word of every document and at every word
 of every item from which the walk stays inside the item, so an item-sized
 window is met by all of its own sub-walks. ``repeats`` independent walks are
-used; their number follows from the hit rate measured on items with random
-edits at the threshold and the wanted recall.
+used; their number follows from the wanted recall and the lowest hit rate of
+any length class, measured on the class's shortest items with edits at the
+threshold, random ones and evenly spread ones.
+
+**Pieces.** Items too short for the walk (under ``STEPS`` words), and classes
+that would need more than ``MAX_REPEATS`` walks, are found exactly: an item that
+allows ``k`` edits is cut into ``k + 1`` pieces, one of which every matching run
+holds unedited.
 
 **Verification.** Each hit gives an alignment; the exact word edit distance of
 the item to the best run around it decides.
@@ -45,8 +51,10 @@ SAMPLES = 8
 OTHERS = 1 << 16
 #: Words of items handled in one scan, at most (an item is never cut).
 BLOCK_WORDS = 200_000
-MAX_REPEATS = 12
+#: A length class that needs more walks is found by its pieces: exactly, and with less work than that many walks.
+MAX_REPEATS = 3
 REMEMBERED = 1 << 18
+HITS_AT_ONCE = 1 << 20
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -71,7 +79,8 @@ class _Ids(dict):
 class Index:
     """Keys of a block of items. Id 0 stands past a sequence's end."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], similarity: float, recall: float, repeats: int | None = None):
+    def __init__(self, items: list[tuple[int, list[bytes]]], similarity: float, recall: float, repeats: int | None = None,
+                 walked: frozenset[int] | None = None):
         self.similarity = similarity
         vocabulary: dict[bytes, int] = {}
         for _, ws in items:
@@ -79,25 +88,82 @@ class Index:
                 vocabulary.setdefault(w, len(vocabulary) + 1)
         self.vocabulary = vocabulary
         self.items = [(i, np.array([vocabulary[w] for w in ws], np.int64)) for i, ws in items if ws]
-        self.rate = None
-        if repeats is None:
-            self._keys(2)
-            self.rate = self._hit_rate()
-            repeats = MAX_REPEATS if self.rate <= 0 else 1 if self.rate >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - self.rate))
-            repeats = max(3, min(MAX_REPEATS, repeats))
-        self._keys(repeats)
-
-    def _keys(self, repeats: int) -> None:
+        classes = sorted({length_class(len(x)) for _, x in self.items if len(x) >= STEPS})
+        self.rates: dict[int, float] = {}
+        if walked is None:
+            walked = frozenset(classes)
+            if repeats is None:
+                self._keys(2, walked)
+                self.rates = {c: self._hit_rate(c) for c in classes}
+                wanted = {c: walks_for(r, recall) for c, r in self.rates.items()}
+                walked = frozenset(c for c, n in wanted.items() if n <= MAX_REPEATS)
+                repeats = max([3, *(wanted[c] for c in walked)])
+        self.walked, self.repeats = walked, repeats if repeats is not None else 3
+        self._keys(self.repeats, walked)
+        self._pieces(walked)
+
+    def _is_walked(self, item: np.ndarray, walked: frozenset[int]) -> bool:
+        return len(item) >= STEPS and length_class(len(item)) in walked
+
+    def _most(self, item: np.ndarray) -> int:
+        """Edits that an item allows."""
+        return int((1 - self.similarity) * len(item) + 1e-9)
+
+    def _pieces(self, walked: frozenset[int]) -> None:
+        """Key tables of the pieces of all items that aren't walked, by piece length."""
+        mine = [no for no, (_, x) in enumerate(self.items) if not self._is_walked(x, walked)]
+        self.piece_first = np.zeros(len(self.vocabulary) + 1 + OTHERS, bool)
+        self.prefixes: list[np.ndarray] = []
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        if not mine:
+            return
+        flat = np.concatenate([self.items[no][1] for no in mine])
+        cuts = []
+        for no in mine:
+            n = len(self.items[no][1])
+            parts = min(self._most(self.items[no][1]) + 1, n)
+            cuts.append(np.arange(parts + 1) * n // parts)
+        at, size = np.concatenate([c[:-1] for c in cuts]), np.concatenate([np.diff(c) for c in cuts])
+        owner = np.repeat(mine, [len(c) - 1 for c in cuts])
+        start = at + np.repeat(np.cumsum([0, *(c[-1] for c in cuts[:-1])]), [len(c) - 1 for c in cuts])
+        self.piece_first[flat[start]] = True
+        key = np.zeros(len(start), np.uint64)
+        for q in range(1, int(size.max()) + 1):
+            key = mixed(key, flat[start + q - 1])
+            self.prefixes.append(np.unique(key))
+            ends = np.flatnonzero(size == q)
+            if len(ends):
+                ends = ends[np.argsort(key[ends], kind="stable")]
+                self.tables[q] = key[ends], owner[ends], at[ends]
+            more = size > q
+            key, start, size, owner, at = key[more], start[more], size[more], owner[more], at[more]
+
+    def _piece_hits(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions in ``x`` at which pieces stand, their items and places in the items."""
+        s = np.flatnonzero(self.piece_first[x])
+        key = np.zeros(len(s), np.uint64)
+        for q, prefix in enumerate(self.prefixes, 1):
+            near = s + q <= len(x)
+            s, key = s[near], key[near]
+            key = mixed(key, x[s + q - 1])
+            ok = prefix[np.minimum(np.searchsorted(prefix, key), len(prefix) - 1)] == key
+            s, key = s[ok], key[ok]
+            if q in self.tables:
+                keys, owner, at = self.tables[q]
+                yield from hits(s, key, keys, owner, at)
+
+    def _keys(self, repeats: int, walked: frozenset[int]) -> None:
         n = len(self.vocabulary) + 1 + OTHERS
         rng = np.random.default_rng(20)
         self.walks = []
         for _ in range(repeats):
             steps = np.r_[0, np.sort(rng.choice(np.arange(1, STEPS), SAMPLES - 1, replace=False))]
             self.walks.append({"steps": steps, "bits": rng.integers(0, 1 << STEPS, n, dtype=np.uint32)})
-        lengths = [len(x) for _, x in self.items]
-        flat = np.concatenate([np.r_[x, np.zeros(STEPS, np.int64)] for _, x in self.items]) if self.items else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(self.items)), np.array(lengths, int) + STEPS) if self.items else np.zeros(0, int)
-        at = np.concatenate([np.arange(k + STEPS) for k in lengths]) if self.items else np.zeros(0, int)
+        mine = [no for no, (_, x) in enumerate(self.items) if self._is_walked(x, walked)]
+        lengths = [len(self.items[no][1]) for no in mine]
+        flat = np.concatenate([np.r_[self.items[no][1], np.zeros(STEPS, np.int64)] for no in mine]) if mine else np.zeros(0, np.int64)
+        owner = np.repeat(np.array(mine, int), np.array(lengths, int) + STEPS)
+        at = np.concatenate([np.arange(k + STEPS) for k in lengths]) if mine else np.zeros(0, int)
         starts = np.flatnonzero(flat > 0)
         self.first = np.zeros(n, bool)
         self.first[flat[starts]] = True
@@ -131,23 +197,33 @@ class Index:
             here = here + ((w["bits"][sym] >> np.uint32(t)) & np.uint32(1))
         return s, key, got
 
-    def _hit_rate(self) -> float:
-        """Share of items (at most 60 of them, edited at random in ``1 -
-        similarity`` of their words) that one walk meets."""
-        rng, hit, n = np.random.default_rng(21), 0, 0
-        for no, (_, x) in enumerate(self.items[:60]):
+    def _hit_rate(self, length: int) -> float:
+        """Share of the shortest items of a length class that one walk meets,
+        edited in ``1 - similarity`` of their words: the lower of random edits
+        and substitutions at even distances, at least 100 trials of each,
+        less two standard errors."""
+        rng = np.random.default_rng([21, length])
+        mine = sorted((len(x), no) for no, (_, x) in enumerate(self.items) if len(x) >= STEPS and length_class(len(x)) == length)[:60]
+        rounds = -(-100 // (len(mine) * len(self.walks)))
+        hit, n = [0, 0], 0
+        for _, no in mine * rounds:
+            x = self.items[no][1]
+            most = self._most(x)
+            other = len(self.vocabulary) + 1 + rng.integers(0, OTHERS, 2 * most)
             y = list(x)
-            for _ in range(int((1 - self.similarity) * len(x))):
-                p, kind = int(rng.integers(0, len(y))), int(rng.integers(0, 3))
-                other = int(len(self.vocabulary) + 1 + rng.integers(0, OTHERS))
-                y[p:p + 1] = [other] if kind == 0 else [] if kind == 1 else [y[p], other]
-            z = np.r_[np.array(y, np.int64), np.zeros(STEPS, np.int64)]
-            for w in self.walks:
-                s, key, _ = self._walk(z, np.flatnonzero(self.first[z]), w, w["prefix"])
-                lo, hi = np.searchsorted(w["sorted"], key), np.searchsorted(w["sorted"], key, side="right")
-                hit += any((w["owner"][a:b] == no).any() for a, b in zip(lo, hi, strict=True))
-                n += 1
-        return hit / max(1, n)
+            for o in other[:most].tolist():
+                p, kind = int(rng.integers(0, max(1, len(y)))), int(rng.integers(0, 3))
+                y[p:p + 1] = [o] if kind == 0 else [] if kind == 1 else [*y[p:p + 1], o]
+            even = x.copy()
+            even[(np.arange(most) + 1) * len(x) // (most + 1)] = other[most:]
+            for k, edited in enumerate((np.array(y, np.int64), even)):
+                z = np.r_[edited, np.zeros(STEPS, np.int64)]
+                for w in self.walks:
+                    s, key, _ = self._walk(z, np.flatnonzero(self.first[z]), w, w["prefix"])
+                    hit[k] += bool((np.concatenate([no_ for _, no_, _ in hits(s, key, w["sorted"], w["owner"], w["at"])] or [[]]) == no).any())
+            n += len(self.walks)
+        rate = min(hit) / n
+        return max(0.0, rate - 2 * math.sqrt(rate * (1 - rate) / n))  # less two standard errors of the trials
 
     def scan(self, docs: list[np.ndarray]) -> list[dict[int, tuple[int, int]]]:
         """Per document ``{item number: (distance, first word)}`` of its best match."""
@@ -157,32 +233,76 @@ class Index:
         begin = np.cumsum([0, *(len(d) + 1 for d in docs)])
         x = np.concatenate([*(y for d in docs for y in (d, [0])), np.zeros(STEPS, np.int64)]).astype(np.int64)
         starts = np.flatnonzero(self.first[x])
+
+        def spots() -> Iterator[tuple[int, int, int]]:
+            def met() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                yield from self._piece_hits(x)
+                for w in self.walks:
+                    s, key, _ = self._walk(x, starts, w, w["prefix"])
+                    yield from hits(s, key, w["sorted"], w["owner"], w["at"])
+
+            for p, no, at in met():
+                doc = np.searchsorted(begin, p, side="right") - 1
+                # alignments less than 4 words apart are one check
+                spot = (p - begin[doc] - at) // 4
+                order = np.lexsort((spot, no, doc))
+                doc, no, spot = doc[order], no[order], spot[order]
+                new = np.r_[True, (np.diff(doc) != 0) | (np.diff(no) != 0) | (np.diff(spot) != 0)]
+                yield from zip(doc[new].tolist(), no[new].tolist(), spot[new].tolist(), strict=True)
+
         seen: set[tuple[int, int, int]] = set()
-        for w in self.walks:
-            s, key, _ = self._walk(x, starts, w, w["prefix"])
-            lo, hi = np.searchsorted(w["sorted"], key), np.searchsorted(w["sorted"], key, side="right")
-            doc = np.searchsorted(begin, s, side="right") - 1
-            for p, a, b, d in zip(s.tolist(), lo.tolist(), hi.tolist(), doc.tolist(), strict=True):
-                for k in range(a, b):
-                    no, from_ = int(w["owner"][k]), p - int(begin[d]) - int(w["at"][k])
-                    spot = (d, no, from_ // 4)
-                    if spot in seen or out[d].get(no, (1,))[0] == 0:
-                        continue
-                    seen.add(spot)
-                    item = self.items[no][1]
-                    most = int((1 - self.similarity) * len(item) + 1e-9)
-                    slack = most + 4
-                    left = max(0, from_ - slack)
-                    window = docs[d][left:max(0, from_ + len(item) + slack)]
-                    # each item word that the window lacks is an edit: a bound that spares most of the exact checks
-                    if np.count_nonzero(~np.isin(item, window)) > most:
-                        continue
-                    dist, first = best_run(item, window)
-                    if dist <= most and (dist, left + first) < out[d].get(no, (1 << 30, 0)):
-                        out[d][no] = (dist, left + first)
+        for place in spots():
+            if place in seen:
+                continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(place)
+            d, no, from_ = place[0], place[1], place[2] * 4
+            item = self.items[no][1]
+            most = self._most(item)
+            slack = most + 4
+            left = max(0, from_ - slack)
+            best = out[d].get(no)
+            if best and best[0] == 0 and best[1] <= left:
+                continue
+            window = docs[d][left:max(0, from_ + len(item) + slack)]
+            # each item word that the window lacks is an edit: a bound that spares most of the exact checks
+            if np.count_nonzero(~np.isin(item, window)) > most:
+                continue
+            dist, first = best_run(item, window)
+            if dist <= most and (dist, left + first) < out[d].get(no, (1 << 30, 0)):
+                out[d][no] = (dist, left + first)
         return out
 
 
+def length_class(words: int) -> int:
+    return words.bit_length()
+
+
+def walks_for(rate: float, recall: float) -> float:
+    """Independent walks of that hit rate that reach the recall together."""
+    return math.inf if rate <= 0 else 1 if rate >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - rate)) if recall < 1 else math.inf
+
+
+def mixed(key: np.ndarray, sym: np.ndarray) -> np.ndarray:
+    key = (key ^ sym.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(29))
+
+
+def hits(s: np.ndarray, key: np.ndarray, keys: np.ndarray, owner: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every meeting of ``key`` with the sorted ``keys``, about ``HITS_AT_ONCE``
+    at a time: start, item, place in the item."""
+    lo = np.searchsorted(keys, key)
+    n = np.searchsorted(keys, key, side="right") - lo
+    some = n > 0
+    s, lo, n = s[some], lo[some], n[some]
+    group = np.cumsum(n) // HITS_AT_ONCE
+    for a, b in zip(*(e.tolist() for e in (np.flatnonzero(np.diff(group, prepend=-1)), np.flatnonzero(np.diff(group, append=-1)) + 1)), strict=True):
+        m = n[a:b]
+        k = np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        yield np.repeat(s[a:b], m), owner[k], at[k]
+
+
 def best_run(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """Smallest edit distance of ``item`` to a run of ``window``, and the run's first position."""
     n = len(window)
@@ -250,13 +370,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
 
 def _scanner(docs: DataFrame, block, similarity: float, recall: float, repeats: int | None, keep: bool, ikind: str):
-    if repeats is None:
-        repeats = len(Index(block, similarity, recall).walks)
+    plan = Index(block, similarity, recall, repeats)
+    repeats, walked = plan.repeats, plan.walked
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, similarity, recall, repeats)
+        index = Index(shared.value, similarity, recall, repeats, walked)
         ids = _Ids(index.vocabulary)
         col = "_text_scanned" if keep else "text"
         for whole in batches:

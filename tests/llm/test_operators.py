@@ -207,6 +207,28 @@ def test_decontamination_finds_exact_and_edited(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_keeps_its_recall_at_every_length():
+    r = np.random.default_rng(12)
+    word = [b"w%d" % k for k in range(5000)]
+    items, docs, want, lengths = [], [], [], [1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 16, 20, 31, 40, 90]
+    for n in [*lengths, *[120] * 60]:
+        for kind in ("exact", "random", "even"):
+            ws = [word[k] for k in r.integers(0, 5000, n)]
+            items.append((len(items), ws))
+            most, y = int(0.2 * n + 1e-9), list(ws)
+            for p in r.integers(0, n, most) if kind == "random" else (np.arange(most) + 1) * n // (most + 1) if kind == "even" else ():
+                y[p] = b"changed"
+            docs.append([b"before"] * 30 + y + [b"behind"] * 30)
+    index = decontaminate.Index(items, 0.8, 0.99)
+    ids = decontaminate._Ids(index.vocabulary)
+    found = index.scan([np.array([ids[w] for w in d], np.int64) for d in docs])
+    assert [d for d, f in enumerate(found[:3 * len(lengths)]) if d not in f] == []
+    assert sum(d in f for d, f in enumerate(found)) >= 0.99 * len(found)
+    # a common piece meets all its items, in any number of portions
+    got = [list(map(np.ndarray.tolist, h)) for h in decontaminate.hits(np.arange(3), np.array([5, 6, 5], np.uint64), np.array([4, 5, 5], np.uint64), np.arange(3), np.arange(3))]
+    assert got == [[[0, 0, 2, 2], [1, 2, 1, 2], [1, 2, 1, 2]]]
+
+
 # token files
 
 def test_tokens_round_trip(spark, odd):
