@@ -14,7 +14,8 @@ lower and an upper bound of every score.
    after which the k-th result is certain.
 
 Components are integers, so bounds and scores are exact. Equal vectors are
-scanned once: only the ``k + 1`` smallest ids of each can be among the results.
+scanned once: only the ``k + 1`` smallest distinct ids of each can be among the
+results, each as often as it occurs, ``k`` times at most.
 """
 
 from __future__ import annotations
@@ -60,23 +61,25 @@ def va_scan(queries: DataFrame, va: DataFrame, low: np.ndarray, width: np.ndarra
         out = []
         if len(qs) and len(cs):
             codes = np.frombuffer(b"".join(cs["code"]), np.uint8).reshape(len(cs), -1)
-            cls, own, size = cs["cls"].to_numpy(), qs["cls"].to_numpy(), cs["ids"].to_numpy()
+            cls, qid = cs["cls"].to_numpy(), qs["query_id"].to_numpy()
+            only = np.where(cs["ids"] < 2, cs["low"], 0), (cs["ids"] < 2).to_numpy()
             mat = np.stack(qs["vec"].to_numpy()).astype(np.float64)
             step = max(1, PAIRS_AT_ONCE // len(cs))
             for at in range(0, len(qs), step):
                 lo, up = _bounds(mat[at:at + step], codes, low, width)
+                # a class that holds the query's own id only has no result
+                alone = (only[0][None, :] == qid[at:at + step, None]) & only[1][None, :]
                 if len(cs) > k:
-                    # a query's own class counts for its other members only
-                    sure = np.where((cls[None, :] == own[at:at + step, None]) & (size[None, :] < 2), -np.inf, lo)
+                    sure = np.where(alone, -np.inf, lo)
                     bar = np.partition(sure, len(cs) - k, axis=1)[:, len(cs) - k]
                     r, j = np.nonzero(up >= bar[:, None])
                 else:
                     r, j = (x.ravel() for x in np.indices(up.shape))
-                out.append(pd.DataFrame({"query_id": qs["query_id"].to_numpy()[at + r], "cls": cls[j],
-                                         "lower": lo[r, j], "upper": up[r, j], "ids": size[j], "own": own[at + r] == cls[j]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "cls": [], "lower": [], "upper": [], "ids": [], "own": []})
+                out.append(pd.DataFrame({"query_id": qid[at + r], "cls": cls[j],
+                                         "lower": lo[r, j], "upper": up[r, j], "alone": alone[r, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "cls": [], "lower": [], "upper": [], "alone": []})
 
-    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, cls bigint, lower double, upper double, ids bigint, own boolean"
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, cls bigint, lower double, upper double, alone boolean"
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(lambda key, a, b: run(key, a, b), kind)
 
 
@@ -96,11 +99,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, cells: int = 64, scal
     dim = v.agg(F.max(F.size("vec"))).first()[0] or 0
     fill = F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("vec"))
     v = v.withColumn("vec", F.concat("vec", fill))
-    # equal vectors are a class; only its k + 1 smallest ids can be results (one of them may be the query's own)
+    # equal vectors are a class; only its k + 1 smallest distinct ids can be results (one of them may be the query's own)
     first = Window.partitionBy("vec").orderBy("id")
-    kept = staged(v.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1), "topk-kept")
-    classes = kept.groupBy("vec").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("ids"))
-    classes = staged(classes.select("cls", "ids", "vec"), "topk-classes")
+    times = v.groupBy("vec", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
+    kept = staged(times.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1), "topk-kept")
+    classes = kept.groupBy("vec").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("ids"))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("cls"), "low", "ids", "vec"), "topk-classes")
     ends = classes.agg(*[f(F.get("vec", F.lit(j))).alias(f"{n}{j}") for j in range(dim) for n, f in (("a", F.min), ("b", F.max))]).first() if dim else None
     empty = f"query_id bigint, rank int, {id_col} bigint, score bigint"
     if not dim or ends[0] is None:
@@ -108,21 +112,21 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, cells: int = 64, scal
     low = np.array([ends[f"a{j}"] for j in range(dim)], np.float64)
     high = np.array([ends[f"b{j}"] for j in range(dim)], np.float64)
     width = np.floor((high - low) / cells) + 1  # integers in a cell; the last cell holds the largest value
-    cut = classes.select("cls", "ids", F.transform("vec", lambda x, j: F.floor(
+    cut = classes.select("cls", "low", "ids", F.transform("vec", lambda x, j: F.floor(
         (x - F.get(F.array(*[F.lit(int(a)) for a in low]), j)) / F.get(F.array(*[F.lit(int(w)) for w in width]), j)).cast("tinyint")).alias("c"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"cls": b["cls"], "ids": b["ids"], "code": [np.asarray(c, np.uint8).tobytes() for c in b["c"]]})
+            yield pd.DataFrame({"cls": b["cls"], "low": b["low"], "ids": b["ids"], "code": [np.asarray(c, np.uint8).tobytes() for c in b["c"]]})
 
-    va = staged(cut.mapInPandas(pack, "cls bigint, ids bigint, code binary"), "topk-va")
+    va = staged(cut.mapInPandas(pack, "cls bigint, low bigint, ids bigint, code binary"), "topk-va")
     asked = v.where(F.col("id") % every == 0).dropDuplicates(["id", "vec"])
-    asked = staged(asked.join(classes.select("vec", "cls"), "vec").select(F.col("id").alias("query_id"), "cls", "vec"), "topk-queries")
+    asked = staged(asked.select(F.col("id").alias("query_id"), "vec"), "topk-queries")
 
     seen = staged(va_scan(asked, va, low, width, k), "topk-scan")
-    # the k-th best lower bound of a query over all blocks; its own class counts only if it has other members
+    # the k-th best lower bound of a query over all blocks; a class of its own id alone does not count
     by_low = Window.partitionBy("query_id").orderBy(F.col("lower").desc(), "cls")
-    bar = (seen.where("NOT own OR ids > 1").withColumn("_n", F.row_number().over(by_low)).where(F.col("_n") <= k)
+    bar = (seen.where("NOT alone").withColumn("_n", F.row_number().over(by_low)).where(F.col("_n") <= k)
            .groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("lower")).alias("bar")))
     seen = staged(seen.join(bar, "query_id", "left").where("bar IS NULL OR upper >= bar").select("query_id", "cls", "upper"), "topk-near")
     by_up = Window.partitionBy("query_id").orderBy(F.col("upper").desc(), "cls")
@@ -134,7 +138,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, cells: int = 64, scal
         return exact.select("query_id", "cls", dot.alias("score"))
 
     best = staged(read(ranked.where(F.col("_n") <= 2 * k)).distinct(), "topk-best")
-    members = kept.select("id", "vec").join(classes.select("vec", "cls"), "vec").select("cls", F.col("id").alias("member"))
+    members = kept.join(classes.select("vec", "cls"), "vec").select("cls", F.col("id").alias("member"), F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("_one"))
+    members = members.drop("_one")
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "member")
 
     def results(scored: DataFrame) -> DataFrame:

@@ -395,6 +395,23 @@ def test_topk_few_rows(spark):
     assert topk.top_k(two.limit(0)).count() == 0
 
 
+def test_topk_repeated_ids(spark):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(40, 8)).astype(np.float32)
+    # id 50 six times on a vector that 51 and 52 have too, id 100 twice on a vector of its own, near copies of it
+    rows = [(50, v[0])] * 6 + [(51, v[0]), (52, v[0])] + [(100, v[1])] * 2 + [(101 + i, v[1] * (0.9 - i / 100)) for i in range(4)]
+    rows += [(60, v[2] + v[0])] * 2 + [(200 + i, x) for i, x in enumerate(v[3:]) if (200 + i) % 50]
+    rows = [(i, x.tolist()) for i, x in rows]
+    got = {}
+    for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    q = [(i, np.floor(np.array(x, np.float64) * 256).astype(np.int64)) for i, x in rows]
+    assert set(got) == {50, 100}
+    for i, own in ((50, q[0][1]), (100, q[8][1])):
+        want = sorted((-int(own @ x), j) for j, x in q if j != i)[:5]
+        assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(want)]
+
+
 # lines
 
 def test_line_templates(spark):
