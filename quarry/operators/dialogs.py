@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
+from .ranks import rank_within
 
 PAIR_ID_STRIDE = 1_000_000
 
@@ -38,19 +39,22 @@ def qa_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """A ``user`` turn directly followed by an ``assistant`` turn gives one
     pair (roles compared lower-cased, texts stripped like ``str.strip``).
 
-    ``turn`` is the position inside the dialog. The next turn is found by an
-    equi-join on ``(conv, turn + 1)``: both sides are hash-partitioned on the
-    composite key, so one very long conversation is spread over many tasks
-    instead of landing in a single window partition. The role filters are
-    applied before the join and reach the scan.
+    ``turn`` orders the dialog and may have gaps: a conversation's turns are
+    numbered densely first. The next turn is found by an equi-join on ``(conv,
+    position + 1)``: both sides are hash-partitioned on the composite key, so
+    one very long conversation is spread over many tasks instead of landing in
+    a single window partition. Only the keys are ranked.
     """
     keep = tuple(k for k in keep if k in turns.columns)
+    keys = turns.select(conv, turn).where(F.col(turn).isNotNull()).distinct()
+    placed = rank_within(keys, [turn], group=[conv], rank_col="_pos").select(conv, turn, "_pos")
     users = turns.where(F.lower(F.col(role)) == "user").select(
         F.col(conv), F.col(turn), *[F.col(k) for k in keep],
-        py_strip(F.col(text)).alias("input_text"))
+        py_strip(F.col(text)).alias("input_text")).join(placed, on=[conv, turn])
     answers = turns.where(F.lower(F.col(role)) == "assistant").select(
-        F.col(conv), (F.col(turn) - 1).alias(turn), py_strip(F.col(text)).alias("target_text"))
-    out = users.join(answers, on=[conv, turn], how="inner")
+        F.col(conv), F.col(turn), py_strip(F.col(text)).alias("target_text")).join(placed, on=[conv, turn])
+    answers = answers.select(conv, (F.col("_pos") - 1).alias("_pos"), "target_text")
+    out = users.join(answers, on=[conv, "_pos"], how="inner")
     return out.select(pair_id(conv, turn).alias("pair_id"), conv, turn, *keep,
                       "input_text", "target_text")
 

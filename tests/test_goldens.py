@@ -16,6 +16,14 @@ def test_qa_pair_extraction(spark):
     assert [tuple(r) for r in out] == [("q1", "a1"), ("q3", "a3")]
 
 
+def test_qa_pairs_across_gaps_in_turn(spark):
+    rows = [(0, 0, "user", "q1"), (0, 2, "assistant", "a1"), (0, 7, "user", "q2"), (0, 9, "system", "s"), (0, 10, "assistant", "a2"),
+            (1, 5, "user", "q3"), (1, 50, "assistant", "a3"), (2, 1, "user", "q4")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = dialogs.qa_pairs(df).orderBy("pair_id").select("conv_id", "turn", "input_text", "target_text").collect()
+    assert [tuple(r) for r in out] == [(0, 0, "q1", "a1"), (1, 5, "q3", "a3")]
+
+
 def test_strip_is_unicode(spark):
     from quarry.functions.text import py_strip
     s = " \t x y \n　"
