@@ -12,11 +12,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op1_mix_sources", "op3_line_dedup", "op5_exact_topk", "op9_warc"])
+@pytest.mark.parametrize("name", ["op1_mix_sources", "op3_line_dedup", "op5_exact_topk", "op9_warc", "op11_language",
+                                  "op12_ranked_search", "op13_vector_codes"])
 def test_query_equals_sql(spark, name):
     import __spark_entry__ as entry
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(entry.oracle_sql()[name])
     cols = [d[0] for d in want.description]
