@@ -42,7 +42,9 @@ def staged(df: DataFrame, kind: str = "stage") -> DataFrame:
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and inner path of a URI (``file:``, ``hdfs:``, ``s3:``, ...) or of a plain path."""
+    """File system and inner path of a URI (``file:``, ``hdfs:``, ``s3:``, Spark's ``s3a:`` and ``s3n:``, ...) or of a plain path."""
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3" + path[3:]
     if "://" not in path and path.startswith("file:"):
         path = "file://" + path[len("file:"):]
     if path.startswith("/"):

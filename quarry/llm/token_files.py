@@ -23,6 +23,7 @@ others are leftovers that no reader opens.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import batches_of_bytes, file_system, shared_path, small_batches, staged
 
 MASK_DELTA = 0xA282EAD8
-#: Words remembered by a worker with their ids.
-REMEMBERED = 300_000
+#: Bytes of a generation of remembered words, and what an entry takes beside its word and ids.
+REMEMBERED, ENTRY = 96 << 20, 180
 END_ID = 2
 NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<QI")
@@ -75,43 +76,83 @@ class Encoder:
     """Ids of whole texts by a tokenizer whose pieces never cross ASCII white space.
 
     Such a tokenizer encodes a text like its white-space separated words one
-    by one, so words are encoded once per worker and remembered. With
-    ``lower`` (the tokenizer lowers its input) A-Z are lowered first, and one
-    final comma or stop after a letter is encoded by itself, as the tokenizer
-    splits it off; both only make equal words meet in the cache.
+    by one, so a worker encodes a word once and remembers it. A-Z are lowered
+    first (the tokenizer lowers its input), and one final comma or stop behind
+    a letter is encoded by itself, as the tokenizer splits it off; both only
+    make equal words meet.
+
+    Memory holds two generations of ``REMEMBERED`` bytes: when the young one is
+    full it becomes the old one, and old words that are met again move to the
+    new young one, so words in use stay whatever the vocabulary's size.
     """
 
     def __init__(self, path: str, by_word: bool, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.wide = size > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.by_word = by_word
         self.end = np.array([end_id], self.kind).tobytes()
-        self.seen: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
         self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.final = {c: self._whole([c.decode()])[0] for c in (b",", b".")} if by_word else {}
+        #: ids that end a piece, where the vocabulary marks them
+        self.closing = np.zeros(size, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.closing[i] = token.endswith(suffix)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Encode unknown words. A word that ends in one comma or stop right
-        after a letter is encoded in two pieces."""
-        split: dict[bytes, bytes] = {}
-        ask: set[bytes] = set()
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are one piece each: many words a call, the ids cut
+        behind each piece's last one."""
+        out: list[bytes] = []
+        groups = [words[i:i + 256] for i in range(0, len(words), 256)]
+        found = self._whole([b" ".join(g).decode("utf-8") for g in groups])
+        for g, ids in zip(groups, found, strict=True):
+            cut = (np.flatnonzero(self.closing[np.frombuffer(ids, self.kind)]) + 1) * self.kind.itemsize
+            if len(cut) == len(g) and cut[-1] == len(ids):
+                out += [ids[x:y] for x, y in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
+            else:  # the tokenizer's letters aren't Python's
+                out += self._whole([w.decode("utf-8") for w in g])
+        return out
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of unknown words. A word that ends in one comma or stop right
+        behind a letter is encoded in two pieces."""
+        bases = {}
         for w in words:
-            if w[-1:] in self.final and len(w) > 1 and w[:-1].decode("utf-8", "replace")[-1].isalpha():
-                split[w] = w[:-1]
-                if w[:-1] not in self.seen:
-                    ask.add(w[:-1])
-            else:
-                ask.add(w)
-        order = list(ask)
-        self.seen.update(zip(order, self._whole([w.decode("utf-8") for w in order]), strict=True))
-        for w, base in split.items():
-            self.seen[w] = self.seen[base] + self.final[w[-1:]]
+            base = w[:-1] if w[-1:] in self.final else w
+            # the tokenizer looks at the normalised word: its last sign decides whether the stop stands alone
+            bases[w] = base if base and (base[-1:].isalpha() or base is w or _plain(base)[-1].isalpha()) else w
+        ask = {b for b in bases.values() if b not in self.young and b not in self.old}
+        single = [b for b in ask if self.closing.any() and (b.isalpha() or _plain(b).isalpha())]
+        rest = list(ask.difference(single))
+        new = dict(zip(single, self._lines(single), strict=True))
+        new.update(zip(rest, self._whole([b.decode("utf-8") for b in rest]), strict=True))
+        for w, b in bases.items():
+            if b is not w:
+                base_ids = next(m[b] for m in (new, self.young, self.old) if b in m)
+                new[w] = base_ids + self.final[w[-1:]]
+        return new
+
+    def _remember(self, words: set[bytes]) -> None:
+        """Bring all ``words`` into the young generation."""
+        if self.held > REMEMBERED:
+            self.young, self.old, self.held = {}, self.young, 0
+        missing = words.difference(self.young)
+        known = {w: self.old[w] for w in missing if w in self.old}
+        fresh = self._learn(missing.difference(known)) if len(known) < len(missing) else {}
+        for more in (known, fresh):
+            self.young.update(more)
+            self.held += sum(map(len, more)) + sum(map(len, more.values())) + ENTRY * len(more)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text, the end id last."""
@@ -122,16 +163,17 @@ class Encoder:
             low = t.lower()
             # a text that spells a special token is left to the tokenizer as it is
             parts.append(None if any(s in low for s in self.special) else low.split())
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        unknown = {w for p in parts if p for w in p if w not in self.seen}
-        if unknown:
-            self._learn(unknown)
-        get = self.seen.__getitem__
+        self._remember(set().union(*(p for p in parts if p)))
+        get = self.young.__getitem__
         return [(self._whole([t.decode("utf-8")])[0] if p is None else b"".join(map(get, p))) + self.end
                 for t, p in zip(texts, parts, strict=True)]
 
 
+def _plain(word: bytes) -> str:
+    """A word as the tokenizer sees it: composed, in lower case."""
+    return unicodedata.normalize("NFC", word.decode("utf-8")).lower()
+
+
 def _encoder(path: str, by_word: bool, end_id: int) -> Encoder:
     key = f"{path}|{by_word}|{end_id}"
     if key not in _STATE:

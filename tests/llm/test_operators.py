@@ -515,3 +515,43 @@ def test_batches_are_cut_by_bytes():
     b = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 100, "", "c"])], names=["t"])
     parts = list(batches_of_bytes(b, "t", 12))
     assert pa.Table.from_batches(parts).to_pylist() == b.to_pylist() and len(parts) > 1
+
+
+def test_tokens_every_letter_before_a_stop():
+    """Whole texts by the tokenizer itself, for every Unicode letter before a comma or stop."""
+    import sys
+    path = token_files.default_tokenizer()
+    enc = token_files.Encoder(path, True, 2)
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isalpha()]
+    texts = [f"ab{c}{s} {c}{s}" for c in letters for s in ",."]
+    got = []
+    for at in range(0, len(texts), 1000):
+        got += enc.encode([t.encode() for t in texts[at:at + 1000]])
+    whole = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, g, w in zip(texts, got, whole, strict=True) if np.frombuffer(g, enc.kind).tolist() != [*w.ids, 2]]
+    assert wrong == []
+
+
+def test_tokens_words_in_use_survive_a_full_memory(monkeypatch):
+    enc = token_files.Encoder(token_files.default_tokenizer(), True, 2)
+    monkeypatch.setattr(token_files, "REMEMBERED", 4000)
+    texts = [f"often word{i}, other{i}. 3{i}x é{i} often" for i in range(300)]
+    want = [np.frombuffer(enc._whole([t])[0], enc.kind).tolist() + [2] for t in texts]
+    asked = []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: asked.extend(words) or learn(words))
+    got = [np.frombuffer(enc.encode([t.encode()])[0], enc.kind).tolist() for t in texts]
+    assert got == want
+    assert asked.count(b"often") == 1 and len(enc.young) + len(enc.old) < 100
+
+
+def test_file_system_of_spark_paths(monkeypatch):
+    from types import SimpleNamespace
+
+    from quarry.llm import common
+    assert common.file_system("/tmp/x")[1] == "/tmp/x" and common.file_system("file:/tmp/x")[1] == "/tmp/x"
+    asked = []  # opening a bucket asks the network for its region
+    monkeypatch.setattr(common, "pafs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=asked.append)))
+    for uri in ("s3a://bucket/some/key", "s3n://bucket/k", "s3://bucket/k", "hdfs://host/k"):
+        common.file_system(uri)
+    assert asked == ["s3://bucket/some/key", "s3://bucket/k", "s3://bucket/k", "hdfs://host/k"]
