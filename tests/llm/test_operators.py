@@ -555,3 +555,41 @@ def test_file_system_of_spark_paths(monkeypatch):
     for uri in ("s3a://bucket/some/key", "s3n://bucket/k", "s3://bucket/k", "hdfs://host/k"):
         common.file_system(uri)
     assert asked == ["s3://bucket/some/key", "s3://bucket/k", "s3://bucket/k", "hdfs://host/k"]
+
+
+def test_paragraphs_two_texts_of_one_id(spark):
+    """A span found in one text is never cut from another text of the same id; odd column names stay."""
+    passage = ". ".join(sentence(800 + k, 11) for k in range(6)) + "."
+    other = ". ".join(sentence(900 + k, 11) for k in range(9)) + "."
+    rows = [(1, f"{sentence(1, 12)}. {passage}"), (2, f"{sentence(2, 14)}. {passage}"), (2, other), (2, other)]
+    docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], "doc_id long, text string, _id string, spans string, `a.b` string")
+    left = paragraphs.remove(docs)
+    assert left.columns == docs.columns
+    texts = sorted((r["doc_id"], r["text"]) for r in left.collect())
+    assert texts[0] == rows[0] and texts.count((2, other)) == 2
+    assert sum(sentence(803, 11) in t for _, t in texts) == 1
+
+
+def test_shared_keys_and_bits_lose_no_class(spark, monkeypatch):
+    """Every pair of classes with a band key in common and every class of several
+    documents is found, however often a task hands its keys on."""
+    rows = [(i, f"{prose(i % 40, 60)} {prose(1000 + i, 30)}") for i in range(80)] + [(7, prose(7, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    by_key, by_class = {}, {}
+    for i, t in rows:
+        u = paragraphs.Units([t], paragraphs.MIN_WORDS)
+        keys = paragraphs.band_keys(*u.shingles(np.arange(len(u))))
+        for k in range(len(u)):
+            by_class.setdefault(int(u.h.view(np.int64)[k]), set()).add((i, t))
+            for key in keys:
+                by_key.setdefault(int(key.view(np.int64)[k]), set()).add(int(u.h.view(np.int64)[k]))
+    want = {(k, min(hs), h) for k, hs in by_key.items() if len(hs) > 1 for h in hs}
+    many = {(None, None, h) for h, ds in by_class.items() if len(ds) > 1}
+    assert want and many
+    for held in (1 << 21, 50):
+        monkeypatch.setattr(paragraphs, "KEYS_HELD", held)
+        found = paragraphs.shared_keys(docs)
+        assert set(map(tuple, found.collect())) == want | many
+    bits = paragraphs.class_bits(found, 1 << 18)
+    got = {r["h"] for r in paragraphs.units(docs, bits).collect()}
+    assert {h for _, _, h in want | many} <= got and len(got) < len(by_class)
