@@ -220,8 +220,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                max_bits: int = 3) -> DataFrame:
-    """``docs`` with one document of each class, that with the smallest id.
-    Rows without an id stay; repeated rows of the kept id stay together."""
-    d = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    drop = staged(d.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), "simhash-drop")
-    return docs.join(drop, docs[id_col] == drop["_drop"], "left_anti")
+    """``docs`` with one document of each class, that with the smallest id; of
+    two texts of that id in one class the one with the smaller hash.
+
+    A document is an id with its text: another text under a dropped id is not
+    dropped with it. Rows without an id stay, repeated rows of the kept
+    document stay together, null texts count as empty ones, an empty table
+    gives an empty result, and other columns, of any name, come through."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    i, t = F.col(names[docs.columns.index(id_col)]), F.col(names[docs.columns.index(text_col)])
+    which = F.struct(i.alias("id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("h"))
+    seen = rows.select(which.alias("which"), t.alias("text")).where("which.id IS NOT NULL")
+    d = staged(near_duplicates(seen, "which", "text", shingle, max_bits), "simhash-classes")
+    drop = staged(d.where("which <> component_id").select(F.col("which").alias("drop")).distinct(), "simhash-drop")
+    return rows.join(drop, which == F.col("drop"), "left_anti").toDF(*docs.columns)

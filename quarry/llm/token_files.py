@@ -22,6 +22,7 @@ others are leftovers that no reader opens.
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import uuid
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ from .common import batches_of_bytes, file_system, shared_path, small_batches, s
 
 MASK_DELTA = 0xA282EAD8
 #: Bytes of a generation of remembered words, and what an entry takes beside its word and ids.
-REMEMBERED, ENTRY = 96 << 20, 180
+REMEMBERED, ENTRY = 112 << 20, 180
 END_ID = 2
 NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<QI")
@@ -98,7 +100,7 @@ class Encoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.held = 0
-        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.final = {c: self._whole([c.decode()])[0] for c in (b",", b".")} if by_word else {}
         #: ids that end a piece, where the vocabulary marks them
         self.closing = np.zeros(size, bool)
@@ -106,67 +108,101 @@ class Encoder:
         if suffix:
             for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
                 self.closing[i] = token.endswith(suffix)
+        self.marked = bool(self.closing.any())
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lines(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words that are one piece each: many words a call, the ids cut
-        behind each piece's last one."""
-        out: list[bytes] = []
-        groups = [words[i:i + 256] for i in range(0, len(words), 256)]
+    def _lines(self, words: dict[bytes, int]) -> dict[bytes, bytes]:
+        """Ids of words whose number of pieces is known: many words a call, the
+        ids cut behind each word's last piece."""
+        out: dict[bytes, bytes] = {}
+        order = list(words)
+        groups = [order[i:i + 256] for i in range(0, len(order), 256)]
         found = self._whole([b" ".join(g).decode("utf-8") for g in groups])
         for g, ids in zip(groups, found, strict=True):
             cut = (np.flatnonzero(self.closing[np.frombuffer(ids, self.kind)]) + 1) * self.kind.itemsize
-            if len(cut) == len(g) and cut[-1] == len(ids):
-                out += [ids[x:y] for x, y in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
+            last = np.cumsum([words[w] for w in g]) - 1
+            if len(cut) == last[-1] + 1 and cut[-1] == len(ids):
+                cut = cut[last].tolist()
+                out.update(zip(g, [ids[x:y] for x, y in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
             else:  # the tokenizer's letters aren't Python's
-                out += self._whole([w.decode("utf-8") for w in g])
+                out.update(zip(g, self._whole([w.decode("utf-8") for w in g]), strict=True))
         return out
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of unknown words. A word that ends in one comma or stop right
         behind a letter is encoded in two pieces."""
-        bases = {}
+        counted: dict[bytes, int] = {}
+        rest, split = set(), []
+        young, old, final, marked = self.young, self.old, self.final, self.marked
         for w in words:
-            base = w[:-1] if w[-1:] in self.final else w
-            # the tokenizer looks at the normalised word: its last sign decides whether the stop stands alone
-            bases[w] = base if base and (base[-1:].isalpha() or base is w or _plain(base)[-1].isalpha()) else w
-        ask = {b for b in bases.values() if b not in self.young and b not in self.old}
-        single = [b for b in ask if self.closing.any() and (b.isalpha() or _plain(b).isalpha())]
-        rest = list(ask.difference(single))
-        new = dict(zip(single, self._lines(single), strict=True))
+            base = w
+            if w[-1:] in final and len(w) > 1:
+                base = w[:-1]
+                # the tokenizer looks at the normalised word: its last sign decides whether the stop stands alone
+                if base[-1:].isalpha() or not base[-1:].isascii() and _plain(base)[-1].isalpha():
+                    split.append(w)
+                    if base in young or base in old:
+                        continue
+                else:
+                    base = w
+            if marked and (n := _pieces(base)):
+                counted[base] = n
+            else:
+                rest.add(base)
+        new = self._lines(counted)
+        rest = list(rest)
         new.update(zip(rest, self._whole([b.decode("utf-8") for b in rest]), strict=True))
-        for w, b in bases.items():
-            if b is not w:
-                base_ids = next(m[b] for m in (new, self.young, self.old) if b in m)
-                new[w] = base_ids + self.final[w[-1:]]
+        for w in split:
+            base = w[:-1]
+            new[w] = next(m[base] for m in (new, young, old) if base in m) + final[w[-1:]]
         return new
 
-    def _remember(self, words: set[bytes]) -> None:
-        """Bring all ``words`` into the young generation."""
+    def _remember(self, words: list[bytes]) -> None:
+        """Bring all of the different ``words`` into the young generation."""
         if self.held > REMEMBERED:
             self.young, self.old, self.held = {}, self.young, 0
-        missing = words.difference(self.young)
-        known = {w: self.old[w] for w in missing if w in self.old}
-        fresh = self._learn(missing.difference(known)) if len(known) < len(missing) else {}
+        young, old = self.young, self.old
+        missing = [w for w in words if w not in young]
+        known = {w: old[w] for w in missing if w in old}
+        fresh = self._learn([w for w in missing if w not in known]) if len(known) < len(missing) else {}
         for more in (known, fresh):
-            self.young.update(more)
+            young.update(more)
             self.held += sum(map(len, more)) + sum(map(len, more.values())) + ENTRY * len(more)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian ids of each text, the end id last."""
+    def encode(self, texts: pa.Array | list[bytes]) -> list[bytes]:
+        """Little-endian ids of each text, the end id last.
+
+        The words of all texts are numbered first, so that each is looked up
+        once; the texts' ids are then gathered by those numbers."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary()).cast(pa.string())
         if not self.by_word:
-            return [i + self.end for i in self._whole([t.decode("utf-8") for t in texts])]
-        parts = []
-        for t in texts:
-            low = t.lower()
-            # a text that spells a special token is left to the tokenizer as it is
-            parts.append(None if any(s in low for s in self.special) else low.split())
-        self._remember(set().union(*(p for p in parts if p)))
-        get = self.young.__getitem__
-        return [(self._whole([t.decode("utf-8")])[0] if p is None else b"".join(map(get, p))) + self.end
-                for t, p in zip(texts, parts, strict=True)]
+            return [i + self.end for i in self._whole(texts.to_pylist())]
+        low = pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(low)
+        coded = lists.flatten().dictionary_encode()
+        # one buffer, cut again: much faster than a Python object a word by pyarrow; words hold no blank
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")
+        words = line[0].as_buffer().to_pybytes().split(b" ") if len(coded.dictionary) else []
+        self._remember(words)
+        ids = list(map(self.young.__getitem__, words))
+        table = np.frombuffer(b"".join(ids), self.kind)
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        code = coded.indices.to_numpy()
+        times = n[code]
+        ends = np.cumsum(times)
+        at = np.repeat((np.cumsum(n) - n)[code] - (ends - times), times) + np.arange(ends[-1] if len(ends) else 0)
+        flat = table[at].tobytes()
+        first = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+        cut = (np.r_[0, ends][first] * self.kind.itemsize).tolist()
+        out = [flat[x:y] + self.end for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        # a text that spells a special token is left to the tokenizer as it is
+        for special in self.special:
+            for i in np.flatnonzero(pc.match_substring(low, special).to_numpy(zero_copy_only=False)):
+                out[i] = self._whole([texts[int(i)].as_py()])[0] + self.end
+        return out
 
 
 def _plain(word: bytes) -> str:
@@ -174,6 +210,20 @@ def _plain(word: bytes) -> str:
     return unicodedata.normalize("NFC", word.decode("utf-8")).lower()
 
 
+#: How the default tokenizer cuts printable ASCII without apostrophes: runs of letters, single digits, runs of others.
+_PIECE = re.compile(rb"[A-Za-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
+def _pieces(word: bytes) -> int:
+    """Number of pieces of a word where that is plain, else 0: words of letters, and printable ASCII without apostrophes."""
+    if word.isalpha():
+        return 1
+    if not word.isascii():
+        return int(_plain(word).isalpha())
+    found = _PIECE.findall(word)
+    return len(found) if sum(map(len, found)) == len(word) else 0
+
+
 def _encoder(path: str, by_word: bool, end_id: int) -> Encoder:
     key = f"{path}|{by_word}|{end_id}"
     if key not in _STATE:
@@ -219,7 +269,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
                     name = f"tokens-{uuid.uuid4().hex}.rec"
                     out, at, start = fs.open_output_stream(f"{inner}/{name}"), 0, 0
                 ids = b.column("id").to_pylist()
-                texts = b.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+                texts = b.column("text").fill_null("")
                 offs, lens, counts, starts = [], [], [], []
                 for i, tokens in zip(ids, enc.encode(texts), strict=True):
                     f = frame(struct.pack("<q", i) + tokens)

@@ -593,3 +593,13 @@ def test_shared_keys_and_bits_lose_no_class(spark, monkeypatch):
     bits = paragraphs.class_bits(found, 1 << 18)
     got = {r["h"] for r in paragraphs.units(docs, bits).collect()}
     assert {h for _, _, h in want | many} <= got and len(got) < len(by_class)
+
+
+def test_keep_first_drops_texts_not_ids(spark):
+    a, b = prose(11, 40), prose(12, 40)
+    rows = [(2, b), (5, a), (5, b), (9, a), (9, a), (None, a), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], "doc_id long, text string, which int, drop string, `a.b` string")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(2, b), (5, a), (None, a), (7, None)], key=repr)
+    assert simhash.keep_first(docs.limit(0)).count() == 0
