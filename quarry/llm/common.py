@@ -142,3 +142,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", kind: str = "cc") -
 def need(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the named columns, so that other columns can't clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, names with dots included."""
+    return [F.col(f"`{c}`") for c in df.columns]

@@ -361,12 +361,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
           similarity: float = 0.8, recall: float = 0.99, repeats: int | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item; filtered in the scan itself."""
-    cols = docs.columns
+    names, kept = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    docs = docs.toDF(*kept)
+    kind = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
     for block in item_blocks(benchmark, item_col, item_text):
-        rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text_col}`").alias("_text_scanned"))
-        docs = rows.mapInArrow(_scanner(docs, block, similarity, recall, repeats, True, ""),
-                               ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cols))
-    return docs
+        rows = docs.select(*kept, F.col(kept[names.index(text_col)]).alias("text"))
+        docs = rows.mapInArrow(_scanner(docs, block, similarity, recall, repeats, True, ""), kind)
+    return docs.toDF(*names)
 
 
 def _scanner(docs: DataFrame, block, similarity: float, recall: float, repeats: int | None, keep: bool, ikind: str):
@@ -378,7 +379,7 @@ def _scanner(docs: DataFrame, block, similarity: float, recall: float, repeats:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value, similarity, recall, repeats, walked)
         ids = _Ids(index.vocabulary)
-        col = "_text_scanned" if keep else "text"
+        col = "text"
         for whole in batches:
             for b in batches_of_bytes(whole, col, 4 << 20):
                 found = index.scan([np.array(list(map(ids.__getitem__, ws)), np.int64) for ws in words_of(b.column(col))])

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranks import rank_within
-from .common import need, staged, word_count
+from .common import columns, need, staged, word_count
 
 
 def fair_targets(sources: DataFrame, budget: float, weight: str = "weight", bound: str = "bound") -> DataFrame:
@@ -144,15 +144,16 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
         return F.struct(id_hash(doc_id).alias("h"), doc_id.alias("id"), tie.alias("tie"))
 
     ends = rows.join(last, ["no", "place"]).withColumn("key", key(F.col("doc_id"), F.col("tie")))
-    ends = ends.groupBy(F.col("source").alias("_mix_source")).agg(
-        *[F.max(F.when(F.col("copy") == c, F.col("key"))).alias(f"_mix_end{c}") for c in range(1, repeats + 1)])
+    ends = ends.groupBy(F.col("source").alias("of")).agg(
+        *[F.max(F.when(F.col("copy") == c, F.col("key"))).alias(f"end{c}") for c in range(1, repeats + 1)])
     ends = staged(ends, "mix-ends")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.withColumn("_mix_key", key(F.col(f"`{id_col}`"), tie))
-    out = out.join(ends, F.col(f"`{source_col}`").eqNullSafe(F.col("_mix_source")))
-    taken = [(F.col("_mix_key") <= F.col(f"_mix_end{c}")) & (F.lit(c == 1) | (F.col("_mix_key.tie") > 0)) for c in range(1, repeats + 1)]
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    where = dict(zip(docs.columns, names, strict=True))
+    out = docs.select(*[c.alias(n) for c, n in zip(columns(docs), names, strict=True)], key(F.col(f"`{id_col}`"), tie).alias("key"))
+    out = out.join(ends, F.col(where[source_col]).eqNullSafe(F.col("of")))
+    taken = [(F.col("key") <= F.col(f"end{c}")) & (F.lit(c == 1) | (F.col("key.tie") > 0)) for c in range(1, repeats + 1)]
     copies = F.filter(F.array(*[F.when(x, c) for c, x in enumerate(taken, 1)]), lambda c: c.isNotNull())
-    return out.withColumn("_mix_copy", F.explode(copies)).select(*cols)
+    return out.withColumn("copy", F.explode(copies)).select(*names).toDF(*docs.columns)
 
 
 #: DuckDB SQL for :func:`taken` with its default parameters, over a relation ``documents``.

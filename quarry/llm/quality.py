@@ -254,9 +254,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     with that score or more, in the same pass. Null and empty texts get the
     score of a document without tokens."""
     cols = [c for c in (columns or docs.columns) if c != score_col]
-    hidden = "_text_scored"
+    names, hidden = [f"c{i}" for i in range(len(cols))], "text"
     small_batches(docs.sparkSession)
-    rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text_col}`").alias(hidden))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)], F.col(f"`{text_col}`").alias(hidden))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,12 +265,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             for b in batches_of_bytes(whole, hidden, 1 << 20):
                 ids = [token_ids(t or "") for t in b.column(hidden).to_pylist()]
                 s = net.scores(pooled(ids, net.vectors))
-                out = pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(cols))), pa.array(s)], names=[*cols, score_col])
+                out = pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(cols))), pa.array(s)], names=[*names, "score"])
                 yield out if at_least is None else out.filter(pa.array(s >= at_least))
         _TOKENS.clear()
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cols)
-    return rows.mapInArrow(run, f"{kinds}, `{score_col}` double")
+    kinds = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
+    return rows.mapInArrow(run, f"{kinds}score double").toDF(*cols, score_col)
 
 
 def fold(id_col: str | Column) -> Column:

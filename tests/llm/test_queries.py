@@ -49,3 +49,21 @@ def test_pipeline_stages(spark):
     assert rows[4] == rows[5]
     assert docs.where(F.col("n_tokens") < 1).count() == 0
     assert p.run(spark, SF).count() == rows[5]
+
+
+def test_pipeline_of_odd_and_empty_tables(spark):
+    """Clashing and dotted column names, nulls, repeated rows; then no row at all."""
+    import corpus_pipeline as p
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    odd = spark.createDataFrame([(None, None), (7001, None), (7002, ""), (7003, "one two"), (7003, "one two"), (7003, "three four"), (None, "five")], "doc_id long, text string")
+    docs = docs.unionByName(odd, allowMissingColumns=True)
+    for name in ("score", "_score", "_text_scored", "_text_scanned", "_mix_key", "_mix_source", "drop", "key", "copy", "of", "a.b"):
+        docs = docs.withColumn(name, F.lit(name))
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in p.STAGES:
+            now = stage(spark, now, SF).cache()
+            if name != "tokens":
+                assert now.columns == docs.columns
+                assert now.where("`a.b` <> 'a.b' OR _score <> '_score' OR key <> 'key' OR copy <> 'copy'").count() == 0
+        assert (now.count() > 0) == (start is docs)
