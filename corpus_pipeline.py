@@ -2,7 +2,12 @@
 
 ``STAGES`` are run in order; each stage's rows are written as Parquet and read
 again as the next one's ``docs``. All but the last return the columns of
-``documents``.
+``documents``, whatever other columns there are and however they are called.
+
+Null texts count as empty ones. Rows without an id are kept by the near-dedup,
+repeated rows of a kept document stay together until the mix counts them as one
+document, texts of any length are used whole, and an empty table passes through
+all stages as an empty one.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, mixing, quality, simhash, token_files
-from quarry.llm.common import staged
+from quarry.llm.common import free_name, staged
 from quarry.session import ensure_checkpoint_dir, read_table, ship_package
 
 
@@ -24,7 +29,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     _ready(spark)
     labels = read_table(spark, sf_dir, "labels").where(quality.fold("doc_id") != 1)
     model = quality.train(docs, labels)
-    return quality.score(docs, model, score_col="_score", at_least=0.5).select(*docs.columns)
+    name = free_name(docs, "score")
+    return quality.score(docs, model, score_col=name, at_least=0.5).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
