@@ -1,268 +1,103 @@
 """HTML page -> text blocks, headings and table-of-contents links.
 
-Built-in mode: regular expressions on the JVM. Scripts, styles and comments
-are removed first (pages carry a literal ``</p>`` inside ``<script>``); a block
-runs until the next block-level tag, which treats a missing ``</p>`` as closed
-by the next block; entities are decoded last (``&amp;`` after the others).
-
-Robust mode (``page_text_robust``): the standard-library HTML parser inside
-``mapInPandas``, for markup the expressions cannot follow.
+A page's tree is built and read inside Arrow batches (:mod:`.html_tree`);
+everything that needs no tree stays in built-in functions: URL joins, section
+numbers and text locations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import fixed
-from ..functions.text import py_strip
-
-# fixed values: entity decoding order (``&amp;`` last so that ``&amp;lt;`` stays ``&lt;``)
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-
-NOISE_PATTERN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-BLOCK_TAGS = "h[1-6]|p|ul|ol|li|div|article|section|table|nav|footer|header|main|aside|blockquote|pre"
-BLOCK_PATTERN = (r"(?is)<(h[1-6]|p|li)\b[^>]*>(.*?)(?=<(?:/?(?:" + BLOCK_TAGS + r"))\b|\z)")
+from . import html_tree
 
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def decode_entities(x: Column) -> Column:
-    for ent, ch in ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return x
-
-
-def strip_tags(x: Column) -> Column:
-    return F.regexp_replace(x, r"<[^>]*>", "")
-
-
-def clean_html(html: str | Column) -> Column:
-    return F.regexp_replace(_c(html), NOISE_PATTERN, "")
-
+def page_text(df: DataFrame, html: str = "html", tag: str = "article", out: str = "text", nesting: str = "implied") -> DataFrame:
+    """The container's headings, paragraphs and list items joined by a blank
+    line; ``Handbook content not found`` when the page has no container, null
+    for a null page.
 
-def container(html: str | Column, tag: str = "article") -> Column:
-    """Inner HTML of the first content container (null when absent)."""
-    inner = F.regexp_extract(_c(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
-    found = _c(html).rlike(rf"(?is)<{tag}\b[^>]*>")
-    return F.when(found, inner)
+    ``tag`` is a selector (``div.handbook-page``), the first matching element
+    is the container and all that lies in it counts, nested containers
+    included. ``nesting`` is ``implied`` or ``nested``, see :mod:`.html_tree`."""
+    return df.withColumn(out, html_tree.text_udf(tag, nesting)(_c(html)))
 
 
-def block_text(inner: Column) -> Column:
-    return py_strip(decode_entities(strip_tags(inner)))
+def page_text_robust(df: DataFrame, html: str = "html", tag: str = "article", out: str = "text", mode: str = "html5") -> DataFrame:
+    """:func:`page_text` under its former modes: ``html5`` (implied end tags) and ``nested``."""
+    return page_text(df, html, tag, out, "implied" if mode == "html5" else mode)
 
 
-def page_blocks(df: DataFrame, html: str = "html", tag: str = "article") -> DataFrame:
-    """P1 blocks: ``blocks`` = array of (pos, tag, line) inside the container."""
-    body = container(clean_html(html), tag)
-    tags = F.regexp_extract_all(body, F.lit(BLOCK_PATTERN), 1)
-    inners = F.regexp_extract_all(body, F.lit(BLOCK_PATTERN), 2)
-    zipped = F.arrays_zip(tags.alias("tag"), inners.alias("inner"))
-
-    def fmt(z: Column) -> Column:
-        t = F.lower(z["tag"])
-        txt = block_text(z["inner"])
-        level = F.substring(t, 2, 1).cast("int")
-        return (F.when(t == "p", txt)
-                .when(t == "li", F.concat(F.lit(fixed.LIST_BULLET), txt))
-                .otherwise(F.concat(F.repeat(F.lit("#"), level), F.lit(" "), txt)))
-
-    lines = F.transform(zipped, fmt)
-    return df.withColumn("_body", body).withColumn("blocks", F.when(F.col("_body").isNotNull(), lines)).drop("_body")
-
+def _robust_text(html: str, tag: str, mode: str = "html5") -> str:
+    """Text of one page, as :func:`page_text_robust`."""
+    lines = html_tree.page_lines(html, tag, "implied" if mode == "html5" else mode)
+    return html_tree.fixed.NOT_FOUND_TEXT if lines is None else "\n\n".join(t for _, t in lines)
 
-def page_text(df: DataFrame, html: str = "html", tag: str = "article", out: str = "text") -> DataFrame:
-    """Blocks joined by a blank line; ``Handbook content not found`` when
-    the page has no container."""
-    b = page_blocks(df, html, tag)
-    return b.withColumn(out, F.coalesce(F.array_join("blocks", "\n\n"), F.lit(fixed.NOT_FOUND_TEXT))).drop("blocks")
 
+def page_headings(df: DataFrame, html: str = "html", tag: str = "article", level: int = 1, nesting: str = "implied") -> DataFrame:
+    """``heading``: the container's first ``<hN>`` as ``'#'*N + ' ' + text``, without one the sign and a blank."""
+    @F.pandas_udf("string")
+    def first(pages: pd.Series) -> pd.Series:
+        def one(page: str | None) -> str | None:
+            if page is None:
+                return None
+            lines = html_tree.page_lines(page, tag, nesting)
+            return None if lines is None else next((t for h, t in lines if h == f"h{level}"), "#" * level + " ")
+        return pd.Series([one(p) for p in pages], dtype=object)
 
-def page_headings(df: DataFrame, html: str = "html", tag: str = "article", level: int = 1) -> DataFrame:
-    """First ``<hN>`` inside the container as ``'#'*N + ' ' + text``."""
-    body = container(clean_html(html), tag)
-    inner = F.regexp_extract(body, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}\s*>", 1)
-    return df.withColumn("heading", F.concat(F.lit("#" * level + " "), block_text(inner)))
+    return df.withColumn("heading", first(_c(html)))
 
 
 def urljoin_col(base: str | Column, href: str | Column) -> Column:
-    """P3 for the common cases (absolute, scheme-relative, root-relative,
-    fragment, query, relative); dot segments are left as written. Use
-    ``urljoin_exact`` for full RFC 3986 resolution."""
-    b, h = _c(base), _c(href)
-    origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    no_frag = F.regexp_replace(b, r"#.*$", "")
-    no_query = F.regexp_replace(b, r"[?#].*$", "")
-    base_dir = F.regexp_replace(no_query, r"[^/]*$", "")
-    return (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin, h))
-            .when(h.startswith("#"), F.concat(no_frag, h))
-            .when(h.startswith("?"), F.concat(no_query, h))
-            .when(h == "", no_frag)
-            .otherwise(F.concat(base_dir, h)))
+    """RFC 3986 resolution in built-in functions, see :func:`.html_tree.join_url`."""
+    return html_tree.join_url(base, href)
 
 
 @F.pandas_udf(T.StringType())
 def urljoin_exact(base: pd.Series, href: pd.Series) -> pd.Series:
+    """P3 by the standard library, to hold :func:`urljoin_col` against."""
     from urllib.parse import urljoin
     return pd.Series([None if b is None or h is None else urljoin(b, h) for b, h in zip(base, href)])
 
 
-ITEM_PATTERN = (r"(?is)<li\b[^>]*>\s*<a\b[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>\s*"
-                r"(?:<ul\b[^>]*>(.*?)</ul>\s*)?</li>")
-LINK_PATTERN = r"(?is)<a\b[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
-
-
-def toc_links(pages: DataFrame, url: str = "url", html: str = "html", menu_tag: str = "nav") -> DataFrame:
-    """One chapter per top-level menu item (numbered from 0 inside the
-    page); its sub-menu links are sections 1..n, an item without a sub-menu
-    is one section ``sec00``. ``text_location = chNN/secNN.txt``."""
-    menu = F.regexp_extract(clean_html(html), rf"(?is)<{menu_tag}\b[^>]*>(.*?)</{menu_tag}\s*>", 1)
-    hrefs = F.regexp_extract_all(menu, F.lit(ITEM_PATTERN), 1)
-    names = F.regexp_extract_all(menu, F.lit(ITEM_PATTERN), 2)
-    subs = F.regexp_extract_all(menu, F.lit(ITEM_PATTERN), 3)
-    items = F.arrays_zip(hrefs.alias("href"), names.alias("name"), subs.alias("sub"))
-    ch = pages.select(F.col("page_id"), F.col(url).alias("_base"), F.posexplode(items).alias("chapter_no", "item"))
-    ch = ch.withColumn("chapter_name", block_text(F.col("item.name")))
-    sub_h = F.regexp_extract_all(F.col("item.sub"), F.lit(LINK_PATTERN), 1)
-    sub_n = F.regexp_extract_all(F.col("item.sub"), F.lit(LINK_PATTERN), 2)
-    secs = F.when(F.size(sub_h) > 0, F.transform(
-        F.arrays_zip(sub_h.alias("href"), sub_n.alias("name")),
-        lambda s, i: F.struct((i + 1).alias("section_no"), s["href"].alias("href"), s["name"].alias("name"))))\
-        .otherwise(F.array(F.struct(F.lit(0).alias("section_no"), F.col("item.href").alias("href"),
-                                    F.col("item.name").alias("name"))))
-    out = ch.select("page_id", "_base", "chapter_no", "chapter_name", F.explode(secs).alias("s"))
-    return out.select(
-        "page_id", F.col("chapter_no").cast("int").alias("chapter_no"), "chapter_name",
-        F.col("s.section_no").cast("int").alias("section_no"),
-        block_text(F.col("s.name")).alias("section_name"),
-        urljoin_col(F.col("_base"), F.col("s.href")).alias("url"),
-        F.format_string("ch%02d/sec%02d.txt", F.col("chapter_no"), F.col("s.section_no")).alias("text_location"),
-    )
-
-
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
-         "track", "wbr"}
-_BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "ol")
-_CLOSES_P = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "ul", "ol", "div", "article", "section", "table",
-             "nav", "footer", "header", "main", "aside", "blockquote", "pre")
-_P_SCOPE = ("article", "div", "section", "li", "ul", "ol", "td", "th", "table", "main", "aside", "blockquote")
-
-
-def _robust_text(html: str, tag: str, mode: str = "html5") -> str:
-    """Stdlib-parser extraction.
-
-    ``mode='html5'``: a new block closes an open ``<p>``/``<li>`` (same
-    result as the built-in expressions).
-    ``mode='nested'``: tags nest exactly as written (an unclosed ``<p>``
-    contains everything up to the container's end) and every block takes the
-    text of all its descendants, in document order -- the behaviour of a
-    recursive ``find_all`` over a tree built without implicit closing."""
-    from html.parser import HTMLParser
-
-    class Node:
-        __slots__ = ("tag", "kids")
-
-        def __init__(self, t):
-            self.tag, self.kids = t, []
-
-    class P(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.root = Node("#root")
-            self.stack = [self.root]
-            self.skip = 0
-
-        def handle_starttag(self, t, attrs):
-            if t in ("script", "style"):
-                self.skip += 1
-                return
-            if mode == "html5" and t in _CLOSES_P:
-                self._close("p", _P_SCOPE)
-                if t == "li":
-                    self._close("li", ("ul", "ol"))
-            node = Node(t)
-            self.stack[-1].kids.append(node)
-            if t not in _VOID:
-                self.stack.append(node)
-
-        def _close(self, name, scope):
-            """Pop up to and including an open ``name`` inside ``scope``."""
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag == name:
-                    del self.stack[i:]
-                    return
-                if self.stack[i].tag in scope:
-                    return
-
-        def handle_endtag(self, t):
-            if t in ("script", "style"):
-                self.skip = max(0, self.skip - 1)
-                return
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag == t:
-                    del self.stack[i:]
-                    return
-
-        def handle_data(self, d):
-            if not self.skip:
-                self.stack[-1].kids.append(d)
-
-    def text(n) -> str:
-        out, todo = [], [n]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                out.append(x)
-            else:
-                todo.extend(reversed(x.kids))
-        return "".join(out)
-
-    def walk(n, want):
-        todo = list(reversed(n.kids))
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                continue
-            if x.tag in want:
-                yield x
-            todo.extend(reversed(x.kids))
-
-    p = P()
-    p.feed(html)
-    p.close()
-    box = next((x for x in walk(p.root, (tag,))), None)
-    if box is None:
-        return fixed.NOT_FOUND_TEXT
-    out = []
-    for el in walk(box, _BLOCKS):
-        if el.tag.startswith("h"):
-            out.append("#" * int(el.tag[1]) + " " + text(el).strip())
-        elif el.tag == "p":
-            out.append(text(el).strip())
-        else:
-            out.extend(fixed.LIST_BULLET + text(li).strip() for li in walk(el, ("li",)))
-    return "\n\n".join(out)
-
-
-def page_text_robust(df: DataFrame, html: str = "html", tag: str = "article", out: str = "text",
-                     mode: str = "html5") -> DataFrame:
-    """P1 with the standard-library parser, one Arrow batch at a time
-    (``mode``: see :func:`_robust_text`)."""
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[out] = [None if h is None else _robust_text(h, tag, mode) for h in b[html]]
-            yield b
-
-    return df.mapInPandas(run, schema)
+def toc_dataset(pages: DataFrame, url: str = "url", html: str = "html", container: str = "nav", menu: str = "ul", item: str = "li",
+                sub: str = "ul", nesting: str = "implied") -> DataFrame:
+    """P2 (D2): ``(page_id, dataset)``, the page's chapters as
+    ``array<struct<type, name, sections: array<struct<type, name, url, text_location>>>>``.
+
+    Chapters are the direct items of the container's outermost menus, numbered
+    from 0 over all of them; the items of a chapter's first sub-list are its
+    sections 1..n, those of lists inside it included; a chapter without one is
+    a single section 0. Items that don't match ``item`` or hold no link are
+    left out. All four are selectors. Pages without a menu have no chapter."""
+    entries = html_tree.menu_udf(container, menu, item, sub, nesting)(_c(html))
+    base = F.col("_base")
+
+    def section(c: Column, no: Column, name: Column, href: Column) -> Column:
+        return F.struct(F.lit("section").alias("type"), name.alias("name"), html_tree.join_url(base, href).alias("url"),
+                        F.format_string("ch%02d/sec%02d.txt", c, no).alias("text_location"))
+
+    def chapter(e: Column, c: Column) -> Column:
+        listed = F.transform(e["sections"], lambda s, i: section(c, i + 1, s["name"], s["href"]))
+        single = F.array(section(c, F.lit(0), e["name"], e["href"]))
+        return F.struct(F.lit("chapter").alias("type"), e["name"].alias("name"), F.when(F.size(e["sections"]) > 0, listed).otherwise(single).alias("sections"))
+
+    read = pages.select("page_id", _c(url).alias("_base"), entries.alias("_entries"))
+    return read.select("page_id", F.coalesce(F.transform("_entries", chapter), F.array()).alias("dataset"))
+
+
+def toc_links(pages: DataFrame, url: str = "url", html: str = "html", menu_tag: str = "nav", **selectors: str) -> DataFrame:
+    """A row per section of :func:`toc_dataset` (same selectors), with chapter and section numbers."""
+    d = toc_dataset(pages, url, html, menu_tag, **selectors)
+    ch = d.select("page_id", F.posexplode("dataset").alias("chapter_no", "c"))
+    out = ch.select("page_id", "chapter_no", F.col("c.name").alias("chapter_name"), F.posexplode("c.sections").alias("i", "s"))
+    single = F.col("s.text_location").endswith("/sec00.txt")
+    return out.select("page_id", "chapter_no", "chapter_name", F.when(single, 0).otherwise(F.col("i") + 1).alias("section_no"),
+                      F.col("s.name").alias("section_name"), F.col("s.url").alias("url"), F.col("s.text_location").alias("text_location"))

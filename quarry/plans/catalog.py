@@ -245,6 +245,25 @@ def page_text(spark, sf):
     return extract.page_text(read_table(spark, sf, "pages")).select("page_id", "text")
 
 
+@query("page_text_handbook")
+def page_text_handbook(spark, sf):
+    """P1 with a class selector over pages of nested containers, references and open tags."""
+    return extract.page_text(I.handbook_pages(spark, sf), tag="div.handbook-page").select("page_id", "text")
+
+
+@query("page_text_nested")
+def page_text_nested(spark, sf):
+    """P1 with tags nested as written: an open paragraph holds the rest of its container."""
+    pages = I.handbook_pages(spark, sf, unclosed="i = 3")
+    return extract.page_text(pages, tag="div.handbook-page", nesting="nested").select("page_id", "text")
+
+
+@query("toc_menus")
+def toc_menus(spark, sf):
+    """P2-P4 with sub-menus, class selectors and links of every form."""
+    return extract.toc_links(I.menu_pages(spark, sf), menu_tag="div.handbook-container", menu="ul.toc-menu", item="li.menu-item", sub="ul.sub-menu")
+
+
 @query("page_headings")
 def page_headings(spark, sf):
     return extract.page_headings(read_table(spark, sf, "pages")).select("page_id", "heading")

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import py_strip
 from ..operators.agents import assign_agents
 from ..operators.dialogs import qa_pairs, with_chapter
 from ..operators.split import split_random
@@ -92,3 +93,59 @@ def both_arms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     s = specialist_splits(spark, sf)
     o = orchestrator(spark, sf, s)
     return baseline_arm(spark, sf, o), architecture_arm(spark, sf, o, s)
+
+
+def handbook_pages(spark: SparkSession, sf: str, unclosed: str = "i % 4 = 3") -> DataFrame:
+    """``(page_id, url, html)``: a page per document, a block per line of its
+    text. Containers of one class nest, classes come in lists, references are
+    named, numeric and unfinished, items and some paragraphs (``unclosed``,
+    by the line's number) have no end tag."""
+    d = read_table(spark, sf, "documents")
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: py_strip(x) != "")
+
+    def block(line, i):
+        e = line
+        for plain, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;"), ("'", "&#39;"), ("é", "&eacute;"), ("ß", "&#xDF;"), ("ñ", "&#241;")):
+            e = F.replace(e, F.lit(plain), F.lit(reference))
+        return (F.when(i % 4 == 0, F.concat(F.lit('<p class="c">'), e, F.lit("</p>")))
+                .when(i % 4 == 1, F.concat(F.lit("<div class='handbook-page'><p>"), e, F.lit("</p></div>")))
+                .when(i % 4 == 2, F.concat(F.lit("<ul><li>"), e, F.lit("<li>more &copy "), i.cast("string"), F.lit("</ul>")))
+                .when(unclosed_at(i), F.concat(F.lit("<p>"), e)).otherwise(F.concat(F.lit("<p>"), e, F.lit("</p>"))))
+
+    def unclosed_at(i):
+        return i == 3 if unclosed == "i = 3" else i % 4 == 3
+
+    source = F.coalesce("source", F.lit("none"))
+    html = F.concat(F.lit('<!DOCTYPE html><html><body><script>var t="</p><div class=handbook-page>";</script><p>before</p><div class="wide handbook-page x">'
+                          '<h2 class="t">'), source, F.lit("&rsquo;s page &#8212; &notit; &#x26;amp;</h2>"),
+                    F.array_join(F.transform(lines, block), ""), F.lit("</div><p>outside</p></body></html>"))
+    return d.select(F.col("doc_id").alias("page_id"), F.format_string("https://h.org/%s/dir/page%d", source, "doc_id").alias("url"), html.alias("html"))
+
+
+def menu_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """``(page_id, url, html)``: a page per document with a menu of one to five
+    chapters, sub-menus inside them, lists inside those, items of another
+    class, and links in every quoting and of every form."""
+    d = read_table(spark, sf, "documents").where("doc_id IS NOT NULL")
+    doc = F.col("doc_id")
+
+    def section(c):
+        def of(s):
+            link = (F.when(s == 1, F.concat(F.lit('<a href="../s'), doc.cast("string"), F.lit('/./p1?x=1&amp;y">S 1</a>')))
+                    .when(s == 2, F.concat(F.lit("<a class='l' href='/abs/"), c.cast("string"), F.lit("/../p2'>S <b>2</b></a>"
+                          '<ul class="sub-menu deep"><li class="menu-item"><a href=deep>Deep</a></li></ul>')))
+                    .when(s == 3, F.lit("<a href=rel3.html> S 3 </a>")).otherwise(F.lit('<a href="//cdn.org/p4#f">S 4</a>')))
+            return F.concat(F.lit('<li class="x menu-item">'), link, F.lit("</li><li class=other><a href=no>No</a></li>"))
+        return of
+
+    def chapter(c):
+        n = F.when((doc + c) % 3 == 0, F.lit(0)).otherwise(((doc + c) % 4).cast("int") + 1)
+        sections = F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), section(c)), "")
+        return F.concat(F.lit('<li class="menu-item top"><a href="?c='), c.cast("string"), F.lit('"> Ch &amp; '), c.cast("string"), F.lit("&rsquo;</a>"),
+                        F.when(n > 0, F.concat(F.lit("<ul class='sub-menu'>"), sections, F.lit("</ul>"))).otherwise(F.lit("")), F.lit("</li>"))
+
+    items = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), doc % 5), chapter), '<li class="divider">-</li>')
+    html = F.concat(F.lit('<html><body><ul class="toc-menu"><li class="menu-item"><a href=z>outside</a></li></ul><div class="handbook-container a"><ul class="b toc-menu">'),
+                    items, F.lit("</ul></div></body></html>"))
+    url = F.format_string("https://h.org/%s/dir/page%d", F.coalesce("source", F.lit("none")), doc)
+    return d.select(doc.alias("page_id"), url.alias("url"), html.alias("html"))

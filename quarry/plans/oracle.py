@@ -284,12 +284,15 @@ FROM (SELECT pair_id, spans, coalesce(list_bool_and(list_transform(spans, lambda
 
 # ---------------------------------------------------------------------------
 # pages, sections, logs
-from ..operators import extract as _ex  # noqa: E402
-from ..operators import tokens as _tk  # noqa: E402
+# patterns of this oracle's own: the given pages spell only these entities, quote every href with " and nest no menu
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+             ("&nbsp;", chr(160)), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+_NOISE = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+_MENU_ITEM = r'(?is)<li\b[^>]*>\s*<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>\s*</li>'
 
 
 def decode(x: str) -> str:
-    for ent, ch in _ex.ENTITIES:
+    for ent, ch in _ENTITIES:
         x = f"replace({x}, {sq(ent)}, {sq(ch)})"
     return x
 
@@ -308,19 +311,50 @@ def urljoin(b: str, h: str) -> str:
  ELSE regexp_replace(regexp_replace({b}, '[?#].*$', ''), '[^/]*$', '') || {h} END"""
 
 
-cte("pages_clean", f"SELECT page_id, url, regexp_replace(html, {sq(_ex.NOISE_PATTERN)}, '', 'g') AS h FROM pages")
+cte("pages_clean", f"SELECT page_id, url, regexp_replace(html, {sq(_NOISE)}, '', 'g') AS h FROM pages")
 q("page_headings", f"""
 SELECT page_id, '# ' || {block_text("regexp_extract(regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)")} AS heading
 FROM pages_clean""")
 cte("toc_items", f"""
 SELECT page_id, url, hrefs, names, unnest(generate_series(1, len(hrefs))) AS i
-FROM (SELECT page_id, url, regexp_extract_all(menu, {sq(_ex.ITEM_PATTERN)}, 1) AS hrefs,
-             regexp_extract_all(menu, {sq(_ex.ITEM_PATTERN)}, 2) AS names
+FROM (SELECT page_id, url, regexp_extract_all(menu, {sq(_MENU_ITEM)}, 1) AS hrefs,
+             regexp_extract_all(menu, {sq(_MENU_ITEM)}, 2) AS names
       FROM (SELECT page_id, url, regexp_extract(h, '(?is)<nav\\b[^>]*>(.*?)</nav\\s*>', 1) AS menu FROM pages_clean))""")
 q("toc_links", f"""
 SELECT page_id, CAST(i - 1 AS INTEGER) AS chapter_no, 0 AS section_no, {block_text('names[i]')} AS section_name,
        {urljoin('url', 'hrefs[i]')} AS url, printf('ch%02d/sec00.txt', i - 1) AS text_location
 FROM toc_items""")
+# pages and menus derived from the documents: what they say is known from their pieces, no page is parsed here
+cte("handbook_lines", f"""
+SELECT doc_id AS page_id, coalesce(source, 'none') AS source,
+       list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: {strip('l')} <> '') AS ls FROM documents""")
+cte("handbook_head", """SELECT page_id, ls, '## ' || source || '’s page — ¬it; &amp;' AS head FROM handbook_lines""")
+q("page_text_handbook", f"""
+SELECT page_id, array_to_string(list_concat([head], flatten(list_transform(range(0, len(ls)), lambda i:
+         CASE WHEN i % 4 = 2 THEN ['• ' || {strip('ls[i + 1]')}, '• more © ' || i] ELSE [{strip('ls[i + 1]')}] END))), chr(10) || chr(10)) AS text
+FROM handbook_head""")
+q("page_text_nested", f"""
+SELECT page_id, array_to_string(list_concat([head], flatten(list_transform(range(0, len(ls)), lambda i:
+         CASE WHEN i % 4 = 2 THEN ['• ' || {strip("ls[i + 1] || 'more © ' || i")}, '• more © ' || i]
+              WHEN i = 3 THEN [{strip("array_to_string(list_transform(range(3, len(ls)), lambda j: ls[j + 1] || CASE WHEN j % 4 = 2 THEN 'more © ' || j ELSE '' END), '')")}]
+              ELSE [{strip('ls[i + 1]')}] END))), chr(10) || chr(10)) AS text
+FROM handbook_head""")
+cte("menu_chapters", """
+SELECT page_id, source, c, CASE WHEN (page_id + c) % 3 = 0 THEN 0 ELSE (page_id + c) % 4 + 1 END AS n
+FROM (SELECT doc_id AS page_id, coalesce(source, 'none') AS source, unnest(range(0, doc_id % 5 + 1)) AS c FROM documents WHERE doc_id IS NOT NULL)""")
+q("toc_menus", """
+SELECT page_id, c::INTEGER AS chapter_no, 'Ch & ' || c || '’' AS chapter_name, 0 AS section_no, 'Ch & ' || c || '’' AS section_name,
+       'https://h.org/' || source || '/dir/page' || page_id || '?c=' || c AS url, printf('ch%02d/sec00.txt', c) AS text_location
+FROM menu_chapters WHERE n = 0
+UNION ALL
+SELECT page_id, c::INTEGER, 'Ch & ' || c || '’', (s + (s > 2)::INTEGER)::INTEGER, 'S ' || s,
+       CASE s WHEN 1 THEN 'https://h.org/' || source || '/s' || page_id || '/p1?x=1&y' WHEN 2 THEN 'https://h.org/abs/p2'
+              WHEN 3 THEN 'https://h.org/' || source || '/dir/rel3.html' ELSE 'https://cdn.org/p4#f' END,
+       printf('ch%02d/sec%02d.txt', c, s + (s > 2)::INTEGER)
+FROM (SELECT *, unnest(range(1, n + 1)) AS s FROM menu_chapters)
+UNION ALL
+SELECT page_id, c::INTEGER, 'Ch & ' || c || '’', 3, 'Deep', 'https://h.org/' || source || '/dir/deep', printf('ch%02d/sec03.txt', c)
+FROM menu_chapters WHERE n >= 2""")
 q("section_topn", "SELECT source, doc_id, n_chars FROM documents ORDER BY source, doc_id LIMIT 50")
 q("chapter_concat", """
 SELECT source, doc_id,
@@ -366,7 +400,7 @@ WHERE regexp_matches(value, '^\\s*\\{') AND json_valid(value)""")
 
 # ---------------------------------------------------------------------------
 # tokens
-_TP = sq(_tk.TOKEN_PATTERN)
+_TP = sq(r"\p{L}+|\p{N}+|[^ \t\n\r\f\x0B\p{L}\p{N}]")
 cte("tok_src", f"SELECT pair_id, {sq(_ap_head)} || input_text || {sq(_ap_tail)} AS prompt, target_text FROM pairs")
 cte("vocab", f"""
 SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 2 AS INTEGER) AS id

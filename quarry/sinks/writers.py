@@ -26,6 +26,12 @@ def write_description(toc: DataFrame, out_path: str, mode: str = "overwrite") ->
     out.write.mode(mode).json(out_path)
 
 
+def write_dataset(datasets: DataFrame, out_path: str, mode: str = "overwrite") -> None:
+    """K2: one JSON object a page, ``{"dataset": [chapter, ...]}`` with the
+    chapters of :func:`..operators.extract.toc_dataset` and their sections."""
+    datasets.select("dataset").write.mode(mode).json(out_path)
+
+
 def write_generation_outputs(parsed: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
     """K3: the raw completion is kept for every input; parsed dialogs only
     where parsing succeeded. One table, two filtered writes."""
