@@ -11,29 +11,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dialogs import chapter_filter, explode_dialog_files
 from ..operators.ranks import rank_within
+from .dialog_files import scan_dialogs
 
 QA_SCHEMA = "input_text string, target_text string"
 
 
 def read_dialog_files(spark: SparkSession, directory: str, chapters: list[str] | None = None,
-                      pattern: str = "*.json") -> DataFrame:
+                      pattern: str = "*.json", on_error: str = "raise") -> DataFrame:
     """Every ``**/*.json`` under ``directory`` (each a list of
     dialogs), optionally only files whose path contains one of ``chapters``.
     Returns one row per message with the order key
     ``(path, dialog_idx, turn)``.
 
-    Files are read whole (``wholetext``): a JSON document cannot be split, so
-    one file is one task; the reader never gathers files together.
-    ``read.json(multiLine)`` is not used because it turns a list of lists
-    into a single null row."""
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-             .option("pathGlobFilter", pattern).text(directory)
-             .select(F.col("_metadata.file_path").alias("path"), "value"))
-    if chapters:
-        files = chapter_filter(files, chapters, path="path")
-    return explode_dialog_files(files)
+    A large file is read by several tasks, see :mod:`.dialog_files`. With
+    ``on_error="raise"`` a malformed file fails the job and is named in the
+    error; ``"drop"`` leaves it out, :func:`.dialog_files.scan_dialogs` gives
+    the rejected files as a table."""
+    if on_error not in ("raise", "drop"):
+        raise ValueError("on_error is 'raise' or 'drop'")
+    messages, rejects = scan_dialogs(spark, directory, chapters, pattern)
+    if on_error == "drop":
+        return messages
+    # the first bad file is one aggregated row: no filter moves below it, and no column pruning removes it
+    first = rejects.agg(F.min(F.struct("path", "reason")).alias("w"))
+    error = F.raise_error(F.concat(F.lit("malformed dialog file "), "w.path", F.lit(": "), "w.reason")).cast("boolean")
+    failing = first.where(F.when(F.col("w").isNotNull(), error).otherwise(F.lit(False)))
+    return messages.unionByName(failing.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in messages.schema.fields]))
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str = QA_SCHEMA) -> DataFrame:
