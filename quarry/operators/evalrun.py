@@ -22,7 +22,7 @@ def parse_result_lines(lines: DataFrame, value: str = "value", line_no: str = "l
     s = py_strip(F.col(value))
     cand = lines.where(s.startswith("{"))
     # null only for malformed JSON: a valid record with a null query is good
-    ok = F.expr(f"try_parse_json(`{value}`)").isNotNull()
+    ok = F.try_parse_json(s).isNotNull()
     good = cand.where(ok).select(line_no, F.from_json(s, schema, {"mode": "PERMISSIVE"}).alias("_r")).select(line_no, "_r.*")
     bad = cand.where(~ok).select(line_no, F.col(value).alias("line"))
     return good, bad
@@ -36,23 +36,36 @@ def eval_join(queries: DataFrame, responses: DataFrame, id_col: str = "pair_id")
 def eval_summary(scored: DataFrame, arm: str = "arm", metric: str = "meteor",
                  time_col: str | None = None) -> DataFrame:
     """A7/A8/A13/V6 per arm: rows scored and invalid, metric min/max/mean/
-    median over valid rows, and latency stats when a time column is given.
+    median over valid rows, and the same four of a time column when given.
     Invalid rows are counted per arm (the reference's shared counter is not
-    reproduced)."""
+    reproduced). An arm without a valid row has null statistics. The scored rows
+    are written once, as narrow rows, before the passes of the medians."""
     from .quantiles import exact_quantiles
+    names = {metric: metric} | ({time_col: "time"} if time_col else {})
     v = F.col("valid")
-    aggs = [
-        F.count_if(v).alias("n_scored"), F.count_if(~v).alias("n_invalid"),
-        F.min(F.when(v, F.col(metric))).alias(f"{metric}_min"),
-        F.max(F.when(v, F.col(metric))).alias(f"{metric}_max"),
-        F.avg(F.when(v, F.col(metric))).alias(f"{metric}_mean"),
-    ]
-    if time_col:
-        aggs += [F.min(F.when(v, F.col(time_col))).alias("time_min"),
-                 F.max(F.when(v, F.col(time_col))).alias("time_max"),
-                 F.avg(F.when(v, F.col(time_col))).alias("time_mean")]
-    med = exact_quantiles(scored.where(v), metric, [0.5], [arm]).withColumnRenamed("q0500", f"{metric}_median")
-    return scored.groupBy(arm).agg(*aggs).join(med, on=arm, how="left")
+    rows = scored.select(arm, "valid", *names).checkpoint()
+    stats = rows.groupBy(arm).agg(F.count_if(v).alias("n_scored"), F.count_if(~v).alias("n_invalid"), *[
+        f(F.when(v, F.col(c))).alias(f"{name}_{f.__name__.replace('avg', 'mean')}")
+        for c, name in names.items() for f in (F.min, F.max, F.avg)])
+    long = rows.where(v).select(arm, F.explode(F.create_map(*[
+        x for c, name in names.items() for x in (F.lit(name), F.col(c).cast("double"))])).alias("_m", "_v"))
+    med = exact_quantiles(long, "_v", [0.5], [arm, "_m"], staged=True).groupBy(arm).agg(*[
+        F.max(F.when(F.col("_m") == name, F.col("q0500"))).alias(f"{name}_median") for name in names.values()])
+    return stats.join(med, on=arm, how="left")
+
+
+def eval_paired_arms(scored: DataFrame, arm_a: str, arm_b: str, id_col: str = "pair_id", arm: str = "arm",
+                     metric: str = "meteor") -> DataFrame:
+    """J7/M6 over stacked arms: the items valid in both arms, with the mean
+    paired difference ``a - b``. The scores are read once: an id's two arms meet
+    in one aggregation. An id has at most one row an arm."""
+    def of(name: str):
+        return F.max(F.when(F.col("valid") & (F.col(arm) == name), F.col(metric)))
+
+    j = scored.where(F.col(arm).isin(arm_a, arm_b)).groupBy(id_col).agg(of(arm_a).alias("_a"), of(arm_b).alias("_b"))
+    return j.where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).agg(
+        F.count(F.lit(1)).alias("n_common"), F.avg("_a").alias("mean_a"),
+        F.avg("_b").alias("mean_b"), F.avg(F.col("_a") - F.col("_b")).alias("mean_diff"))
 
 
 def eval_paired(a: DataFrame, b: DataFrame, id_col: str = "pair_id", metric: str = "meteor") -> DataFrame:

@@ -8,20 +8,18 @@ from library implementations that tokenise differently.
 BLEU, ROUGE-1/2 and METEOR are plain Spark jobs: n-grams and token positions
 are exploded and matched with equi-joins keyed by ``(id, n, gram)`` /
 ``(id, word, k)``, so one very long text is spread over many tasks. Only
-ROUGE-L needs a longest common subsequence and runs in an Arrow UDF.
+ROUGE-L and ROUGE-Lsum need longest common subsequences and run in Arrow UDFs.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import bleu_13a_tokens, metric_tokens, rouge_ascii_tokens
+from .lcs import rouge_l_score, rouge_lsum_score
 
 # tokenisers per style: "unicode" (ours, default) or "library" (the rules of
 # the public BLEU and ROUGE scorers)
@@ -152,140 +150,40 @@ def meteor_exact(df: DataFrame, id_col: str, pred: str, ref: str, chunk: int = 4
     fmean = p * rr / (METEOR_ALPHA * p + (1 - METEOR_ALPHA) * rr)
     pen = METEOR_GAMMA * F.pow(F.col("chunks") / mm, METEOR_BETA)
     score = F.when((mm > 0) & (c > 0) & (r > 0), fmean * (1 - pen)).otherwise(F.lit(0.0))
-    return out.select(id_col, "matches", "chunks", score.alias("meteor"))
+    return out.select(id_col, "matches", "chunks", "c", "r", score.alias("meteor"))
 
 
 # ---------------------------------------------------------------------------
-# ROUGE-L (longest common subsequence) -- Arrow UDF
-
-def _tok(s: str, style: str = "unicode") -> list[str]:
-    import regex
-    if style == "library":
-        return [t for t in regex.split(r"[^a-z0-9]+", (s or "").lower()) if t]
-    return [t for t in regex.split(r"[^\p{L}\p{N}]+", (s or "").lower()) if t]
-
-
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """LCS length, one numpy row at a time: with
-    ``x[j] = max(prev[j], prev[j-1] + match[j])`` the new row is the running
-    maximum of ``x``. Memory O(len(b))."""
-    if not a or not b:
-        return 0
-    vocab: dict[str, int] = {}
-    bi = np.fromiter((vocab.setdefault(t, len(vocab)) for t in b), dtype=np.int64, count=len(b))
-    prev = np.zeros(len(b) + 1, dtype=np.int64)
-    for t in a:
-        code = vocab.get(t, -1)
-        match = (bi == code).astype(np.int64)
-        x = np.maximum(prev[1:], prev[:-1] + match)
-        cur = np.empty_like(prev)
-        cur[0] = 0
-        np.maximum.accumulate(x, out=cur[1:])
-        prev = cur
-    return int(prev[-1])
-
-
-def _lcs_indices(ref: list[str], can: list[str]) -> list[int]:
-    """Positions in ``ref`` of the LCS picked by the usual backtrack (match
-    -> diagonal, else left when ``T[i][j-1] > T[i-1][j]``, else up). Rows are
-    computed two at a time; only the left/up decision is kept, packed 8 per
-    byte, so memory is ``len(ref) * len(can) / 8`` bytes."""
-    n, m = len(ref), len(can)
-    if not n or not m:
-        return []
-    vocab: dict[str, int] = {}
-    ci = np.fromiter((vocab.setdefault(t, len(vocab)) for t in can), dtype=np.int64, count=m)
-    prev = np.zeros(m + 1, dtype=np.int64)
-    left_bits = []
-    for i in range(n):
-        match = (ci == vocab.get(ref[i], -1)).astype(np.int64)
-        x = np.maximum(prev[1:], prev[:-1] + match)
-        cur = np.empty_like(prev)
-        cur[0] = 0
-        np.maximum.accumulate(x, out=cur[1:])
-        left_bits.append(np.packbits(cur[:-1] > prev[1:]))   # T[i][j-1] > T[i-1][j], j = 1..m
-        prev = cur
-    i, j, out = n, m, []
-    while i > 0 and j > 0:
-        if ref[i - 1] == can[j - 1]:
-            out.append(i - 1)
-            i -= 1
-            j -= 1
-        elif (left_bits[i - 1][(j - 1) >> 3] >> (7 - ((j - 1) & 7))) & 1:
-            j -= 1
-        else:
-            i -= 1
-    return out[::-1]
-
-
-def _lcs_indices_table(ref: list[str], can: list[str]) -> list[int]:
-    """Full-table version of :func:`_lcs_indices`, for tests."""
-    n, m = len(ref), len(can)
-    tab = [[0] * (m + 1) for _ in range(n + 1)]
-    for a in range(1, n + 1):
-        for b in range(1, m + 1):
-            tab[a][b] = tab[a - 1][b - 1] + 1 if ref[a - 1] == can[b - 1] else max(tab[a - 1][b], tab[a][b - 1])
-    i, j, out = n, m, []
-    while i > 0 and j > 0:
-        if ref[i - 1] == can[j - 1]:
-            out.append(i - 1)
-            i -= 1
-            j -= 1
-        elif tab[i][j - 1] > tab[i - 1][j]:
-            j -= 1
-        else:
-            i -= 1
-    return out[::-1]
-
-
-def _f1(p: float, r: float) -> float:
-    return 2 * p * r / (p + r) if p + r > 0 else 0.0
-
-
-def rouge_l_pair(pred: str, ref: str, style: str = "unicode") -> tuple[float, float]:
-    """(ROUGE-L F1, ROUGE-Lsum F1) for one pair; Lsum splits on newlines and
-    unions the LCS hits of each reference sentence, clipped by token counts."""
-    pt, rt = _tok(pred, style), _tok(ref, style)
-    lcs = lcs_length(rt, pt)
-    rl = _f1(lcs / len(pt), lcs / len(rt)) if pt and rt else 0.0
-    ps = [x for x in (_tok(s, style) for s in (pred or "").split("\n")) if x]
-    rs = [x for x in (_tok(s, style) for s in (ref or "").split("\n")) if x]
-    m, n = sum(map(len, rs)), sum(map(len, ps))
-    if not m or not n:
-        return rl, 0.0
-    from collections import Counter
-    cr, cc = Counter(), Counter()
-    for s in rs:
-        cr.update(s)
-    for s in ps:
-        cc.update(s)
-    hits = 0
-    for r in rs:
-        union = sorted(set().union(*[set(_lcs_indices(r, c)) for c in ps]))
-        for idx in union:
-            t = r[idx]
-            if cc[t] > 0 and cr[t] > 0:
-                hits += 1
-                cc[t] -= 1
-                cr[t] -= 1
-    return rl, _f1(hits / n, hits / m)
-
-
-_RL_TYPE = T.StructType([T.StructField("rougeL", T.DoubleType()), T.StructField("rougeLsum", T.DoubleType())])
-
-
-def _rouge_l_udf(style: str):
-    @F.pandas_udf(_RL_TYPE)
-    def run(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        vals = [rouge_l_pair(p, r, style) for p, r in zip(pred, ref)]
-        return pd.DataFrame({"rougeL": [v[0] for v in vals], "rougeLsum": [v[1] for v in vals]})
-    return run
+# ROUGE-L and ROUGE-Lsum: tokens made by the JVM, bit-vector LCS in Arrow batches
+
+@F.pandas_udf(T.DoubleType())
+def _rouge_l(pred: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([rouge_l_score(p, r) for p, r in zip(pred, ref)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def _rouge_lsum(pred: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([rouge_lsum_score(p, r) for p, r in zip(pred, ref)], dtype="float64")
+
+
+def _whole(tokens, col: str) -> Column:
+    return tokens(F.coalesce(F.col(col), F.lit("")))
+
+
+def _sentences(tokens, col: str) -> Column:
+    return F.transform(F.split(F.coalesce(F.col(col), F.lit("")), "\n"), tokens)
 
 
 def rouge_l(df: DataFrame, id_col: str, pred: str, ref: str, style: str = "unicode") -> DataFrame:
-    """ROUGE-L / ROUGE-Lsum F1 per id (Arrow batches; one LCS per pair)."""
-    return df.select(id_col, _rouge_l_udf(style)(F.col(pred), F.col(ref)).alias("_rl")).select(
-        id_col, "_rl.rougeL", "_rl.rougeLsum")
+    """ROUGE-L F1 per id; 0 where a text is null or has no token."""
+    tokens = _TOKENIZERS[style][1]
+    return df.select(id_col, _rouge_l(_whole(tokens, pred), _whole(tokens, ref)).alias("rougeL"))
+
+
+def rouge_lsum(df: DataFrame, id_col: str, pred: str, ref: str, style: str = "unicode") -> DataFrame:
+    """ROUGE-Lsum F1 per id, sentences being lines; 0 where a text is null or has no token."""
+    tokens = _TOKENIZERS[style][1]
+    return df.select(id_col, _rouge_lsum(_sentences(tokens, pred), _sentences(tokens, ref)).alias("rougeLsum"))
 
 
 def score_all(df: DataFrame, id_col: str, pred: str, ref: str, with_rouge_l: bool = True,
@@ -293,27 +191,11 @@ def score_all(df: DataFrame, id_col: str, pred: str, ref: str, with_rouge_l: boo
     """All metrics per id plus ``valid`` (BLEU computable: both texts have
     tokens)."""
     br = bleu_rouge(df, id_col, pred, ref, style)
-    me = meteor_exact(df, id_col, pred, ref).drop("matches", "chunks")
+    me = meteor_exact(df, id_col, pred, ref).select(id_col, "meteor")
     out = br.join(me, on=id_col, how="inner")
     if with_rouge_l:
-        out = out.join(rouge_l(df, id_col, pred, ref, style), on=id_col, how="inner")
+        tokens = _TOKENIZERS[style][1]
+        both = df.select(id_col, _rouge_l(_whole(tokens, pred), _whole(tokens, ref)).alias("rougeL"),
+                         _rouge_lsum(_sentences(tokens, pred), _sentences(tokens, ref)).alias("rougeLsum"))
+        out = out.join(both, on=id_col, how="inner")
     return out.withColumn("valid", F.col("bleu").isNotNull())
-
-
-def bleu_python(pred: str, ref: str, max_n: int = MAX_N) -> float | None:
-    """Small pure-Python reference used by the tests."""
-    from collections import Counter
-    p, r = _tok(pred), _tok(ref)
-    if not p or not r:
-        return None
-    logs = 0.0
-    for n in range(1, max_n + 1):
-        pc = Counter(tuple(p[i:i + n]) for i in range(len(p) - n + 1))
-        rc = Counter(tuple(r[i:i + n]) for i in range(len(r) - n + 1))
-        m = sum(min(v, rc[g]) for g, v in pc.items())
-        tot = max(len(p) - n + 1, 0)
-        if m == 0 or tot == 0:
-            return 0.0
-        logs += math.log(m / tot)
-    bp = 1.0 if len(p) > len(r) else math.exp(1 - len(r) / len(p))
-    return math.exp(logs / max_n) * bp

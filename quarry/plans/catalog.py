@@ -528,9 +528,8 @@ def rouge_l(spark, sf):
 
 @query("rouge_lsum")
 def rouge_lsum(spark, sf):
-    """ROUGE-Lsum (union LCS over newline-split sentences): rows-only, the
-    values are covered by pytest goldens."""
-    s = metrics.rouge_l(_baseline_pairs(spark, sf), "pair_id", "prediction", "reference")
+    """ROUGE-Lsum (union LCS over newline-split sentences)."""
+    s = metrics.rouge_lsum(_baseline_pairs(spark, sf), "pair_id", "prediction", "reference")
     return s.select("pair_id", F.round("rougeLsum", 6).alias("rougeLsum"))
 
 
@@ -540,6 +539,56 @@ def meteor_exact(spark, sf):
     return s.select("pair_id", "matches", "chunks", F.round("meteor", 6).alias("meteor"))
 
 
+@query("bleu_library")
+def bleu_library(spark, sf):
+    """M1/M2 by the public scorers' tokens over edited answers."""
+    s = metrics.bleu_rouge(I.edited_answers(spark, sf), "pair_id", "prediction", "reference", style="library")
+    return s.select("pair_id", "c", "r", *[F.round(c, 6).alias(c) for c in ("bleu", "rouge1", "rouge2")])
+
+
+@query("rouge_lsum_edited")
+def rouge_lsum_edited(spark, sf):
+    s = metrics.rouge_lsum(I.edited_answers(spark, sf), "pair_id", "prediction", "reference")
+    return s.select("pair_id", F.round("rougeLsum", 6).alias("rougeLsum"))
+
+
+@query("meteor_stages")
+def meteor_stages(spark, sf):
+    """M4 with punctuation tokens, Porter stems and a table of word groups."""
+    from ..operators import alignment
+    stages = (alignment.exact(), alignment.stems(), alignment.synonyms(I.word_groups(spark, sf)))
+    s = alignment.meteor(I.edited_answers(spark, sf), "pair_id", "prediction", "reference", stages=stages)
+    n = F.col("stage_matches")
+    return s.select("pair_id", "matches", "chunks", n[0].alias("n_exact"), n[1].alias("n_stem"), n[2].alias("n_group"),
+                    F.round("meteor", 6).alias("meteor"))
+
+
+def _edited_scores(spark, sf):
+    """Two arms over one input: the edited answer and the question itself as prediction."""
+    e = I.edited_answers(spark, sf)
+    arms = e.select("pair_id", "reference", F.explode(F.array(
+        F.struct(F.lit("edited").alias("arm"), F.col("prediction").alias("prediction"), F.col("seconds").alias("seconds")),
+        F.struct(F.lit("question").alias("arm"), F.col("question").alias("prediction"), (F.col("seconds") * 2).alias("seconds"))
+    )).alias("a")).select(F.struct("a.arm", "pair_id").alias("_key"), "a.prediction", "a.seconds", "reference")
+    me = metrics.meteor_exact(arms, "_key", "prediction", "reference").select(
+        "_key", "meteor", ((F.col("c") > 0) & (F.col("r") > 0)).alias("valid"))
+    return arms.select("_key", "seconds").join(me, on="_key").select("_key.arm", "_key.pair_id", "seconds", "meteor", "valid")
+
+
+@query("eval_report")
+def eval_report(spark, sf):
+    """A7/A8/A13/V6 with latency: per arm the scored and invalid rows, metric and time statistics."""
+    s = evalrun.eval_summary(_edited_scores(spark, sf), arm="arm", metric="meteor", time_col="seconds")
+    return s.select("arm", "n_scored", "n_invalid", *[F.round(f"{m}_{f}", 6).alias(f"{m}_{f}")
+                                                     for m in ("meteor", "time") for f in ("min", "max", "mean", "median")])
+
+
+@query("eval_report_paired")
+def eval_report_paired(spark, sf):
+    s = evalrun.eval_paired_arms(_edited_scores(spark, sf), "edited", "question", metric="meteor")
+    return s.select("n_common", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "mean_diff")])
+
+
 def _arm_scores(spark, sf):
     """Both arms scored the way the analysis does: prediction = response
     after the query (P18), METEOR + validity. The arms are stacked first so
@@ -547,13 +596,12 @@ def _arm_scores(spark, sf):
     b, a = I.both_arms(spark, sf)
     stacked = b.select(F.lit(0).alias("arm_no"), "pair_id", "input_text", "target_text", "response").unionByName(
         a.select(F.lit(1).alias("arm_no"), "pair_id", "input_text", "target_text", F.col("answer").alias("response")))
-    d = stacked.select((F.col("pair_id") * 2 + F.col("arm_no")).alias("_key"), "arm_no", "pair_id",
+    d = stacked.select(F.struct("arm_no", "pair_id").alias("_key"), "arm_no", "pair_id",
                        parse.answer_after_query("response", "input_text").alias("prediction"),
                        F.col("target_text").alias("reference"))
-    me = metrics.meteor_exact(d, "_key", "prediction", "reference").select("_key", "meteor")
-    valid = metrics.tokenized(d, "_key", "prediction", "reference").select(
-        "_key", ((F.size("_pt") > 0) & (F.size("_rt") > 0)).alias("valid"))
-    scored = d.select("_key", "arm_no", "pair_id").join(me, on="_key").join(valid, on="_key")
+    me = metrics.meteor_exact(d, "_key", "prediction", "reference").select(
+        "_key", "meteor", ((F.col("c") > 0) & (F.col("r") > 0)).alias("valid"))
+    scored = d.select("_key", "arm_no", "pair_id").join(me, on="_key")
     scored = scored.withColumn("arm", F.when(F.col("arm_no") == 0, "baseline").otherwise("architecture"))
     return scored.select("arm", "pair_id", "meteor", "valid")
 
@@ -567,9 +615,7 @@ def eval_summary(spark, sf):
 
 @query("eval_paired")
 def eval_paired(spark, sf):
-    sc = _arm_scores(spark, sf)
-    b, a = sc.where(F.col("arm") == "baseline"), sc.where(F.col("arm") == "architecture")
-    s = evalrun.eval_paired(a, b, metric="meteor")
+    s = evalrun.eval_paired_arms(_arm_scores(spark, sf), "architecture", "baseline", metric="meteor")
     return s.select("n_common", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "mean_diff")])
 
 

@@ -149,3 +149,26 @@ def menu_pages(spark: SparkSession, sf: str) -> DataFrame:
                     items, F.lit("</ul></div></body></html>"))
     url = F.format_string("https://h.org/%s/dir/page%d", F.coalesce("source", F.lit("none")), doc)
     return d.select(doc.alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+def edited_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """``(pair_id, question, prediction, reference, seconds)``: per QA pair an
+    edited copy of the target text as prediction (equal, lines reversed, an s
+    after most words, every fourth word left out, or no word at all)."""
+    p = pairs(spark, sf)
+    t = F.col("target_text")
+    v = (F.col("conv_id") + F.col("turn")) % 5
+    prediction = (F.when(v == 0, t)
+                  .when(v == 1, F.array_join(F.reverse(F.split(t, "\n")), "\n"))
+                  .when(v == 2, F.regexp_replace(t, "([a-z])([ .,])", "$1s$2"))
+                  .when(v == 3, F.array_join(F.filter(F.split(t, " "), lambda _, i: i % 4 != 3), " "))
+                  .otherwise(F.lit("...")))
+    return p.select("pair_id", F.col("input_text").alias("question"), prediction.alias("prediction"),
+                    t.alias("reference"), (F.col("turn") / 10 + F.char_length(t) / 1000).alias("seconds"))
+
+
+def word_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """``(word, group)``: long words of the target texts grouped by their first five letters."""
+    from ..functions.text import metric_tokens
+    words = pairs(spark, sf).select(F.explode(metric_tokens("target_text")).alias("word")).where(F.char_length("word") >= 7)
+    return words.distinct().select("word", F.substring("word", 1, 5).alias("group"))

@@ -591,11 +591,11 @@ q("tool_route", "SELECT pair_id, CASE WHEN contains(answer, 'tool_calls') THEN '
 # ---------------------------------------------------------------------------
 # metrics and evaluation summaries
 
-def metric_ctes(prefix: str, src: str) -> None:
+def metric_ctes(prefix: str, src: str, tok=mtok) -> None:
     """``<prefix>_ov(pair_id, c, r, m1..m4)`` clipped n-gram overlap and
     ``<prefix>_me(pair_id, matches, chunks, c, r)`` METEOR alignment for a
     source with columns (pair_id, prediction, reference)."""
-    cte(f"{prefix}_tok", f"SELECT pair_id, {mtok('prediction')} AS pt, {mtok('reference')} AS rt FROM {src}")
+    cte(f"{prefix}_tok", f"SELECT pair_id, {tok('prediction')} AS pt, {tok('reference')} AS rt FROM {src}")
     for side, col in (("p", "pt"), ("r", "rt")):
         cte(f"{prefix}_g{side}", f"""
 SELECT pair_id, n, gram, count(*) AS cnt FROM (
@@ -722,3 +722,182 @@ q("rouge_l", """
 SELECT pair_id, round(CASE WHEN c > 0 AND r > 0 AND lcs > 0
                            THEN 2 * (lcs / c) * (lcs / r) / ((lcs / c) + (lcs / r)) ELSE 0.0 END, 6) AS rougeL
 FROM rl_dp""")
+
+
+# ---------------------------------------------------------------------------
+# edited answers: library tokens, Lsum, staged METEOR, a report with latency
+
+cte("edited", """
+SELECT pair_id, input_text AS question, target_text AS reference, turn / 10 + length(target_text) / 1000 AS seconds,
+       CASE (conv_id + turn) % 5
+         WHEN 0 THEN target_text
+         WHEN 1 THEN array_to_string(list_reverse(string_split(target_text, chr(10))), chr(10))
+         WHEN 2 THEN regexp_replace(target_text, '([a-z])([ .,])', '\\1s\\2', 'g')
+         WHEN 3 THEN array_to_string(list_filter(string_split(target_text, ' '), lambda x, i: (i - 1) % 4 <> 3), ' ')
+         ELSE '...' END AS prediction
+FROM pairs""")
+
+
+def tok13a(x: str) -> str:
+    x = f"replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for ent, ch in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        x = f"replace({x}, {sq(ent)}, {sq(ch)})"
+    for pat, to in ((r"([\{-~\[-` -&\(-\+:-@/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "),
+                    (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        x = f"regexp_replace({x}, {sq(pat)}, {sq(to)}, 'g')"
+    return f"list_filter(regexp_split_to_array({x}, '[ \\t\\n\\r\\f\\x0B]+'), lambda t: t <> '')"
+
+
+def tok_ascii(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+metric_ctes("el", "edited", tok13a)
+metric_ctes("er", "edited", tok_ascii)
+q("bleu_library", f"""
+SELECT pair_id, b.c, b.r, round(b.bleu, 6) AS bleu, rouge1, rouge2
+FROM (SELECT pair_id, CAST(c AS INTEGER) AS c, CAST(r AS INTEGER) AS r, {BLEU_SQL} AS bleu FROM el_ov) b
+JOIN (SELECT pair_id, round({rouge_sql(1)}, 6) AS rouge1, round({rouge_sql(2)}, 6) AS rouge2 FROM er_ov) USING (pair_id)""")
+
+
+def lsum_ctes(prefix: str, src: str) -> None:
+    """``<prefix>_score(pair_id, score)``: the table of every pair of sentences by
+    a recursive CTE, the walk back by another one, hits united per sentence."""
+    lines = lambda c: f"list_filter(list_transform(string_split(coalesce({c}, ''), chr(10)), lambda l: {mtok('l')}), lambda s: len(s) > 0)"
+    cte(f"{prefix}_sents", f"SELECT pair_id, {lines('prediction')} AS ps, {lines('reference')} AS rs FROM {src}")
+    cte(f"{prefix}_pairs", f"""
+SELECT r.pair_id, ri, ci, rt, pt
+FROM (SELECT pair_id, unnest(rs) AS rt, unnest(range(len(rs))) AS ri FROM {prefix}_sents) r
+JOIN (SELECT pair_id, unnest(ps) AS pt, unnest(range(len(ps))) AS ci FROM {prefix}_sents) p ON p.pair_id = r.pair_id""")
+    cte(f"{prefix}_table", f"""
+WITH RECURSIVE dp(pair_id, ri, ci, i, rowv) AS (
+  SELECT pair_id, ri, ci, 0, list_transform(range(0, len(pt) + 1), lambda x: 0) FROM {prefix}_pairs
+  UNION ALL
+  SELECT pair_id, ri, ci, i + 1, list_concat([0], list_transform(range(1, len(pt) + 1), lambda j: list_max(xs[1:j])))
+  FROM (SELECT d.pair_id, d.ri, d.ci, d.i, t.pt,
+               list_transform(range(1, len(t.pt) + 1), lambda j:
+                   greatest(d.rowv[j + 1], d.rowv[j] + CASE WHEN t.pt[j] = t.rt[d.i + 1] THEN 1 ELSE 0 END)) AS xs
+        FROM dp d JOIN {prefix}_pairs t ON t.pair_id = d.pair_id AND t.ri = d.ri AND t.ci = d.ci WHERE d.i < len(t.rt)))
+SELECT pair_id, ri, ci, list(rowv ORDER BY i) AS tab FROM dp GROUP BY pair_id, ri, ci""")
+    cte(f"{prefix}_hits", f"""
+WITH RECURSIVE walk(pair_id, ri, ci, i, j, hit) AS (
+  SELECT pair_id, ri, ci, len(rt), len(pt), 0::BIGINT FROM {prefix}_pairs
+  UNION ALL
+  SELECT w.pair_id, w.ri, w.ci,
+         CASE WHEN p.rt[w.i] = p.pt[w.j] OR NOT t.tab[w.i + 1][w.j] > t.tab[w.i][w.j + 1] THEN w.i - 1 ELSE w.i END,
+         CASE WHEN p.rt[w.i] = p.pt[w.j] OR t.tab[w.i + 1][w.j] > t.tab[w.i][w.j + 1] THEN w.j - 1 ELSE w.j END,
+         CASE WHEN p.rt[w.i] = p.pt[w.j] THEN w.i ELSE 0 END
+  FROM walk w JOIN {prefix}_pairs p ON p.pair_id = w.pair_id AND p.ri = w.ri AND p.ci = w.ci
+  JOIN {prefix}_table t ON t.pair_id = w.pair_id AND t.ri = w.ri AND t.ci = w.ci
+  WHERE w.i > 0 AND w.j > 0)
+SELECT DISTINCT w.pair_id, w.ri, w.hit, p.rt[w.hit] AS token
+FROM walk w JOIN {prefix}_pairs p ON p.pair_id = w.pair_id AND p.ri = w.ri AND p.ci = w.ci WHERE w.hit > 0""")
+    cte(f"{prefix}_score", f"""
+SELECT s.pair_id, n, m, coalesce(h.hits, 0) AS hits,
+       CASE WHEN coalesce(h.hits, 0) > 0 THEN 2 * (h.hits / n) * (h.hits / m) / ((h.hits / n) + (h.hits / m)) ELSE 0.0 END AS score
+FROM (SELECT pair_id, len(flatten(ps)) AS n, len(flatten(rs)) AS m FROM {prefix}_sents) s
+LEFT JOIN (SELECT u.pair_id, sum(least(u.k, c.k)) AS hits
+           FROM (SELECT pair_id, token, count(*) AS k FROM {prefix}_hits GROUP BY ALL) u
+           JOIN (SELECT pair_id, token, count(*) AS k FROM (SELECT pair_id, unnest(flatten(ps)) AS token FROM {prefix}_sents) GROUP BY ALL) c
+           ON c.pair_id = u.pair_id AND c.token = u.token GROUP BY u.pair_id) h ON h.pair_id = s.pair_id""")
+
+
+lsum_ctes("bls", "bpairs")
+lsum_ctes("els", "edited")
+q("rouge_lsum", "SELECT pair_id, round(score, 6) AS rougeLsum FROM bls_score")
+q("rouge_lsum_edited", "SELECT pair_id, round(score, 6) AS rougeLsum FROM els_score")
+
+# Porter's stem by regular expressions over runs of consonants and vowels
+_PC, _PV = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_M0 = f"^({_PC})?{_PV}{_PC}"          # measure above 0
+_M1 = f"^({_PC})?{_PV}{_PC}{_PV}{_PC}"  # above 1
+_MEQ1 = f"^({_PC})?{_PV}{_PC}({_PV})?$"
+_VOWEL = f"^({_PC})?[aeiouy]"
+_CVC = f"^{_PC}[aeiouy][^aeiouwxy]$"
+
+
+def _cut(n: int) -> str:
+    return f"left(s, length(s) - {n})"
+
+
+def _suffix_case(rules: dict[str, str], test: str) -> str:
+    whens = [f"WHEN suffix(s, '{x}') THEN CASE WHEN regexp_matches({_cut(len(x))}, '{test}') THEN {_cut(len(x))} || '{y}' ELSE s END"
+             for x, y in sorted(rules.items(), key=lambda kv: -len(kv[0]))]
+    return f"CASE {' '.join(whens)} ELSE s END"
+
+
+_P2 = dict(x.split(":") for x in (
+    "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate "
+    "ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble").split())
+_P3 = dict(x.split(":") for x in "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split())
+_P4 = "al ance ence er ic able ible ant ement ment ent sion tion ou ism ate iti ous ive ize".split()
+_P4_CASE = "CASE " + " ".join(
+    f"WHEN suffix(s, '{x}') THEN CASE WHEN regexp_matches({_cut(3 if x[1:] == 'ion' else len(x))}, '{_M1}') THEN {_cut(3 if x[1:] == 'ion' else len(x))} ELSE s END"
+    for x in sorted(_P4, key=lambda x: -len(x))) + " ELSE s END"
+_PORTER = [
+    f"CASE WHEN suffix(s, 'sses') OR suffix(s, 'ies') THEN {_cut(2)} WHEN suffix(s, 'ss') THEN s WHEN suffix(s, 's') THEN {_cut(1)} ELSE s END",
+    f"""CASE WHEN suffix(s, 'eed') THEN CASE WHEN regexp_matches({_cut(3)}, '{_M0}') THEN {_cut(1)} ELSE s END
+             WHEN suffix(s, 'ed') AND regexp_matches({_cut(2)}, '{_VOWEL}') THEN {_cut(2)} || '#'
+             WHEN suffix(s, 'ing') AND regexp_matches({_cut(3)}, '{_VOWEL}') THEN {_cut(3)} || '#' ELSE s END""",
+    f"""CASE WHEN NOT suffix(s, '#') THEN s WHEN regexp_matches(s, '(at|bl|iz)#$') THEN {_cut(1)} || 'e'
+             WHEN s[-2] = s[-3] AND regexp_matches(s, '[^aeiouylsz]#$') THEN {_cut(2)}
+             WHEN regexp_matches({_cut(1)}, '{_CVC}') THEN {_cut(1)} || 'e' ELSE {_cut(1)} END""",
+    f"CASE WHEN suffix(s, 'y') AND regexp_matches({_cut(1)}, '{_VOWEL}') THEN {_cut(1)} || 'i' ELSE s END",
+    _suffix_case(_P2, _M0), _suffix_case(_P3, _M0), _P4_CASE,
+    f"""CASE WHEN suffix(s, 'e') AND (regexp_matches({_cut(1)}, '{_M1}') OR
+             (regexp_matches({_cut(1)}, '{_MEQ1}') AND NOT regexp_matches({_cut(1)}, '{_CVC}'))) THEN {_cut(1)} ELSE s END""",
+    f"CASE WHEN suffix(s, 'll') AND regexp_matches(s, '{_M1}') THEN {_cut(1)} ELSE s END",
+]
+_MTOK = r"[\p{L}\p{N}]+|[^ \t\n\r\f\x0B\p{L}\p{N}]"
+cte("ms_tok", f"""
+SELECT pair_id, side, unnest(toks) AS w, unnest(range(len(toks))) AS pos FROM (
+  SELECT pair_id, 'p' AS side, regexp_extract_all(lower(prediction), {sq(_MTOK)}) AS toks FROM edited
+  UNION ALL SELECT pair_id, 'r', regexp_extract_all(lower(reference), {sq(_MTOK)}) FROM edited)""")
+_stem_sql = "SELECT DISTINCT w, w AS s FROM ms_tok WHERE regexp_matches(w, '^[a-z][a-z][a-z]+$')"
+for _step in _PORTER:
+    _stem_sql = f"SELECT w, {_step} AS s FROM ({_stem_sql})"
+cte("ms_stem", _stem_sql)
+cte("ms_group", f"SELECT DISTINCT w, left(w, 5) AS s FROM (SELECT unnest({mtok('target_text')}) AS w FROM pairs) WHERE length(w) >= 7")
+_MS_KEYS = {1: ("ms_tok", "t.w", ""), 2: ("ms_free2", "coalesce(k.s, t.w)", "LEFT JOIN ms_stem k ON k.w = t.w"),
+            3: ("ms_free3", "k.s", "JOIN ms_group k ON k.w = t.w")}
+for _n, (_src, _key, _join) in _MS_KEYS.items():
+    cte(f"ms_ranked{_n}", f"""
+SELECT pair_id, side, pos, key, row_number() OVER (PARTITION BY pair_id, side, key ORDER BY pos DESC) AS k
+FROM (SELECT t.pair_id, t.side, t.pos, {_key} AS key FROM {_src} t {_join})""")
+    cte(f"ms_match{_n}", f"""
+SELECT p.pair_id, p.pos AS h, r.pos AS r FROM ms_ranked{_n} p JOIN ms_ranked{_n} r
+ON p.side = 'p' AND r.side = 'r' AND p.pair_id = r.pair_id AND p.key = r.key AND p.k = r.k""")
+    cte(f"ms_free{_n + 1}", f"""
+SELECT t.* FROM {_src} t WHERE NOT EXISTS (SELECT 1 FROM ms_match{_n} m WHERE m.pair_id = t.pair_id
+    AND ((t.side = 'p' AND m.h = t.pos) OR (t.side = 'r' AND m.r = t.pos)))""")
+cte("ms_all", " UNION ALL ".join(f"SELECT pair_id, h, r, {n} AS stage FROM ms_match{n}" for n in _MS_KEYS))
+cte("ms_score", """
+SELECT e.pair_id, coalesce(p.c, 0) AS c, coalesce(r.r, 0) AS r, coalesce(m.matches, 0) AS matches, coalesce(m.chunks, 0) AS chunks,
+       coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(n3, 0) AS n3
+FROM edited e LEFT JOIN (SELECT pair_id, count(*) AS c FROM ms_tok WHERE side = 'p' GROUP BY pair_id) p ON p.pair_id = e.pair_id
+LEFT JOIN (SELECT pair_id, count(*) AS r FROM ms_tok WHERE side = 'r' GROUP BY pair_id) r ON r.pair_id = e.pair_id
+LEFT JOIN (SELECT a.pair_id, count(*) AS matches, count(*) FILTER (WHERE b.h IS NULL) AS chunks,
+                  count(*) FILTER (WHERE a.stage = 1) AS n1, count(*) FILTER (WHERE a.stage = 2) AS n2,
+                  count(*) FILTER (WHERE a.stage = 3) AS n3
+           FROM ms_all a LEFT JOIN ms_all b ON b.pair_id = a.pair_id AND b.h = a.h - 1 AND b.r = a.r - 1
+           GROUP BY a.pair_id) m ON m.pair_id = e.pair_id""")
+q("meteor_stages", f"""
+SELECT pair_id, matches, chunks, n1 AS n_exact, n2 AS n_stem, n3 AS n_group, round({METEOR_SQL}, 6) AS meteor FROM ms_score""")
+
+cte("eq_pairs", "SELECT pair_id, question AS prediction, reference FROM edited")
+metric_ctes("em", "edited")
+metric_ctes("eq", "eq_pairs")
+cte("edited_scores", f"""
+SELECT 'edited' AS arm, pair_id, seconds, {METEOR_SQL} AS meteor, c > 0 AND r > 0 AS valid FROM em_me JOIN edited USING (pair_id)
+UNION ALL SELECT 'question', pair_id, seconds * 2, {METEOR_SQL}, c > 0 AND r > 0 FROM eq_me JOIN edited USING (pair_id)""")
+_STATS = ", ".join(f"round({sql} FILTER (WHERE valid), 6) AS {name}_{f}" for c, name in (("meteor", "meteor"), ("seconds", "time"))
+                   for f, sql in (("min", f"min({c})"), ("max", f"max({c})"), ("mean", f"avg({c})"), ("median", f"quantile_cont({c}, 0.5)")))
+q("eval_report", f"""
+SELECT arm, count(*) FILTER (WHERE valid) AS n_scored, count(*) FILTER (WHERE NOT valid) AS n_invalid, {_STATS}
+FROM edited_scores GROUP BY arm""")
+q("eval_report_paired", """
+SELECT count(*) AS n_common, round(avg(a.meteor), 6) AS mean_a, round(avg(b.meteor), 6) AS mean_b,
+       round(avg(a.meteor - b.meteor), 6) AS mean_diff
+FROM (SELECT * FROM edited_scores WHERE arm = 'edited') a
+JOIN (SELECT * FROM edited_scores WHERE arm = 'question') b ON a.pair_id = b.pair_id
+WHERE a.valid AND b.valid""")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import fixed
-from quarry.operators import dialogs, metrics, parse, split, tokens, validate
+from quarry.operators import dialogs, lcs, metrics, parse, split, tokens, validate
 
 
 def test_qa_pair_extraction(spark):
@@ -173,6 +173,40 @@ def test_generation_prompt_shape(spark):
     assert "{{" not in p and "{'role'" in p
 
 
+def plain_bleu(p, r, max_n=4):
+    from collections import Counter
+    if not p or not r:
+        return None
+    logs = 0.0
+    for n in range(1, max_n + 1):
+        pc = Counter(tuple(p[i:i + n]) for i in range(len(p) - n + 1))
+        rc = Counter(tuple(r[i:i + n]) for i in range(len(r) - n + 1))
+        m = sum(min(v, rc[g]) for g, v in pc.items())
+        if m == 0:
+            return 0.0
+        logs += math.log(m / (len(p) - n + 1))
+    return math.exp(logs / max_n) * (1.0 if len(p) > len(r) else math.exp(1 - len(r) / len(p)))
+
+
+def table_positions(ref, can):
+    n, m = len(ref), len(can)
+    tab = [[0] * (m + 1) for _ in range(n + 1)]
+    for a in range(1, n + 1):
+        for b in range(1, m + 1):
+            tab[a][b] = tab[a - 1][b - 1] + 1 if ref[a - 1] == can[b - 1] else max(tab[a - 1][b], tab[a][b - 1])
+    i, j, out = n, m, []
+    while i > 0 and j > 0:
+        if ref[i - 1] == can[j - 1]:
+            out.append(i - 1)
+            i -= 1
+            j -= 1
+        elif tab[i][j - 1] > tab[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
 def test_lcs_matches_dp():
     import random
     rnd = random.Random(7)
@@ -183,7 +217,7 @@ def test_lcs_matches_dp():
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
                 dp[i][j] = dp[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(dp[i - 1][j], dp[i][j - 1])
-        assert metrics.lcs_length(a, b) == dp[-1][-1]
+        assert lcs.lcs_length(a, b) == dp[-1][-1]
 
 
 def test_bleu_matches_python(spark):
@@ -192,7 +226,7 @@ def test_bleu_matches_python(spark):
     df = spark.createDataFrame([(i, p, r) for i, (p, r) in enumerate(pairs)], "pair_id long, p string, r string")
     got = {r.pair_id: r.bleu for r in metrics.bleu_rouge(df, "pair_id", "p", "r").collect()}
     for i, (p, r) in enumerate(pairs):
-        exp = metrics.bleu_python(p, r)
+        exp = plain_bleu(p.split(), r.split())
         assert (got[i] is None and exp is None) or math.isclose(got[i], exp, abs_tol=1e-12)
 
 
@@ -228,15 +262,20 @@ def test_lcs_backtrack_bits_equal_table():
     import random
     rnd = random.Random(11)
     for _ in range(200):
-        a = [rnd.choice("abcd") for _ in range(rnd.randint(0, 25))]
-        b = [rnd.choice("abcd") for _ in range(rnd.randint(0, 25))]
-        assert metrics._lcs_indices(a, b) == metrics._lcs_indices_table(a, b)
+        a = [rnd.choice("abcd") for _ in range(rnd.randint(0, 90))]
+        b = [rnd.choice("abcd") for _ in range(rnd.randint(0, 90))]
+        assert lcs.lcs_positions(a, b) == table_positions(a, b)
 
 
 def test_rouge_lsum_union(spark):
     # sentence-level union LCS: every reference token is hit, flat LCS is 3 of 4
-    rl, rls = metrics.rouge_l_pair("a b\nc d", "a c\nb d")
-    assert rl == pytest.approx(0.75) and rls == pytest.approx(1.0)
+    df = spark.createDataFrame([(1, "a b\nc d", "a c\nb d"), (2, None, "a"), (3, "a", " \n"), (4, "a a a", "a\na\nb")],
+                               "pair_id long, p string, r string")
+    rl = {r.pair_id: r.rougeL for r in metrics.rouge_l(df, "pair_id", "p", "r").collect()}
+    rls = {r.pair_id: r.rougeLsum for r in metrics.rouge_lsum(df, "pair_id", "p", "r").collect()}
+    assert rl[1] == pytest.approx(0.75) and rls[1] == pytest.approx(1.0)
+    assert rl[2] == rls[2] == rl[3] == rls[3] == 0.0
+    assert rl[4] == rls[4] == pytest.approx(2 / 3)
 
 
 def test_completion_validity_is_json_not_schema(spark):
