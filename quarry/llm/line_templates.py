@@ -90,7 +90,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     node = staged(text.join(several, "leaf").select(F.col("leaf").alias("node"), "leaf", "mh", "docs", "w"), "lines-node0")
     likes = []
     for level in range(levels + 1):
-        words = node.select("node", "docs", F.posexplode("w").alias("p", "word")).groupBy("node", "p", "word").agg(F.sum("docs").alias("c"))
+        words = node.select("node", "docs", F.posexplode("w").alias("p", "word")).groupBy("node", "p", "word").agg(F.sum("docs").alias("c"), F.count(F.lit(1)).alias("masks"))
         words = staged(words, f"lines-words{level}")
         likes.append(_belonging(node, words, depth, similarity).withColumn("level", F.lit(level)))
         if level < levels:
@@ -126,14 +126,17 @@ def _belonging(node: DataFrame, words: DataFrame, depth: int, similarity: float)
 
 def _children(node: DataFrame, words: DataFrame, min_docs: int) -> DataFrame:
     """The masks of the nodes that are divided, under their children; a node
-    whose masks have one word, or mostly rare ones, at every position ends here."""
+    whose masks have one word, or mostly rare ones, at every position ends here.
+    A child of one mask, or of too few documents, can't add anything and is left out."""
     often = F.col("c") >= min_docs
     at = words.groupBy("node", "p").agg(F.sum("c").alias("s"), F.sum(F.when(often, F.col("c")).otherwise(0)).alias("cover"), F.count_if(often).alias("kinds"),
-                                        F.count(F.lit(1)).alias("all"))
+                                        F.count(F.lit(1)).alias("all"), F.sum(F.when(often, 0).otherwise(F.col("masks"))).alias("others"))
     at = at.where((F.col("kinds") >= 1) & (F.col("all") >= 2) & (F.col("cover") * 2 >= F.col("s")))
-    split = at.groupBy("node").agg(F.min(F.struct((-F.col("cover")).alias("cover"), "kinds", "p")).alias("x")).select("node", F.col("x.p").alias("p"))
+    split = at.groupBy("node").agg(F.min(F.struct((-F.col("cover")).alias("cover"), "kinds", "p", "s", "others")).alias("x"))
+    split = split.select("node", "x.p", ((F.col("x.s") + F.col("x.cover") >= min_docs) & (F.col("x.others") > 1)).alias("rest"))
     out = node.join(split, "node").withColumn("word", F.element_at("w", F.col("p") + 1))
-    out = out.join(words.where(often).select("node", "p", "word", "c"), ["node", "p", "word"], "left")
+    out = out.join(words.where(often).select("node", "p", "word", "c", "masks"), ["node", "p", "word"], "left")
+    out = out.where(F.coalesce(F.col("masks") > 1, F.col("rest")))
     return out.select(F.xxhash64("node", "p", F.when(F.col("c").isNotNull(), F.col("word"))).alias("node"), "leaf", "mh", "docs", "w")
 
 
