@@ -24,7 +24,8 @@ HEADLINE = [
     "distributions", "dialog_history", "parse_completion", "page_text", "toc_links",
     "chapter_concat", "gen_prompt", "vocab", "mask_labels", "pack_chunks", "knn_dense",
     "knn_lexical", "rag_answer", "routed_answer", "bleu", "meteor_exact", "rouge_l",
-    "rouge_lsum", "eval_summary", "batch_latency", "train_curve",
+    "rouge_lsum", "eval_summary", "batch_latency", "train_curve", "eval_paired", "rag_prompt_agent",
+    "pad_batches", "length_batches", "meteor_stages", "eval_report",
 ]
 
 

@@ -40,7 +40,9 @@ def qa_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     pair (roles compared lower-cased, texts stripped like ``str.strip``).
 
     ``turn`` orders the dialog and may have gaps: a conversation's turns are
-    numbered densely first. The next turn is found by an equi-join on ``(conv,
+    numbered densely first. Messages of one turn number are alternatives of one
+    position: none follows another, and each user message there pairs with every
+    assistant message of the next number. Messages without a turn are left out. The next turn is found by an equi-join on ``(conv,
     position + 1)``: both sides are hash-partitioned on the composite key, so
     one very long conversation is spread over many tasks instead of landing in
     a single window partition. Only the keys are ranked.

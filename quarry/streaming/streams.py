@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import py_strip
 from ..operators import parse
@@ -89,11 +90,37 @@ def train_log_stream(spark: SparkSession, directory: str) -> DataFrame:
     return parse.parse_train_log(lines).drop("line_no")
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def batch_sink(out_dir: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function whose commit key is the batch id: a
+    micro-batch is the folder ``batch_id=<id>`` and a replay of it, after a lost
+    driver for instance, replaces that folder, so no row lands twice."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+    return write
+
+
+def read_sink(spark: SparkSession, out_dir: str, schema: StructType, mode: str = "append") -> DataFrame:
+    """The rows of a folder written by :func:`batch_sink`: all batches, or in
+    ``complete`` mode the last one, which holds the whole result."""
+    # an empty batch of its own number, so that a stream without any batch reads as no rows
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id=-1")
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch_id", LongType())])).parquet(out_dir)
+    if mode == "complete":
+        last = rows.agg(F.max("batch_id")).first()[0]
+        rows = rows.where(F.col("batch_id") == F.lit(-1 if last is None else last))
+    return rows.drop("batch_id")
+
+
+def run_to_table(df: DataFrame, name: str, mode: str = "append", out_dir: str | None = None,
+                 checkpoint: str | None = None) -> DataFrame:
     """Drive a streaming query to completion over the files present now
-    (``availableNow``) into a memory table, and return that table."""
+    (``availableNow``) into a folder of Parquet batches, and return its rows.
+    With ``out_dir`` and ``checkpoint`` given, a later call goes on where this
+    one ended. Both default to new folders below the checkpoint directory."""
     spark = df.sparkSession
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())
+    base = _ckpt(spark, name)
+    out_dir, checkpoint = out_dir or f"{base}/rows", checkpoint or f"{base}/state"
+    q = (df.writeStream.foreachBatch(batch_sink(out_dir)).queryName(name).outputMode(mode)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return read_sink(spark, out_dir, df.schema, mode)

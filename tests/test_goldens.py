@@ -284,3 +284,11 @@ def test_completion_validity_is_json_not_schema(spark):
     got = [r.parsed for r in parse.parse_completion(df).collect()]
     assert got[0] is not None and len(got[0]) == 1
     assert got[1] is None            # leading zero: not JSON
+
+
+def test_qa_pairs_tied_turns(spark):
+    rows = [(1, 0, "user", "q"), (1, 0, "assistant", "same turn"), (1, 4, "assistant", "a"), (1, 4, "assistant", "b"),
+            (1, None, "user", "lost"), (2, 7, "user", "x"), (2, 7, "user", "y"), (2, 9, "assistant", "z")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id, r.input_text, r.target_text) for r in dialogs.qa_pairs(turns).collect())
+    assert got == [(1, "q", "a"), (1, "q", "b"), (2, "x", "z"), (2, "y", "z")]

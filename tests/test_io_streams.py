@@ -115,6 +115,35 @@ def test_stream_summary_equals_batch(spark, tmp_path):
     assert got == {"base": (2, 2.0), "arch": (1, 2.0)}
 
 
+def test_replayed_batch_writes_nothing_twice(spark, tmp_path):
+    out = str(tmp_path / "out")
+    sink = streams.batch_sink(out)
+    a, b = spark.range(3).repartition(2), spark.range(10, 12)
+    for batch, n in ((a, 0), (b, 1), (b, 1), (a, 0)):
+        sink(batch, n)
+    assert sorted(r.id for r in streams.read_sink(spark, out, a.schema).collect()) == [0, 1, 2, 10, 11]
+    assert sorted(r.id for r in streams.read_sink(spark, out, a.schema, "complete").collect()) == [10, 11]
+    assert streams.read_sink(spark, str(tmp_path / "none"), a.schema).count() == 0
+
+
+def test_stream_goes_on_after_restart(spark, tmp_path):
+    d = tmp_path / "logs"
+    d.mkdir()
+    where = {"out_dir": str(tmp_path / "rows"), "checkpoint": str(tmp_path / "state")}
+    (d / "run_first.log").write_text("Epoch 1: train_perplexity=2.5, train_epoch_loss=0.9\n")
+    assert streams.run_to_table(streams.train_log_stream(spark, str(d)), "tail1", **where).count() == 1
+    (d / "run_second.log").write_text("Epoch 2: train_perplexity=1.5, train_epoch_loss=0.4\n")
+    got = streams.run_to_table(streams.train_log_stream(spark, str(d)), "tail2", **where).collect()
+    assert sorted((r.run, r.epoch) for r in got) == [("first", 1), ("second", 2)]
+
+
+def test_result_line_behind_no_break_space(spark):
+    from quarry.operators.evalrun import parse_result_lines
+    lines = spark.createDataFrame([(1, '\u00a0{"query":"a"}'), (2, "{broken"), (3, "Total Time: 1")], "line_no long, value string")
+    good, bad = parse_result_lines(lines)
+    assert [r.line_no for r in good.collect()] == [1] and [r.line_no for r in bad.collect()] == [2]
+
+
 def test_write_sections_partitioned(spark, tmp_path):
     df = spark.createDataFrame([("ch00", "sec00", "ch00/sec00.txt", "intro"), ("ch01", "sec01", "ch01/sec01.txt", "a")],
                                "chapter string, section string, text_location string, text string")
