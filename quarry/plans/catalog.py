@@ -546,12 +546,6 @@ def bleu_library(spark, sf):
     return s.select("pair_id", "c", "r", *[F.round(c, 6).alias(c) for c in ("bleu", "rouge1", "rouge2")])
 
 
-@query("rouge_lsum_edited")
-def rouge_lsum_edited(spark, sf):
-    s = metrics.rouge_lsum(I.edited_answers(spark, sf), "pair_id", "prediction", "reference")
-    return s.select("pair_id", F.round("rougeLsum", 6).alias("rougeLsum"))
-
-
 @query("meteor_stages")
 def meteor_stages(spark, sf):
     """M4 with punctuation tokens, Porter stems and a table of word groups."""

@@ -803,9 +803,7 @@ LEFT JOIN (SELECT u.pair_id, sum(least(u.k, c.k)) AS hits
 
 
 lsum_ctes("bls", "bpairs")
-lsum_ctes("els", "edited")
 q("rouge_lsum", "SELECT pair_id, round(score, 6) AS rougeLsum FROM bls_score")
-q("rouge_lsum_edited", "SELECT pair_id, round(score, 6) AS rougeLsum FROM els_score")
 
 # Porter's stem by regular expressions over runs of consonants and vowels
 _PC, _PV = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
@@ -868,8 +866,8 @@ FROM (SELECT t.pair_id, t.side, t.pos, {_key} AS key FROM {_src} t {_join})""")
 SELECT p.pair_id, p.pos AS h, r.pos AS r FROM ms_ranked{_n} p JOIN ms_ranked{_n} r
 ON p.side = 'p' AND r.side = 'r' AND p.pair_id = r.pair_id AND p.key = r.key AND p.k = r.k""")
     cte(f"ms_free{_n + 1}", f"""
-SELECT t.* FROM {_src} t WHERE NOT EXISTS (SELECT 1 FROM ms_match{_n} m WHERE m.pair_id = t.pair_id
-    AND ((t.side = 'p' AND m.h = t.pos) OR (t.side = 'r' AND m.r = t.pos)))""")
+SELECT t.* FROM {_src} t ANTI JOIN (SELECT pair_id, 'p' AS side, h AS pos FROM ms_match{_n} UNION ALL SELECT pair_id, 'r', r FROM ms_match{_n}) m
+ON m.pair_id = t.pair_id AND m.side = t.side AND m.pos = t.pos""")
 cte("ms_all", " UNION ALL ".join(f"SELECT pair_id, h, r, {n} AS stage FROM ms_match{n}" for n in _MS_KEYS))
 cte("ms_score", """
 SELECT e.pair_id, coalesce(p.c, 0) AS c, coalesce(r.r, 0) AS r, coalesce(m.matches, 0) AS matches, coalesce(m.chunks, 0) AS chunks,
