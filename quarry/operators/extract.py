@@ -1,6 +1,6 @@
 """HTML page -> text blocks, headings and table-of-contents links.
 
-A page's tree is built and read inside Arrow batches (:mod:`.html_tree`);
+A page's tree is built and read by small Python functions (:mod:`.html_tree`);
 everything that needs no tree stays in built-in functions: URL joins, section
 numbers and text locations.
 """
@@ -19,6 +19,16 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _on_pages(df: DataFrame, html: str | Column, out: str, parse) -> DataFrame:
+    """``df`` with the Python function ``parse`` of ``html`` as column ``out``.
+
+    The pages become a column of their own first, which Spark doesn't merge
+    into the call: it can't plan a Python call whose argument holds lambdas
+    inside lambdas ("Cannot evaluate expression")."""
+    named = df.select("*", F.explode(F.array(_c(html))).alias("_page_html"))
+    return named.withColumn(out, parse(F.col("_page_html"))).drop("_page_html")
+
+
 def page_text(df: DataFrame, html: str = "html", tag: str = "article", out: str = "text", nesting: str = "implied") -> DataFrame:
     """The container's headings, paragraphs and list items joined by a blank
     line; ``Handbook content not found`` when the page has no container, null
@@ -27,7 +37,7 @@ def page_text(df: DataFrame, html: str = "html", tag: str = "article", out: str
     ``tag`` is a selector (``div.handbook-page``), the first matching element
     is the container and all that lies in it counts, nested containers
     included. ``nesting`` is ``implied`` or ``nested``, see :mod:`.html_tree`."""
-    return df.withColumn(out, html_tree.text_udf(tag, nesting)(_c(html)))
+    return _on_pages(df, html, out, html_tree.text_udf(tag, nesting))
 
 
 def page_text_robust(df: DataFrame, html: str = "html", tag: str = "article", out: str = "text", mode: str = "html5") -> DataFrame:
@@ -43,16 +53,14 @@ def _robust_text(html: str, tag: str, mode: str = "html5") -> str:
 
 def page_headings(df: DataFrame, html: str = "html", tag: str = "article", level: int = 1, nesting: str = "implied") -> DataFrame:
     """``heading``: the container's first ``<hN>`` as ``'#'*N + ' ' + text``, without one the sign and a blank."""
-    @F.pandas_udf("string")
-    def first(pages: pd.Series) -> pd.Series:
-        def one(page: str | None) -> str | None:
-            if page is None:
-                return None
-            lines = html_tree.page_lines(page, tag, nesting)
-            return None if lines is None else next((t for h, t in lines if h == f"h{level}"), "#" * level + " ")
-        return pd.Series([one(p) for p in pages], dtype=object)
+    @F.udf("string", useArrow=False)
+    def first(page: str | None) -> str | None:
+        if page is None:
+            return None
+        lines = html_tree.page_lines(page, tag, nesting)
+        return None if lines is None else next((t for h, t in lines if h == f"h{level}"), "#" * level + " ")
 
-    return df.withColumn("heading", first(_c(html)))
+    return _on_pages(df, html, "heading", first)
 
 
 def urljoin_col(base: str | Column, href: str | Column) -> Column:
@@ -77,7 +85,6 @@ def toc_dataset(pages: DataFrame, url: str = "url", html: str = "html", containe
     sections 1..n, those of lists inside it included; a chapter without one is
     a single section 0. Items that don't match ``item`` or hold no link are
     left out. All four are selectors. Pages without a menu have no chapter."""
-    entries = html_tree.menu_udf(container, menu, item, sub, nesting)(_c(html))
     base = F.col("_base")
 
     def section(c: Column, no: Column, name: Column, href: Column) -> Column:
@@ -89,7 +96,8 @@ def toc_dataset(pages: DataFrame, url: str = "url", html: str = "html", containe
         single = F.array(section(c, F.lit(0), e["name"], e["href"]))
         return F.struct(F.lit("chapter").alias("type"), e["name"].alias("name"), F.when(F.size(e["sections"]) > 0, listed).otherwise(single).alias("sections"))
 
-    read = pages.select("page_id", _c(url).alias("_base"), entries.alias("_entries"))
+    named = pages.select("page_id", _c(url).alias("_base"), _c(html).alias("_html"))
+    read = _on_pages(named, "_html", "_entries", html_tree.menu_udf(container, menu, item, sub, nesting))
     return read.select("page_id", F.coalesce(F.transform("_entries", chapter), F.array()).alias("dataset"))
 
 

@@ -1,6 +1,7 @@
 """A page as a tree of elements: containers by class, text and menus.
 
-Pages are parsed one by one inside Arrow batches; the standard library's
+Pages are parsed one by one by plain Python functions, whose small batches of
+rows bound a worker's memory however long pages are; the standard library's
 tokenizer supplies tags, attributes in any quoting and decoded character
 references (longest match, with or without a semicolon, named and numeric).
 This module builds the tree over those events in one of two ways:
@@ -20,10 +21,10 @@ be left out (``.page``).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -174,12 +175,12 @@ def page_lines(html: str, container: str, nesting: str) -> list[tuple[str, str]]
 
 def text_udf(container: str, nesting: str):
     """Column function: a page's text, ``Handbook content not found`` without a container, null for null."""
-    @F.pandas_udf("string")
-    def page_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for html in pages:
-            lines = [None if h is None else page_lines(h, container, nesting) for h in html]
-            yield pd.Series([None if h is None else fixed.NOT_FOUND_TEXT if x is None else "\n\n".join(t for _, t in x)
-                             for h, x in zip(html, lines, strict=True)], dtype=object)
+    @F.udf("string", useArrow=False)
+    def page_text(html: str | None) -> str | None:
+        if html is None:
+            return None
+        lines = page_lines(html, container, nesting)
+        return fixed.NOT_FOUND_TEXT if lines is None else "\n\n".join(t for _, t in lines)
 
     return page_text
 
@@ -220,16 +221,19 @@ MENU_TYPE = "array<struct<name:string,href:string,sections:array<struct<name:str
 
 
 def menu_udf(container: str, menu: str, item: str, sub: str, nesting: str):
-    """Column function: a page's menu entries, an empty array without a menu."""
-    @F.pandas_udf("string")
-    def entries(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import json
-        for html in pages:
-            yield pd.Series([None if h is None else json.dumps(
-                [{"name": n, "href": u, "sections": [{"name": a, "href": b} for a, b in s]} for n, u, s in menu_entries(h, container, menu, item, sub, nesting)])
-                for h in html], dtype=object)
-
-    return lambda html: F.from_json(entries(html), MENU_TYPE)
+    """Column function: a page's menu entries, an empty array without a menu.
+
+    Declared as non-deterministic, so that Spark doesn't copy the call into
+    filters on its result, which would parse each page again."""
+    @F.udf("string", useArrow=False)
+    def entries(html: str | None) -> str | None:
+        if html is None:
+            return None
+        return json.dumps([{"name": n, "href": u, "sections": [{"name": a, "href": b} for a, b in s]}
+                           for n, u, s in menu_entries(html, container, menu, item, sub, nesting)])
+
+    once = entries.asNondeterministic()
+    return lambda html: F.from_json(once(html), MENU_TYPE)
 
 
 # links

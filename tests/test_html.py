@@ -2,9 +2,11 @@
 
 import json
 import random
+import re
 from urllib.parse import urljoin
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import extract, html_tree
 from quarry.sinks import writers
@@ -99,3 +101,37 @@ def test_url_joins_equal_the_standard_library(spark):
     assert [x for x in rows if x.u != urljoin(x.b, x.h)] == []
     nulls = spark.createDataFrame([("http://a/", None), (None, "x")], "b string, h string")
     assert [x[0] for x in nulls.select(extract.urljoin_col("b", "h")).collect()] == [None, None]
+
+
+def nested_pages(spark):
+    """Pages whose html is written by lambdas inside lambdas."""
+    item = lambda c: lambda s: F.concat(F.lit("<li><a href=x>"), c.cast("string"), s.cast("string"), F.lit("</a>"))
+    items = lambda c: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1)), item(c)), "")
+    html = F.concat(F.lit("<nav><ul>"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("id")), items), ""), F.lit("</ul></nav>"))
+    return spark.range(3).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), html.alias("html"))
+
+
+def calls(df):
+    """Plan nodes that run Python, and lines of other nodes that still hold the call."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return sum("EvalPython" in x for x in plan), [x for x in plan if "EvalPython" not in x and re.search(r"(entries|page_text|first)\(_", x)]
+
+
+@pytest.mark.parametrize("read", [lambda p: extract.toc_links(p), lambda p: extract.page_text(p, tag="nav"), lambda p: extract.page_headings(p, tag="nav")])
+def test_pages_of_nested_lambdas_are_parsed_once(spark, read):
+    for _ in range(4):  # the first plan of a session could be right
+        df = read(nested_pages(spark))
+        assert calls(df) == (1, [])
+    assert df.count() == (12 if "section_no" in df.columns else 3)
+
+
+def test_menu_texts(spark):
+    got = sorted((r.page_id, r.chapter_no, r.section_name) for r in extract.toc_links(nested_pages(spark)).collect())
+    assert got == [(p, 2 * c + s, f"{c}{s}") for p in range(3) for c in range(p + 1) for s in range(2)]
+
+
+def test_long_pages_come_in_small_batches(spark):
+    """A worker gets few pages at a time, not an Arrow batch of up to 10,000."""
+    df = extract.page_text(spark.createDataFrame([(1, "<article><p>x")], "page_id long, html string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
