@@ -4,19 +4,23 @@ Both texts of an id become one long table of tokens. A stage gives each token
 that is still free a key; the k-th last token of a key in the prediction is
 matched with the k-th last of that key in the reference, which crosses no two
 matches of one key. A stage is two windows, keyed by ``(id, side, key)`` and by
-``(id, key, k)``; no window is longer than one text, and windows spill.
+``(id, key, k)``; no window is longer than one text, and windows spill. The texts
+are shuffled once by id, so the windows find their tokens in place; a stage whose
+keys come from a join or a Python call deals the tokens back by id, the first
+column that it gets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .metrics import METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA
+from .metrics import METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA, by_id
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -48,6 +52,7 @@ def _longest(word: str, suffixes) -> str | None:
     return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
 
 
+@lru_cache(maxsize=1 << 16)
 def porter_stem(word: str) -> str:
     """Porter's stem of a lower-case word; words of one or two letters and
     words with other characters than a-z stay as they are."""
@@ -100,6 +105,12 @@ def _stems(words: pd.Series) -> pd.Series:
     return words.map({w: porter_stem(w) for w in words.dropna().unique()})
 
 
+def _home(tokens: DataFrame, id_col: str) -> DataFrame:
+    """Tokens back at their texts: after a join by word or a Python call Spark
+    would deal them out anew for each window that follows, so it's done once."""
+    return tokens.repartition(F.col(id_col))
+
+
 def exact() -> Stage:
     """Equal tokens match."""
     return lambda free: free.withColumn("_key", F.col("w"))
@@ -107,13 +118,13 @@ def exact() -> Stage:
 
 def stems() -> Stage:
     """Tokens of equal Porter stems match (Arrow batches, a distinct word once a batch)."""
-    return lambda free: free.withColumn("_key", _stems("w"))
+    return lambda free: _home(free.withColumn("_key", _stems("w")), free.columns[0])
 
 
 def synonyms(table: DataFrame, word: str = "word", group: str = "group") -> Stage:
     """Words of one group of a caller's table match; a word in several groups is in the least one."""
     one = table.groupBy(F.col(word).alias("w")).agg(F.min(F.col(group).cast("string")).alias("_key"))
-    return lambda free: free.join(one, on="w", how="left")
+    return lambda free: _home(free.join(one, on="w", how="left"), free.columns[0])
 
 
 def align(df: DataFrame, id_col: str, pred: str, ref: str, tokenizer: Callable[[str], Column] = word_punct_tokens,
@@ -126,7 +137,8 @@ def align(df: DataFrame, id_col: str, pred: str, ref: str, tokenizer: Callable[[
         return F.transform(F.coalesce(tokenizer(col), F.array().cast("array<string>")), lambda w, i: F.struct(
             F.lit(name).alias("side"), i.cast("long").alias("pos"), w.alias("w")))
 
-    out = df.select(F.col(id_col), F.explode_outer(F.concat(side("p", pred), side("r", ref))).alias("_t")).select(
+    texts = by_id(df.select(F.col(id_col), F.col(pred).alias("_pred"), F.col(ref).alias("_ref")), id_col)
+    out = texts.select(id_col, F.explode_outer(F.concat(side("p", "_pred"), side("r", "_ref"))).alias("_t")).select(
         id_col, "_t.side", "_t.pos", "_t.w", F.lit(None).cast("int").alias("stage"), F.lit(None).cast("long").alias("other"))
     for number, stage in enumerate(stages if stages is not None else (exact(), stems()), 1):
         out = stage(out)

@@ -5,9 +5,9 @@ METEOR: Banerjee & Lavie 2005, exact-match stage). Tokens are
 ``metric_tokens`` (lower-case letter/digit runs) [ours], so scores can differ
 from library implementations that tokenise differently.
 
-BLEU, ROUGE-1/2 and METEOR are plain Spark jobs: n-grams and token positions
-are exploded and matched with equi-joins keyed by ``(id, n, gram)`` /
-``(id, word, k)``, so one very long text is spread over many tasks. Only
+BLEU, ROUGE-1/2 and METEOR are plain Spark jobs: the texts are shuffled once by
+id, their n-grams and token positions exploded there and matched by aggregations
+keyed by ``(id, n, gram)`` / ``(id, word, k)``, which need no further shuffle. Only
 ROUGE-L and ROUGE-Lsum need longest common subsequences and run in Arrow UDFs.
 """
 
@@ -30,20 +30,26 @@ MAX_N = 4
 METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3.0, 0.5
 
 
-def _ngrams(toks: Column, n: int) -> Column:
+def _ngrams(toks: Column, n: int, predicted: int) -> Column:
     size = F.size(toks)
     seq = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(seq, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(toks, i, n), " ").alias("gram")))
+    return F.transform(seq, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(toks, i, n), " ").alias("gram"),
+                                               F.lit(predicted).alias("p")))
 
 
-def _gram_counts(df: DataFrame, id_col: str, toks: str, max_n: int, name: str) -> DataFrame:
-    grams = F.flatten(F.array(*[_ngrams(F.col(toks), n) for n in range(1, max_n + 1)]))
-    ex = df.select(id_col, F.explode(grams).alias("_g")).select(id_col, "_g.n", "_g.gram")
-    return ex.groupBy(id_col, "n", "gram").agg(F.count(F.lit(1)).alias(name))
+def by_id(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` dealt out by id, into as many partitions as the session's shuffles
+    have: adaptive execution would merge them by the size of the texts, a
+    fraction of what is exploded from them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(id_col))
 
 
 def tokenized(df: DataFrame, id_col: str, pred: str, ref: str, tokenizer=metric_tokens) -> DataFrame:
-    return df.select(id_col, tokenizer(pred).alias("_pt"), tokenizer(ref).alias("_rt"))
+    """Token arrays ``_pt`` and ``_rt``. The texts are dealt out by id first, so
+    what is exploded from them later is grouped by ``(id, ...)`` where it is: the
+    texts are shuffled, not their tokens or n-grams."""
+    texts = by_id(df.select(id_col, F.col(pred).alias("_p"), F.col(ref).alias("_r")), id_col)
+    return texts.select(id_col, tokenizer("_p").alias("_pt"), tokenizer("_r").alias("_rt"))
 
 
 def ngram_overlap(df: DataFrame, id_col: str, pred: str, ref: str, max_n: int = MAX_N,
@@ -51,9 +57,10 @@ def ngram_overlap(df: DataFrame, id_col: str, pred: str, ref: str, max_n: int =
     """Clipped n-gram matches ``m1..m<max_n>`` and lengths ``c`` (prediction)
     and ``r`` (reference) per id."""
     t = tokenized(df, id_col, pred, ref, tokenizer)
-    pc = _gram_counts(t, id_col, "_pt", max_n, "cp")
-    rc = _gram_counts(t, id_col, "_rt", max_n, "cr")
-    m = pc.join(rc, on=[id_col, "n", "gram"], how="inner").groupBy(id_col).agg(
+    grams = F.concat(*[_ngrams(F.col(c), n, p) for n in range(1, max_n + 1) for c, p in (("_pt", 1), ("_rt", 0))])
+    ex = t.select(id_col, F.explode(grams).alias("_g")).select(id_col, "_g.n", "_g.gram", "_g.p")
+    both = ex.groupBy(id_col, "n", "gram").agg(F.sum("p").alias("cp"), F.sum(1 - F.col("p")).alias("cr"))
+    m = both.groupBy(id_col).agg(
         *[F.sum(F.when(F.col("n") == n, F.least("cp", "cr")).otherwise(0)).alias(f"m{n}")
           for n in range(1, max_n + 1)])
     lens = t.select(id_col, F.size("_pt").alias("c"), F.size("_rt").alias("r"))
@@ -122,26 +129,44 @@ def _occurrence_from_end(ex: DataFrame, id_col: str, pos: str, chunk: int) -> Da
     return ex.withColumn("k", F.col("_after") + F.col("_lk")).drop("_ch", "_lk", "_after")
 
 
-def meteor_exact(df: DataFrame, id_col: str, pred: str, ref: str, chunk: int = 4096) -> DataFrame:
+def _tokens(t: DataFrame, id_col: str) -> DataFrame:
+    """``(id, p, pos, w)``: every token of both texts, ``p`` true for the prediction's."""
+    def side(c: str, predicted: bool) -> Column:
+        return F.coalesce(F.transform(c, lambda w, i: F.struct(F.lit(predicted).alias("p"), i.cast("int").alias("pos"), w.alias("w"))),
+                          F.array().cast("array<struct<p:boolean,pos:int,w:string>>"))
+
+    return t.select(id_col, F.explode(F.concat(side("_pt", True), side("_rt", False))).alias("_t")).select(id_col, "_t.p", "_t.pos", "_t.w")
+
+
+def meteor_exact(df: DataFrame, id_col: str, pred: str, ref: str, chunk: int | None = None) -> DataFrame:
     """METEOR, exact-match stage. Alignment as in the common implementation:
     hypothesis words from last to first each take the last unmatched equal
     reference word, i.e. the k-th last occurrence of a word in the hypothesis
     pairs with its k-th last occurrence in the reference. Chunks are runs of
     matches consecutive in both texts (sorted by hypothesis position).
     ``Fmean = PR / (alpha P + (1 - alpha) R)``,
-    ``penalty = gamma (chunks / matches)^beta``. 0 when nothing matches."""
+    ``penalty = gamma (chunks / matches)^beta``. 0 when nothing matches.
+
+    The texts are shuffled once, by id; windows and counts keyed by ``(id, ...)``
+    run where a text's tokens are and spill. ``chunk`` spreads the occurrences
+    of texts too long for that over tasks, by parts of so many positions, at
+    the price of shuffling every token."""
     t = tokenized(df, id_col, pred, ref)
-    hyp = _occurrence_from_end(t.select(id_col, F.posexplode("_pt").alias("hpos", "w")), id_col, "hpos", chunk)
-    rf = _occurrence_from_end(t.select(id_col, F.posexplode("_rt").alias("rpos", "w")), id_col, "rpos", chunk)
-    m = hyp.join(rf, on=[id_col, "w", "k"], how="inner").select(id_col, "hpos", "rpos")
-    # a match (h, r) continues a chunk iff (h-1, r-1) is also a match (each
-    # hypothesis position is matched once, so that is its predecessor in
-    # hypothesis order): chunks = matches without such a predecessor. An
-    # anti-join on (id, h, r) instead of a window over the whole text.
-    prev = m.select(id_col, (F.col("hpos") + 1).alias("hpos"), (F.col("rpos") + 1).alias("rpos"))
-    starts = m.join(prev, on=[id_col, "hpos", "rpos"], how="left_anti")
-    agg = m.groupBy(id_col).agg(F.count(F.lit(1)).alias("matches")).join(
-        starts.groupBy(id_col).agg(F.count(F.lit(1)).alias("chunks")), on=id_col, how="left")
+    tokens = _tokens(t, id_col)
+    if chunk is None:
+        k = tokens.withColumn("k", F.row_number().over(Window.partitionBy(id_col, "w", "p").orderBy(F.desc("pos"))))
+    else:
+        k = _occurrence_from_end(tokens.where("p"), id_col, "pos", chunk).unionByName(
+            _occurrence_from_end(tokens.where("NOT p"), id_col, "pos", chunk))
+    m = k.groupBy(id_col, "w", "k").agg(F.max(F.when(F.col("p"), F.col("pos"))).alias("hpos"),
+                                        F.max(F.when(~F.col("p"), F.col("pos"))).alias("rpos"))
+    m = m.where(F.col("hpos").isNotNull() & F.col("rpos").isNotNull()).select(id_col, "hpos", (F.col("hpos") - F.col("rpos")).alias("_diag"))
+    # a match (h, r) continues a chunk iff (h-1, r-1) is also a match; that lies
+    # on the same diagonal, so it is the greatest position before on it (by
+    # range: texts of one id can hold a match twice)
+    before = F.max("hpos").over(Window.partitionBy(id_col, "_diag").orderBy("hpos").rangeBetween(Window.unboundedPreceding, -1))
+    agg = m.withColumn("_start", F.coalesce(before, F.lit(-2)) != F.col("hpos") - 1).groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("matches"), F.count_if("_start").alias("chunks"))
     lens = t.select(id_col, F.size("_pt").alias("c"), F.size("_rt").alias("r"))
     out = lens.join(agg, on=id_col, how="left").fillna(0, subset=["matches", "chunks"])
     mm, c, r = F.col("matches"), F.col("c"), F.col("r")

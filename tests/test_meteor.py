@@ -1,6 +1,7 @@
 """Staged METEOR: Porter goldens, stages, chunks, brute-force alignment."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,31 @@ def test_exact_stage_equals_meteor_exact(spark):
     b = {r.id: (r.matches, r.chunks, round(r.meteor, 9)) for r in metrics.meteor_exact(df, "id", "p", "r").select(
         "id", "matches", "chunks", F.col("meteor")).collect()}
     assert a == b
+
+
+def exchanges(df):
+    """The keys of the plan's hash exchanges."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+
+
+def test_texts_are_shuffled_not_their_tokens(spark):
+    df = spark.createDataFrame([(1, "a b a", "b a")], "id long, p string, r string")
+    syn = spark.createDataFrame([("a", "x")], "word string, group string")
+    stages = (alignment.exact(), alignment.stems(), alignment.synonyms(syn))
+    for out, most in ((metrics.meteor_exact(df, "id", "p", "r"), 2), (metrics.bleu_rouge(df, "id", "p", "r", style="library"), 4),
+                      (alignment.meteor(df, "id", "p", "r", stages=stages), 3)):
+        keys = [re.sub(r"#\d+L?", "", k) for k in exchanges(out)]
+        # the word groups' join deals tokens out by word
+        assert 0 < keys.count("id") <= most and set(keys) <= {"id", "w", "word"}, keys
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, "a b", "a b"), (1, "a b", "a b"), (2, None, "a"), (2, "a", None), (None, "a", "a")]
+    df = spark.createDataFrame(rows, "id long, p string, r string")
+    got = sorted((r.id or 0, r.matches, r.chunks) for r in metrics.meteor_exact(df, "id", "p", "r").collect())
+    assert got == [(0, 0, 0), (1, 4, 2), (1, 4, 2), (2, 1, 1), (2, 1, 1)]
+    grams = sorted((r.id or 0, r.m1, r.m2) for r in metrics.ngram_overlap(df, "id", "p", "r").collect())
+    assert grams == [(0, 0, 0), (1, 4, 2), (1, 4, 2), (2, 1, 0), (2, 1, 0)]
+    split = sorted((r.id or 0, r.matches, r.chunks) for r in metrics.meteor_exact(df, "id", "p", "r", chunk=1).collect())
+    assert split == got
