@@ -1,10 +1,11 @@
 """Exact cosine k-nearest-neighbour retrieval (dense and lexical).
 
 Exact kNN must score every (query, corpus) pair, but it must not *emit*
-every pair. Both sides are hashed into blocks of at most ``block_rows`` rows
+every pair. Both sides are hashed into blocks of about ``block_rows`` rows
 per group; the query block ``qb`` and corpus block ``cb`` meet in one
-co-group ``(group, qb, cb)``, where numpy scores the block and keeps only the
-local top-k of each query. A window ``row_number() <= k`` over the
+co-group ``(group, qb, cb)``, where numpy scores the block part by part, drops
+what is beyond a query's k-th best so far, and keeps only the local top-k of each
+query. A window ``row_number() <= k`` over the
 ``k * n_corpus_blocks`` candidates of each query gives the global answer
 (Spark plans it with a ``WindowGroupLimit``).
 
@@ -46,12 +47,12 @@ def sparse_rows(vectors: DataFrame, id_col: str, ids: DataFrame | None = None) -
     return agg
 
 
-def _blocks(q: DataFrame, c: DataFrame, q_id: str, c_id: str, group: str, block_rows: int):
+def _blocks(q: DataFrame, c: DataFrame, q_id: str, c_id: str, group: str, block_rows: int, c_rows: int | None = None):
     qs = q.groupBy(group).agg(F.count(F.lit(1)).alias("_nq"))
     cs = c.groupBy(group).agg(F.count(F.lit(1)).alias("_nc"))
     stats = qs.join(cs, on=group, how="inner").select(
         group, F.ceil(F.col("_nq") / block_rows).cast("int").alias("_qbs"),
-        F.ceil(F.col("_nc") / block_rows).cast("int").alias("_cbs"))
+        F.ceil(F.col("_nc") / (c_rows or block_rows)).cast("int").alias("_cbs"))
     # without a group the table has one row (broadcast is bounded); with a
     # group it has one row per group and AQE picks the join from its measured
     # size at run time
@@ -65,24 +66,81 @@ def _blocks(q: DataFrame, c: DataFrame, q_id: str, c_id: str, group: str, block_
     return qx, cx
 
 
-def _topk_block(dist: np.ndarray, c_ids: np.ndarray, q_ids: np.ndarray, k: int):
-    """dist: (n_c, n_q) with corpus rows sorted by id. Returns (q, c, d) of the
-    k best per query column, ties by corpus id (stable sort)."""
-    key = np.round(dist, 9)
-    kk = min(k, key.shape[0])
-    order = np.argsort(key, axis=0, kind="stable")[:kk]          # (kk, n_q)
-    cols = np.broadcast_to(np.arange(key.shape[1]), order.shape)
-    d = dist[order, cols]
-    keep = np.isfinite(d)
-    return q_ids[cols[keep]], c_ids[order[keep]], d[keep]
+TILE_ROWS = 1024
+#: Rows of a block of queries and of the corpus. A row is copied to each block of the other side, so larger blocks copy less.
+BLOCK_ROWS = {"dense": (16384, 16384), "sparse": (2048, 4096)}
+#: Distances closer than 1e-9 can be ties.
+TIES = 1e-8
 
 
-def _score_dense(qv: np.ndarray, qn: np.ndarray, cv: np.ndarray, cn: np.ndarray) -> np.ndarray:
-    dots = cv @ qv.T
-    den = cn[:, None] * qn[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cos = np.where(den > 0, dots / den, 0.0)
-    return 1.0 - cos
+class _Best:
+    """The ``k`` best corpus rows of each query of a tile: by distance rounded to
+    1e-9, ties by corpus id. A part of the corpus is compared with each query's
+    weakest row so far, and only what can enter is sorted."""
+
+    def __init__(self, n_q: int, k: int):
+        self.k, self.limit = k, np.full(n_q, np.inf)
+        self.q, self.c, self.d = np.array([], np.int64), np.array([], np.int64), np.array([], np.float64)
+
+    def candidates(self, dist: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``dist`` (corpus rows x queries, ``slack`` near the exact distances) that can be among the best."""
+        limit = self.limit
+        if dist.shape[0] > self.k and np.isinf(limit).any():  # k rows lie below the k-th least
+            limit = np.minimum(limit, np.partition(dist, self.k - 1, axis=0)[self.k - 1] + slack)
+        return np.nonzero(dist <= (limit + slack + TIES)[None, :].astype(dist.dtype))
+
+    def add(self, q: np.ndarray, c: np.ndarray, d: np.ndarray) -> None:
+        keep = np.isfinite(d)
+        q, c, d = (np.concatenate(x) for x in ((self.q, q[keep]), (self.c, c[keep]), (self.d, d[keep])))
+        order = np.lexsort((c, np.round(d, 9), q))
+        q, c, d = q[order], c[order], d[order]
+        starts = np.flatnonzero(np.diff(q, prepend=-1))
+        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+        full = place == self.k - 1
+        self.limit[q[full]] = d[full]
+        self.q, self.c, self.d = (x[place < self.k] for x in (q, c, d))
+
+
+class _Dense:
+    """Vectors of one side of a block with their norms, and unit vectors in single precision."""
+
+    def __init__(self, vectors):
+        self.v = np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
+        self.n = np.sqrt((self.v * self.v).sum(axis=1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unit = self.v / self.n[:, None]
+        # without a finite positive norm: no direction, the exact distance decides
+        self.unit = np.where(((self.n > 0) & np.isfinite(self.n))[:, None], unit, 0.0).astype(np.float32)
+
+    def exact(self, i: np.ndarray, other: _Dense, j: np.ndarray) -> np.ndarray:
+        out, step = np.empty(len(i)), max(1, 4_000_000 // max(1, self.v.shape[1]))
+        for s in range(0, len(i), step):  # bound the gathered vectors
+            a, b = i[s:s + step], j[s:s + step]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                den = self.n[a] * other.n[b]
+                out[s:s + step] = 1.0 - np.where(den > 0, np.einsum("ij,ij->i", self.v[a], other.v[b]) / den, 0.0)
+        return out
+
+
+def _score_dense(qs: _Dense, q_ids: np.ndarray, cs: _Dense, c_ids: np.ndarray, k: int, part: int, exclude_self: bool):
+    """``(q, c, d)`` of the block's best: single-precision products find the pairs that can be among them, these get exact distances."""
+    slack = 1e-6 + 2e-7 * qs.unit.shape[1]  # rounding of a product of unit vectors
+    endless = np.isinf(cs.n)
+    for t in range(0, len(q_ids), TILE_ROWS):
+        ids, unit = q_ids[t:t + TILE_ROWS], qs.unit[t:t + TILE_ROWS].T
+        best = _Best(len(ids), k)
+        for s in range(0, len(c_ids), part):
+            own = c_ids[s:s + part]
+            dist = 1 - cs.unit[s:s + part] @ unit
+            if exclude_self:
+                dist[own[:, None] == ids[None, :]] = np.inf
+            if endless[s:s + part].any() or np.isinf(qs.n[t:t + TILE_ROWS]).any():
+                j, i = np.nonzero(np.ones_like(dist, dtype=bool))
+            else:
+                j, i = best.candidates(dist, slack)
+            d = qs.exact(i + t, cs, j + s)
+            best.add(i, own[j], np.where(own[j] == ids[i], np.inf, d) if exclude_self else d)
+        yield ids[best.q], best.c, best.d
 
 
 def _flatten(lists) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +199,7 @@ class _QueryIndex:
 
 def knn(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, k: int = 3,
         kind: str = "dense", vec: str = "embedding", group: str | None = None,
-        exclude_self: bool = False, block_rows: int = 1024, c_block_rows: int = 1024,
+        exclude_self: bool = False, block_rows: int | None = None, c_block_rows: int = 1024,
         materialize: bool = True) -> DataFrame:
     """Exact cosine kNN. ``kind='dense'``: ``vec`` is an ``array<float>``
     column. ``kind='sparse'``: rows carry ``toks``, ``ws`` and ``norm`` (see
@@ -157,7 +215,8 @@ def knn(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, k: int = 3,
     else:
         q = q.select(g, F.col(q_id).alias("_qid"), "toks", "ws", "norm")
         c = c.select(g, F.col(c_id).alias("_cid"), "toks", "ws", "norm")
-    qx, cx = _blocks(q, c, "_qid", "_cid", g, block_rows)
+    q_rows, c_rows = (block_rows, block_rows) if block_rows else BLOCK_ROWS[kind]
+    qx, cx = _blocks(q, c, "_qid", "_cid", g, q_rows, c_rows)
     gtype = queries.schema[group].dataType if group else T.IntegerType()
     schema = T.StructType([T.StructField(g, gtype), T.StructField("_qid", T.LongType()),
                            T.StructField("_cid", T.LongType()), T.StructField("distance", T.DoubleType())])
@@ -166,35 +225,22 @@ def knn(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, k: int = 3,
         if qdf.empty or cdf.empty:
             return pd.DataFrame({g: pd.Series([], dtype=object), "_qid": pd.Series([], dtype="int64"),
                                  "_cid": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype="float64")})
-        gval = qdf[g].iloc[0]
-        cdf = cdf.sort_values("_cid", kind="stable").reset_index(drop=True)
-        q_ids = qdf["_qid"].to_numpy(np.int64)
-        outs = []
+        q_ids, c_ids = qdf["_qid"].to_numpy(np.int64), cdf["_cid"].to_numpy(np.int64)
         if kind == "dense":
-            qv = np.stack([np.asarray(x, dtype=np.float64) for x in qdf["_v"]])
-            qn = np.sqrt((qv * qv).sum(axis=1))
+            outs = list(_score_dense(_Dense(qdf["_v"]), q_ids, _Dense(cdf["_v"]), c_ids, k, c_block_rows, exclude_self))
         else:
-            qidx = _QueryIndex(list(qdf["toks"]), list(qdf["ws"]), qdf["norm"].to_numpy(np.float64))
-        for s in range(0, len(cdf), c_block_rows):
-            part = cdf.iloc[s:s + c_block_rows]
-            c_ids = part["_cid"].to_numpy(np.int64)
-            if kind == "dense":
-                cv = np.stack([np.asarray(x, dtype=np.float64) for x in part["_v"]])
-                cn = np.sqrt((cv * cv).sum(axis=1))
-                dist = _score_dense(qv, qn, cv, cn)
-            else:
+            qidx, best = _QueryIndex(list(qdf["toks"]), list(qdf["ws"]), qdf["norm"].to_numpy(np.float64)), _Best(len(q_ids), k)
+            for s in range(0, len(cdf), c_block_rows):
+                part, own = cdf.iloc[s:s + c_block_rows], c_ids[s:s + c_block_rows]
                 dist = qidx.distances(list(part["toks"]), list(part["ws"]), part["norm"].to_numpy(np.float64))
-            if exclude_self:
-                dist = np.where(c_ids[:, None] == q_ids[None, :], np.inf, dist)
-            outs.append(_topk_block(dist, c_ids, q_ids, k))
-        qq = np.concatenate([o[0] for o in outs])
-        cc = np.concatenate([o[1] for o in outs])
-        dd = np.concatenate([o[2] for o in outs])
-        res = pd.DataFrame({"_qid": qq, "_cid": cc, "distance": dd})
-        res["_key"] = np.round(res["distance"].to_numpy(), 9)
-        res = res.sort_values(["_qid", "_key", "_cid"], kind="stable").groupby("_qid", sort=False).head(k)
-        res.insert(0, g, gval)
-        return res[[g, "_qid", "_cid", "distance"]]
+                if exclude_self:
+                    dist = np.where(own[:, None] == q_ids[None, :], np.inf, dist)
+                j, i = best.candidates(dist, 0.0)
+                best.add(i, own[j], dist[j, i])
+            outs = [(q_ids[best.q], best.c, best.d)]
+        res = pd.DataFrame({n: np.concatenate(x) for n, x in zip(("_qid", "_cid", "distance"), zip(*outs, strict=True), strict=True)})
+        res.insert(0, g, qdf[g].iloc[0])
+        return res
 
     cand = qx.groupBy(g, "_qb", "_cb").cogroup(cx.groupBy(g, "_qb", "_cb")).applyInPandas(score, schema)
     w = Window.partitionBy(g, "_qid").orderBy(F.round("distance", 9), "_cid")

@@ -90,6 +90,50 @@ def test_knn_dense_brute_force_and_blocks(spark):
         assert got == exp
 
 
+def test_knn_ties_by_id_over_parts(spark):
+    """Copies of vectors and of texts: among equal distances the least ids win, in any order of the rows."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(5, 8)).astype(np.float32)
+    pick = rng.integers(0, 5, 90)
+    df = spark.createDataFrame([(i, base[pick[i]].tolist()) for i in range(89, -1, -1)], "id long, embedding array<float>")
+    texts = spark.createDataFrame([(i, f"w{pick[i]} all") for i in range(89, -1, -1)], "id long, text string")
+    words = [retrieve.sparse_rows(retrieve.term_vectors(t, "id", "text"), "id", t) for t in (texts, spark.createDataFrame(texts.toPandas()))]
+    for rows, others, kind in ((df, df, "dense"), (*words, "sparse")):
+        for block, part in ((None, 1024), (40, 7)):
+            nb = retrieve.knn(rows, others.withColumnRenamed("id", "cid"), "id", "cid", k=3, kind=kind, exclude_self=True, block_rows=block, c_block_rows=part, materialize=False)
+            got = {}
+            for r in nb.withColumnRenamed("id", "q").orderBy("q", "rank").collect():
+                got.setdefault(r.q, []).append(r.nbr_id)
+            assert got == {q: [i for i in range(90) if pick[i] == pick[q] and i != q][:3] for q in range(90)}
+
+
+def test_knn_keeps_what_the_full_sort_keeps():
+    """Odd vectors as before: NaN and zero vectors at distance 1, infinite ones nowhere."""
+    v = np.random.default_rng(2).normal(size=(60, 6))
+    v[3], v[4], v[5, 1] = np.nan, 0, np.inf
+    n = np.sqrt((v * v).sum(axis=1))
+    with np.errstate(all="ignore"):
+        den = n[:, None] * n[None, :]
+        d = np.round(1 - np.where(den > 0, v @ v.T / den, 0.0), 9)
+    d[np.arange(60), np.arange(60)] = np.inf
+    exp = {q: [int(c) for c in np.lexsort((np.arange(60), d[:, q]))[:3] if np.isfinite(d[c, q])] for q in range(60)}
+    side, ids = retrieve._Dense(list(v)), np.arange(60)
+    got = {q: [] for q in range(60)}
+    for qs, cs, _ in retrieve._score_dense(side, ids, side, ids, 3, 16, True):
+        for a, b in zip(qs, cs):
+            got[int(a)].append(int(b))
+    assert got == exp
+
+
+def test_knn_copies_rows_to_few_blocks(spark):
+    """Rows are copied once per block of the other side: 10,000 vectors are one block, not a hundred pairs of blocks."""
+    df = spark.range(10_000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    q_rows, c_rows = retrieve.BLOCK_ROWS["dense"]
+    qx, cx = retrieve._blocks(df.select(F.lit(0).alias("_g"), F.col("vec_id").alias("_qid")),
+                              df.select(F.lit(0).alias("_g"), F.col("vec_id").alias("_cid")), "_qid", "_cid", "_g", q_rows, c_rows)
+    assert qx.count() == cx.count() == 10_000
+
+
 def test_knn_sparse_grouped(spark):
     q = spark.createDataFrame([(1, "a b c", 1), (2, "x y", 2), (3, "zzz", 1)], "pair_id long, input_text string, agent int")
     c = spark.createDataFrame([(10, "a b", 1), (11, "c a b a", 1), (12, "x", 1), (13, "x y y", 2), (14, "y", 2),
