@@ -3,9 +3,10 @@
 Exact kNN must score every (query, corpus) pair, but it must not *emit*
 every pair. Both sides are hashed into blocks of about ``block_rows`` rows
 per group; the query block ``qb`` and corpus block ``cb`` meet in one
-co-group ``(group, qb, cb)``, where numpy scores the block part by part, drops
-what is beyond a query's k-th best so far, and keeps only the local top-k of each
-query. A window ``row_number() <= k`` over the
+co-group ``(group, qb, cb)``, where numpy scores the block part by part (vectors as
+matrix products, token counts as dense columns of frequent tokens and postings of
+the others), drops what is beyond a query's k-th best so far, and keeps only the local
+top-k of each query. A window ``row_number() <= k`` over the
 ``k * n_corpus_blocks`` candidates of each query gives the global answer
 (Spark plans it with a ``WindowGroupLimit``).
 
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,12 +50,13 @@ def sparse_rows(vectors: DataFrame, id_col: str, ids: DataFrame | None = None) -
     return agg
 
 
-def _blocks(q: DataFrame, c: DataFrame, q_id: str, c_id: str, group: str, block_rows: int, c_rows: int | None = None):
+def _blocks(q: DataFrame, c: DataFrame, q_id: str, c_id: str, group: str, block_rows: int, c_rows: int | None = None, spread: int = 1):
     qs = q.groupBy(group).agg(F.count(F.lit(1)).alias("_nq"))
     cs = c.groupBy(group).agg(F.count(F.lit(1)).alias("_nc"))
+    few = F.least(F.lit(spread), F.ceil(F.col("_nc") / TILE_ROWS))  # a small corpus is dealt out too
     stats = qs.join(cs, on=group, how="inner").select(
         group, F.ceil(F.col("_nq") / block_rows).cast("int").alias("_qbs"),
-        F.ceil(F.col("_nc") / (c_rows or block_rows)).cast("int").alias("_cbs"))
+        F.greatest(F.ceil(F.col("_nc") / (c_rows or block_rows)), few).cast("int").alias("_cbs"))
     # without a group the table has one row (broadcast is bounded); with a
     # group it has one row per group and AQE picks the join from its measured
     # size at run time
@@ -68,7 +72,9 @@ def _blocks(q: DataFrame, c: DataFrame, q_id: str, c_id: str, group: str, block_
 
 TILE_ROWS = 1024
 #: Rows of a block of queries and of the corpus. A row is copied to each block of the other side, so larger blocks copy less.
-BLOCK_ROWS = {"dense": (16384, 16384), "sparse": (2048, 4096)}
+BLOCK_ROWS = {"dense": (16384, 16384), "sparse": (16384, 16384)}
+#: Blocks of a lexical corpus at least, if they have a tile's rows each.
+SPREAD = 8
 #: Distances closer than 1e-9 can be ties.
 TIES = 1e-8
 
@@ -79,25 +85,28 @@ class _Best:
     weakest row so far, and only what can enter is sorted."""
 
     def __init__(self, n_q: int, k: int):
-        self.k, self.limit = k, np.full(n_q, np.inf)
+        self.k, self.limit, self.last = k, np.full(n_q, np.inf), np.full(n_q, np.iinfo(np.int64).max)
         self.q, self.c, self.d = np.array([], np.int64), np.array([], np.int64), np.array([], np.float64)
 
     def candidates(self, dist: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
         """Places of ``dist`` (corpus rows x queries, ``slack`` near the exact distances) that can be among the best."""
         limit = self.limit
-        if dist.shape[0] > self.k and np.isinf(limit).any():  # k rows lie below the k-th least
-            limit = np.minimum(limit, np.partition(dist, self.k - 1, axis=0)[self.k - 1] + slack)
-        return np.nonzero(dist <= (limit + slack + TIES)[None, :].astype(dist.dtype))
+        if dist.shape[0] > self.k and np.isinf(limit).any():  # k rows lie below the k-th least, also of some rows
+            some = dist[:max(256, self.k)]
+            limit = np.minimum(limit, np.partition(some, self.k - 1, axis=0)[self.k - 1] + slack)
+        near = np.flatnonzero(dist <= (limit + slack + TIES)[None, :].astype(dist.dtype))
+        return np.divmod(near, max(1, dist.shape[1]))
 
     def add(self, q: np.ndarray, c: np.ndarray, d: np.ndarray) -> None:
-        keep = np.isfinite(d)
+        r, weakest = np.round(d, 9), np.round(self.limit[q], 9)
+        keep = np.isfinite(d) & ((r < weakest) | (r == weakest) & (c < self.last[q]))
         q, c, d = (np.concatenate(x) for x in ((self.q, q[keep]), (self.c, c[keep]), (self.d, d[keep])))
         order = np.lexsort((c, np.round(d, 9), q))
         q, c, d = q[order], c[order], d[order]
         starts = np.flatnonzero(np.diff(q, prepend=-1))
         place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
         full = place == self.k - 1
-        self.limit[q[full]] = d[full]
+        self.limit[q[full]], self.last[q[full]] = d[full], c[full]
         self.q, self.c, self.d = (x[place < self.k] for x in (q, c, d))
 
 
@@ -143,58 +152,115 @@ def _score_dense(qs: _Dense, q_ids: np.ndarray, cs: _Dense, c_ids: np.ndarray, k
         yield ids[best.q], best.c, best.d
 
 
-def _flatten(lists) -> tuple[np.ndarray, np.ndarray]:
-    lens = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
-    if lens.sum() == 0:
-        return np.array([], dtype=object), lens
-    return np.concatenate([np.asarray(x) for x in lists if len(x)]), lens
-
-
-class _QueryIndex:
-    """Postings of one query block: token -> (query row, weight), CSR."""
-
-    def __init__(self, qt, qw, qn):
-        self.n_q = len(qt)
-        toks, lens = _flatten(qt)
-        ws, _ = _flatten(qw)
-        rows = np.repeat(np.arange(self.n_q), lens)
-        self.vocab = pd.Index(pd.unique(toks)) if len(toks) else pd.Index([])
-        v = self.vocab.get_indexer(toks) if len(toks) else np.array([], dtype=np.int64)
-        order = np.argsort(v, kind="stable")
-        self.rows, self.w = rows[order], np.asarray(ws, dtype=np.float64)[order]
-        self.indptr = np.zeros(len(self.vocab) + 1, dtype=np.int64)
-        if len(v):
-            np.add.at(self.indptr, v[order] + 1, 1)
-        self.indptr = np.cumsum(self.indptr)
-        self.norm = np.asarray(qn, dtype=np.float64)
-
-    def distances(self, ct, cw, cn) -> np.ndarray:
-        n_c, n_q = len(ct), self.n_q
-        dots = np.zeros(n_c * n_q, dtype=np.float64)
-        toks, lens = _flatten(ct)
-        if len(toks) and len(self.vocab):
-            ws, _ = _flatten(cw)
-            crow = np.repeat(np.arange(n_c), lens)
-            v = self.vocab.get_indexer(toks)
-            m = v >= 0
-            v, ws, crow = v[m], np.asarray(ws, dtype=np.float64)[m], crow[m]
-            step = 200_000  # bound the expanded (corpus token x posting) arrays
-            for s in range(0, len(v), step):
-                vv, w, r = v[s:s + step], ws[s:s + step], crow[s:s + step]
-                lo, hi = self.indptr[vv], self.indptr[vv + 1]
-                cnt = hi - lo
-                tot = int(cnt.sum())
-                if tot == 0:
-                    continue
-                starts = np.repeat(lo - np.concatenate(([0], np.cumsum(cnt)[:-1])), cnt)
-                pos = np.arange(tot) + starts
-                dots += np.bincount(np.repeat(r, cnt) * n_q + self.rows[pos],
-                                    weights=np.repeat(w, cnt) * self.w[pos], minlength=n_c * n_q)
-        dots = dots.reshape(n_c, n_q)
-        den = np.asarray(cn, dtype=np.float64)[:, None] * self.norm[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cos = np.where(den > 0, dots / den, 0.0)
-        return 1.0 - cos
+#: Tokens that so large a share of a block's pairs have in common are multiplied as dense columns, the others by postings.
+FREQUENT = 1 / 400
+#: Cells of the dense columns of one side, and products of postings in memory at once.
+CELLS, HITS = 1 << 24, 1 << 21
+
+
+def _lists(rows: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
+    """A list column's values in one array, and each row's number of values."""
+    col = rows.column(name).combine_chunks()
+    return col.flatten(), pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class _Sparse:
+    """Token weights of one side of a block as entries ``(row, token number, weight)`` in this order, a token once a row."""
+
+    def __init__(self, tok: np.ndarray, lens: np.ndarray, ws: np.ndarray, norm: np.ndarray, n_tokens: int):
+        key, entry = np.unique(np.repeat(np.arange(len(lens)), lens) * n_tokens + tok, return_inverse=True)
+        self.n, self.w = norm, np.bincount(entry, ws, len(key))
+        self.row, self.tok = np.divmod(key, n_tokens)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            length = np.sqrt(np.bincount(self.row, self.w * self.w, len(lens)))
+            self.scale = np.where(norm > 0, 1 / norm, 0.0)
+        self.longest = length.max()
+        #: Whether single precision can screen these rows: norms that are theirs, or zero, and not extreme.
+        self.plain = bool(((norm == 0) | (norm > 1e-15) & (norm < 1e15) & (length <= 1.001 * norm)).all())
+
+    def whole(self) -> bool:
+        return bool(np.isfinite(self.w).all() and (self.w == np.floor(self.w)).all())
+
+    def columns(self, place: np.ndarray, n: int, kind: type) -> np.ndarray:
+        """Weights of the tokens with a ``place``, as a matrix of ``n`` columns."""
+        out, at = np.zeros((len(self.n), n), kind), place[self.tok]
+        out[self.row[at >= 0], at[at >= 0]] = self.w[at >= 0]
+        return out
+
+    def only(self, keep: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, tokens and weights of the entries of ``keep``, and where each row's begin."""
+        at = np.flatnonzero(keep[self.tok])
+        return self.row[at], self.tok[at], self.w[at].astype(kind), np.searchsorted(self.row[at], np.arange(len(self.n) + 1))
+
+
+def _add_postings(dot: np.ndarray, row: np.ndarray, tok: np.ndarray, w: np.ndarray, first: np.ndarray, q_row: np.ndarray, q_w: np.ndarray) -> None:
+    """Add to ``dot`` (corpus rows x queries) the products of the corpus' entries with the queries' postings,
+    which begin at ``first`` of the token."""
+    n = first[tok + 1] - first[tok]
+    met = np.flatnonzero(n)
+    row, lo, w, n = row[met] * dot.shape[1], first[tok[met]], w[met], n[met]
+    flat, done = dot.reshape(-1), np.cumsum(n)
+    ends = np.searchsorted(done, np.arange(HITS, (done[-1] if len(done) else 0) + HITS, HITS), side="right")
+    s = 0
+    for e in [*ends[:-1], len(n)]:
+        if e > s:
+            c = n[s:e]
+            at = np.arange(c.sum()) + np.repeat(lo[s:e] - np.cumsum(c) + c, c)
+            np.add.at(flat, np.repeat(row[s:e], c) + q_row[at], np.repeat(w[s:e], c) * q_w[at])
+            s = e
+
+
+def _score_sparse(q: pa.Table, c: pa.Table, k: int, part: int, exclude_self: bool):
+    """``(q, c, d)`` of the block's best, as :func:`_score_dense`. Weights of tokens that many pairs share are multiplied
+    as dense columns, the others by postings; in single precision if they are whole numbers whose products it holds exactly."""
+    (q_tok, q_len), (c_tok, c_len) = _lists(q, "toks"), _lists(c, "toks")
+    tokens = pa.concat_arrays([q_tok, c_tok]).dictionary_encode(null_encoding="encode")
+    n_tokens, tok = max(1, len(tokens.dictionary)), tokens.indices.to_numpy().astype(np.int64)
+    qs, cs = (_Sparse(t, lens, _lists(x, "ws")[0].to_numpy(zero_copy_only=False), x.column("norm").to_numpy(), n_tokens)
+              for t, lens, x in ((tok[:len(q_tok)], q_len, q), (tok[len(q_tok):], c_len, c)))
+    q_ids, c_ids = (pc.fill_null(x.column(n), np.iinfo(np.int64).min).to_numpy() for x, n in ((q, "_qid"), (c, "_cid")))
+    kind = np.float32 if qs.whole() and cs.whole() and qs.longest * cs.longest < 1 << 24 else np.float64
+    pairs = np.bincount(qs.tok, minlength=n_tokens) * np.bincount(cs.tok, minlength=n_tokens)
+    dense = pairs > FREQUENT * len(q_ids) * len(c_ids)
+    for x in (qs, cs):  # weights that aren't finite count only where both rows hold the token
+        dense[x.tok[~np.isfinite(x.w)]] = False
+    frequent = np.argsort(np.where(dense, -pairs, 1), kind="stable")[:min(dense.sum(), CELLS // max(len(q_ids), len(c_ids)))]
+    place = np.full(n_tokens, -1)
+    place[frequent] = np.arange(len(frequent))
+    q_cols, c_cols = (x.columns(place, len(frequent), kind) for x in (qs, cs))
+    (qr, qt, qw, q_at), (cr, ct, cw, c_at) = (x.only((pairs > 0) & (place < 0), kind) for x in (qs, cs))
+    plain = qs.plain and cs.plain
+
+    def exact(dots, c_norm, q_norm):
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            den = c_norm * q_norm
+            return 1.0 - np.where(den > 0, dots / den, 0.0)
+
+    for t in range(0, len(q_ids), TILE_ROWS):
+        ids, q_norm = q_ids[t:t + TILE_ROWS], qs.n[t:t + TILE_ROWS]
+        mine = slice(q_at[t], q_at[t + len(ids)])
+        order = np.argsort(qt[mine], kind="stable")
+        q_row, q_w = qr[mine][order] - t, qw[mine][order]
+        first = np.concatenate(([0], np.cumsum(np.bincount(qt[mine], minlength=n_tokens))))
+        best = _Best(len(ids), k)
+        for s in range(0, len(c_ids), part):
+            own, c_norm = c_ids[s:s + part], cs.n[s:s + part]
+            dot = c_cols[s:s + part] @ q_cols[t:t + TILE_ROWS].T
+            theirs = slice(c_at[s], c_at[s + len(own)])
+            with np.errstate(invalid="ignore", over="ignore"):
+                _add_postings(dot, cr[theirs] - s, ct[theirs], cw[theirs], first, q_row, q_w)
+            if plain:
+                dist = dot * cs.scale[s:s + part, None].astype(kind)
+                dist *= qs.scale[t:t + TILE_ROWS].astype(kind)
+                np.subtract(1, dist, out=dist)
+            else:
+                dist = exact(dot, c_norm[:, None], q_norm[None, :])
+            if exclude_self:
+                dist[own[:, None] == ids[None, :]] = np.inf
+            j, i = best.candidates(dist, 1e-6 if plain else 0.0)
+            d = exact(dot[j, i].astype(np.float64), c_norm[j], q_norm[i])
+            best.add(i, own[j], np.where(own[j] == ids[i], np.inf, d) if exclude_self else d)
+        yield ids[best.q], best.c, best.d
 
 
 def knn(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, k: int = 3,
@@ -216,7 +282,7 @@ def knn(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, k: int = 3,
         q = q.select(g, F.col(q_id).alias("_qid"), "toks", "ws", "norm")
         c = c.select(g, F.col(c_id).alias("_cid"), "toks", "ws", "norm")
     q_rows, c_rows = (block_rows, block_rows) if block_rows else BLOCK_ROWS[kind]
-    qx, cx = _blocks(q, c, "_qid", "_cid", g, q_rows, c_rows)
+    qx, cx = _blocks(q, c, "_qid", "_cid", g, q_rows, c_rows, 1 if block_rows or kind == "dense" else SPREAD)
     gtype = queries.schema[group].dataType if group else T.IntegerType()
     schema = T.StructType([T.StructField(g, gtype), T.StructField("_qid", T.LongType()),
                            T.StructField("_cid", T.LongType()), T.StructField("distance", T.DoubleType())])
@@ -226,23 +292,19 @@ def knn(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str, k: int = 3,
             return pd.DataFrame({g: pd.Series([], dtype=object), "_qid": pd.Series([], dtype="int64"),
                                  "_cid": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype="float64")})
         q_ids, c_ids = qdf["_qid"].to_numpy(np.int64), cdf["_cid"].to_numpy(np.int64)
-        if kind == "dense":
-            outs = list(_score_dense(_Dense(qdf["_v"]), q_ids, _Dense(cdf["_v"]), c_ids, k, c_block_rows, exclude_self))
-        else:
-            qidx, best = _QueryIndex(list(qdf["toks"]), list(qdf["ws"]), qdf["norm"].to_numpy(np.float64)), _Best(len(q_ids), k)
-            for s in range(0, len(cdf), c_block_rows):
-                part, own = cdf.iloc[s:s + c_block_rows], c_ids[s:s + c_block_rows]
-                dist = qidx.distances(list(part["toks"]), list(part["ws"]), part["norm"].to_numpy(np.float64))
-                if exclude_self:
-                    dist = np.where(own[:, None] == q_ids[None, :], np.inf, dist)
-                j, i = best.candidates(dist, 0.0)
-                best.add(i, own[j], dist[j, i])
-            outs = [(q_ids[best.q], best.c, best.d)]
+        outs = list(_score_dense(_Dense(qdf["_v"]), q_ids, _Dense(cdf["_v"]), c_ids, k, c_block_rows, exclude_self))
         res = pd.DataFrame({n: np.concatenate(x) for n, x in zip(("_qid", "_cid", "distance"), zip(*outs, strict=True), strict=True)})
         res.insert(0, g, qdf[g].iloc[0])
         return res
 
-    cand = qx.groupBy(g, "_qb", "_cb").cogroup(cx.groupBy(g, "_qb", "_cb")).applyInPandas(score, schema)
+    def score_arrow(qt: pa.Table, ct: pa.Table) -> pa.Table:
+        outs = list(_score_sparse(qt, ct, k, c_block_rows, exclude_self)) if len(qt) and len(ct) else []
+        found = [np.concatenate(x) for x in zip(*outs, strict=True)] or [np.array([], t) for t in (np.int64, np.int64, np.float64)]
+        of = qt if len(qt) else ct
+        return pa.table({g: pa.repeat(of.column(g)[0], len(found[0])), "_qid": found[0], "_cid": found[1], "distance": found[2]})
+
+    met = qx.groupBy(g, "_qb", "_cb").cogroup(cx.groupBy(g, "_qb", "_cb"))
+    cand = met.applyInPandas(score, schema) if kind == "dense" else met.applyInArrow(score_arrow, schema)
     w = Window.partitionBy(g, "_qid").orderBy(F.round("distance", 9), "_cid")
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     out = top.select(*([g] if group else []), F.col("_qid").alias(q_id), F.col("_cid").alias("nbr_id"),

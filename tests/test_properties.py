@@ -134,6 +134,50 @@ def test_knn_copies_rows_to_few_blocks(spark):
     assert qx.count() == cx.count() == 10_000
 
 
+def test_lexical_knn_copies_rows_to_few_blocks(spark):
+    """10,000 questions are one block of queries, not five: a corpus row is copied once, a query to the few parts of a small corpus."""
+    df = spark.range(10_000)
+    q_rows, c_rows = retrieve.BLOCK_ROWS["sparse"]
+    qx, cx = retrieve._blocks(df.select(F.lit(0).alias("_g"), F.col("id").alias("_qid")), df.select(F.lit(0).alias("_g"), F.col("id").alias("_cid")),
+                              "_qid", "_cid", "_g", q_rows, c_rows, retrieve.SPREAD)
+    assert cx.count() == 10_000
+    assert qx.count() == 10_000 * retrieve.SPREAD
+    assert max(q_rows, c_rows) <= 16384  # rows of one task
+
+
+def test_lexical_knn_equals_brute_force_on_odd_weights():
+    """Whole and broken weights, tokens twice in a row, rows without a token or direction, endless
+    weights and norms that aren't the rows' own, frequent tokens and rare ones, over several tiles and parts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+
+    def side(n, case, first):
+        toks = [[f"t{int(x)}" for x in np.minimum(rng.geometric(0.08, rng.integers(0, 12)), 60)] for _ in range(n)]
+        ws = [[float(rng.integers(1, 4)) + (0.25 if case == "broken" else 0.0) for _ in t] for t in toks]
+        if case == "endless":
+            ws = [[np.inf if i % 29 == 5 and k == 0 else np.nan if i % 31 == 7 and k == 0 else w for k, w in enumerate(x)] for i, x in enumerate(ws)]
+        sums = [{t: sum(w for u, w in zip(ts, x) if u == t) for t in ts} for ts, x in zip(toks, ws)]
+        norm = np.array([np.sqrt(sum(w * w for w in x.values())) if x else 0.0 for x in sums])
+        if case == "foreign":
+            norm = norm * rng.choice([0.0, 0.01, 1.0, -1.0, np.inf, np.nan, 1e200], n)
+        return pa.table({("_qid" if first == 0 else "_cid"): np.arange(n) * 3 + first, "toks": pa.array(toks, pa.list_(pa.string())),
+                         "ws": pa.array(ws, pa.list_(pa.float64())), "norm": norm}), sums, norm
+
+    for case in ("whole", "broken", "endless", "foreign"):
+        (q, qw, qn), (c, cw, cn) = side(1100, case, 0), side(130, case, 1)
+        with np.errstate(all="ignore"):
+            dots = np.array([[sum(w * b[t] for t, w in a.items() if t in b) for b in cw] for a in qw])
+            den = qn[:, None] * cn[None, :]
+            d = np.round(1 - np.where(den > 0, dots / den, 0.0), 9)
+        got = {}
+        for ids, nbr, _ in retrieve._score_sparse(q, c, 3, 50, False):
+            for a, b in zip(ids.tolist(), nbr.tolist()):
+                got.setdefault(a, []).append(b)
+        exp = {i * 3: [int(j) * 3 + 1 for j in np.lexsort((np.arange(130), d[i])) if np.isfinite(d[i, j])][:3] for i in range(1100)}
+        assert got == {i: x for i, x in exp.items() if x}, case
+
+
 def test_knn_sparse_grouped(spark):
     q = spark.createDataFrame([(1, "a b c", 1), (2, "x y", 2), (3, "zzz", 1)], "pair_id long, input_text string, agent int")
     c = spark.createDataFrame([(10, "a b", 1), (11, "c a b a", 1), (12, "x", 1), (13, "x y y", 2), (14, "y", 2),
