@@ -104,8 +104,10 @@ def toc_dataset(pages: DataFrame, url: str = "url", html: str = "html", containe
 def toc_links(pages: DataFrame, url: str = "url", html: str = "html", menu_tag: str = "nav", **selectors: str) -> DataFrame:
     """A row per section of :func:`toc_dataset` (same selectors), with chapter and section numbers."""
     d = toc_dataset(pages, url, html, menu_tag, **selectors)
-    ch = d.select("page_id", F.posexplode("dataset").alias("chapter_no", "c"))
-    out = ch.select("page_id", "chapter_no", F.col("c.name").alias("chapter_name"), F.posexplode("c.sections").alias("i", "s"))
+    # outer: Spark would otherwise filter by the sizes of the arrays first, for which it makes each array, URLs included, once more
+    ch = d.select("page_id", F.posexplode_outer("dataset").alias("chapter_no", "c")).where(F.col("chapter_no").isNotNull())
+    out = ch.select("page_id", "chapter_no", F.col("c.name").alias("chapter_name"), F.posexplode_outer("c.sections").alias("i", "s"))
+    out = out.where(F.col("i").isNotNull())
     single = F.col("s.text_location").endswith("/sec00.txt")
     return out.select("page_id", "chapter_no", "chapter_name", F.when(single, 0).otherwise(F.col("i") + 1).alias("section_no"),
                       F.col("s.name").alias("section_name"), F.col("s.url").alias("url"), F.col("s.text_location").alias("text_location"))

@@ -22,7 +22,10 @@ be left out (``.page``).
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import Column
@@ -53,6 +56,18 @@ IMPLIED = {
 #: A paragraph lies inside one of these; an open one beyond it isn't closed.
 P_SCOPE = frozenset("article aside blockquote body button caption dd div dl fieldset figure footer form header html li main nav object section table td th ul ol".split())
 SILENT = ("script", "style")
+#: Tags written in the plain way, whose parts one match tells; the tokenizer reads all others, and those whose content isn't markup.
+_START = (r"""<(?!(?:script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext)[ \t\n\r\f>])([a-z][a-z0-9]*)"""
+          r"""((?:[ \t\n\r\f]+[a-z][a-z-]*=(?:"[^"<>&\x00]*"|'[^'<>&\x00]*'|[a-z0-9_.-]+))*)[ \t\n\r\f]*>""")
+_END = r"</([a-z][a-z0-9]*)[ \t\n\r\f]*>"
+_PLAIN_START, _PLAIN_END, _PLAIN = (re.compile(x, re.ASCII | re.IGNORECASE) for x in (_START, _END, rf"([^<]*)(?:{_START}|{_END}|<!doctype[^<>]*>)"))
+_OTHER_START = re.compile(r"([^<]*)(?=<[a-z])", re.ASCII | re.IGNORECASE)
+_PLAIN_ATTR = re.compile(r"""([a-z][a-z-]*)=(?:"([^"]*)"|'([^']*)'|([^ \t\n\r\f]+))""", re.ASCII | re.IGNORECASE)
+
+
+@lru_cache(4096)
+def _plain_attrs(text: str) -> tuple[tuple[str, str], ...]:
+    return tuple((name.lower(), a or b or c) for name, a, b, c in _PLAIN_ATTR.findall(text))
 
 
 class Element:
@@ -107,16 +122,62 @@ class _Builder(HTMLParser):
         self.open = [self.root]
         self.silent = 0
 
+    def feed(self, html: str) -> None:
+        """Texts and tags are read here until something else comes, an end tag that isn't plain, a comment or
+        a script; the rest is the tokenizer's."""
+        self.rawdata, i = html, 0
+        while self.cdata_elem is None:
+            if m := _PLAIN.match(html, i):
+                text, tag, attrs, end = m.groups()
+                if text:
+                    self.handle_data(unescape(text) if "&" in text else text)
+                if tag:
+                    self.handle_starttag(tag.lower(), _plain_attrs(attrs) if attrs else ())
+                elif end:
+                    self.handle_endtag(end.lower())
+                i = m.end()
+            elif m := _OTHER_START.match(html, i):
+                if m[1]:
+                    self.handle_data(unescape(m[1]))
+                i = m.end()
+                after = super().parse_starttag(i)
+                if after < 0:
+                    break
+                i = after
+            else:
+                break
+        self.rawdata = ""
+        super().feed(html[i:])
+
+    def parse_starttag(self, i: int) -> int:
+        m = _PLAIN_START.match(self.rawdata, i)
+        if m is None:
+            return super().parse_starttag(i)
+        tag, attrs = m.groups()
+        self.handle_starttag(tag.lower(), _plain_attrs(attrs) if attrs else ())
+        return m.end()
+
+    def parse_endtag(self, i: int) -> int:
+        m = _PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if m is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(m[1].lower())
+        return m.end()
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # no line numbers are asked for
+
     def _close(self, tags: tuple[str, ...], scope) -> None:
         """Close the innermost open element of ``tags`` with all that it holds, if no element of ``scope`` comes first."""
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
+            tag = self.open[i].tag
+            if tag in tags:
                 del self.open[i:]
                 return
-            if self.open[i].tag in scope:
+            if tag in scope:
                 return
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def handle_starttag(self, tag: str, attrs: Sequence[tuple[str, str | None]]) -> None:
         if tag in SILENT:
             self.silent += 1
             return

@@ -125,8 +125,11 @@ def handbook_pages(spark: SparkSession, sf: str, unclosed: str = "i % 4 = 3") ->
 def menu_pages(spark: SparkSession, sf: str) -> DataFrame:
     """``(page_id, url, html)``: a page per document with a menu of one to five
     chapters, sub-menus inside them, lists inside those, items of another
-    class, and links in every quoting and of every form."""
-    d = read_table(spark, sf, "documents").where("doc_id IS NOT NULL")
+    class, and links in every quoting and of every form. Only ids and sources are
+    read, so files of long texts hold the rows of many pages: they are dealt out
+    before the pages are made."""
+    d = read_table(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id", "source")
+    d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     doc = F.col("doc_id")
 
     def section(c):

@@ -3,12 +3,14 @@
 import json
 import random
 import re
+from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import extract, html_tree
+from quarry.plans import inputs
 from quarry.sinks import writers
 
 
@@ -135,3 +137,39 @@ def test_long_pages_come_in_small_batches(spark):
     df = extract.page_text(spark.createDataFrame([(1, "<article><p>x")], "page_id long, html string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "Arrow" not in plan
+
+
+def test_menus_are_made_once(spark):
+    """No filter on the sizes of the menus makes them, and their URLs, a second time."""
+    plan = extract.toc_links(nested_pages(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert plan.count("StartsWith(") == extract.toc_dataset(nested_pages(spark))._jdf.queryExecution().executedPlan().toString().count("StartsWith(") > 0
+
+
+def test_menu_pages_are_dealt_out(spark, tmp_path):
+    """Pages of one small file go to more than one task."""
+    spark.range(500).selectExpr("id AS doc_id", "'s' AS source", "'' AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    pages = inputs.menu_pages(spark, str(tmp_path))
+    assert pages.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert pages.count() == 500
+
+
+def test_trees_equal_the_tokenizers():
+    """Plain tags are read by one match each: the tree is the one that the standard library's tokenizer gives."""
+    class Plainly(html_tree._Builder):
+        feed, parse_starttag, parse_endtag = HTMLParser.feed, HTMLParser.parse_starttag, HTMLParser.parse_endtag
+
+    def tree(builder, text):
+        b = builder(True)
+        b.feed(text)
+        b.close()
+        show = lambda e: e if isinstance(e, str) else (e.tag, e.attrs, [show(c) for c in e.children])
+        return show(b.root)
+
+    bits = ["<div", "<P", "<li", "<a", "</div>", "</p >", "</LI\n>", "</a x>", "</ a>", " class=x", " class='a b'", ' href="q?x=1&amp;y"', ' href="a>b"',
+            " href=a/b", " HREF=#z", " a=1 a=2", " b", " c = 'd'", "/>", ">", ">", "text", " & ", "&amp;", "&lt", "<", "<!-- c -->", "<!DOCTYPE html>",
+            "<?pi>", "<script>", "</script>", "<title>", "</title>", "\x00", "é", "\x0b", "\n", "<br/>", "<ul>", "</ul>", '"', "'", "<ſ", " class=''"]
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        assert tree(html_tree._Builder, text) == tree(Plainly, text), text
